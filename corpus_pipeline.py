@@ -1,11 +1,69 @@
-"""A corpus pipeline over documents; STAGES is filled as the operators come."""
+"""A corpus pipeline over documents: language, quality, boilerplate lines, near-duplicates, packing.
 
-STAGES: list = []
+Each stage takes the documents that the one before kept, as a written table, and all but the last return documents'
+columns. No stage has SQL: learned models and the n-gram join can't be said in it; tests hold them to brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.llm.common import kept_table
+from tallyfold.llm.langid import add_language
+from tallyfold.llm.line_dedup import line_dedup
+from tallyfold.llm.ngram_join import ngram_join
+from tallyfold.llm.packing import pack_documents
+from tallyfold.llm.quality import add_quality
+
+MIN_LANGUAGE_SCORE = 0.3  # of one minus the out-of-place distance's share; texts in a learned language stand well above
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or near no language, go."""
+    told = add_language(docs)
+    return told.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for label 0 go."""
+    told = add_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return told.where(F.col("_quality") >= 0.5).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; documents of which nothing is left go; n_chars follows the text."""
+    told = line_dedup(docs).where("_kept")
+    return told.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays, once."""
+    told = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count()
+    told = kept_table(told.select(F.col("doc_id").alias("_keep"), "count"), "near-duplicates")
+    kept = docs.join(told, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi")
+    repeated = not told.where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = kept_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,8 +7,9 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,10 +68,47 @@ def bucket_of(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def append_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """All of ``df`` with columns (``fields``: DDL) that ``make()``, called once per task, computes from each batch."""
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(fields)
+    names = [f.name for f in added]
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], [*batch.schema.names, *names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scatters the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word (bytes between ASCII white space) of a buffer, and where each starts."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    prime = 0x100000001B3
+    powers = np.cumprod(np.full(len(b), prime, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers)])
+    back = np.cumprod(np.full(len(b), pow(prime, -1, 1 << 64), np.uint64))
+    return mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Encoding whole texts with a tokenizers file, a white-space chunk at a time.
 # ---------------------------------------------------------------------------------------------------------------
@@ -97,10 +135,8 @@ class ChunkEncoder:
     def __init__(self, path: str):
         import re
 
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np = np
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
@@ -111,11 +147,11 @@ class ChunkEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return self.np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def word(self, word: str) -> bytes:
         seen = "".join(map(self.symbols.__getitem__, word.encode()))
-        return self.np.array([t.id for t in self.model.tokenize(seen)], dtype="<u2").tobytes()
+        return np.array([t.id for t in self.model.tokenize(seen)], dtype="<u2").tobytes()
 
     def missing(self, chunk: bytes) -> bytes:
         got = self.old.get(chunk)

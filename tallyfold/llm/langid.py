@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, columns
+from .common import append_columns, bucket_of, columns
 
 PROFILE = 400
 TRAIN_DOCS = 1500
@@ -109,7 +109,7 @@ class Ranker:
         return self.langs[best], 1.0 - float(far[best]) / (self.profile * len(mine))
 
 
-def language_id(
+def add_language(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -118,23 +118,29 @@ def language_id(
     train_docs: int = TRAIN_DOCS,
     profile: int = PROFILE,
 ) -> DataFrame:
+    """The input's rows with _lang_pred and _lang_score behind all their columns; see ``language_id``."""
+    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    profiles = train_profiles(known.where(bucket_of("doc_id", held_out[0]) != held_out[1]), train_docs, profile)
+
+    def make():
+        ranker = Ranker(profiles, profile)
+
+        def predict(batch):
+            got = [ranker.predict(t) for t in batch.column(text_col).to_pylist()]
+            return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+
+        return predict
+
+    return append_columns(df, "_lang_pred string, _lang_score double", make)
+
+
+def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (5, 0), **settings) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     Learns from rows whose crc32(id) mod held_out[0] is not held_out[1]. Null or letterless texts are ``und`` with score
     0, as is everything where there is nothing to learn from; equal distances go to the first language by name.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    told = add_language(rows, "doc_id", "text", "lang", held_out, **settings)
     out = bucket_of("doc_id", held_out[0]) == held_out[1]
-    profiles = train_profiles(rows.where(~out), train_docs, profile)
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def predict(batches):
-        ranker = Ranker(profiles, profile)
-        for batch in batches:
-            got = [ranker.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
-
-    return rows.select("doc_id", out.alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return told.select("doc_id", out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))

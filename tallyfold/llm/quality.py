@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, text_of
+from .common import append_columns, bucket_of, text_of
 
 BITS = 18
 DIM = 8
@@ -132,7 +132,7 @@ def score_texts(raws: list[bytes], weights: np.ndarray, bias: float) -> np.ndarr
     return 1 / (1 + np.exp(-(sums / FIXED / np.maximum(counts, 1) + bias)))
 
 
-def quality_score(
+def add_quality(
     df: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -141,29 +141,36 @@ def quality_score(
     held_out: tuple[int, int] = (3, 1),
     train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
-
-    Learns from at most ``train_rows`` labelled ids (the lowest by hash) whose crc32 mod held_out[0] is not
-    held_out[1]. A null text is scored as the empty text, which has the bias alone. Repeated labels of an id count once,
-    by the lowest; null labels are left out. With no labels every score is 0.5; with one class only, near that class.
-    """
+    """The input's rows with _quality behind all their columns; see ``quality_score``."""
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     out = bucket_of("doc_id", held_out[0]) == held_out[1]
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~out)
+    known = labels.select(F.col("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~out)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
-    drawn = rows.join(known, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_rows)
-    ids = drawn.select("doc_id", "y").distinct()
-    sample = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").toPandas().sort_values(["doc_id", "text"]).head(train_rows)
+    ids = rows.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = rows.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"]).head(train_rows)
     weights, bias = train(sample["text"].tolist(), [int(y) for y in sample["y"]])
     model = df.sparkSession.sparkContext.broadcast(weights)
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def score(batches):
-        for batch in batches:
-            got = score_texts([t.encode() for t in batch.column("text").to_pylist()], model.value, bias)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))],
-                ["doc_id", "held_out", "score", "predicted"],
-            )
+    def make():
+        def score(batch):
+            return [pa.array(score_texts([(t or "").encode() for t in batch.column(text_col).to_pylist()], model.value, bias))]
+
+        return score
+
+    return append_columns(df, "_quality double", make)
+
 
-    return rows.select("doc_id", out.alias("held_out"), "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+def quality_score(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] = (3, 1), **settings
+) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted.
+
+    Learns from at most ``train_rows`` labelled ids (the lowest by hash) whose crc32 mod held_out[0] is not
+    held_out[1]; ``labels`` has doc_id and ``label_col``. A null text is scored as the empty text, which has the bias
+    alone. Repeated labels of an id count once, by the lowest; null labels are left out. With no labels every score is
+    0.5; with one class only, near that class.
+    """
+    rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    out = bucket_of("doc_id", held_out[0]) == held_out[1]
+    told = add_quality(rows, labels, "doc_id", "text", label_col, held_out, **settings)
+    return told.select("doc_id", out.alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= 0.5).cast("int").alias("predicted"))

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .dac import token_ids_round_trip
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import LG_K, MIN_SITES, line_dedup
+from .lm import score_texts
 from .media import audio_features, store_media
+from .ngram_join import ngram_join
+from .packing import pack_documents
 from .quality import quality_score
 
 
@@ -19,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, lg_k=LG_K)
     return cleaned.select(
@@ -54,6 +62,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = audio_features(store_media(table(spark, sf_dir, "documents")), with_tensors=False)
     return features.drop("spans", "tensors")
@@ -78,12 +94,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_token_ids": op4_token_ids,
+    "op5_bm25_packing": op5_bm25_packing,
     "op6_audio_features": op6_audio_features,
     "op7_content_sort": op7_content_sort,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_language_id": op9_language_id,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_content_sort": OP7_SQL}
