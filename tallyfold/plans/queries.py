@@ -1,10 +1,566 @@
-"""Registered queries of the evidence operators over the tables in a folder, and their SQL."""
+"""Registered queries of the evidence operators over the tables in a folder, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import numbers, text, urls
+from ..operators import dedup, diff, gates, joins, stats, voice
+from .roles import COMMENTS_SQL, CONTENT_SQL, OBSERVATIONS_SQL, comments, content, observations, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ------------------------------------------------------------------------------------------------ aggregations
+
+
+@query(f"""WITH {CONTENT_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY v DESC, ord) AS r FROM content)
+SELECT content_type AS category, count(*) AS count, round(count(*) / (SELECT count(*) FROM content), 6) AS share,
+ round_even(avg(v), 0)::BIGINT AS mean_views, round_even(median(v), 0)::BIGINT AS median_views, count(v) AS view_coverage,
+ string_agg(record_id, ',' ORDER BY r) FILTER (r <= 3) AS evidence_ids FROM ranked GROUP BY content_type""")
+def content_category_stats(spark, sf_dir):
+    found = stats.category_stats(content(spark, sf_dir))
+    return found.withColumn("share", F.round("share", 6)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@query(f"""WITH {CONTENT_SQL} SELECT count(*) AS content_rows, sum(v)::BIGINT AS total_views, round_even(avg(v), 0)::BIGINT AS mean_views,
+ round_even(median(v), 0)::BIGINT AS median_views, count(v) AS view_coverage FROM content""")
+def content_totals(spark, sf_dir):
+    return stats.totals(content(spark, sf_dir))
+
+
+@query(f"WITH {COMMENTS_SQL} SELECT topic, count(*) AS count, min(ord) AS first FROM comments WHERE NOT official GROUP BY topic")
+def topic_most_common(spark, sf_dir):
+    return stats.most_common(voice.customers(comments(spark, sf_dir)), F.col("topic"), "topic")
+
+
+@query("SELECT source AS platform, count(*) AS count FROM documents GROUP BY source")
+def platform_counts(spark, sf_dir):
+    return stats.key_counts(content(spark, sf_dir), F.col("platform"), "platform")
+
+
+@query(f"""WITH {COMMENTS_SQL} SELECT count(*) AS comment_rows, count(*) FILTER (NOT official) AS user_comments, count(*) FILTER (official) AS official_replies,
+ count(*) FILTER (official AND response_mode = 'useful_answer') AS useful, count(*) FILTER (likes > 500) AS long FROM comments""")
+def conditional_counts(spark, sf_dir):
+    official = text.truthy(F.col("is_official"))
+    return comments(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("comment_rows"),
+        F.count_if(~official).alias("user_comments"),
+        F.count_if(official).alias("official_replies"),
+        F.count_if(official & (F.col("response_mode") == "useful_answer")).alias("useful"),
+        F.count_if(numbers.number(F.col("likes")) > 500).alias("long"),
+    )
+
+
+@query("""WITH per AS (SELECT DISTINCT user_id, event_type FROM events) SELECT event_type AS mode, count(*) AS count, min(user_id) AS first FROM per GROUP BY event_type""")
+def multivalue_mode_counts(spark, sf_dir):
+    modes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("modes"))
+    each = modes.select(F.col("user_id").alias("_ord"), F.explode(F.split("modes", r"\|")).alias("mode"))
+    return stats.most_common(each, F.col("mode"), "mode")
+
+
+@query(f"WITH {OBSERVATIONS_SQL} SELECT user_id, min(day) AS first_seen_run, max(day) AS last_seen_run, count(*) AS runs FROM obs GROUP BY user_id")
+def entity_first_last_seen(spark, sf_dir):
+    return observations(spark, sf_dir).groupBy("user_id").agg(F.min("day").alias("first_seen_run"), F.max("day").alias("last_seen_run"), F.count(F.lit(1)).alias("runs"))
+
+
+_LAGGED = f"""WITH {OBSERVATIONS_SQL}, lagged AS (
+ SELECT *, lag(event_type) OVER w AS e0, lag(value) OVER w AS v0, lag(props) OVER w AS p0, lag(day) OVER w AS d0 FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY day)
+), typed AS (SELECT *, CASE WHEN d0 IS NULL THEN 'new' WHEN event_type <> e0 OR value <> v0 OR props <> p0 THEN 'updated' ELSE 'unchanged' END AS change_type,
+ concat_ws(',', CASE WHEN event_type <> e0 THEN 'event_type' END, CASE WHEN props <> p0 THEN 'props' END, CASE WHEN value <> v0 THEN 'value' END) AS changed_fields FROM lagged)"""
+
+
+@query(f"{_LAGGED} SELECT user_id, day, change_type, changed_fields FROM typed")
+def lag_change_type(spark, sf_dir):
+    found = diff.all_run_changes(observations(spark, sf_dir), ["user_id"], "day", "row")
+    return found.select("user_id", "day", "change_type", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
+@query(f"{_LAGGED} SELECT day, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'updated') AS n_updated, count(*) FILTER (change_type = 'unchanged') AS n_unchanged FROM typed GROUP BY day")
+def change_type_counts(spark, sf_dir):
+    found = diff.all_run_changes(observations(spark, sf_dir), ["user_id"], "day", "row")
+    return found.groupBy("day").agg(*[F.count_if(F.col("change_type") == t).alias(f"n_{t}") for t in ("new", "updated", "unchanged")])
+
+
+@query("SELECT conv_id, count(*) AS count FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return stats.duplicates(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("""SELECT round(count(*) FILTER (regexp_matches(text, '\\S')) / count(*), 6) AS text_coverage,
+ round((SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) / count(*), 6) AS label_coverage FROM documents""")
+def coverage_ratio(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = labels.join(docs, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    own = docs.agg(stats.coverage(docs, F.col("text")).alias("t"), F.count(F.lit(1)).alias("rows"))
+    return own.crossJoin(labelled).select(F.round("t", 6).alias("text_coverage"), F.round(F.try_divide("n", "rows"), 6).alias("label_coverage"))
+
+
+@query(f"""WITH {COMMENTS_SQL} SELECT p.comment_id AS parent, count(*) AS official_reply_count,
+ coalesce(string_agg(DISTINCT nullif(r.response_mode, ''), ',' ORDER BY nullif(r.response_mode, '')), '') AS modes, string_agg(r.comment_id, ',' ORDER BY r.ord) AS ids
+ FROM comments r JOIN comments p ON r.parent_comment_id = p.comment_id AND NOT p.official WHERE r.official GROUP BY p.comment_id""")
+def reply_summary(spark, sf_dir):
+    found = joins.reply_summary(comments(spark, sf_dir))
+    return found.select("parent", "official_reply_count", F.array_join("official_response_modes", ",").alias("modes"), F.array_join("official_reply_ids", ",").alias("ids"))
+
+
+@query("""SELECT lang, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY lang""")
+def first_k_ids(spark, sf_dir):
+    kept = stats.first_k_rows(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 5)
+    return kept.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("SELECT event_type, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last_active_at FROM events GROUP BY event_type")
+def last_active(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"))
+    return rows.groupBy("event_type").agg(stats.last_active(rows).alias("last_active_at"))
+
+
+@query("SELECT lang, bool_and(source = 'src0') AS only_one, count(*) > 0 AS any FROM documents GROUP BY lang")
+def only_one_value(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.bool_and(F.col("source") == "src0").alias("only_one"), (F.count(F.lit(1)) > 0).alias("any"))
+
+
+@query("SELECT source, count(*) AS count, CASE WHEN count(*) > 0 THEN printf('%.0f%%', round_even(100.0 * count(*) FILTER (lang = 'en') / count(*), 0)) ELSE 'n/a' END AS share FROM documents GROUP BY source")
+def tab_counts(spark, sf_dir):
+    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("lang") == "en").alias("_en"))
+    return by.select("source", "count", numbers.percent(F.col("_en"), F.col("count")).alias("share"))
+
+
+# ------------------------------------------------------------------------------------------------ latest per key
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_observation(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("run_sequence", F.struct("ts", "event_id"))
+    return diff.latest(events, ["user_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS event_type, coalesce(arg_min(k, event_id) FILTER (k <> ''), '') AS k,
+ arg_max(props, (length(props), -event_id)) AS props, min(event_id) AS _ord
+ FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN regexp_extract(props, '([0-9]+)', 1) ELSE '' END AS k FROM events) GROUP BY user_id""")
+def window_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        "user_id",
+        F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("event_type"),
+        F.when(F.col("event_id") % 3 == 0, F.regexp_extract("props", "([0-9]+)", 1)).otherwise("").alias("k"),
+        "props",
+        F.col("event_id").alias("_ord"),
+    )
+    return dedup.merge_windows(rows, "user_id", "props")
+
+
+@query("""SELECT user_id, arg_max(event_id, (CASE WHEN value > 10 THEN 1 ELSE 0 END + CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END, -event_id)) AS event_id,
+ (SELECT string_agg(t, ',' ORDER BY o) FROM (SELECT event_type AS t, min(event_id) AS o FROM events e2 WHERE e2.user_id = e.user_id GROUP BY event_type)) AS tabs FROM events e GROUP BY user_id""")
+def richest_record(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.col("event_type").alias("tabs"), F.col("event_id").alias("_ord"))
+    score = F.when(F.col("value") > 10, 1).otherwise(0) + F.when(F.col("tabs") != "view", 1).otherwise(0)
+    return dedup.richest_wins(rows, ["user_id"], score, "tabs").select("user_id", "event_id", "tabs")
+
+
+@query("SELECT source, lang, arg_max(doc_id, (length(text), -doc_id)) AS doc_id FROM documents GROUP BY source, lang")
+def longest_text_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id"))
+    return dedup.longest_wins(docs, ["source", "lang"], "text").select("source", "lang", "doc_id")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def last_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("_ord"))
+    return dedup.last_wins(rows, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(text.sha256(F.col("text")).alias("text_hash"), "doc_id", F.col("doc_id").alias("_ord"))
+    return dedup.first_wins(rows, ["text_hash"]).select("text_hash", "doc_id")
+
+
+@query("SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous_run FROM orders")
+def previous_run_in_scope(spark, sf_dir):
+    from ..operators.ledger import previous_run_in_scope as previous
+
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("run_sequence"), F.col("o_custkey").alias("scope_key"))
+    return previous(runs).select("o_orderkey", "o_custkey", "previous_run")
+
+
+@query("""WITH m AS (SELECT user_id, event_id, event_type = 'purchase' AS reset, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS isl FROM events)
+SELECT user_id, event_id, quiet, quiet >= 6 AS stopped FROM (SELECT *, (sum(CASE WHEN reset THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, isl ORDER BY event_id))::BIGINT AS quiet FROM m)""")
+def stagnation_runs(spark, sf_dir):
+    return dedup.stagnant(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase", 6).select("user_id", "event_id", "quiet", "stopped")
+
+
+# ------------------------------------------------------------------------------------------------ joins
+
+_DAYS = ("2024-01-10", "2024-01-11")
+
+
+@query(f"WITH {OBSERVATIONS_SQL} SELECT a.user_id, 'not_observed' AS change_type FROM obs a WHERE a.day = '{_DAYS[0]}' AND NOT EXISTS (SELECT 1 FROM obs b WHERE b.day = '{_DAYS[1]}' AND b.user_id = a.user_id)")
+def not_observed(spark, sf_dir):
+    obs = observations(spark, sf_dir).withColumn("entity_type", F.lit("user"))
+    before, now = (obs.where(F.col("day") == d).select("entity_type", "user_id") for d in _DAYS)
+    return diff.not_observed(before, now, ["entity_type", "user_id"]).select("user_id", F.lit("not_observed").alias("change_type"))
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, cur AS (SELECT * FROM obs WHERE day = '{_DAYS[1]}'), prior AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM obs WHERE day < '{_DAYS[1]}') WHERE r = 1)
+SELECT c.user_id, CASE WHEN p.user_id IS NULL THEN 'new' WHEN c.event_type <> p.event_type OR c.value <> p.value OR c.props <> p.props THEN 'updated' ELSE 'unchanged' END AS change_type, p.day AS previous
+FROM cur c LEFT JOIN prior p ON c.user_id = p.user_id""")
+def observed_changes(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    prior = diff.latest(obs.where(F.col("day") < _DAYS[1]), ["user_id"], "day").select("user_id", "row", F.col("day").alias("ref"))
+    found = diff.observed_changes(obs.where(F.col("day") == _DAYS[1]), prior, ["user_id"])
+    return found.select("user_id", "change_type", "previous")
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity > 45")
+def history(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumn("run_sequence", F.col("l_orderkey"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_sequence"), "o_custkey", "o_orderstatus")
+    return joins.history(lines, runs).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderstatus")
+
+
+@query("""WITH b AS (SELECT c_custkey, c_name, c_mktsegment AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 5 <> 0),
+i AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0)
+SELECT coalesce(i.c_custkey, b.c_custkey) AS c_custkey, coalesce(i.seg, b.seg) AS seg,
+ CASE WHEN b.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'absent_from_incoming' WHEN i.seg <> b.seg THEN 'updated' ELSE 'unchanged' END AS merge_class,
+ CASE WHEN b.c_custkey IS NOT NULL AND i.c_custkey IS NOT NULL AND i.seg <> b.seg THEN 'seg' ELSE '' END AS changed_fields, CASE WHEN b.c_custkey IS NOT NULL AND i.c_custkey IS NOT NULL AND i.seg <> b.seg THEN 'metadata' ELSE '' END AS change_kinds,
+ CASE WHEN b.c_custkey IS NULL THEN 1 ELSE 0 END AS late FROM b FULL JOIN i ON b.c_custkey = i.c_custkey""")
+def keyed_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("_ord"))
+    base = rows.where("c_custkey % 5 <> 0")
+    incoming = rows.where("c_custkey % 4 <> 0").withColumn("seg", F.when(F.col("c_custkey") % 7 == 0, "CHANGED").otherwise(F.col("seg")))
+    merged = diff.keyed_merge(base, incoming, "c_custkey", ignored=[])
+    return merged.select(
+        "c_custkey", "seg", "merge_class", F.array_join("changed_fields", ",").alias("changed_fields"), F.array_join("change_kinds", ",").alias("change_kinds"), F.col("_ord.late").alias("late")
+    )
+
+
+@query("SELECT DISTINCT l_orderkey AS content_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def orphans(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("content_id"))
+    return joins.orphans(lines, table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("record_id")))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)
+UNION ALL SELECT doc_id::VARCHAR, 'unknown' FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
+""")
+def missing_and_unknown_labels(spark, sf_dir):
+    docs, good = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1")
+    missing, _ = joins.missing_and_unknown(docs.select("doc_id"), good.select("doc_id"), "doc_id")
+    _, unknown = joins.missing_and_unknown(docs.where("lang = 'en'").select("doc_id"), good.select("doc_id"), "doc_id")
+    return missing.withColumn("side", F.lit("missing")).union(unknown.withColumn("side", F.lit("unknown")))
+
+
+@query("SELECT d.doc_id::VARCHAR AS record_id, 'q' || l.quality AS content_type, 't' || l.toxic AS classification_notes, d.source AS platform FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def merged_labels(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("record_id"),
+        F.lit("").alias("text_translation"),
+        F.concat(F.lit("q"), F.col("quality").cast("string")).alias("content_type"),
+        F.lit("high").alias("classification_confidence"),
+        F.concat(F.lit("t"), F.col("toxic").cast("string")).alias("classification_notes"),
+    )
+    return joins.merge_labels(content(spark, sf_dir), labels).select("record_id", "content_type", "classification_notes", "platform")
+
+
+@query(f"""WITH {COMMENTS_SQL}, rep AS (SELECT r.parent_comment_id AS pid, count(*) AS n, string_agg(r.comment_id, '|' ORDER BY r.ord) AS ids FROM comments r WHERE r.official GROUP BY 1)
+SELECT c.comment_id, 'voice-' || substr(sha256(c.commenter), 1, 10) AS commenter_alias, c.topic AS issue_type, coalesce(rep.n, 0)::VARCHAR AS official_reply_count, coalesce(rep.ids, '') AS official_reply_ids
+FROM comments c LEFT JOIN rep ON rep.pid = c.comment_id WHERE NOT c.official""")
+def analyzed_voice(spark, sf_dir):
+    rows = comments(spark, sf_dir)
+    found = voice.analyzed_voice(rows, _voice_labels(rows))
+    return found.select("comment_id", "commenter_alias", "issue_type", "official_reply_count", "official_reply_ids")
+
+
+def _voice_labels(rows: DataFrame) -> DataFrame:
+    size = numbers.number(F.col("likes"))
+    level = F.when(size > 1500, "critical").when(size > 800, "high").when(size > 300, "medium").otherwise("low")
+    return voice.customers(rows).select(
+        "comment_id", F.lit("t").alias("text_translation"), F.col("topic").alias("issue_type"), F.lit("question").alias("signal_type"), F.lit("neutral").alias("sentiment"),
+        level.alias("severity"), F.lit("high").alias("analysis_confidence"), F.lit("n").alias("analysis_notes"),
+    )
+
+
+@query(f"""WITH {COMMENTS_SQL}, c AS (SELECT comment_id, likes, CASE WHEN likes > 1500 THEN 'critical' WHEN likes > 800 THEN 'high' WHEN likes > 300 THEN 'medium' ELSE 'low' END AS severity FROM comments WHERE NOT official)
+SELECT comment_id, severity, likes::VARCHAR AS likes FROM c ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, c.likes DESC, comment_id LIMIT 30""")
+def severity_topk(spark, sf_dir):
+    rows = comments(spark, sf_dir)
+    return voice.top_signals(voice.analyzed_voice(rows, _voice_labels(rows))).select("comment_id", "severity", "likes")
+
+
+@query("SELECT strftime(o.o_orderdate, '%Y-%m') AS month, count(*) AS count FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY 1")
+def context_months(spark, sf_dir):
+    signals = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("content_id"))
+    dated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
+    return joins.month_context(signals, dated)
+
+
+@query("""WITH t AS (SELECT n_name AS id, s AS rep FROM nation, (SELECT unnest(range(0, 300)) AS s) WHERE s % 25 = n_nationkey),
+l AS (SELECT s_suppkey AS rep, n_name AS assigned FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT id, t.rep::VARCHAR AS rep, 'unknown' AS problem FROM t WHERE rep NOT IN (SELECT rep FROM l)
+UNION ALL SELECT id, t.rep::VARCHAR, 'elsewhere' FROM t JOIN l ON t.rep = l.rep WHERE id <> assigned""")
+def representative_mismatch(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    named = spark.range(300).join(nation, F.col("id") % 25 == nation.n_nationkey).select(F.col("n_name").alias("id"), F.col("id").cast("string").alias("rep"))
+    labels = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("key"), F.col("n_name").alias("label"))
+    unknown, elsewhere = joins.representatives(named, labels, "key", "label")
+    return unknown.select("id", "rep", F.lit("unknown").alias("problem")).union(elsewhere.select("id", "rep", F.lit("elsewhere").alias("problem")))
+
+
+@query("SELECT n_name AS id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)")
+def unused_labels(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    used = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
+    return joins.unused(nation.select(F.col("n_name").alias("id")), used, "n_name")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role FROM conversations), d AS (SELECT conv_id, turn, min(role) AS role FROM t GROUP BY 1, 2)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE coalesce((SELECT max(u.turn) FROM d u WHERE u.conv_id = d.conv_id AND u.turn < d.turn AND u.role = 'user')::VARCHAR, '') END AS parent FROM d""")
+def reply_parent_asof(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    rows = turns.select(
+        "conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("level"), F.col("turn").cast("string").alias("comment_id"), F.lit("").alias("user"), F.lit("").alias("text"),
+        F.lit("-").alias("parent_user"), F.lit("-").alias("parent_text"), F.col("turn").alias("_ord"),
+    )
+    return joins.resolve_parents(rows, ["conv_id"]).select("conv_id", "turn", "parent")
+
+
+@query("""WITH w AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity = 50)
+SELECT p_partkey AS k, 'found' AS side FROM part WHERE p_size > 10 AND p_partkey IN (SELECT k FROM w) UNION ALL SELECT k, 'missing' FROM w WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)""")
+def selected_semi(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("k"))
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("k"))
+    found, missing = joins.selected(parts, wanted, "k")
+    return found.withColumn("side", F.lit("found")).union(missing.withColumn("side", F.lit("missing")))
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(CASE WHEN n % 2 = 0 THEN n::VARCHAR ELSE '' END, ''), '1') AS likes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def metric_backfill(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("1").alias("likes"))
+    n = F.count(F.lit(1))
+    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(n % 2 == 0, n.cast("string")).otherwise("").alias("likes"))
+    return joins.backfill(rows, new, "o_orderkey", ["likes"])
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase' OR user_id IN (3, 5, 8)) AS official FROM events GROUP BY user_id")
+def owner_match(spark, sf_dir):
+    hit = joins.is_owner(F.col("event_type") == "purchase", [F.concat(F.lit("@User."), F.col("user_id").cast("string"))], ["user3", "user5", "user8"])
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(hit).alias("official"))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey // 1000 AS batch, l_orderkey AS id FROM lineitem), b AS (SELECT o_orderkey // 1000 AS batch, o_orderkey AS id FROM orders)
+SELECT coalesce(a.batch, b.batch) AS batch, count(*) FILTER (b.id IS NULL) AS unknown, count(*) FILTER (a.id IS NULL) AS missing FROM a FULL JOIN b ON a.batch = b.batch AND a.id = b.id GROUP BY 1""")
+def id_set_equality(spark, sf_dir):
+    got = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().select(F.floor(F.col("l_orderkey") / 1000).alias("batch"), F.col("l_orderkey").alias("id"), F.lit(1).alias("g"))
+    asked = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("batch"), F.col("o_orderkey").alias("id"), F.lit(1).alias("a"))
+    both = got.join(asked, ["batch", "id"], "full_outer")
+    return both.groupBy("batch").agg(F.count_if(F.col("a").isNull()).alias("unknown"), F.count_if(F.col("g").isNull()).alias("missing"))
+
+
+@query("""SELECT 'lineitem-part' AS reference, count(*) AS broken FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL
+SELECT 'orders-customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'labels-documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr')""")
+def referential_checks(spark, sf_dir):
+    def broken(name, child, key, parent):
+        return child.select(F.col(key).alias("k")).join(parent, "k", "left_anti").agg(F.lit(name).alias("reference"), F.count(F.lit(1)).alias("broken"))
+
+    t = lambda n: table(spark, sf_dir, n)
+    found = broken("lineitem-part", t("lineitem"), "l_partkey", t("part").select(F.col("p_partkey").alias("k")))
+    found = found.union(broken("orders-customer", t("orders"), "o_custkey", t("customer").select(F.col("c_custkey").alias("k"))))
+    return found.union(broken("labels-documents", t("labels"), "doc_id", t("documents").where("lang <> 'fr'").select(F.col("doc_id").alias("k"))))
+
+
+# ------------------------------------------------------------------------------------------------ order and top-k
+
+
+@query(f"""WITH {CONTENT_SQL} SELECT record_id, platform, v AS views, true AS views_available, false AS likes_available,
+ substr(string_split(regexp_replace(text_original, '^\\s+|\\s+$', '', 'g'), chr(10))[1], 1, 180) AS text FROM content ORDER BY v DESC, ord LIMIT 8""")
+def top_evidence(spark, sf_dir):
+    return stats.top_evidence(content(spark, sf_dir)).select("record_id", "platform", "views", "views_available", "likes_available", "text")
+
+
+@query("SELECT source, doc_id, r AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3")
+def top3_per_group(spark, sf_dir):
+    kept = stats.first_k_rows(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), "doc_id"], 3)
+    return kept.select("source", "doc_id", F.col("_rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url LIKE '%/en/%' ORDER BY length(html) DESC, page_id LIMIT 30")
+def top_posts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(F.col("url").contains("/en/")).orderBy(F.desc(F.length("html")), "page_id").limit(30).select("page_id", "url")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row, (row_number() OVER (ORDER BY o_orderkey) - 1) // 12 AS batch FROM orders")
+def batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    found = stats.batches(rows, ["o_orderkey"], F.floor(F.col("o_orderkey") / 4096), 1)
+    return found.select("o_orderkey", F.col("batch").alias("row"), F.floor(F.col("batch") / 12).alias("batch"))
+
+
+@query("""SELECT o_orderpriority, first_month, first_key FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS first_month, o_orderkey AS first_key,
+ row_number() OVER (PARTITION BY o_orderpriority ORDER BY strftime(o_orderdate, '%Y-%m') DESC, o_orderkey::VARCHAR DESC) AS r FROM orders) WHERE r = 1""")
+def bundle_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("first_month"), F.col("o_orderkey").alias("first_key"))
+    return stats.first_k_rows(rows, ["o_orderpriority"], [F.desc("first_month"), F.desc(F.col("first_key").cast("string"))], 1).drop("_rank")
+
+
+# ------------------------------------------------------------------------------------------------ sets and change kinds
+
+
+@query("""SELECT p_brand AS k, 'only_a' AS side FROM part WHERE p_size > 25 EXCEPT SELECT p_brand, 'only_a' FROM part WHERE p_size < 3
+UNION ALL SELECT DISTINCT 'both', (SELECT count(*)::VARCHAR FROM (SELECT p_type FROM part WHERE p_size > 40 INTERSECT SELECT p_type FROM part WHERE p_size < 10))""")
+def set_operations(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    only = parts.where("p_size > 25").select("p_brand").distinct().join(parts.where("p_size < 3").select("p_brand"), "p_brand", "left_anti")
+    both = parts.where("p_size > 40").select("p_type").intersect(parts.where("p_size < 10").select("p_type")).agg(F.count(F.lit(1)).cast("string").alias("side"))
+    return only.select(F.col("p_brand").alias("k"), F.lit("only_a").alias("side")).union(both.select(F.lit("both").alias("k"), "side"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS tabs FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY user_id")
+def ordered_distinct(spark, sf_dir):
+    firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("o"))
+    return firsts.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "event_type"))), lambda x: x["event_type"]), ",").alias("tabs"))
+
+
+@query(f"""{_LAGGED} SELECT user_id, day, CASE WHEN event_type <> e0 THEN 'event_type:' || e0 || '>' || event_type ELSE '' END AS event_change,
+ CASE WHEN value <> v0 THEN v0 || '>' || value ELSE '' END AS value_change FROM typed WHERE change_type = 'updated'""")
+def field_diff(spark, sf_dir):
+    found = diff.all_run_changes(observations(spark, sf_dir), ["user_id"], "day", "row").where("change_type = 'updated'")
+
+    def shown(k, prefix=""):
+        v = F.try_element_at("changes", F.lit(k))
+        return F.coalesce(F.concat(F.lit(prefix), v["before"], F.lit(">"), v["after"]), F.lit(""))
+
+    return found.select("user_id", "day", shown("event_type", "event_type:").alias("event_change"), shown("value").alias("value_change"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'content' WHEN 1 THEN 'engagement' WHEN 2 THEN 'metadata' WHEN 3 THEN 'content,engagement,metadata' ELSE 'none' END AS kinds FROM part""")
+def change_kinds(spark, sf_dir):
+    choices = [["topic"], ["views", "likes"], ["url"], ["shares", "brand", "notes"], []]
+    fields = F.array().cast("array<string>")
+    for k, names in enumerate(choices):
+        fields = F.when(F.col("p_size") % 5 == k, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(fields)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(diff.change_kinds(fields), ",").alias("kinds"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS id, r AS rule FROM (SELECT s_suppkey, unnest([CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_nationkey > 20 THEN 'far' END, CASE WHEN s_suppkey % 10 = 0 THEN 'tenth' END]) AS r FROM supplier) WHERE r IS NOT NULL""")
+def gate_violations(spark, sf_dir):
+    rules = [("negative", F.col("s_acctbal") < 0, ""), ("far", F.col("s_nationkey") > 20, ""), ("tenth", F.col("s_suppkey") % 10 == 0, "")]
+    return gates.violations(table(spark, sf_dir, "supplier"), "s_suppkey", rules).select("id", "rule")
+
+
+@query("""SELECT 'duplicate_id' AS rule, conv_id::VARCHAR AS id, 'appears ' || count(*) || ' times' AS message FROM conversations GROUP BY conv_id HAVING count(*) > 1""")
+def key_gate(spark, sf_dir):
+    return diff.key_violations(table(spark, sf_dir, "conversations"), "conv_id", "comments").select("rule", "id", "message")
+
+
+# ------------------------------------------------------------------------------------------------ scalar functions
+
+
+@query("""SELECT c_custkey, sha256('{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}') AS row_hash FROM customer""")
+def row_hash(spark, sf_dir):
+    row = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.sha256(text.canonical_json(row)).alias("row_hash"))
+
+
+@query("SELECT c_custkey, 'voice-' || substr(sha256(c_name), 1, 10) AS alias FROM customer")
+def pseudonym(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.pseudonym(F.concat(F.lit("  "), F.col("c_name"), F.lit("\t"))).alias("alias"))
+
+
+@query("""SELECT s_suppkey, 'platform-' || substr(sha256('{"handle":"' || lower(s_name) || '","platform":"' || 'tiktok' || '","url":"https://x.test/' || s_suppkey || '"}'), 1, 20) AS id FROM supplier""")
+def platform_ids(spark, sf_dir):
+    url = F.concat(F.lit("https://X.test/"), F.col("s_suppkey").cast("string"), F.lit("/"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.platform_id(F.lit(" TikTok"), F.col("s_name"), url).alias("id"))
+
+
+@query("SELECT conv_id, turn, 'TTC-' || substr(sha256(conv_id || chr(10) || '' || chr(10) || role || chr(10) || text), 1, 20) AS id FROM conversations")
+def comment_id_hash(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.comment_hash(F.col("conv_id"), F.lit(None).cast("string"), F.col("role"), F.col("text")).alias("id"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS identity FROM part")
+def slug(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name"), "none").alias("slug"), text.identity_name(F.col("p_brand")).alias("identity"))
+
+
+@query("""SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages""")
+def url_host_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), urls.query_value(F.col("url"), "page").alias("page"))
+
+
+@query("SELECT page_id, rtrim(string_split(url, '?')[1], '/') AS bare FROM pages")
+def strip_query(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.strip_query(F.col("url")).alias("bare"))
+
+
+@query("""SELECT page_id, 'https://www.youtube.com/watch?v=a' || page_id || '&lc=c' || page_id AS url, 'a' || page_id AS video FROM pages""")
+def comment_urls(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://www.youtube.com/watch?v=a"), n, F.lit("&lc=old#top"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.comment_url(url, F.concat(F.lit("c"), n)).alias("url"), urls.youtube_video_id(url).alias("video"))
+
+
+@query("SELECT o_orderkey, round_even(round(o_totalprice / 1000, 1) * 1000, 0)::BIGINT::VARCHAR AS views, trunc(o_totalprice)::BIGINT AS plain FROM orders")
+def compact_number(spark, sf_dir):
+    label = F.concat(F.format_string("%.1f", F.round(F.col("o_totalprice") / 1000, 1)), F.lit("K views"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.compact_number(label).alias("views"), numbers.number(F.format_number("o_totalprice", 2)).alias("plain"))
+
+
+@query("SELECT o_orderkey, CASE WHEN x >= 0.8 THEN 'high' WHEN x >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0 AS x FROM orders)")
+def confidence_bucket(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.confidence(F.format_string("%.2f", (F.col("o_orderkey") % 100) / 100)).alias("confidence"))
+
+
+@query("""SELECT event_id, strftime(make_timestamp((1600000000 + event_id * 1000) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS published_at, CASE WHEN event_id % 2 = 0 THEN '' ELSE strftime(make_timestamp((1600000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS commented_at FROM events""")
+def snowflake_ts(spark, sf_dir):
+    number = F.shiftleft(F.lit(1600000000).cast("bigint") + F.col("event_id") * 1000, 32) + F.col("event_id")
+    seconds = F.when(F.col("event_id") % 2 == 1, F.lit(1600000000).cast("bigint") + F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", numbers.snowflake_time(number.cast("string")).alias("published_at"), numbers.iso_from_epoch(seconds).alias("commented_at"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+00:00' AS legacy FROM orders")
+def month_bucket(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.month(day).alias("month"), numbers.legacy_date(F.concat(day, F.lit(" 10:00"))).alias("legacy"))
+
+
+@query("""SELECT o_orderkey, (o_orderkey * 1000)::VARCHAR AS likes, (o_orderkey + 2)::VARCHAR AS comments, '' AS shares FROM orders""")
+def label_metrics(spark, sf_dir):
+    n = F.col("o_orderkey")
+    labels = F.array(F.lit("Public post"), F.concat(n.cast("string"), F.lit("K reactions")), F.concat((n + 2).cast("string"), F.lit(" comments")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", numbers.first_label_metric(labels, "likes").alias("likes"), numbers.number_before_word(labels, F.lit(""), "comments").alias("comments"), numbers.first_label_metric(labels, "shares").alias("shares")
+    )
+
+
+@query("SELECT doc_id, substr(regexp_extract(regexp_replace(text, '^\\s+', ''), '^[^\\n\\r]*'), 1, 180) AS line FROM documents")
+def working_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.working_text(F.lit(" "), F.col("text")).alias("line"))
+
+
+# ------------------------------------------------------------------------------------------------ extensions of the playbooks
+
+
+@query("""WITH r AS (SELECT lang, n_chars, percent_rank() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS p FROM documents)
+SELECT lang, round(sum(n_chars) FILTER (p >= 0.9) / sum(n_chars), 6) AS top_decile_share FROM r GROUP BY lang""")
+def top_decile_share(spark, sf_dir):
+    """An extension: which share of a category's reach its most viewed tenth has."""
+    rank = F.percent_rank().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))
+    ranked = table(spark, sf_dir, "documents").select("lang", "n_chars", rank.alias("p"))
+    return ranked.groupBy("lang").agg(F.round(F.sum(F.when(F.col("p") >= 0.9, F.col("n_chars"))) / F.sum("n_chars"), 6).alias("top_decile_share"))
