@@ -104,7 +104,7 @@ def read_video_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VIDEO).option("mode", "FAILFAST").json(path).where(filled(F.col("id")) != "").withColumn(ORDINAL, F.monotonically_increasing_id())
 
 
-COMMENTS = T.StructType.fromDDL(
+COMMENTS = (
     "id string, comments array<struct<id:string,parent:string,author:string,author_id:string,author_is_uploader:boolean,text:string,like_count:double,timestamp:double>>"
 )
 

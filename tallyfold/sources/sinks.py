@@ -43,6 +43,12 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise EvidenceError(f"can't move {source} to {target}")
 
 
+def _editable(spark: SparkSession, path: str) -> None:
+    """Drops a local file's checksum file, which a later edit by hand would not match."""
+    folder, _, name = path.rpartition("/")
+    remove(spark, f"{folder}/.{name}.crc")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Through a temporary name, so that a reader sees the old file or the new one."""
     p, fs = _path(spark, path)
@@ -54,6 +60,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
     fs.delete(p, False)
     fs.rename(tmp, p)
+    _editable(spark, path)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -82,6 +89,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str], sort: list | None =
     fs.delete(target, True)
     if part:
         move(spark, part, path)
+        _editable(spark, path)
     else:
         write_text(spark, path, ",".join(columns) + "\n")
     remove(spark, parts)
