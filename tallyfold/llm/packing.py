@@ -38,7 +38,7 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray]):
         found = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in found])
+        sizes = np.array([len(t) for t, _ in found], np.int64)
         terms = np.concatenate([t for t, _ in found]).astype(np.int64) if docs else np.zeros(0, np.int64)
         tf = np.concatenate([c for _, c in found]).astype(np.float32) if docs else np.zeros(0, np.float32)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
@@ -112,10 +112,11 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, query_terms: int =
                 break
             seed, start = at, int(rest[at])
             unused[at] = False
-        start = take(seed, start)
-        if filled == 0:
-            seed = seed if start < len(docs[seed]) else -1
-            continue
+        if start < len(docs[seed]):
+            start = take(seed, start)
+            if filled == 0:
+                seed = seed if start < len(docs[seed]) else -1
+                continue
         found = index.neighbours(seed, unused, NEIGHBOURS, query_terms)
         full = False
         next_seed = -1
