@@ -75,8 +75,8 @@ def features(raw: bytes, firsts: np.ndarray | None = None, bits: int = BITS) ->
 
 
 def _averaged(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = features(raw)
-    if not found:
+    found = features(b"\n" + raw + b"\n")
+    if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0)
     at, n = np.unique(np.concatenate([f[1] for f in found]), return_counts=True)
     return at, n / n.sum()
@@ -120,9 +120,9 @@ def score_texts(raws: list[bytes], weights: np.ndarray, bias: float) -> np.ndarr
         while last < len(raws) and (size == 0 or size + len(raws[last]) < PIECE):
             size += len(raws[last]) + 1
             last += 1
-        starts = np.cumsum([0] + [len(r) + 1 for r in raws[first : last - 1]])
-        for at, bucket in features(b"\n".join(raws[first:last]), starts):
-            # a gram may start at the line feed before its word or end at the one behind: it is that word's edge
+        starts = np.cumsum([1] + [len(r) + 1 for r in raws[first : last - 1]])
+        for at, bucket in features(b"\n" + b"\n".join(raws[first:last]) + b"\n", starts):
+            # every text stands between line feeds, which are its first and last word's edges wherever it is scored
             doc = np.searchsorted(starts, at + 1, side="right") - 1
             np.add.at(counts, slice(first, last), np.bincount(doc, minlength=last - first))
             cut = np.searchsorted(doc, np.arange(last - first))
