@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import connectors, diff, packets, reports, stats
+from .operators import classify, collect, connectors, diff, packets, reports, stats
 from .operators.ledger import Ledger, now
 from .schemas import COMMENT_PLAIN
 from .sources import sinks
@@ -60,6 +61,36 @@ def parser() -> argparse.ArgumentParser:
         p = add(name)
         p.add_argument("--bundle", required=True)
         p.set_defaults(packet=mode)
+    for site in ("tiktok", "facebook", "linkedin", "youtube"):
+        p = add(site)
+        for name in ("landing", "output", "company", "url"):
+            p.add_argument(f"--{name}", required=True)
+        p.add_argument("--limit", type=int, default=0)
+        for name in ("since", "workspace", "ingest-label"):
+            p.add_argument(f"--{name}")
+        p.add_argument("--tabs", default="")
+    for site in ("tiktok-comments", "youtube-comments"):
+        p = add(site)
+        for name in ("landing", "bundle"):
+            p.add_argument(f"--{name}", required=True)
+        p.add_argument("--owner", action="append", default=[])
+        p.add_argument("--top", type=int, default=30)
+        for name in ("workspace", "ingest-label"):
+            p.add_argument(f"--{name}")
+    analyze = add("analyze")
+    analyze.add_argument("mode", choices=["content", "customer-voice"])
+    place = analyze.add_mutually_exclusive_group(required=True)
+    place.add_argument("--workspace")
+    place.add_argument("--bundle")
+    analyze.add_argument("--target-language", required=True)
+    analyze.add_argument("--force", action="store_true")
+    local = add("local-analysis")
+    local.add_argument("--bundle", required=True)
+    local.add_argument("--mode", choices=["content", "customer-voice"], required=True)
+    local.add_argument("--target-language", default="English")
+    local.add_argument("--host", default="http://127.0.0.1:11434/api/chat")
+    local.add_argument("--model")
+    local.add_argument("--force", action="store_true")
     legacy = add("migrate-legacy-tiktok")
     for name in ("videos", "comments", "census", "output", "company"):
         legacy.add_argument(f"--{name}", required=True)
@@ -68,6 +99,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    argv = list(sys.argv[1:] if argv is None else argv)
+    if argv[:1] == ["collect"]:  # collect <site> is the site's command, with --workspace to ingest what it made
+        argv = argv[1:]
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tallyfold").getOrCreate()
     try:
@@ -127,7 +161,26 @@ def run(args: argparse.Namespace, command: str, spark: SparkSession) -> int:
         done = packets.apply(spark, args.bundle, args.packet)
         show(done["report"])
         return 0 if done["report"]["status"] == "passed" else 1
-    return migrate(args, spark)
+    if command == "analyze":
+        bundle = args.bundle or f"{args.workspace.rstrip('/')}/current"
+        print(packets.prepare(spark, bundle, "content" if args.mode == "content" else "voice", args.target_language, args.force))
+        return 0
+    if command == "local-analysis":
+        model = classify.choose_model(args.model, os.environ.get("TALLYFOLD_MODEL"), [], "local")
+        host = args.host
+        done = packets.label_with_model(spark, args.bundle, "content" if args.mode == "content" else "voice", args.target_language, lambda: classify.LocalChat(host, model), args.force)
+        show(done["report"])
+        return 0 if done["report"]["status"] == "passed" else 1
+    if command in ("tiktok", "facebook", "linkedin", "youtube"):
+        made, bundle = collect.collect_profile(spark, command, args.landing, args.output, args.company, args.url, args.limit, args.since, args.tabs), args.output
+    elif command in ("tiktok-comments", "youtube-comments"):
+        made, bundle = collect.collect_comments(spark, command, args.landing, args.bundle, args.owner, args.top), args.bundle
+    else:
+        return migrate(args, spark)
+    show(made)
+    if args.workspace and made["exit_code"] == 0:
+        show(Ledger(spark, args.workspace).ingest(bundle, args.ingest_label)["counts"])
+    return made["exit_code"]
 
 
 def migrate(args: argparse.Namespace, spark: SparkSession) -> int:

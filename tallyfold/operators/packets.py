@@ -9,7 +9,7 @@ from ..functions.text import clean
 from ..schemas import ANALYTIC_CONTENT, ANALYZED_VOICE, COMMENT_PLAIN, CONTENT_LABELS, CONTENT_VERSION, VOICE_LABELS, VOICE_VERSION
 from ..sources import sinks
 from ..sources.bundle import EvidenceError, file_digests, read_csv, read_manifest, require_columns
-from . import gates, joins, reports, stats, voice
+from . import classify, gates, joins, reports, stats, voice
 from .diff import key_violations
 from .ledger import now
 
@@ -88,6 +88,31 @@ def prepare(spark: SparkSession, bundle: str, mode: str, language: str, force: b
     return out
 
 
+def label_with_model(spark: SparkSession, bundle: str, mode: str, language: str, make_client, force: bool = False) -> dict:
+    """A packet prepared, labelled by a model and applied. Taxonomy batches come to the driver one at a time; rows are
+    labelled on the executors."""
+    out = prepare(spark, bundle, mode, language, force)
+    _, (taxonomy_name, labels_name, *_), _, key, columns, _ = MODES[mode]
+    rows, _ = load_rows(spark, bundle, mode)
+    shown = [c for c in (key, "text_original", "text_translation", "platform", "topic", "content_type") if c in rows.columns]
+    client = make_client()
+    proposals, batch = [], []
+    for row in rows.orderBy("_ord").select(*shown).toLocalIterator():
+        batch.append(row.asDict())
+        if len(batch) == classify.TAXONOMY_ROWS:
+            proposals.append(client.chat_json(classify.SYSTEM, classify.taxonomy_prompt(mode, batch, language), classify.taxonomy_schema(mode)))
+            batch = []
+    if batch:
+        proposals.append(client.chat_json(classify.SYSTEM, classify.taxonomy_prompt(mode, batch, language), classify.taxonomy_schema(mode)))
+    items = classify.merge_taxonomies(client, mode, proposals, language)
+    labelled = classify.classify_rows(rows.orderBy("_ord").select(*shown), make_client, mode, items, language)
+    sinks.write_csv(labelled, f"{out}/{labels_name}", columns, [key])  # written once: a model is asked once per row
+    labels = read_csv(spark, f"{out}/{labels_name}")
+    items = classify.with_representatives(items, labels, mode)
+    sinks.write_json(spark, f"{out}/{taxonomy_name}", classify.taxonomy_document(items, mode, language))
+    return apply(spark, bundle, mode)
+
+
 def validate(spark: SparkSession, bundle: str, mode: str) -> dict:
     folder, (taxonomy, labels, manifest, _), *_ = MODES[mode]
     rows, whole = load_rows(spark, bundle, mode)

@@ -105,3 +105,30 @@ def test_merge_stream(spark, tmp_path):
     assert (rows["a"]["text_original"], rows["a"]["views"]) == ("hi there", "5") and len(rows) == 2
     land("3.json", [])
     assert ingest.current(spark, table).count() == 2
+
+
+def test_collect_commands(spark, tmp_path):
+    grid, talk = tmp_path / "grid", tmp_path / "talk"
+    grid.mkdir()
+    talk.mkdir()
+    url = "https://www.tiktok.com/@ex/video/7416929728608701704"
+    (grid / "1.json").write_text(json.dumps({"title": "t", "displayName": "Ex", "followersLabel": "7.6K", "items": [{"url": url, "viewsLabel": "1.2K"}]}))
+    rows = [{"level": 1, "user": "ann", "text": "q", "likeLabel": "2"}, {"level": 2, "user": "ex", "text": "a", "creator": True, "parentUser": "ann", "parentText": "q"}]
+    (talk / "1.json").write_text(json.dumps({"url": url, "metrics": {"likes": "45", "comments": "2", "shares": ""}, "rows": rows}))
+    out, ws = str(tmp_path / "b"), str(tmp_path / "ws")
+    assert cli.main(["init", "--workspace", ws, "--target", "Ex"], spark) == 0
+    base = ["--company", "Ex", "--url", "@ex"]
+    assert cli.main(["collect", "tiktok", "--landing", str(grid), "--output", out, *base, "--workspace", ws], spark) == 0
+    (platform,) = csv.DictReader(open(f"{out}/platform_census.csv"))
+    assert platform["followers"] == "7600" and platform["visible_items"] == "1"
+    assert cli.main(["tiktok-comments", "--landing", str(talk), "--bundle", out], spark) == 0
+    assert cli.main(["tiktok-comments", "--landing", str(talk), "--bundle", out], spark) == 0
+    found = list(csv.DictReader(open(f"{out}/comments.csv")))
+    assert len(found) == 2 and sorted(r["is_official"] for r in found) == ["false", "true"]
+    (row,) = csv.DictReader(open(f"{out}/content.csv"))
+    assert (row["views"], row["likes"], row["comments_count"], row["shares"]) == ("1200", "45", "2", "")
+    assert json.load(open(f"{out}/run_manifest.json"))["counts"]["comments"] == 2
+    (grid / "2.json").write_text(json.dumps({"title": "Captcha", "challenge": True, "items": []}))
+    assert cli.main(["tiktok", "--landing", str(grid), "--output", str(tmp_path / "c"), *base, "--workspace", ws], spark) == 2
+    assert cli.main(["tiktok", "--landing", str(grid), "--output", str(tmp_path / "d"), "--company", "Ex", "--url", "https://x.test/a"], spark) == 2
+    assert cli.main(["analyze", "content", "--workspace", ws, "--target-language", "en"], spark) == 2  # the post has no text

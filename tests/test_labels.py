@@ -149,6 +149,12 @@ def test_model_labels(spark, bundle):
         classify.classify_batch(Bad(), "content", rows, items, "en")
 
 
+def test_labelled_by_a_model(spark, bundle):
+    done = packets.label_with_model(spark, str(bundle), "content", "en", Fake)
+    assert done["report"]["status"] == "passed" and done["report"]["classification_coverage"] == 1
+    assert done["summary"]["category_stats"][0]["category"] == "how_to"
+
+
 def test_salvage():
     assert salvage_json('```json\n{"a": 1}\n```') == {"a": 1}
     assert salvage_json('log line {"a": [1]} tail }') == {"a": [1]}
