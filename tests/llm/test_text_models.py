@@ -160,6 +160,11 @@ def test_many_blocks_and_parts_give_the_same_counts(spark, monkeypatch):
     assert abs(sum(r["score"] for r in got) - sum(r["score"] for r in whole.values())) < 0.02 * total
 
 
+def test_held_out_perplexity(spark):
+    got = {r["held_out"]: r for r in lm.perplexity(QUERIES["op1_pitman_yor"](spark, DATA), "held_out").collect()}
+    assert 1 < got[True]["perplexity"] < got[True]["base_perplexity"] and got[False]["perplexity"] < got[False]["base_perplexity"]
+
+
 def test_probabilities_sum_to_one():
     """Over the known words and the unknown one, after any context, in a model with one block and one part."""
     texts = ["a b a b c", "b a c", "a a a"]
