@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -25,7 +26,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tallyfold-')}"
+        own = tempfile.mkdtemp(prefix="tallyfold-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
