@@ -564,3 +564,25 @@ def top_decile_share(spark, sf_dir):
     rank = F.percent_rank().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))
     ranked = table(spark, sf_dir, "documents").select("lang", "n_chars", rank.alias("p"))
     return ranked.groupBy("lang").agg(F.round(F.sum(F.when(F.col("p") >= 0.9, F.col("n_chars"))) / F.sum("n_chars"), 6).alias("top_decile_share"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderpriority, count(*) AS posts, round(avg((q + n) / o_totalprice), 8) AS engagement_rate FROM orders JOIN l ON o_orderkey = l_orderkey WHERE o_totalprice > 0 GROUP BY 1""")
+def engagement_rate(spark, sf_dir):
+    """An extension: mean of interactions over reach, by category."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum("l_quantity") + F.count(F.lit(1))).alias("interactions"))
+    posts = table(spark, sf_dir, "orders").where("o_totalprice > 0").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    rate = F.round(F.avg(F.col("interactions") / F.col("o_totalprice")), 8).alias("engagement_rate")
+    return posts.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("posts"), rate)
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, sum(n_chars) AS v FROM documents GROUP BY source), s AS (
+ SELECT source, n / (SELECT sum(n) FROM c) AS supply, v / (SELECT sum(v) FROM c) AS demand FROM c)
+SELECT source, round(supply, 6) AS supply, round(demand, 6) AS demand, CASE WHEN demand > 1.2 * supply THEN 'under_supplied' WHEN demand < 0.8 * supply THEN 'over_supplied' ELSE 'balanced' END AS flag FROM s""")
+def supply_flags(spark, sf_dir):
+    """An extension: categories whose share of reach is well above or below their share of posts."""
+    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("v"))
+    total = by.agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
+    s = by.crossJoin(F.broadcast(total)).select("source", (F.col("n") / F.col("all_n")).alias("supply"), (F.col("v") / F.col("all_v")).alias("demand"))  # one row of totals
+    flag = F.when(F.col("demand") > 1.2 * F.col("supply"), "under_supplied").when(F.col("demand") < 0.8 * F.col("supply"), "over_supplied").otherwise("balanced")
+    return s.select("source", F.round("supply", 6).alias("supply"), F.round("demand", 6).alias("demand"), flag.alias("flag"))
