@@ -173,10 +173,12 @@ def test_probabilities_sum_to_one():
     table = lm.pa.Table.from_pylist([{k: asked[k] for k in ("block", "part", "a", "b", "c", "d")}])
     made = lm.answer_part(table, 1).to_pylist()
     totals = lm.Totals(np.array(made[0]["stats"]))
-    roots = np.frombuffer(made[1]["roots"], "<u4").reshape(2 * lm.SAMPLES, -1)
-    tables = np.frombuffer(made[1]["tables"], "<u4").reshape(lm.SAMPLES, -1)
-    customers = np.frombuffer(made[1]["pairs"], "<u4").astype(float)
-    owner, classes = np.frombuffer(state["c"], "<u4"), np.frombuffer(state["d"], "<u2")
+    roots = lm.expand(made[1]["roots"], "<u4").reshape(2 * lm.SAMPLES, -1)
+    tables = lm.expand(made[1]["tables"], "<u4").reshape(lm.SAMPLES, -1)
+    customers = lm.expand(made[1]["pairs"], "<u4").astype(float)
+    counts, word, own = (lm.expand(state[k], kind) for k, kind in (("a", "<u4"), ("b", "<u4"), ("c", "<u2")))
+    pairs, _ = lm.pairs_of(word.astype(np.int64), own, counts.astype(np.int64))
+    owner, classes = (pairs >> lm.SHIFT).astype(int), (pairs & np.uint64(8191)).astype(int)
     for context in set(classes.tolist()):
         for s, (all_root, all_tables, d0, by_class) in enumerate(totals.samples):
             base = (lm.ROOT_STRENGTH + d0 * all_tables) / (totals.types + 1)
