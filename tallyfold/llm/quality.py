@@ -28,7 +28,7 @@ EPOCHS = 4
 RATE = 4.0
 FIXED = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 22  # bytes scored at once
+PIECE = 1 << 19  # bytes scored at once: their arrays take about 100 bytes a byte
 
 
 def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
@@ -77,9 +77,9 @@ def features(raw: bytes, firsts: np.ndarray | None = None, bits: int = BITS) ->
 def _averaged(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = features(b"\n" + raw + b"\n")
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, n = np.unique(np.concatenate([f[1] for f in found]), return_counts=True)
-    return at, n / n.sum()
+    return at.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
