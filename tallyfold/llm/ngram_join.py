@@ -30,7 +30,7 @@ WORDS = 5
 SIMILAR = 0.8
 ROWS = 5
 RECALL = 0.99999
-BLOCK = 512
+BLOCK = 128
 PIECE = 1 << 16  # shingles hashed at once
 SMALL = 8
 
