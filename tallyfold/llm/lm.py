@@ -1,23 +1,27 @@
 """A hierarchical Pitman-Yor language model over words, trained and applied on the cluster.
 
-Restaurants: each word is a customer in its context's restaurant, where the context is one of CONTEXTS classes of the
-word before it (by hash; a frequent word mostly has a class to itself) or the text's start; all context restaurants
-share one parent, the root restaurant of the vocabulary, over a uniform base on the V known words and one unknown word.
-A table in a context's restaurant is a customer of the root.
+Restaurants: each word is a customer in its context's restaurant, where the context is the word before it (by its
+64-bit hash) or the text's start; all context restaurants share one parent, the root restaurant of the vocabulary, over a
+uniform base on the V known words and one unknown word. A table in a context's restaurant is a customer of the root.
 
 Seating is sampled by Gibbs: in each sweep every dish of every restaurant takes its customers out and seats them anew,
 one after another, by the Chinese-restaurant rule, given the parent's current probabilities (beyond 64 customers in
-steps of a tenth, drawn as one binomial). A word's dishes in all contexts and in the root live in one part, so a sweep
-needs nothing from other parts but the totals of restaurants, which a part scales up from its own even share of words.
-Discounts follow from how many dishes have one and two customers. Probabilities are averaged over SAMPLES sweeps.
+steps of a tenth, drawn as one binomial). A word's dishes in all contexts and in the root live in one part. Before each
+sweep the parts exchange the totals of the restaurants: a context's are summed at the part its hash belongs to and sent
+back to the parts that hold dishes of it, and the root's are one sum. So any number of parts samples from the same
+conditionals. Discounts follow from how many dishes have one and two customers. Probabilities are averaged over SAMPLES
+sweeps.
 
 Data flow, all rows counted:
 1. each scan task cuts its texts into blocks and writes, per block, its tokens as indices of distinct words and, per part
-   of the vocabulary, these words' hashes with training counts by class;
+   of the vocabulary, these words' hashes with training counts by the word before;
 2. each part adds up its words over all blocks, samples the seating, and answers each block in the block's own order;
 3. each block meets its answers and scores its texts.
 Words cross the cluster once per block, not once per text, packed in arrays; a word in a third of all rows costs a few
-bytes per block. Blocks and parts are of bounded size; the driver gets sums for CONTEXTS classes.
+bytes per block. Blocks and parts are of bounded size, contexts are dealt like words; the driver gets a few sums.
+
+block_rows, pairs_of, sample_part, answer_part and Totals are the one-part model over CONTEXTS classes, on which a test
+of the probabilities' sums stands; score_texts does not use them.
 """
 
 from __future__ import annotations
@@ -36,9 +40,9 @@ SAMPLES = 3
 BURN = 3
 BLOCK_CHARS = 6 << 20
 PART_CHARS = 48 << 20
-SUM_TASKS = 8
 STRENGTH, ROOT_STRENGTH = 20.0, 100.0
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
+START = np.uint64(0x13198A2E03707344)  # the context of a text's first token
 SHIFT = np.uint64(13)  # a pair is the index of a word, then its class (0 to CONTEXTS)
 
 
@@ -186,40 +190,237 @@ class Totals:
             self.samples.append((own[0], own[1], discount_of(own[2], own[3]), own[4:]))
 
 
-def summed(df: DataFrame, column: str) -> np.ndarray:
-    """The sum of arrays of equal length: per task, then in SUM_TASKS tasks, whose rows are all that reach the driver."""
+def prefixed(word: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (word, word before it) pairs of a block as word x (n_words + 1) + word before, ascending, and the pair
+    of each token; n_words stands for the text's start."""
+    before = np.empty(len(word), np.int64)
+    before[1:] = word[:-1]
+    before[np.cumsum(counts) - counts] = n_words
+    return np.unique(word.astype(np.int64) * (n_words + 1) + before, return_inverse=True)
 
-    def run(batches):
-        total = None
-        for batch in batches:
-            for row in batch.column("v"):
-                one = np.array(row.values, float)
-                total = one if total is None else total + one
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
-    parts = df.select(F.col(column).alias("v")).mapInArrow(run, "v array<double>")
-    return np.sum([r["v"] for r in parts.repartition(SUM_TASKS).mapInArrow(run, "v array<double>").collect()], axis=0)
+def ask_rows(block: int, doc_ids: list, outs: list[bool], texts: list[str], parts: int) -> list[dict]:
+    """The block itself (kind 0: tokens per text, word of each token) and what it asks of each part (kind 1: the words'
+    hashes, pairs per word, the pairs' contexts and training counts, the contexts' hashes)."""
+    words, counts = tokenize(texts)
+    known, word = np.unique(words, return_inverse=True)
+    pairs, pair = prefixed(word, counts, len(known))
+    seen = np.bincount(pair[np.repeat(~np.array(outs, bool), counts)], minlength=len(pairs))
+    owner, before = np.divmod(pairs, len(known) + 1)
+    named = np.append(known, START)
+    rows = [{"kind": 0, "block": block, "part": 0, "doc_ids": doc_ids, "a": squeeze(counts, "<u4"), "b": squeeze(word, "<u4"), "c": None, "d": None, "e": None}]
+    cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
+    for part in range(parts):
+        lo, hi = cut[part], cut[part + 1]
+        if lo == hi:
+            continue
+        p, q = np.searchsorted(owner, [lo, hi])
+        contexts, at = np.unique(before[p:q], return_inverse=True)
+        asked = [(known[lo:hi], "<u8"), (np.bincount(owner[p:q] - lo, minlength=hi - lo), "<u4"), (at, "<u4"), (seen[p:q], "<u4"), (named[contexts], "<u8")]
+        rows.append({"kind": 1, "block": block, "part": part, "doc_ids": None} | {n: squeeze(x, kind) for n, (x, kind) in zip("abcde", asked, strict=True)})
+    return rows
+
 
+def meet(rows: list[tuple]) -> tuple:
+    """What all blocks ask of a part, added up: words, contexts (hashes), then per pair its word, context and customers,
+    and per block (number, places of its words, places of its pairs)."""
+    rows = sorted(rows, key=lambda r: r[0])
+    words, fans, at, seen, named = ([expand(r[k], kind) for r in rows] for k, kind in ((1, "<u8"), (2, "<u4"), (3, "<u4"), (4, "<u4"), (5, "<u8")))
+    known, own = np.unique(np.concatenate(words), return_inverse=True)
+    contexts, place = np.unique(np.concatenate(named), return_inverse=True)
+    first = np.cumsum([0] + [len(x) for x in named])
+    before = np.concatenate([place[f + x] for f, x in zip(first, at, strict=False)])
+    keys, pair = np.unique(np.repeat(own, np.concatenate(fans)) * len(contexts) + before, return_inverse=True)
+    customers = np.bincount(pair, np.concatenate(seen), minlength=len(keys)).astype(np.int64)
+    word, context = np.divmod(keys, len(contexts))
+    w, p = np.cumsum([0] + [len(x) for x in words]), np.cumsum([0] + [len(x) for x in at])
+    blocks = [(r[0], own[w[k] : w[k + 1]], pair[p[k] : p[k + 1]]) for k, r in enumerate(rows)]
+    return known, contexts, word, context, customers, blocks
+
+
+def sent(contexts: np.ndarray, context: np.ndarray, amount: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Sums by context for the part that each context belongs to."""
+    sums = np.bincount(context, amount, minlength=len(contexts))
+    cut = np.searchsorted(part_of(contexts, parts), np.arange(parts + 1))
+    return [(q, squeeze(sums[cut[q] : cut[q + 1]], "<u4")) for q in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def root_sums(root: np.ndarray, root_tables: np.ndarray) -> np.ndarray:
+    return np.array([root.sum(), root_tables.sum(), (root == 1).sum(), (root == 2).sum()], float)
+
+
+class Model:
+    """Sums over all parts before the first sweep: tokens, types, discount."""
+
+    def __init__(self, sums: np.ndarray):
+        self.tokens, self.types = sums[4], sums[5]
+        self.discount = discount_of(sums[6], sums[7])
+
+
+def parent_of(model: Model, root: np.ndarray, root_tables: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, float]:
+    """Each word's probability in the root restaurant, whose sums over all parts are given; the weight of a new table."""
+    d0 = discount_of(sums[2], sums[3])
+    base = (ROOT_STRENGTH + d0 * sums[1]) / (model.types + 1)
+    return (np.maximum(root - d0 * root_tables, 0) + base) / (ROOT_STRENGTH + sums[0]), base
+
+
+def sweep_part(rng: np.random.Generator, model: Model, sums: np.ndarray, held: tuple, tables: np.ndarray, root_tables: np.ndarray, by_context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tables of each pair, root customers and root tables of each word after one more sweep."""
+    n_words, word, context, customers = held
+    parent, base = parent_of(model, np.bincount(word, tables, minlength=n_words), root_tables, sums)
+    tables = seat(rng, customers, (STRENGTH + model.discount * by_context[context]) * parent[word], model.discount)
+    root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
+    return tables, root, seat(rng, root, np.full(n_words, base), discount_of(sums[2], sums[3]))
 
-def score_block(state: dict, replies: list[dict], totals: Totals) -> tuple[np.ndarray, ...]:
+
+def pair_scores(model: Model, held: tuple, in_context: np.ndarray, samples: list[tuple]) -> np.ndarray:
+    """Mean probability of each pair over samples: (root sums, tables, root tables, tables by context)."""
+    n_words, word, context, customers = held
+    d, mean = model.discount, np.zeros(len(word))
+    for sums, tables, root_tables, by_context in samples:
+        parent, _ = parent_of(model, np.bincount(word, tables, minlength=n_words), root_tables, sums)
+        mean += (np.maximum(customers - d * tables, 0) + (STRENGTH + d * by_context[context]) * parent[word]) / (STRENGTH + in_context[context])
+    return mean / len(samples)
+
+
+def gathered(items) -> dict[int, dict[str, list]]:
+    """(part, (tag, values)) items of a partition, by part and tag."""
+    out: dict[int, dict[str, list]] = {}
+    for part, (tag, *values) in items:
+        out.setdefault(part, {}).setdefault(tag, []).append(values)
+    return out
+
+
+def whole(messages: list) -> np.ndarray:
+    """Totals of a part's contexts in their order from what their parts sent, one message each."""
+    return np.concatenate([expand(x, "<u4") for _, x in sorted(messages, key=lambda m: m[0])]).astype(float)
+
+
+def sampled(asked, parts: int):
+    """From (part, ("asked", block, a, b, c, d, e)): the model's sums, and an RDD of answers (block, part, words, pairs).
+
+    RDDs, as a part's state stays where it is from sweep to sweep; only sums by context are dealt anew.
+    """
+    from pyspark import StorageLevel
+
+    kept = []
+
+    def keep(rdd):
+        kept.append(rdd.persist(StorageLevel.DISK_ONLY))
+        return rdd
+
+    def local(rdds, f):
+        joined = rdds[0]
+        for r in rdds[1:]:
+            joined = joined.union(r)
+        return joined.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in f(part, tags)), preservesPartitioning=True)
+
+    def begin(part, tags):
+        known, contexts, word, context, customers, _ = meet(tags["asked"])
+        yield part, ("base", len(known), *(squeeze(x, kind) for x, kind in ((contexts, "<u8"), (word, "<u4"), (context, "<u4"), (customers, "<u4"))))
+
+    def opened(base):
+        n_words, contexts, *rest = base
+        return expand(contexts, "<u8"), (n_words, *(expand(x, "<u4").astype(np.int64) for x in rest))
+
+    def first(part, tags):
+        contexts, held = opened(tags["base"][0])
+        n_words, word, context, customers = held
+        tables = (customers > 0).astype(np.int64)
+        root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
+        root_tables = (root > 0).astype(np.int64)
+        counts = np.bincount(word, customers, minlength=n_words)
+        sums = np.append(root_sums(root, root_tables), [counts.sum(), (counts > 0).sum(), (customers == 1).sum(), (customers == 2).sum()])
+        yield part, ("out", squeeze(tables, "<u4"), squeeze(root_tables, "<u4"), sums, sent(contexts, context, tables, parts))
+
+    def names(item):
+        part, (_, _, packed, *_) = item
+        contexts = expand(packed, "<u8")
+        cut = np.searchsorted(part_of(contexts, parts), np.arange(parts + 1))
+        for q in np.flatnonzero(np.diff(cut)).tolist():
+            yield q, ("names", part, squeeze(contexts[cut[q] : cut[q + 1]], "<u8"))
+
+    def house(part, tags):
+        guests = sorted(tags["names"], key=lambda g: g[0])
+        lists = [expand(x, "<u8") for _, x in guests]
+        found, at = np.unique(np.concatenate(lists), return_inverse=True)
+        cut = np.cumsum([0] + [len(x) for x in lists])
+        yield part, ("house", len(found), [(g[0], squeeze(at[cut[k] : cut[k + 1]], "<u4")) for k, g in enumerate(guests)])
+
+    def totalled(part, tags):
+        n, guests = tags["house"][0]
+        told, total = dict(tags["sums"]), np.zeros(n)
+        places = [(p, expand(at, "<u4")) for p, at in guests]
+        for p, at in places:
+            total[at] += expand(told[p], "<u4")
+        for p, at in places:
+            yield p, (part, squeeze(total[at], "<u4"))
+
+    base = keep(local([asked], begin))
+    houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
+
+    def exchanged(messages, tag):
+        """(part, (tag, owner, totals)) from (owner, ("sums", part, sums))."""
+        back = local([houses, messages.partitionBy(parts, int)], totalled).map(lambda m: (m[0], (tag, *m[1])))
+        return back.partitionBy(parts, int)
+
+    def sums_of(out):
+        return out.map(lambda kv: kv[1][3]).reduce(np.add)
+
+    def messages_of(out):
+        return out.flatMap(lambda kv: [(q, ("sums", kv[0], x)) for q, x in kv[1][4]])
+
+    def own_sums(kv):
+        contexts, (_, _, context, customers) = opened(kv[1][1:])
+        return [(q, ("sums", kv[0], x)) for q, x in sent(contexts, context, customers, parts)]
+
+    out = keep(local([base], first))
+    sums = sums_of(out)
+    model = Model(sums)
+    samples = []
+    for sweep in range(BURN + SAMPLES):
+
+        def again(part, tags, sweep=sweep, sums=sums):
+            contexts, held = opened(tags["base"][0])
+            tables, root_tables = (expand(x, "<u4").astype(np.int64) for x in tags["out"][0][:2])
+            tables, root, root_tables = sweep_part(np.random.default_rng([1000 + part, sweep]), model, sums, held, tables, root_tables, whole(tags["totals"]))
+            yield part, ("out", squeeze(tables, "<u4"), squeeze(root_tables, "<u4"), root_sums(root, root_tables), sent(contexts, held[2], tables, parts))
+
+        before, out = out, keep(local([base, out, exchanged(messages_of(out), "totals")], again))
+        sums = sums_of(out)
+        if sweep <= BURN:
+            kept.remove(before)
+            before.unpersist()
+        if sweep >= BURN:
+            samples.append((sums, out))
+
+    def renamed(out, k):
+        return out.mapPartitions(lambda items: ((p, (f"out{k}", *v[1:3])) for p, v in items), preservesPartitioning=True)
+
+    def answer(part, tags):
+        known, contexts, word, context, customers, blocks = meet(tags["asked"])
+        held = (len(known), word, context, customers)
+        counts = np.bincount(word, customers, minlength=len(known))
+        drawn = [(s, *(expand(x, "<u4").astype(np.int64) for x in tags[f"out{k}"][0]), whole(tags[f"totals{k}"])) for k, (s, _) in enumerate(told)]
+        score = np.log10(pair_scores(model, held, whole(tags["own"]), drawn))
+        for block, own, pair in blocks:
+            yield block, part, squeeze(counts[own], "<u4"), squeeze(score[pair], "<f4")
+
+    told = [(s, None) for s, _ in samples]
+    inputs = [asked, exchanged(base.flatMap(own_sums), "own")]
+    for k, (_, o) in enumerate(samples):
+        inputs += [renamed(o, k), exchanged(messages_of(o), f"totals{k}")]
+    return model, local(inputs, answer), kept
+
+
+def score_block(state: dict, replies: list[dict], tokens: float, types: float) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text of a block."""
-    counts, word, own_class = (expand(state[k], kind).astype(np.int64) for k, kind in (("a", "<u4"), ("b", "<u4"), ("c", "<u2")))
-    pairs, pair = pairs_of(word, own_class, counts)
-    owner, classes = (pairs >> SHIFT).astype(np.int64), (pairs & np.uint64(8191)).astype(np.int64)
+    counts, word = (expand(state[k], "<u4").astype(np.int64) for k in "ab")
     replies = sorted(replies, key=lambda r: r["part"])
-    known, roots, customers, tables = ([expand(r[c], "<u4") for r in replies] for c in ("words", "roots", "pairs", "tables"))
-    known, customers = np.concatenate(known).astype(np.float64), np.concatenate(customers).astype(np.float64)
-    roots = np.concatenate([x.reshape(2 * SAMPLES, -1) for x in roots], axis=1)
-    tables = np.concatenate([x.reshape(SAMPLES, -1) for x in tables], axis=1)
-    d, in_class = totals.discount, STRENGTH + totals.by_class[classes]
-    mean = np.zeros(len(owner))
-    for s, (all_root, all_tables, d0, tables_by_class) in enumerate(totals.samples):
-        base = (ROOT_STRENGTH + d0 * all_tables) / (totals.types + 1)
-        parent = (np.maximum(roots[2 * s] - d0 * roots[2 * s + 1], 0) + base) / (ROOT_STRENGTH + all_root)
-        mean += (np.maximum(customers - d * tables[s], 0) + (STRENGTH + d * tables_by_class[classes]) * parent[owner]) / in_class
-    score = np.log10(mean / SAMPLES)
-    plain = np.log10((known + 1) / (totals.tokens + totals.types + 1))
+    known = np.concatenate([expand(r["words"], "<u4") for r in replies]).astype(np.float64)
+    score = np.concatenate([expand(r["pairs"], "<f4") for r in replies]).astype(np.float64)
+    _, pair = prefixed(word, counts, len(known))
+    plain = np.log10((known + 1) / (tokens + types + 1))
     first = np.cumsum(counts) - counts
     return counts, np.add.reduceat((known > 0)[word].astype(np.int64), first), np.add.reduceat(plain[word], first), np.add.reduceat(score[pair], first)
 
@@ -235,7 +436,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     rows = rows.select("doc_id", "text", (bucket_of("doc_id", held_out[0]) == held_out[1]).alias("held_out"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     parts = max(shuffle_partitions(spark) if chars > PART_CHARS else 1, math.ceil(chars / PART_CHARS))
-    schema = "kind int, block long, part int, doc_ids array<long>, a binary, b binary, c binary, d binary"
+    schema = "kind int, block long, part int, doc_ids array<long>, a binary, b binary, c binary, d binary, e binary"
 
     def cut(batches):
         from pyspark import TaskContext
@@ -244,7 +445,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         ids, outs, texts, size = [], [], [], 0
 
         def out():
-            made = block_rows(block, ids, outs, texts, parts)
+            made = ask_rows(block, ids, outs, texts, parts)
             types = {"kind": pa.int32(), "block": pa.int64(), "part": pa.int32(), "doc_ids": pa.list_(pa.int64())}
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], types.get(k, pa.binary())) for k in made[0]], list(made[0]))
 
@@ -269,22 +470,23 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         return spark.createDataFrame([], out_schema)
     states = spark.read.schema(inner).parquet(f"{path}/kind=0")
     asked = spark.read.schema(inner).parquet(f"{path}/kind=1")
-    replies = kept_table(asked.groupBy("part").applyInArrow(lambda t: answer_part(t, parts), REPLY), "lm-replies")
-    totals = Totals(summed(replies.where("block = -1"), "stats"))
-    told = spark.sparkContext.broadcast(totals.__dict__)
+    sent_rows = asked.select("part", "block", "a", "b", "c", "d", "e").rdd.map(lambda r: (r[0], ("asked", *r[1:])))
+    model, answers, held_on_disk = sampled(sent_rows.partitionBy(parts, int), parts)
+    replies = kept_table(spark.createDataFrame(answers, "block long, part int, words binary, pairs binary", verifySchema=False), "lm-replies")
+    for rdd in held_on_disk:
+        rdd.unpersist()
+    n_train, n_types = float(model.tokens), float(model.types)
 
     def score(state: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Totals.__new__(Totals)
-        own.__dict__.update(told.value)
         row = state.to_pylist()[0]
-        tokens, n_known, base, got = score_block(row, answers.to_pylist(), own)
+        tokens, n_known, base, got = score_block(row, answers.to_pylist(), n_train, n_types)
         ids = pa.array(row["doc_ids"], pa.int64())
         return pa.Table.from_arrays([ids, pa.array(tokens), pa.array(n_known), pa.array(base), pa.array(got)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    by_block = states.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block"))
+    by_block = states.groupBy("block").cogroup(replies.groupBy("block"))
     scored = by_block.applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = bucket_of("doc_id", held_out[0]) == held_out[1]
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(totals.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame, *by: str) -> DataFrame:

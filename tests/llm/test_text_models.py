@@ -165,6 +165,19 @@ def test_held_out_perplexity(spark):
     assert 1 < got[True]["perplexity"] < got[True]["base_perplexity"] and got[False]["perplexity"] < got[False]["base_perplexity"]
 
 
+def test_each_word_before_has_its_own_restaurant():
+    """Two words of one hash class: contexts are the words themselves, with totals of their own."""
+    words = [f"w{k}" for k in range(20_000)]
+    hashes, _ = lm.tokenize([" ".join(words)])
+    own = ((hashes[:-1] >> np.uint64(20)) % np.uint64(lm.CONTEXTS)).tolist()
+    first = {}
+    one, two = next((words[first[c]], words[k]) for k, c in enumerate(own) if first.setdefault(c, k) != k)
+    rows = lm.ask_rows(0, [1], [False], [f"{one} x {one} x {two} y"], 1)
+    _, contexts, _, context, customers, _ = lm.meet([tuple(rows[1][k] for k in ("block", "a", "b", "c", "d", "e"))])
+    assert len(contexts) == 5  # both words, x, y and the text's start
+    assert sorted(np.bincount(context, customers).tolist()) == [1, 1, 1, 2, 2]
+
+
 def test_probabilities_sum_to_one():
     """Over the known words and the unknown one, after any context, in a model with one block and one part."""
     texts = ["a b a b c", "b a c", "a a a"]
