@@ -178,6 +178,15 @@ def test_each_word_before_has_its_own_restaurant():
     assert sorted(np.bincount(context, customers).tolist()) == [1, 1, 1, 2, 2]
 
 
+def test_one_part_and_many_parts_seat_alike(spark, monkeypatch):
+    """Both sample from the same conditionals, so mean scores agree closely."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    total = lm.score_texts(docs).agg(F.sum("score"), F.sum("n_tokens")).first()
+    monkeypatch.setattr(lm, "PART_CHARS", 10_000)
+    many = lm.score_texts(docs).agg(F.sum("score")).first()[0]
+    assert abs(many - total[0]) < 0.002 * total[1]
+
+
 def test_probabilities_sum_to_one():
     """Over the known words and the unknown one, after any context, in a model with one block and one part."""
     texts = ["a b a b c", "b a c", "a a a"]
