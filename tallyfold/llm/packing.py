@@ -6,8 +6,8 @@ token ids over the whole document. The first unused item seeds a window; the ind
 neighbours, which fill the window greedily, best first. The last neighbour is cut where the window ends, and the rest of
 it seeds the next window, so no window has padding but a shard's last tokens, which go to windows of powers of two.
 
-Query: the seed's ``query_terms`` terms of greatest BM25 weight. When a query has no unused neighbour left, the next
-unused item in order follows.
+Query: all of the seed's terms (``query_terms`` keeps only those of greatest BM25 weight). When no unused document shares
+a term with the seed, the next unused item in order follows.
 
 Scale: a shard is what a task holds (SHARD_TOKENS tokens at most, beside one document); a partition has as many shards as
 it needs. Neighbours come together by ranges of a signature (the least hash over a text's words), so a hot group spans
@@ -51,28 +51,55 @@ class ShardIndex:
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
         self.owner, self.weight = owner[order], weight[order]
         self.terms, self.own, self.cut = terms, weight, np.concatenate([[0], np.cumsum(sizes)])
-        self.size = len(docs)
-
-    def query_terms(self, doc: int, n: int) -> np.ndarray:
+        self.live = np.arange(len(docs))  # the documents that postings still hold; owners are places in it
+        self.row = np.full(len(df), -1)  # of terms in a quarter of the documents or more, whose weights stand in full rows
+        common = np.flatnonzero(df * 4 >= max(1, len(docs)))
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(docs)), np.float32)
+        inside = self.row[terms] >= 0
+        self.full[self.row[terms[inside]], owner[inside]] = weight[inside]
+        self.last: tuple = (-1, None, np.zeros(0))
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Drops the postings of used documents."""
+        stays = unused[self.live]
+        kept = stays[self.owner]
+        self.first = np.concatenate([[0], np.cumsum(kept)])[self.first]
+        self.owner, self.weight = (np.cumsum(stays) - 1).astype(np.int32)[self.owner[kept]], self.weight[kept]
+        self.live, self.full = self.live[stays], np.ascontiguousarray(self.full[:, stays])
+        self.last = (-1, None, np.zeros(0))
+
+    def scores(self, doc: int, query_terms: int | None) -> np.ndarray:
+        """The BM25 score of each document in ``live``."""
+        if self.last[:2] != (doc, query_terms):
+            terms = self.query_terms(doc, query_terms)
+            rows = self.row[terms]
+            score = self.full[rows[rows >= 0]].sum(axis=0).astype(np.float64)
+            ranges = [(self.first[t], self.first[t + 1]) for t in terms[rows < 0]]
+            if ranges:
+                owners = np.concatenate([self.owner[a:b] for a, b in ranges])
+                score += np.bincount(owners, np.concatenate([self.weight[a:b] for a, b in ranges]), minlength=len(self.live))
+            self.last = (doc, query_terms, score)
+        return self.last[2]
+
+    def query_terms(self, doc: int, n: int | None) -> np.ndarray:
         a, b = self.cut[doc], self.cut[doc + 1]
         best = np.lexsort((self.terms[a:b], -self.own[a:b]))[:n]
         return self.terms[a:b][best]
 
-    def neighbours(self, doc: int, unused: np.ndarray, n: int, query_terms: int = QUERY_TERMS) -> np.ndarray:
-        """At most ``n`` unused documents with a score above 0, best first, ties by place."""
-        ranges = [(self.first[t], self.first[t + 1]) for t in self.query_terms(doc, query_terms)]
-        if not ranges:
-            return np.zeros(0, np.int64)
-        owners = np.concatenate([self.owner[a:b] for a, b in ranges])
-        live = unused[owners]
-        score = np.bincount(owners[live], np.concatenate([self.weight[a:b] for a, b in ranges])[live], minlength=self.size)
-        hits = np.flatnonzero(score > 0)
+    def neighbours(self, doc: int, unused: np.ndarray, n: int, query_terms: int | None = QUERY_TERMS) -> np.ndarray:
+        """At most ``n`` unused documents with a score above 0, best first, ties by place. From call to call, documents
+        only leave ``unused``."""
+        if 2 * np.count_nonzero(unused) < len(self.live):
+            self.shrink(unused)
+        score = self.scores(doc, query_terms)
+        hits = np.flatnonzero((score > 0) & unused[self.live])
         if len(hits) > n:
             hits = hits[np.argpartition(-score[hits], n)[: n + 1]]
-        return hits[np.lexsort((hits, -score[hits]))][:n]
+        return self.live[hits[np.lexsort((hits, -score[hits]))][:n]]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW, query_terms: int = QUERY_TERMS) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, query_terms: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces that hold each token of the shard once."""
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence = 0

@@ -192,6 +192,32 @@ def test_index_against_brute_force():
         assert all(unused[got]) and np.allclose([want[d] for d in got.tolist()], best, rtol=1e-4)
 
 
+def test_packing_asks_with_all_terms():
+    """The true neighbour shares only light terms with the seed; and all-term scores against brute force while documents go."""
+    seed = np.concatenate([np.repeat(np.arange(12), 9), [50]]).astype(np.uint16)
+    docs = [seed, np.full(20, 70, np.uint16), np.full(20, 50, np.uint16)]
+    mates = {}
+    for d, _, _, s, _ in packing.pack_shard(docs, len(seed) + 20):
+        mates.setdefault(s, []).append(d)
+    assert mates[0] == [0, 2]
+
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 60, rng.integers(1, 120)).astype(np.uint16) for _ in range(40)]
+    index, unused, mean = packing.ShardIndex(docs), np.ones(40, bool), np.mean([len(d) for d in docs])
+    df = {t: sum(int(t in x) for x in docs) for t in range(60)}
+
+    def score(terms, d):
+        tf = {t: int((docs[d] == t).sum()) for t in terms}
+        return sum(math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t, n in tf.items())
+
+    for doc in range(36):
+        unused[doc] = False
+        want = {d: score(set(docs[doc].tolist()), d) for d in range(40) if unused[d]}
+        got = index.neighbours(doc, unused, 5, None)
+        best = sorted((x for x in want.values() if x > 0), reverse=True)[:5]
+        assert all(unused[got]) and np.allclose([want[d] for d in got.tolist()], best, rtol=1e-4)
+
+
 def test_neighbours_share_a_window():
     rng = np.random.default_rng(1)
     topics = [np.arange(100 * k, 100 * k + 100) for k in range(4)]
