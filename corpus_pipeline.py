@@ -35,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; documents of which nothing is left go; n_chars follows the text."""
-    told = line_dedup(docs).where("_kept")
+    told = line_dedup(docs, every_line=True).where("_kept")
     return told.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -21,23 +21,25 @@ from .common import kept_table, text_of
 MIN_SITES = 8
 LG_K = 10
 LONG_ENOUGH = r"\S\s+\S+\s+\S"  # three words or more
+EDGES = r"(?U)^\s+|\s+$"  # all white space around a line
 
 
-def _occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def _occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, every_line: bool) -> DataFrame:
+    line = F.regexp_replace("line", EDGES, "") if every_line else F.trim("line")
     lines = df.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_of(text_col)).alias("t"),
         F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
         F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"),
-    ).withColumn("line", F.trim("line"))
-    return lines.where(F.col("line").rlike(LONG_ENOUGH)).select(
+    ).withColumn("line", line)
+    return lines.where(F.col("line") != "" if every_line else F.col("line").rlike(LONG_ENOUGH)).select(
         "id", "t", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")
     )
 
 
-def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, lg_k: int) -> DataFrame:
+def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, lg_k: int, every_line: bool = False) -> DataFrame:
     """A row per boilerplate line: h1, h2 (its hashes, 96 bits together) and first (id, t, pos)."""
-    occurrences = _occurrences(df, id_col, text_col, site_col)
+    occurrences = _occurrences(df, id_col, text_col, site_col, every_line)
     margin = max(1, math.ceil(3 * 1.04 / math.sqrt(2**lg_k) * min_sites))
     spread = occurrences.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
     spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin)
@@ -50,17 +52,18 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, site_col: str,
 
 
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, every_line: bool = False
 ) -> DataFrame:
     """The input's rows with ``text`` cleaned, and _n_lines, _n_removed (long) and _kept behind all its columns.
 
     _kept is false where a text had words and every line that did has gone: what it said stands in an earlier
-    document. Lines are compared without white space around them; those under three words are never removed. A null
+    document. Lines are compared without spaces around them, and those under three words are never removed; with
+    ``every_line``, lines are compared without any white space around them, and all but blank ones count. A null
     text stays null, a null site is one more site, null ids come last. Rows with the same id and text are one
     document; texts without removed lines come back byte for byte.
     """
-    found = boilerplate_lines(df, id_col, text_col, site_col, min_sites, lg_k)
-    occurrences = _occurrences(df, id_col, text_col, site_col)
+    found = boilerplate_lines(df, id_col, text_col, site_col, min_sites, lg_k, every_line)
+    occurrences = _occurrences(df, id_col, text_col, site_col, every_line)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "t", "pos")
     gone = (
         occurrences.join(found, ["h1", "h2"])

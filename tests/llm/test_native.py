@@ -65,6 +65,16 @@ def test_line_dedup(spark):
     assert line_dedup(frame.limit(0)).collect() == []
 
 
+def test_every_line_may_be_boilerplate(spark):
+    """One word, a script without spaces, and white space of any kind around a line."""
+    shared = ["Les.", "版権所有無断転載禁止", "all rights are reserved"]
+    edges = ["", "\t", "\r", " \u3000", "\u00a0 "]
+    rows = [(k, "\n".join([f"own{k}", *(f"{edges[k % 5]}{line}{edges[(k + 1) % 5]}" for line in shared), " ", ""]), "en", f"s{k}", 0) for k in range(9)]
+    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, DOC), min_sites=8, every_line=True).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[k]["text"] == f"own{k}\n \n" and got[k]["_n_removed"] == 3 for k in range(1, 9))
+
+
 def test_near_threshold_counts_are_exact(spark):
     """Lines on 6 to 14 sites around a threshold of 10, with sketches too small to tell."""
     rows = [(100 * n + s, f"line number {n} of all", "en", f"site {s}", 0) for n in range(6, 15) for s in range(n)]
