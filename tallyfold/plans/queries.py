@@ -235,6 +235,42 @@ def history(spark, sf_dir):
     return joins.history(lines, runs).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderstatus")
 
 
+# The same joins over whole tables: every run against the one before it, and no filter on rows.
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, runs AS (SELECT day, lead(day) OVER (ORDER BY day) AS next FROM (SELECT DISTINCT day FROM obs))
+SELECT a.user_id, r.next AS day, 'not_observed' AS change_type FROM obs a JOIN runs r ON a.day = r.day
+WHERE r.next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM obs b WHERE b.day = r.next AND b.user_id = a.user_id)""")
+def not_observed_all_runs(spark, sf_dir):
+    obs = observations(spark, sf_dir).select("day", "user_id", F.lit("user").alias("entity_type"))
+    runs = obs.select("day").distinct().select("day", F.lead("day").over(Window.orderBy("day")).alias("next")).where("next IS NOT NULL")
+    before = obs.join(runs, "day").select("entity_type", F.col("next").alias("day"), "user_id")
+    return diff.not_observed(before, obs, ["entity_type", "day", "user_id"]).select("user_id", "day", F.lit("not_observed").alias("change_type"))
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, p AS (SELECT *, lag(day) OVER w AS previous, lag(event_type) OVER w AS t0, lag(value) OVER w AS v0, lag(props) OVER w AS p0 FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY day))
+SELECT user_id, day, CASE WHEN previous IS NULL THEN 'new' WHEN event_type <> t0 OR value <> v0 OR props <> p0 THEN 'updated' ELSE 'unchanged' END AS change_type, previous FROM p""")
+def observed_changes_all_runs(spark, sf_dir):
+    obs = observations(spark, sf_dir).select("user_id", "day", "row")
+    following = F.lead("day").over(Window.partitionBy("user_id").orderBy("day"))
+    prior = obs.select("user_id", following.alias("next"), "row", F.col("day").alias("ref")).where("next IS NOT NULL").withColumnRenamed("next", "day")
+    return diff.observed_changes(obs, prior, ["user_id", "day"]).select("user_id", "day", "change_type", "previous")
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
+def history_all(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("run_sequence", F.col("l_orderkey"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_sequence"), "o_custkey", "o_orderstatus")
+    return joins.history(lines, runs).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT strftime(o.o_orderdate, '%Y-%m') AS month, count(*) AS count FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1")
+def context_months_all(spark, sf_dir):
+    signals = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("content_id"))
+    dated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
+    return joins.month_context(signals, dated)
+
+
 @query("""WITH b AS (SELECT c_custkey, c_name, c_mktsegment AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 5 <> 0),
 i AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0)
 SELECT coalesce(i.c_custkey, b.c_custkey) AS c_custkey, coalesce(i.seg, b.seg) AS seg,
