@@ -89,9 +89,9 @@ def mel_bank(rate: float = RATE * UP / DOWN) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray, bank: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Log-mel energies (dB), a row per overlapped frame; a short signal is filled up to one frame."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    """Log-mel energies (dB), a row per overlapped frame; the signal is filled up so that its end is in a whole frame."""
+    frames = max(0, -(-(len(y) - FRAME) // HOP)) + 1
+    y = np.concatenate([y, np.zeros((frames - 1) * HOP + FRAME - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for at in range(0, len(frames), BLOCK):

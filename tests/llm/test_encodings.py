@@ -300,3 +300,13 @@ def test_tone_lands_in_its_band():
 def test_segments():
     energy = np.array([0, 0, 5, 3, 2.9, 0, 2.5, 0, 5, 5.0])
     assert media.segments(energy - energy.mean(), on=2, off=0.4) == [(2, 5), (8, 10)]
+
+
+def test_the_end_of_a_signal_is_in_a_frame():
+    bank, shape = media.mel_bank(), np.hanning(media.FRAME).astype(np.float32)
+    for n in (1, 199, 200, 201, 288, 672, 1152):
+        y = np.ones(n, np.float32)
+        z = y.copy()
+        z[-8:] = -1
+        assert len(media.log_mel(y, bank, shape)) == 1 + math.ceil(max(0, n - media.FRAME) / media.HOP)
+        assert n <= media.FRAME or not np.array_equal(media.log_mel(y, bank, shape), media.log_mel(z, bank, shape))
