@@ -1,16 +1,16 @@
 """Near-duplicate texts: Jaccard similarity of five-word shingles, by MinHash banding and full verification.
 
 1. Texts with the same words (lower case, white space apart) are one node; copies are counted, never paired.
-2. Each node has a MinHash signature; rows per band are fixed, and the number of bands is the least that finds a pair at
-   the threshold with the target recall. Nodes are shuffled on band hashes; buckets of one node fall away.
-3. Within a bucket, pairs whose signatures' bytes agree far less than the threshold allows are left out; what remains
-   joins nodes into candidate families (connected components), so each text is shipped to its family once.
+2. Each node has MinHash values; rows per band are fixed, and the number of bands is the least that finds a pair at the
+   threshold with the target recall. Nodes are shuffled on band hashes; every node of a bucket hangs on the bucket's least
+   node, one edge per node and band, so edges grow with the nodes whatever the size of a bucket, and no pair is ruled out.
+3. Connected components of these edges are candidate families, so each text is shipped to its family once.
 4. Families are verified pair by pair on full shingle sets; the links are counted per node and never leave the task as
    rows, only a spanning forest does. Its components are the classes.
 
-Scale: buckets and families above BLOCK nodes are dealt as pairs of blocks over tasks, so no task holds an unbounded
-group and none of its pairs is skipped; the work for a family grows with the square of its different texts, as its
-links do. Every step between jobs is written to the shared folder.
+Scale: a family within ``block`` texts and WEIGHT shingles meets in one task. A larger one is dealt as pairs of such blocks
+over tasks: no task holds an unbounded group, no pair is skipped, and a text goes out once per block of its family. Every
+step between jobs is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_table, mixed, text_of, word_hashes
@@ -28,11 +28,11 @@ from .components import connected_components
 
 WORDS = 5
 SIMILAR = 0.8
-ROWS = 5
-RECALL = 0.99999
-BLOCK = 128
+ROWS = 6
+RECALL = 0.9999
+BLOCK = 1024
+WEIGHT = 1 << 20  # shingles in a block, but for a text that has more by itself
 PIECE = 1 << 16  # shingles hashed at once
-SMALL = 8
 
 
 def bands_for(similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -71,31 +71,33 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def sign(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """From (node, text): node, sig (a byte of each MinHash value), keys (a hash per band); short texts have no row."""
+    """From (doc_id, node, text): doc_id, node, size (shingles), keys (a hash per band; null for short texts and for nodes
+    that the task has had)."""
 
     def run(batches):
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        had: set[int] = set()
         for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
-                s = shingles(text.as_py(), words)
-                if len(s):
-                    nodes.append(node)
-                    sets.append(s)
-            if not sets:
-                continue
-            values = mixed(signatures(sets, bands * per_band))
-            sig = (values & np.uint64(255)).astype(np.uint8)
+            sets, of = [], []
+            for k, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+                if node not in had:
+                    had.add(node)
+                    s = shingles(text.as_py(), words)
+                    if len(s):
+                        of.append(k)
+                        sets.append(s)
+            size, lists = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            size[of], lists[of] = [len(s) for s in sets], bands
             keys = np.broadcast_to(salt, (len(sets), bands)).copy()
-            for k in range(per_band):
-                keys = mixed(keys ^ values[:, k::per_band])
-            flat = pa.array(keys.view(np.int64).ravel())
-            offsets = pa.array(np.arange(0, len(sets) * bands + 1, bands), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["node", "sig", "keys"]
-            )
+            if sets:
+                values = mixed(signatures(sets, bands * per_band))
+                for k in range(per_band):
+                    keys = mixed(keys ^ values[:, k::per_band])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32())
+            flat = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()), mask=pa.array(lists == 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(size), flat], ["doc_id", "node", "size", "keys"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, sig binary, keys array<long>")
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -137,76 +139,51 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         roots = new
 
 
-def blocks(size: str, node: str, block: int):
-    """Columns lo, hi, own for explode: the pairs of blocks that a node of a group takes part in."""
-    count = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.hash(F.col(node)), count)
+def blocks(count: Column, node: str) -> Column:
+    """For explode: the pairs (lo, hi) of ``count`` blocks that a node takes part in, and its own."""
+    own = F.pmod(F.xxhash64(node, F.lit(7)), count).cast("int")
     return F.transform(
         F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi"), own.alias("own"))
     )
 
 
-def family_edges(signed: DataFrame, per_band: int, similar: float, block: int) -> DataFrame:
-    """Edges (a, b) that join nodes of a bucket whose signatures don't rule a link out."""
+def family_edges(signed: DataFrame) -> DataFrame:
+    """Edges (a, b): each node of a bucket with the bucket's least node, at most one row for each node and band."""
     bare = signed.select("node", F.explode("keys").alias("key"))
-    crowded = bare.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = bare.join(crowded, "key").join(signed.select("node", "sig"), "node")
-    dealt = members.select("key", "node", "sig", F.explode(blocks("n", "node", block)).alias("at")).select("key", "at.lo", "at.hi", "at.own", "node", "sig")
-    order = ["key", "lo", "hi"]
-
-    def edges(batches):
-        for table in whole_groups(batches, *order):
-            cut = group_cuts(table, *order)
-            node = table.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-            least = math.ceil(sig.shape[1] * (similar - 5 * math.sqrt(similar * (1 - similar) / sig.shape[1])))
-            size = np.diff(cut)
-            group = np.repeat(np.arange(len(size)), size)
-            small = size[group] <= SMALL
-            a, b = [], []
-            for k in range(1, SMALL):
-                i = np.flatnonzero(small[:-k] & (group[:-k] == group[k:])) if len(node) > k else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                i = i[(sig[i] == sig[i + k]).sum(axis=1) >= least]
-                a.append(node[i])
-                b.append(node[i + k])
-            for g in np.flatnonzero(size > SMALL):
-                mine, names = sig[cut[g] : cut[g + 1]], node[cut[g] : cut[g + 1]]
-                agree = np.concatenate([(mine[r : r + 32, None, :] == mine[None, :, :]).sum(axis=2) for r in range(0, len(mine), 32)])
-                roots = local_roots(agree >= least)
-                far = np.flatnonzero(roots != np.arange(len(roots)))
-                a.append(names[far])
-                b.append(names[roots[far]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return dealt.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(edges, "a long, b long")
+    crowded = bare.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
+    # the key is computed, so that the join deals both sides anew and adaptive execution can split a large bucket
+    crowded = crowded.select(F.bitwise_not(F.bitwise_not("key")).alias("k"), "b")
+    return bare.join(crowded, F.col("key") == F.col("k")).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
 
 
 def links_of(sets: list[np.ndarray], similar: float) -> np.ndarray:
     """The matrix of pairs with a Jaccard similarity of at least ``similar``, counted on full sets."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    common = np.zeros((m, m), np.int64)
-    if m <= 4:
-        for i in range(m):
-            for j in range(i):
-                common[i, j] = common[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        every, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-        values, place, count = np.unique(every, return_inverse=True, return_counts=True)
-        new = np.cumsum(count > 1) - 1
-        shared = count[place] > 1
-        column, row = new[place[shared]], owner[shared]
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        width = 4096
-        for first in range(0, int(new[-1]) + 1 if len(new) else 0, width):
-            a, b = np.searchsorted(column, [first, first + width])
-            has = np.zeros((m, width), np.float32)
-            has[row[a:b], column[a:b] - first] = 1
-            common += np.rint(has @ has.T).astype(np.int64)
+    common = np.zeros(m * m, np.int64)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(every, kind="stable")
+    value, row = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    count = np.diff(np.append(first, len(value)))
+    often = count > max(8, m // 16)
+    for k in np.unique(count[~often & (count > 1)]).tolist():  # shingles of few texts: each of their pairs has one more
+        i, j = np.triu_indices(k, 1)
+        step = max(1, (1 << 20) // len(i))
+        starts = first[count == k]
+        for at in range(0, len(starts), step):
+            group = row[starts[at : at + step, None] + np.arange(k)]
+            common += np.bincount((group[:, i] * m + group[:, j]).ravel(), minlength=m * m)
+    common = common.reshape(m, m)
+    common += common.T
+    width = 4096
+    heavy = np.flatnonzero(often)
+    for at in range(0, len(heavy), width):  # shingles of many texts: a product of 0-1 matrices
+        part = heavy[at : at + width]
+        has = np.zeros((m, len(part)), np.float32)
+        at_row = np.concatenate([row[first[c] : first[c] + count[c]] for c in part])
+        has[at_row, np.repeat(np.arange(len(part)), count[part])] = 1
+        common += np.rint(has @ has.T).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - common
     # an exact comparison: common / union >= similar with similar in thousandths
     linked = common * 1000 >= round(similar * 1000) * union
@@ -259,24 +236,34 @@ def ngram_join(
     same words; these have no links. Null ids are greater than any other; a class of these alone has a null class_id.
     Repeated rows are copies. Nodes are known by a 64-bit hash of their words. An empty table gives an empty result.
     """
-    base = df.select(F.col(id_col).alias("doc_id"), same_words(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("raw"))
+    text = same_words("raw")
     bands = bands_for(similar, per_band, recall)
-    signed = kept_table(sign(base, words, bands, per_band).dropDuplicates(["node"]), "signatures", "none")
-    family = kept_table(connected_components(family_edges(signed, per_band, similar, block)), "families")
-    sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    nodes = kept_table(base.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "nodes")
-    known = family.join(sizes, "root").join(nodes.select("node", "rep"), "node").select("root", "n", "rep", F.col("node").alias("of"))
-    texts = base.join(known, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    dealt = texts.select("root", "node", "text", (F.col("n") > block).alias("many"), F.explode(blocks("n", "node", block)).alias("at"))
+    base = rows.select("doc_id", text.alias("text")).withColumn("node", F.xxhash64("text"))
+    signed = kept_table(sign(base, words, bands, per_band), "signatures")
+    nodes = kept_table(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size")), "nodes")
+    family = kept_table(connected_components(family_edges(signed.select("node", "keys"))), "families")
+    member = family.join(nodes.select("node", "rep", "size"), "node")
+    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("weight") / F.lit(WEIGHT))).cast("int")
+    sizes = sizes.select(F.bitwise_not(F.bitwise_not("root")).alias("of"), parts.alias("parts"))
+    asked = member.join(sizes, F.col("root") == F.col("of")).select("root", "parts", "rep", F.col("node").alias("of"))
+    # a text is found by the least id that has it; one whose ids are all null by its own hash
+    asked = asked.withColumn("place", F.coalesce("rep", "of"))
+    found = rows.join(asked, F.coalesce("doc_id", F.xxhash64(text)) == F.col("place")).select("root", "parts", "of", text.alias("text"))
+    found = found.select("root", F.col("of").alias("node"), "text", (F.col("parts") > 1).alias("many"), "parts").where(F.xxhash64("text") == F.col("node"))
+    dealt = found.select("root", "node", "text", "many", F.explode(blocks(F.col("parts"), "node")).alias("at"))
     dealt = dealt.select("root", "at.lo", "at.hi", "at.own", "node", "many", "text")
     checked = kept_table(verified(dealt, words, similar), "links")
-    links = checked.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("peer").alias("peer"), F.max("many").alias("many"))
+    links = checked.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("peer").alias("peer"))
     over = checked.where("many").select(F.col("node").alias("a"), F.col("peer").alias("b"))
     if not over.isEmpty():
         joined = connected_components(over).select("node", F.col("root").alias("far"))
-        links = links.join(joined, "node", "left").withColumn("peer", F.coalesce("far", "peer"))
-    full = nodes.join(links.select("node", "n_links", "peer"), "node", "left")
-    full = full.withColumn("peer", F.coalesce("peer", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    classes = full.groupBy("peer").agg(F.min("rep").alias("class_id"))
-    told = kept_table(full.join(classes, "peer").select("node", "class_id", "n_links", "n_copies"), "classes")
-    return base.select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links", "n_copies")
+        links = links.join(joined, "node", "left").select("node", "n_links", F.coalesce("far", "peer").alias("peer"))
+    full = nodes.select("node", "rep", "n_copies").join(links, "node", "left")
+    full = kept_table(full.select("node", "rep", "n_copies", F.coalesce("peer", "node").alias("peer"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+    classes = full.groupBy(F.col("peer").alias("of")).agg(F.min("rep").alias("class_id"))
+    told = full.join(classes.select(F.bitwise_not(F.bitwise_not("of")).alias("of"), "class_id"), F.col("peer") == F.col("of"))
+    told = kept_table(told.select(F.col("node").alias("of"), "class_id", "n_links", "n_copies"), "classes")
+    out = signed.select("doc_id", "node").join(told, F.col("node") == F.col("of"))
+    return out.select("doc_id", "class_id", "n_links", "n_copies")
