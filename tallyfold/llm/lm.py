@@ -1,27 +1,30 @@
 """A hierarchical Pitman-Yor language model over words, trained and applied on the cluster.
 
-Restaurants: each word is a customer in its context's restaurant, where the context is the word before it (by its
-64-bit hash) or the text's start; all context restaurants share one parent, the root restaurant of the vocabulary, over a
-uniform base on the V known words and one unknown word. A table in a context's restaurant is a customer of the root.
+Restaurants: every word is a customer of the restaurant of the two words before it; all such restaurants with the same
+last word share one parent, the restaurant of that word; these share the root, over a uniform base on the V known words
+and one unknown word. A table of a restaurant is a customer of its parent. Words are known by a 64-bit hash, a context of
+two words by a hash of theirs; a text begins after two START words.
 
 Seating is sampled by Gibbs: in each sweep every dish of every restaurant takes its customers out and seats them anew,
-one after another, by the Chinese-restaurant rule, given the parent's current probabilities (beyond 64 customers in
-steps of a tenth, drawn as one binomial). A word's dishes in all contexts and in the root live in one part. Before each
-sweep the parts exchange the totals of the restaurants: a context's are summed at the part its hash belongs to and sent
-back to the parts that hold dishes of it, and the root's are one sum. So any number of parts samples from the same
-conditionals. Discounts follow from how many dishes have one and two customers. Probabilities are averaged over SAMPLES
-sweeps.
+one after another, by the Chinese-restaurant rule, given the parent's current probabilities and the restaurant's tables
+as they stood (beyond 64 customers in steps of a tenth, by their expectation rounded at random). Discounts follow in each
+sweep from how many dishes of a level have one and two customers. Probabilities are averaged over SAMPLES sweeps that
+follow BURN others.
+
+The same on any cluster: random numbers are hashes of the dish, the sweep and the customer; totals are exact sums over
+all rows; a token's log-probability is rounded to 2**-28 and added as an integer. So neither the number of parts nor the
+order or dealing of rows changes a score.
 
 Data flow, all rows counted:
-1. each scan task cuts its texts into blocks and writes, per block, its tokens as indices of distinct words and, per part
-   of the vocabulary, these words' hashes with training counts by the word before;
-2. each part adds up its words over all blocks, samples the seating, and answers each block in the block's own order;
-3. each block meets its answers and scores its texts.
-Words cross the cluster once per block, not once per text, packed in arrays; a word in a third of all rows costs a few
-bytes per block. Blocks and parts are of bounded size, contexts are dealt like words; the driver gets a few sums.
-
-block_rows, pairs_of, sample_part, answer_part and Totals are the one-part model over CONTEXTS classes, on which a test
-of the probabilities' sums stands; score_texts does not use them.
+1. each scan task cuts its texts into blocks and sends each part of the vocabulary the block's tokens whose word before
+   is in that part: at most one message per token, packed in arrays. A part holds whole restaurants of two words and of
+   one; a word before so frequent that a part would overflow is dealt over parts by the word that follows;
+2. each part adds up its dishes and seats them. Before each sweep the parts exchange totals: of the root's dishes, and of
+   the restaurants that are dealt over parts. Each is summed at the part that its hash belongs to, where the root's dishes
+   are seated, and goes back to the parts that have it;
+3. each part adds its tokens' log-probabilities by text, and the sums of a block's texts meet.
+Blocks and parts are of bounded size; the driver gets a dozen sums per sweep, and of a bounded sample the words
+whose restaurants are dealt over parts (MOST_HOT at most), which settles where they are seated, not how.
 """
 
 from __future__ import annotations
@@ -33,17 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, kept_table, new_path, shuffle_partitions, text_of, word_hashes
+from .common import bucket_of, kept_table, mixed, shuffle_partitions, text_of, word_hashes
 
-CONTEXTS = 4096
-SAMPLES = 3
-BURN = 3
-BLOCK_CHARS = 6 << 20
-PART_CHARS = 48 << 20
-STRENGTH, ROOT_STRENGTH = 20.0, 100.0
+SAMPLES = 2
+BURN = 2
+BLOCK_CHARS = 12 << 20
+PART_CHARS = 16 << 20
+HASHED_AT_ONCE = 1 << 20  # characters
+SAMPLE_CHARS = 24 << 20  # of the sample that tells hot words
+MOST_HOT = 1 << 16
+STRENGTHS = (100.0, 10.0, 1.0)  # of the root, of one word before, of two
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
-START = np.uint64(0x13198A2E03707344)  # the context of a text's first token
-SHIFT = np.uint64(13)  # a pair is the index of a word, then its class (0 to CONTEXTS)
+START = np.uint64(0x13198A2E03707344)  # what stands before a text's first token, twice
+MULT = np.uint64(0x9E3779B97F4A7C15)
+ONE = 1 << 28  # of the fixed-point log-probabilities
 
 
 def squeeze(a: np.ndarray, kind: str) -> bytes:
@@ -58,8 +64,22 @@ def expand(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
-def part_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return ((words >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+def squeeze_rising(a: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers by their steps."""
+    return squeeze(np.diff(a.astype(np.uint64), prepend=np.uint64(0)), "<u8")
+
+
+def expand_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(expand(raw, "<u8"))
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of (a, b)."""
+    return mixed(a * MULT + b)
 
 
 def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,36 +95,170 @@ def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, counts
 
 
-def pairs_of(word: np.ndarray, own_class: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (word, class before it) pairs of a block, ascending, and the pair of each token."""
-    classes = np.empty(len(word), np.uint64)
-    classes[1:] = own_class[word[:-1]]
-    classes[np.cumsum(counts) - counts] = CONTEXTS
-    return np.unique((word.astype(np.uint64) << SHIFT) | classes, return_inverse=True)
-
-
-def block_rows(block: int, doc_ids: list, outs: list[bool], texts: list[str], parts: int) -> list[dict]:
-    """The block itself (kind 0: tokens per text, word of each token, class of each word) and what it asks of each part
-    (kind 1: the words' hashes, pairs per word, the pairs' classes and training counts)."""
-    words, counts = tokenize(texts)
-    known, word = np.unique(words, return_inverse=True)
-    own_class = ((known >> np.uint64(20)) % np.uint64(CONTEXTS)).astype("<u2")
-    pairs, pair = pairs_of(word, own_class, counts)
-    seen = np.bincount(pair[np.repeat(~np.array(outs, bool), counts)], minlength=len(pairs))
-    owner = (pairs >> SHIFT).astype(np.int64)
-    rows = [{"kind": 0, "block": block, "part": 0, "doc_ids": doc_ids, "a": squeeze(counts, "<u4"), "b": squeeze(word, "<u4"), "c": squeeze(own_class, "<u2"), "d": None}]
-    cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
-    for part in range(parts):
-        lo, hi = cut[part], cut[part + 1]
-        if lo == hi:
-            continue
-        p, q = np.searchsorted(owner, [lo, hi])
-        asked = [(known[lo:hi], "<u8"), (np.bincount(owner[p:q] - lo, minlength=hi - lo), "<u4"), (pairs[p:q] & np.uint64(8191), "<u2"), (seen[p:q], "<u4")]
-        rows.append({"kind": 1, "block": block, "part": part, "doc_ids": None} | {n: squeeze(x, kind) for n, (x, kind) in zip("abcd", asked, strict=True)})
-    return rows
-
-
-def seat(rng: np.random.Generator, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
+def splits_of(words: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Over how many places the restaurants behind each word are dealt."""
+    names, many = hot
+    if not len(names):
+        return np.ones(len(words), np.int64)
+    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+    return np.where(names[at] == words, many[at], 1)
+
+
+def dealt(before: np.ndarray, words: np.ndarray, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The part of each token: by the word before, and by the word too where that is hot."""
+    many = splits_of(before, hot).astype(np.uint64)
+    return part_of(np.where(many > 1, joint(before, mixed(words) % many), before), parts)
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# What blocks send, and what a part makes of it.
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def block_messages(block: int, ids: list, held: list[bool], words: np.ndarray, counts: np.ndarray, parts: int, hot: tuple) -> list[tuple]:
+    """(part, block, packed) for each part that has tokens of the block."""
+    n = len(words)
+    first = np.cumsum(counts) - counts
+    known, own = np.unique(np.append(words, START), return_inverse=True)
+    start, own = own[-1], own[:-1]
+    before, earlier = np.empty(n, np.int64), np.empty(n, np.int64)
+    before[1:] = own[:-1]
+    before[first] = start
+    earlier[1:] = before[:-1]
+    earlier[first] = start
+    code = np.repeat(np.arange(len(counts)) * 2 + np.array(held, np.int64), counts)
+    part = dealt(known[before], words, parts, hot)
+    order = np.argsort(part * len(known) + before, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1)) if parts < n else None
+    spans = [(p, cut[p], cut[p + 1]) for p in range(parts) if cut[p] < cut[p + 1]] if cut is not None else None
+    if spans is None:
+        at = np.flatnonzero(np.diff(part[order], prepend=-1))
+        spans = [(int(part[order[a]]), a, b) for a, b in zip(at, np.append(at[1:], n), strict=True)]
+    out = []
+    for p, a, b in spans:
+        mine = order[a:b]
+        names, at = np.unique(np.concatenate([before[mine], earlier[mine], own[mine]]), return_inverse=True)
+        two, one, word = at.reshape(3, -1)
+        ends = np.flatnonzero(words[mine] == END)
+        docs = code[mine[ends]] >> 1
+        told = [ids[d] for d in docs.tolist()]
+        packed = [
+            squeeze_rising(known[names]),
+            squeeze(np.diff(two, prepend=0), "<u4"),
+            squeeze(one, "<u4"),
+            squeeze(word, "<u4"),
+            squeeze(code[mine], "<u4"),
+            squeeze(np.array([0 if i is None else i for i in told], np.int64), "<i8"),
+            squeeze(np.array([i is None for i in told], np.uint8), "<u1"),
+            squeeze(counts[docs], "<u4"),
+        ]
+        out.append((p, block, b"".join(len(x).to_bytes(4, "little") + x for x in packed)))
+    return out
+
+
+def opened(packed: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(packed):
+        n = int.from_bytes(packed[at : at + 4], "little")
+        out.append(packed[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+class Dishes:
+    """What all blocks send to a part, added up.
+
+    words: the hashes of its dishes, ascending, and counts: their tokens in training. befores: the hashes of the words before.
+    Dishes of one word before: b_two (place in befores), b_word (place in words). Contexts of two words: u_hash, u_two.
+    Dishes of these: t_u, t_b (places in the former) and customers. token: each token's dish, in the blocks' order.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows, key=lambda r: r[0])
+        messages = [opened(r[1]) for r in rows]
+        names = [expand_rising(m[0]) for m in messages]
+        known, place = np.unique(np.concatenate(names), return_inverse=True)
+        base = np.cumsum([0] + [len(x) for x in names])
+        two, one, word = (
+            np.concatenate([place[f + (np.cumsum(expand(m[k], "<u4")) if k == 1 else expand(m[k], "<u4")).astype(np.int64)] for f, m in zip(base, messages, strict=False)])
+            for k in (1, 2, 3)
+        )
+        codes = [expand(m[4], "<u4") for m in messages]
+        train = np.concatenate(codes) & 1 == 0
+        self.blocks = [(r[0], c >> 1, m[5], m[6], m[7]) for r, c, m in zip(rows, codes, messages, strict=True)]
+        dish, self.b_word = np.unique(word, return_inverse=True)
+        self.words = known[dish]
+        self.counts = np.bincount(self.b_word[train], minlength=len(dish))
+        key, b = np.unique(two * len(dish) + self.b_word, return_inverse=True)
+        b_two, self.b_word = np.divmod(key, len(dish))
+        befores, self.b_two = np.unique(b_two, return_inverse=True)
+        self.befores = known[befores]
+        self.u_hash, u = np.unique(joint(known[one], known[two]), return_inverse=True)
+        self.u_two = np.zeros(len(self.u_hash), np.int64)
+        self.u_two[u] = np.searchsorted(befores, two)
+        del one, two, word, place
+        key, self.token = np.unique(u * len(b_two) + b, return_inverse=True)
+        self.t_u, self.t_b = np.divmod(key, len(b_two))
+        self.customers = np.bincount(self.token[train], minlength=len(key))
+
+
+class Seats:
+    """The part of a part's state that seating needs: only dishes with two customers or more can have more than one
+    table, so all others stand as fixed amounts."""
+
+    def __init__(self, d: Dishes):
+        once, often = d.customers == 1, d.customers > 1
+        fixed = np.bincount(d.t_b[once], minlength=len(d.b_two))
+        has = np.bincount(d.t_b[often], minlength=len(d.b_two)) > 0
+        b_free = (fixed > 1) | has
+        self.b_place, self.u_place = np.flatnonzero(b_free), np.unique(d.t_u[often])
+        single = (fixed == 1) & ~b_free
+        t = np.flatnonzero(often)
+        self.t_u = np.searchsorted(self.u_place, d.t_u[t])
+        self.t_b = (np.cumsum(b_free) - 1)[d.t_b[t]]
+        self.customers = d.customers[t]
+        self.u_fixed = np.bincount(d.t_u[once], minlength=len(d.u_hash))[self.u_place]
+        self.u_hash = d.u_hash[self.u_place]
+        self.b_two, self.b_word, self.b_fixed = d.b_two[b_free], d.b_word[b_free], fixed[b_free]
+        self.two_fixed = np.bincount(d.b_two[single], minlength=len(d.befores))
+        self.word_fixed = np.bincount(d.b_word[single], minlength=len(d.words))
+        self.befores, self.words, self.counts = d.befores, d.words, d.counts
+        self.keys()
+
+    KINDS = {
+        "t_u": "<u4", "t_b": "<u4", "customers": "<u4", "u_fixed": "<u4", "u_hash": "<u8", "u_place": "<u4", "b_two": "<u4", "b_word": "<u4", "b_fixed": "<u4",
+        "two_fixed": "<u4", "word_fixed": "<u4", "befores": "<u8", "words": "<u8", "counts": "<u4",
+    }
+
+    def keys(self) -> None:
+        self.t_key = joint(self.u_hash[self.t_u], self.words[self.b_word[self.t_b]])
+        self.b_key = joint(self.befores[self.b_two], self.words[self.b_word])
+
+    def packed(self) -> dict[str, bytes]:
+        return {k: squeeze(getattr(self, k), kind) for k, kind in self.KINDS.items()}
+
+    @classmethod
+    def of(cls, packed: dict[str, bytes]) -> Seats:
+        out = cls.__new__(cls)
+        for k, kind in cls.KINDS.items():
+            got = expand(packed[k], kind)
+            setattr(out, k, got if kind == "<u8" else got.astype(np.int64))
+        out.keys()
+        return out
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Seating.
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def drawn(keys: np.ndarray, sweep: int, k: int) -> np.ndarray:
+    """Numbers from 0 to 1 that follow from the dish, the sweep and the customer."""
+    salt = mixed(np.array([(sweep << 32) + k], np.uint64) * MULT)[0]
+    return (mixed(keys ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def seat(keys: np.ndarray, sweep: int, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
     """Tables of each dish after its customers are seated anew; ``pull``: (strength + discount x tables) x parent's
     probability, the weight of a new table; dishes without customers have none."""
     tables = (customers > 0).astype(np.int64)
@@ -114,7 +268,7 @@ def seat(rng: np.random.Generator, customers: np.ndarray, pull: np.ndarray, disc
         step = 1 if k < 64 else k // 10
         m = np.minimum(step, customers[live] - k)
         new = pull[live] / (pull[live] + np.maximum(k - discount * tables[live], 1e-9))
-        tables[live] += rng.binomial(m, new) if step > 1 else rng.random(len(live)) < new
+        tables[live] += np.floor(m * new + drawn(keys[live], sweep, k)).astype(np.int64)
         k += step
         live = live[customers[live] > k]
     return np.minimum(tables, customers)
@@ -124,163 +278,73 @@ def discount_of(ones: float, twos: float) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
-def sample_part(word: np.ndarray, classes: np.ndarray, customers: np.ndarray, n_words: int, parts: int, seed: int) -> list[tuple]:
-    """Per kept sweep: tables of each pair, root customers and root tables of each word."""
-    rng = np.random.default_rng(seed)
-    discount = discount_of((customers == 1).sum(), (customers == 2).sum())
-    types = max(1, int((np.bincount(word, customers, minlength=n_words) > 0).sum())) * parts
-    tables = (customers > 0).astype(np.int64)
-    root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-    root_tables = (root > 0).astype(np.int64)
-    kept = []
-    for sweep in range(BURN + SAMPLES):
-        d0 = discount_of((root == 1).sum(), (root == 2).sum())
-        total, total_tables = root.sum() * parts, root_tables.sum() * parts
-        parent = (np.maximum(root - d0 * root_tables, 0) + (ROOT_STRENGTH + d0 * total_tables) / (types + 1)) / (ROOT_STRENGTH + total)
-        by_class = np.bincount(classes, tables, minlength=CONTEXTS + 1) * parts
-        tables = seat(rng, customers, (STRENGTH + discount * by_class[classes]) * parent[word], discount)
-        root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-        root_tables = seat(rng, root, np.full(n_words, (ROOT_STRENGTH + d0 * total_tables) / (types + 1)), d0)
-        if sweep >= BURN:
-            kept.append((tables, root, root_tables))
-    return kept
-
-
-REPLY = "block long, part int, words binary, roots binary, pairs binary, tables binary, stats array<double>"
-
-
-def answer_part(table: pa.Table, parts: int) -> pa.Table:
-    part = table.column("part")[0].as_py()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "a", "b", "c", "d")), strict=True), key=lambda r: r[0])
-    words, fans, by_class, seen = ([expand(r[k], kind) for r in rows] for k, kind in ((1, "<u8"), (2, "<u4"), (3, "<u2"), (4, "<u4")))
-    known, at = np.unique(np.concatenate(words), return_inverse=True)
-    owner = np.repeat(at, np.concatenate(fans))
-    keys, pair = np.unique((owner.astype(np.uint64) << SHIFT) | np.concatenate(by_class), return_inverse=True)
-    customers = np.bincount(pair, np.concatenate(seen), minlength=len(keys)).astype(np.int64)
-    word, classes = (keys >> SHIFT).astype(np.int64), (keys & np.uint64(8191)).astype(np.int64)
-    counts = np.bincount(word, customers, minlength=len(known)).astype(np.int64)
-    kept = sample_part(word, classes, customers, len(known), parts, 1000 + part)
-    stats = [np.array([counts.sum(), (counts > 0).sum(), (customers == 1).sum(), (customers == 2).sum()], float), np.bincount(classes, customers, minlength=CONTEXTS + 1)]
-    for tables, root, root_tables in kept:
-        stats += [np.array([root.sum(), root_tables.sum(), (root == 1).sum(), (root == 2).sum()], float), np.bincount(classes, tables, minlength=CONTEXTS + 1)]
-    out: list[tuple] = [(-1, part, None, None, None, None, np.concatenate(stats))]
-    w, p = 0, 0
-    for row, own, fan in zip(rows, words, fans, strict=True):
-        ws, n = at[w : w + len(own)], int(fan.sum())
-        ps = pair[p : p + n]
-        roots = np.concatenate([x[ws] for _, root, root_tables in kept for x in (root, root_tables)])
-        tables = np.concatenate([t[ps] for t, _, _ in kept])
-        out.append((row[0], part, *(squeeze(x, "<u4") for x in (counts[ws], roots, customers[ps], tables)), None))
-        w, p = w + len(own), p + n
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in REPLY.split(", ")])
+class Model:
+    """Sums over all parts: n (tokens), v (types), discounts of the three levels, the root's customers and tables."""
 
+    def __init__(self, n: float, v: float, discounts: tuple[float, float, float], customers: float, tables: float):
+        self.n, self.v, self.discounts, self.customers, self.tables = n, v, discounts, customers, tables
 
-class Totals:
-    """Sums over all parts."""
-
-    def __init__(self, sums: np.ndarray):
-        self.tokens, self.types = sums[0], sums[1]
-        self.discount = discount_of(sums[2], sums[3])
-        width = 4 + CONTEXTS + 1
-        self.by_class = sums[4:width]
-        self.samples = []
-        for s in range(SAMPLES):
-            own = sums[width * (s + 1) : width * (s + 2)]
-            self.samples.append((own[0], own[1], discount_of(own[2], own[3]), own[4:]))
-
-
-def prefixed(word: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (word, word before it) pairs of a block as word x (n_words + 1) + word before, ascending, and the pair
-    of each token; n_words stands for the text's start."""
-    before = np.empty(len(word), np.int64)
-    before[1:] = word[:-1]
-    before[np.cumsum(counts) - counts] = n_words
-    return np.unique(word.astype(np.int64) * (n_words + 1) + before, return_inverse=True)
-
-
-def ask_rows(block: int, doc_ids: list, outs: list[bool], texts: list[str], parts: int) -> list[dict]:
-    """The block itself (kind 0: tokens per text, word of each token) and what it asks of each part (kind 1: the words'
-    hashes, pairs per word, the pairs' contexts and training counts, the contexts' hashes)."""
-    words, counts = tokenize(texts)
-    known, word = np.unique(words, return_inverse=True)
-    pairs, pair = prefixed(word, counts, len(known))
-    seen = np.bincount(pair[np.repeat(~np.array(outs, bool), counts)], minlength=len(pairs))
-    owner, before = np.divmod(pairs, len(known) + 1)
-    named = np.append(known, START)
-    rows = [{"kind": 0, "block": block, "part": 0, "doc_ids": doc_ids, "a": squeeze(counts, "<u4"), "b": squeeze(word, "<u4"), "c": None, "d": None, "e": None}]
-    cut = np.searchsorted(part_of(known, parts), np.arange(parts + 1))
-    for part in range(parts):
-        lo, hi = cut[part], cut[part + 1]
-        if lo == hi:
-            continue
-        p, q = np.searchsorted(owner, [lo, hi])
-        contexts, at = np.unique(before[p:q], return_inverse=True)
-        asked = [(known[lo:hi], "<u8"), (np.bincount(owner[p:q] - lo, minlength=hi - lo), "<u4"), (at, "<u4"), (seen[p:q], "<u4"), (named[contexts], "<u8")]
-        rows.append({"kind": 1, "block": block, "part": part, "doc_ids": None} | {n: squeeze(x, kind) for n, (x, kind) in zip("abcde", asked, strict=True)})
-    return rows
-
-
-def meet(rows: list[tuple]) -> tuple:
-    """What all blocks ask of a part, added up: words, contexts (hashes), then per pair its word, context and customers,
-    and per block (number, places of its words, places of its pairs)."""
-    rows = sorted(rows, key=lambda r: r[0])
-    words, fans, at, seen, named = ([expand(r[k], kind) for r in rows] for k, kind in ((1, "<u8"), (2, "<u4"), (3, "<u4"), (4, "<u4"), (5, "<u8")))
-    known, own = np.unique(np.concatenate(words), return_inverse=True)
-    contexts, place = np.unique(np.concatenate(named), return_inverse=True)
-    first = np.cumsum([0] + [len(x) for x in named])
-    before = np.concatenate([place[f + x] for f, x in zip(first, at, strict=False)])
-    keys, pair = np.unique(np.repeat(own, np.concatenate(fans)) * len(contexts) + before, return_inverse=True)
-    customers = np.bincount(pair, np.concatenate(seen), minlength=len(keys)).astype(np.int64)
-    word, context = np.divmod(keys, len(contexts))
-    w, p = np.cumsum([0] + [len(x) for x in words]), np.cumsum([0] + [len(x) for x in at])
-    blocks = [(r[0], own[w[k] : w[k + 1]], pair[p[k] : p[k + 1]]) for k, r in enumerate(rows)]
-    return known, contexts, word, context, customers, blocks
-
-
-def sent(contexts: np.ndarray, context: np.ndarray, amount: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Sums by context for the part that each context belongs to."""
-    sums = np.bincount(context, amount, minlength=len(contexts))
-    cut = np.searchsorted(part_of(contexts, parts), np.arange(parts + 1))
-    return [(q, squeeze(sums[cut[q] : cut[q + 1]], "<u4")) for q in np.flatnonzero(np.diff(cut)).tolist()]
-
-
-def root_sums(root: np.ndarray, root_tables: np.ndarray) -> np.ndarray:
-    return np.array([root.sum(), root_tables.sum(), (root == 1).sum(), (root == 2).sum()], float)
+    def base(self) -> float:
+        """The weight of a new table of the root, for any word."""
+        return (STRENGTHS[0] + self.discounts[0] * self.tables) / (self.v + 1)
 
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (np.maximum(customers - self.discounts[0] * tables, 0) + self.base()) / (STRENGTHS[0] + self.customers)
 
-class Model:
-    """Sums over all parts before the first sweep: tokens, types, discount."""
 
-    def __init__(self, sums: np.ndarray):
-        self.tokens, self.types = sums[4], sums[5]
-        self.discount = discount_of(sums[6], sums[7])
+def below(level: int, model: Model, customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Probabilities of dishes of a level from their own and their restaurant's customers and tables."""
+    d, strength = model.discounts[level], STRENGTHS[level]
+    return (np.maximum(customers - d * tables, 0) + (strength + d * all_tables) * parent) / (strength + all_customers)
+
 
+def reseated(s: Seats, model: Model, sweep: int, tables: np.ndarray, b_tables: np.ndarray, root: np.ndarray, of_u: np.ndarray, of_two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of the dishes of two words and of one after one more sweep, given the root's probabilities of the words and
+    the restaurants' totals: tables (of_u), tables and customers (of_two)."""
+    parent = root[s.b_word]
+    b_customers = s.b_fixed + np.bincount(s.t_b, tables, minlength=len(s.b_fixed)).astype(np.int64)
+    told = below(1, model, b_customers, b_tables, of_two[1][s.b_two], of_two[0][s.b_two], parent)
+    tables = seat(s.t_key, sweep, s.customers, (STRENGTHS[2] + model.discounts[2] * of_u[s.t_u]) * told[s.t_b], model.discounts[2])
+    b_customers = s.b_fixed + np.bincount(s.t_b, tables, minlength=len(s.b_fixed)).astype(np.int64)
+    pull = (STRENGTHS[1] + model.discounts[1] * of_two[0][s.b_two]) * parent
+    return tables, seat(s.b_key, sweep, b_customers, pull, model.discounts[1])
 
-def parent_of(model: Model, root: np.ndarray, root_tables: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, float]:
-    """Each word's probability in the root restaurant, whose sums over all parts are given; the weight of a new table."""
-    d0 = discount_of(sums[2], sums[3])
-    base = (ROOT_STRENGTH + d0 * sums[1]) / (model.types + 1)
-    return (np.maximum(root - d0 * root_tables, 0) + base) / (ROOT_STRENGTH + sums[0]), base
 
+class Totals:
+    """A part's own sums in a state: by word (root customers), by word before (tables, customers), by kept context
+    (tables), and the dishes of one word with one and two customers."""
+
+    def __init__(self, s: Seats, tables: np.ndarray, b_tables: np.ndarray):
+        b_customers = s.b_fixed + np.bincount(s.t_b, tables, minlength=len(s.b_fixed)).astype(np.int64)
+        self.word = s.word_fixed + np.bincount(s.b_word, b_tables, minlength=len(s.words)).astype(np.int64)
+        self.two = s.two_fixed + np.bincount(s.b_two, b_tables, minlength=len(s.befores)).astype(np.int64)
+        self.two_customers = s.two_fixed + np.bincount(s.b_two, b_customers, minlength=len(s.befores)).astype(np.int64)
+        self.u = s.u_fixed + np.bincount(s.t_u, tables, minlength=len(s.u_fixed)).astype(np.int64)
+        self.ones, self.twos = s.two_fixed.sum() + (b_customers == 1).sum(), (b_customers == 2).sum()
+
+
+def dish_scores(d: Dishes, s: Seats, model: Model, tables: np.ndarray, b_tables: np.ndarray, root: np.ndarray, of_u: tuple[np.ndarray, np.ndarray], of_two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The probability of every dish of two words in a state; of_u: tables and customers of every context."""
+    b_all = np.bincount(d.t_b[d.customers == 1], minlength=len(d.b_two))
+    one = (b_all > 0).astype(np.int64)
+    b_all[s.b_place] = s.b_fixed + np.bincount(s.t_b, tables, minlength=len(s.b_fixed)).astype(np.int64)
+    one[s.b_place] = b_tables
+    parent = below(1, model, b_all, one, of_two[1][d.b_two], of_two[0][d.b_two], root[d.b_word])
+    t_all = (d.customers > 0).astype(np.int64)
+    t_all[d.customers > 1] = tables
+    return below(2, model, d.customers, t_all, of_u[1][d.t_u], of_u[0][d.t_u], parent[d.t_b])
 
-def sweep_part(rng: np.random.Generator, model: Model, sums: np.ndarray, held: tuple, tables: np.ndarray, root_tables: np.ndarray, by_context: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tables of each pair, root customers and root tables of each word after one more sweep."""
-    n_words, word, context, customers = held
-    parent, base = parent_of(model, np.bincount(word, tables, minlength=n_words), root_tables, sums)
-    tables = seat(rng, customers, (STRENGTH + model.discount * by_context[context]) * parent[word], model.discount)
-    root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-    return tables, root, seat(rng, root, np.full(n_words, base), discount_of(sums[2], sums[3]))
 
+def context_sums(d: Dishes, s: Seats, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of every context of a part."""
+    t_all = (d.customers > 0).astype(np.int64)
+    t_all[d.customers > 1] = tables
+    return np.bincount(d.t_u, t_all, minlength=len(d.u_hash)).astype(np.int64), np.bincount(d.t_u, d.customers, minlength=len(d.u_hash)).astype(np.int64)
 
-def pair_scores(model: Model, held: tuple, in_context: np.ndarray, samples: list[tuple]) -> np.ndarray:
-    """Mean probability of each pair over samples: (root sums, tables, root tables, tables by context)."""
-    n_words, word, context, customers = held
-    d, mean = model.discount, np.zeros(len(word))
-    for sums, tables, root_tables, by_context in samples:
-        parent, _ = parent_of(model, np.bincount(word, tables, minlength=n_words), root_tables, sums)
-        mean += (np.maximum(customers - d * tables, 0) + (STRENGTH + d * by_context[context]) * parent[word]) / (STRENGTH + in_context[context])
-    return mean / len(samples)
+
+# ---------------------------------------------------------------------------------------------------------------
+# The cluster: state stays in its part from sweep to sweep, totals are dealt.
+# ---------------------------------------------------------------------------------------------------------------
 
 
 def gathered(items) -> dict[int, dict[str, list]]:
@@ -291,15 +355,16 @@ def gathered(items) -> dict[int, dict[str, list]]:
     return out
 
 
-def whole(messages: list) -> np.ndarray:
-    """Totals of a part's contexts in their order from what their parts sent, one message each."""
-    return np.concatenate([expand(x, "<u4") for _, x in sorted(messages, key=lambda m: m[0])]).astype(float)
+def spread(lists: list[np.ndarray], parts: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(owner, the span of each ascending list of hashes that belongs to it)."""
+    cuts = [np.searchsorted(part_of(x, parts), np.arange(parts + 1)) for x in lists]
+    return [(q, [(c[q], c[q + 1]) for c in cuts]) for q in range(parts) if any(c[q] < c[q + 1] for c in cuts)]
 
 
-def sampled(asked, parts: int):
-    """From (part, ("asked", block, a, b, c, d, e)): the model's sums, and an RDD of answers (block, part, words, pairs).
+def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
+    """From (part, ("asked", block, packed)): the model, an RDD of rows (block, texts, sums of theirs), what is kept on disk.
 
-    RDDs, as a part's state stays where it is from sweep to sweep; only sums by context are dealt anew.
+    RDDs, as a part's state stays where it is from sweep to sweep; only totals are dealt anew.
     """
     from pyspark import StorageLevel
 
@@ -309,120 +374,221 @@ def sampled(asked, parts: int):
         kept.append(rdd.persist(StorageLevel.DISK_ONLY))
         return rdd
 
+    def drop(rdd):
+        kept.remove(rdd)
+        rdd.unpersist()
+
     def local(rdds, f):
         joined = rdds[0]
         for r in rdds[1:]:
             joined = joined.union(r)
         return joined.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in f(part, tags)), preservesPartitioning=True)
 
-    def begin(part, tags):
-        known, contexts, word, context, customers, _ = meet(tags["asked"])
-        yield part, ("base", len(known), *(squeeze(x, kind) for x, kind in ((contexts, "<u8"), (word, "<u4"), (context, "<u4"), (customers, "<u4"))))
+    def shared(s_befores, u_two, u_hash):
+        """Places of the befores and of the contexts that are dealt over parts."""
+        many = splits_of(s_befores, hot) > 1
+        return np.flatnonzero(many), np.flatnonzero(many[u_two])
 
-    def opened(base):
-        n_words, contexts, *rest = base
-        return expand(contexts, "<u8"), (n_words, *(expand(x, "<u4").astype(np.int64) for x in rest))
-
-    def first(part, tags):
-        contexts, held = opened(tags["base"][0])
-        n_words, word, context, customers = held
-        tables = (customers > 0).astype(np.int64)
-        root = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-        root_tables = (root > 0).astype(np.int64)
-        counts = np.bincount(word, customers, minlength=n_words)
-        sums = np.append(root_sums(root, root_tables), [counts.sum(), (counts > 0).sum(), (customers == 1).sum(), (customers == 2).sum()])
-        yield part, ("out", squeeze(tables, "<u4"), squeeze(root_tables, "<u4"), sums, sent(contexts, context, tables, parts))
+    def begin(part, tags):
+        d = Dishes(tags["asked"])
+        s = Seats(d)
+        twos, us = shared(d.befores, d.u_two, d.u_hash)
+        t = np.ones(len(s.customers), np.int64)
+        tables, customers = context_sums(d, s, t)
+        fixed = tables[us].copy()  # a kept context's tables change; all others stand
+        at = np.searchsorted(s.u_place, us)
+        inside = (at < len(s.u_place)) & (s.u_place[np.minimum(at, max(0, len(s.u_place) - 1))] == us) if len(s.u_place) else np.zeros(len(us), bool)
+        # at, one more than the place among kept contexts, or 0
+        extra = {"twos": squeeze(twos, "<u4"), "us": squeeze_rising(d.u_hash[us]), "us_fixed": squeeze(fixed, "<u4"), "us_customers": squeeze(customers[us], "<u4"), "us_kept": squeeze(np.where(inside, at + 1, 0), "<u4")}
+        sums = np.array([(d.customers == 1).sum(), (d.customers == 2).sum()], float)
+        yield part, ("base", s.packed() | extra, sums)
+
+    def lists_of(packed):
+        befores, words = expand(packed["befores"], "<u8"), expand(packed["words"], "<u8")
+        return [words, expand_rising(packed["us"]), befores[expand(packed["twos"], "<u4")]]
 
     def names(item):
-        part, (_, _, packed, *_) = item
-        contexts = expand(packed, "<u8")
-        cut = np.searchsorted(part_of(contexts, parts), np.arange(parts + 1))
-        for q in np.flatnonzero(np.diff(cut)).tolist():
-            yield q, ("names", part, squeeze(contexts[cut[q] : cut[q + 1]], "<u8"))
+        part, (_, packed, _) = item
+        lists = lists_of(packed)
+        for q, spans in spread(lists, parts):
+            yield q, ("names", part, [squeeze_rising(x[a:b]) for x, (a, b) in zip(lists, spans, strict=True)])
 
     def house(part, tags):
         guests = sorted(tags["names"], key=lambda g: g[0])
-        lists = [expand(x, "<u8") for _, x in guests]
-        found, at = np.unique(np.concatenate(lists), return_inverse=True)
-        cut = np.cumsum([0] + [len(x) for x in lists])
-        yield part, ("house", len(found), [(g[0], squeeze(at[cut[k] : cut[k + 1]], "<u4")) for k, g in enumerate(guests)])
-
-    def totalled(part, tags):
-        n, guests = tags["house"][0]
-        told, total = dict(tags["sums"]), np.zeros(n)
-        places = [(p, expand(at, "<u4")) for p, at in guests]
-        for p, at in places:
-            total[at] += expand(told[p], "<u4")
-        for p, at in places:
-            yield p, (part, squeeze(total[at], "<u4"))
+        found, places = [], []
+        for kind in range(3):
+            lists = [expand_rising(g[1][kind]) for g in guests]
+            own, at = np.unique(np.concatenate(lists), return_inverse=True)
+            cut = np.cumsum([0] + [len(x) for x in lists])
+            found.append(squeeze_rising(own))
+            places.append([squeeze(at[cut[k] : cut[k + 1]], "<u4") for k in range(len(guests))])
+        yield part, ("house", found, [(g[0], [p[k] for p in places]) for k, g in enumerate(guests)])
+
+    def message(part, packed, sent):
+        """``sent``: (first, second) sums for the words, the shared contexts, the shared befores."""
+        lists = lists_of(packed)
+        for q, spans in spread(lists, parts):
+            yield q, ("sums", part, [[squeeze(x[a:b], "<u4") for x in pair] for pair, (a, b) in zip(sent, spans, strict=True)])
+
+    def sent_of(packed, s, totals, with_counts):
+        twos = expand(packed["twos"], "<u4")
+        fixed, at = (expand(packed[k], "<u4").astype(np.int64) for k in ("us_fixed", "us_kept"))
+        u = np.where(at > 0, np.append(0, totals.u)[at], fixed)
+        counts = s.counts if with_counts else np.zeros(len(s.counts), np.int64)
+        return [(totals.word, counts), (u, expand(packed["us_customers"], "<u4")), (totals.two[twos], totals.two_customers[twos])]
+
+    def totalled(part, tags, sweep, model, told):
+        """Sums of all guests' sums; the root's dishes are seated; ``told``: the guests get them."""
+        found, guests = tags["house"][0]
+        messages = dict(tags["sums"])
+        all_sums = []
+        for kind in range(3):
+            n = int.from_bytes(found[kind][:8], "little")
+            sums = np.zeros((2, n), np.int64)
+            for p, places in guests:
+                at = expand(places[kind], "<u4")
+                for k in range(2):
+                    sums[k][at] += expand(messages[p][kind][k], "<u4")
+            all_sums.append(sums)
+        customers, counts = all_sums[0]
+        keys = expand_rising(found[0])
+        tables = (customers > 0).astype(np.int64) if model is None else seat(keys, sweep, customers, np.full(len(keys), model.base()), model.discounts[0])
+        if not told:
+            yield part, np.array([customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), counts.sum(), (counts > 0).sum()], float)
+            return
+        for p, places in guests:
+            at = [expand(x, "<u4") for x in places]
+            yield p, ("totals", part, [squeeze(x, "<u4") for x in (customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1)))])
+
+    def whole(messages):
+        """A part's totals in the order of its lists from what the owners sent, one message each."""
+        told = sorted(messages, key=lambda m: m[0])
+        return [np.concatenate([expand(m[1][k], "<u4") for m in told]).astype(np.int64) for k in range(7)]
 
     base = keep(local([asked], begin))
     houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
 
-    def exchanged(messages, tag):
-        """(part, (tag, owner, totals)) from (owner, ("sums", part, sums))."""
-        back = local([houses, messages.partitionBy(parts, int)], totalled).map(lambda m: (m[0], (tag, *m[1])))
-        return back.partitionBy(parts, int)
+    def exchange(out, sweep, model):
+        """The root's sums after a state, and an RDD of the totals told to the parts."""
+        messages = out.mapPartitions(lambda items: (x for x in items if x[1][0] == "sums"))  # these are keyed by their owners
+        dealt_sums = houses.union(messages.partitionBy(parts, int))
+
+        def run(told):
+            return dealt_sums.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in totalled(part, tags, sweep, model, told)))
 
-    def sums_of(out):
-        return out.map(lambda kv: kv[1][3]).reduce(np.add)
+        return run(False).map(lambda kv: kv[1]).reduce(np.add), run(True).partitionBy(parts, int)
 
-    def messages_of(out):
-        return out.flatMap(lambda kv: [(q, ("sums", kv[0], x)) for q, x in kv[1][4]])
+    def states(out):
+        return out.filter(lambda kv: kv[1][0] == "state")
 
-    def own_sums(kv):
-        contexts, (_, _, context, customers) = opened(kv[1][1:])
-        return [(q, ("sums", kv[0], x)) for q, x in sent(contexts, context, customers, parts)]
+    def stated(part, packed, s, tables, b_tables, with_counts):
+        totals = Totals(s, tables, b_tables)
+        yield part, ("state", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"), np.array([totals.ones, totals.twos], float))
+        yield from message(part, packed, sent_of(packed, s, totals, with_counts))
+
+    def first(part, tags):
+        packed = tags["base"][0][0]
+        s = Seats.of(packed)
+        yield from stated(part, packed, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), True)
+
+    def opened_totals(packed, s, tags_totals, tables, b_tables):
+        """Root customers and tables, counts, of_u over kept contexts, of_two, and the shared contexts' totals."""
+        root, root_tables, counts, us, us_customers, two, two_customers = whole(tags_totals)
+        totals = Totals(s, tables, b_tables)
+        at = expand(packed["us_kept"], "<u4").astype(np.int64)
+        totals.u[at[at > 0] - 1] = us[at > 0]
+        twos = expand(packed["twos"], "<u4")
+        totals.two[twos], totals.two_customers[twos] = two, two_customers
+        return root, root_tables, counts, totals, us, us_customers
 
     out = keep(local([base], first))
-    sums = sums_of(out)
-    model = Model(sums)
+    t_ones, t_twos = base.map(lambda kv: kv[1][2]).reduce(np.add)
+
+    def model_of(root_sums, out, n, v):
+        ones, twos = states(out).map(lambda kv: kv[1][3]).reduce(np.add)
+        return Model(n, v, (discount_of(root_sums[2], root_sums[3]), discount_of(ones, twos), discount_of(t_ones, t_twos)), root_sums[0], root_sums[1])
+
+    root_sums, told = exchange(out, 0, None)
+    n, v = root_sums[4], root_sums[5]
+    model = model_of(root_sums, out, n, v)
     samples = []
-    for sweep in range(BURN + SAMPLES):
+    for sweep in range(1, BURN + SAMPLES + 1):
+
+        def again(part, tags, sweep=sweep, model=model):
+            packed = tags["base"][0][0]
+            s = Seats.of(packed)
+            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags["state"][0][:2])
+            root, root_tables, _, totals, _, _ = opened_totals(packed, s, tags["totals"], tables, b_tables)
+            tables, b_tables = reseated(s, model, sweep, tables, b_tables, model.root(root, root_tables), totals.u, (totals.two, totals.two_customers))
+            yield from stated(part, packed, s, tables, b_tables, sweep > BURN)
 
-        def again(part, tags, sweep=sweep, sums=sums):
-            contexts, held = opened(tags["base"][0])
-            tables, root_tables = (expand(x, "<u4").astype(np.int64) for x in tags["out"][0][:2])
-            tables, root, root_tables = sweep_part(np.random.default_rng([1000 + part, sweep]), model, sums, held, tables, root_tables, whole(tags["totals"]))
-            yield part, ("out", squeeze(tables, "<u4"), squeeze(root_tables, "<u4"), root_sums(root, root_tables), sent(contexts, held[2], tables, parts))
+        before, out = out, keep(local([base, states(out), told], again))
+        root_sums, told = exchange(out, sweep, model)
+        model = model_of(root_sums, out, n, v)
+        if sweep <= BURN + 1:
+            drop(before)
+        if sweep > BURN:
+            samples.append((model, out, told))
 
-        before, out = out, keep(local([base, out, exchanged(messages_of(out), "totals")], again))
-        sums = sums_of(out)
-        if sweep <= BURN:
-            kept.remove(before)
-            before.unpersist()
-        if sweep >= BURN:
-            samples.append((sums, out))
+    def marked(rdd, k):
+        return rdd.mapPartitions(lambda items: ((p, (f"{v[0]}{k}", *v[1:])) for p, v in items), preservesPartitioning=True)
 
-    def renamed(out, k):
-        return out.mapPartitions(lambda items: ((p, (f"out{k}", *v[1:3])) for p, v in items), preservesPartitioning=True)
+    models = [m for m, _, _ in samples]
 
     def answer(part, tags):
-        known, contexts, word, context, customers, blocks = meet(tags["asked"])
-        held = (len(known), word, context, customers)
-        counts = np.bincount(word, customers, minlength=len(known))
-        drawn = [(s, *(expand(x, "<u4").astype(np.int64) for x in tags[f"out{k}"][0]), whole(tags[f"totals{k}"])) for k, (s, _) in enumerate(told)]
-        score = np.log10(pair_scores(model, held, whole(tags["own"]), drawn))
-        for block, own, pair in blocks:
-            yield block, part, squeeze(counts[own], "<u4"), squeeze(score[pair], "<f4")
-
-    told = [(s, None) for s, _ in samples]
-    inputs = [asked, exchanged(base.flatMap(own_sums), "own")]
-    for k, (_, o) in enumerate(samples):
-        inputs += [renamed(o, k), exchanged(messages_of(o), f"totals{k}")]
+        d = Dishes(tags["asked"])
+        s = Seats(d)
+        packed = tags["base"][0][0]
+        _, shared_us = shared(d.befores, d.u_two, d.u_hash)
+        mean, counts = np.zeros(len(d.t_u)), None
+        for k, model in enumerate(models):
+            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags[f"state{k}"][0][:2])
+            root, root_tables, counts, totals, us, us_customers = opened_totals(packed, s, tags[f"totals{k}"], tables, b_tables)
+            of_u = context_sums(d, s, tables)
+            of_u[0][shared_us], of_u[1][shared_us] = us, us_customers
+            mean += dish_scores(d, s, model, tables, b_tables, model.root(root, root_tables), of_u, (totals.two, totals.two_customers))
+        fixed = np.rint(np.log10(mean / len(models)) * ONE).astype(np.int64)[d.token]
+        word = d.b_word[d.t_b][d.token]
+        plain, known = np.log10((counts + 1) / (n + v + 1))[word], (counts > 0)[word]
+        first = 0
+        for block, docs, *ends in d.blocks:
+            mine = slice(first, first + len(docs))
+            first += len(docs)
+            found, at = np.unique(docs, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            cut = np.searchsorted(at[order], np.arange(len(found)))
+            sums = [np.add.reduceat(x[mine][order].astype(kind), cut) for x, kind in ((fixed, np.int64), (plain, np.float64), (known, np.int64))]
+            last = docs[d.words[word[mine]] == END]
+            yield block, squeeze(found, "<u4"), squeeze(sums[0], "<i8"), squeeze(sums[1], "<f8"), squeeze(sums[2], "<u4"), squeeze(last, "<u4"), *ends
+
+    inputs = [asked, base]
+    for k, (_, o, t) in enumerate(samples):
+        inputs += [marked(states(o), k), marked(t, k)]
     return model, local(inputs, answer), kept
 
 
-def score_block(state: dict, replies: list[dict], tokens: float, types: float) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score and score of each text of a block."""
-    counts, word = (expand(state[k], "<u4").astype(np.int64) for k in "ab")
-    replies = sorted(replies, key=lambda r: r["part"])
-    known = np.concatenate([expand(r["words"], "<u4") for r in replies]).astype(np.float64)
-    score = np.concatenate([expand(r["pairs"], "<f4") for r in replies]).astype(np.float64)
-    _, pair = prefixed(word, counts, len(known))
-    plain = np.log10((known + 1) / (tokens + types + 1))
-    first = np.cumsum(counts) - counts
-    return counts, np.add.reduceat((known > 0)[word].astype(np.int64), first), np.add.reduceat(plain[word], first), np.add.reduceat(score[pair], first)
+def hot_words(rows: DataFrame, chars: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose share of a bounded sample's tokens would fill more than one and a half parts, and over how many places
+    what follows them is dealt."""
+    least = max(1.5 / parts, 1 / MOST_HOT)
+    if least >= 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    share = min(1.0, SAMPLE_CHARS / max(1, chars))
+    drawn_rows = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                words, _ = tokenize([t.as_py() for t in batch.column("text")[at : at + 64]])
+                found, n = np.unique(np.where(words == END, START, words), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    counts = drawn_rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = kept_table(counts, "lm-words")
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    # at most 1 / least words have a greater share than ``least``
+    told = sorted((np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF), r["n"]) for r in counts.where(F.col("n") > least * tokens).collect())
+    return np.array([w for w, _ in told], np.uint64), np.array([max(2, math.ceil(c / tokens * parts)) for _, c in told], np.int64)
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -435,58 +601,76 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.select("doc_id", "text", (bucket_of("doc_id", held_out[0]) == held_out[1]).alias("held_out"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if not chars:
+        return spark.createDataFrame([], out_schema)
     parts = max(shuffle_partitions(spark) if chars > PART_CHARS else 1, math.ceil(chars / PART_CHARS))
-    schema = "kind int, block long, part int, doc_ids array<long>, a binary, b binary, c binary, d binary, e binary"
+    hot = hot_words(rows, chars, parts)
 
     def cut(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        ids, outs, texts, size = [], [], [], 0
+        ids, held, texts, size, pending = [], [], [], 0, 0
+        words, counts = [], []
+
+        def hashed():
+            nonlocal texts, pending
+            if texts:
+                w, c = tokenize(texts)
+                words.append(w)
+                counts.append(c)
+            texts, pending = [], 0
 
         def out():
-            made = ask_rows(block, ids, outs, texts, parts)
-            types = {"kind": pa.int32(), "block": pa.int64(), "part": pa.int32(), "doc_ids": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], types.get(k, pa.binary())) for k in made[0]], list(made[0]))
+            made = block_messages(block, ids, held, np.concatenate(words), np.concatenate(counts), parts, hot)
+            for a in range(0, len(made), 16):
+                some = list(zip(*made[a : a + 16], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], ["part", "block", "packed"])
 
         for batch in batches:
-            for doc_id, text, held in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+            for doc_id, text, out_of in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
                 ids.append(doc_id)
-                outs.append(held)
+                held.append(out_of)
                 texts.append(text.as_py())
+                pending += len(texts[-1]) + 1
                 size += len(texts[-1]) + 1
+                if pending >= HASHED_AT_ONCE:
+                    hashed()
                 if size >= BLOCK_CHARS:
-                    yield out()
+                    hashed()
+                    yield from out()
                     block += 1
-                    ids, outs, texts, size = [], [], [], 0
+                    ids, held, size, words, counts = [], [], 0, [], []
+        hashed()
         if ids:
-            yield out()
+            yield from out()
 
-    path = new_path(spark, "lm-blocks")
-    rows.mapInArrow(cut, schema).write.option("compression", "none").partitionBy("kind").parquet(path)
-    inner = schema.removeprefix("kind int, ")
-    out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not chars:
-        return spark.createDataFrame([], out_schema)
-    states = spark.read.schema(inner).parquet(f"{path}/kind=0")
-    asked = spark.read.schema(inner).parquet(f"{path}/kind=1")
-    sent_rows = asked.select("part", "block", "a", "b", "c", "d", "e").rdd.map(lambda r: (r[0], ("asked", *r[1:])))
-    model, answers, held_on_disk = sampled(sent_rows.partitionBy(parts, int), parts)
-    replies = kept_table(spark.createDataFrame(answers, "block long, part int, words binary, pairs binary", verifySchema=False), "lm-replies")
+    messages = rows.mapInArrow(cut, "part int, block long, packed binary")
+    asked = messages.rdd.map(lambda r: (r[0], ("asked", r[1], bytes(r[2])))).partitionBy(parts, int)
+    model, answers, held_on_disk = sampled(asked, parts, hot)
+    schema = "block long, docs binary, score binary, base binary, known binary, ended binary, ids binary, nulls binary, counts binary"
+    replies = kept_table(spark.createDataFrame(answers, schema, verifySchema=False), "lm-replies")
     for rdd in held_on_disk:
         rdd.unpersist()
-    n_train, n_types = float(model.tokens), float(model.types)
-
-    def score(state: pa.Table, answers: pa.Table) -> pa.Table:
-        row = state.to_pylist()[0]
-        tokens, n_known, base, got = score_block(row, answers.to_pylist(), n_train, n_types)
-        ids = pa.array(row["doc_ids"], pa.int64())
-        return pa.Table.from_arrays([ids, pa.array(tokens), pa.array(n_known), pa.array(base), pa.array(got)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    by_block = states.groupBy("block").cogroup(replies.groupBy("block"))
-    scored = by_block.applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    def add(table: pa.Table) -> pa.Table:
+        got = table.select(["docs", "score", "base", "known", "ended", "ids", "nulls", "counts"]).to_pylist()
+        got = [{k: expand(r[k], kind) for k, kind in (("docs", "<u4"), ("score", "<i8"), ("base", "<f8"), ("known", "<u4"), ("ended", "<u4"), ("ids", "<i8"), ("nulls", "<u1"), ("counts", "<u4"))} for r in got]
+        n = sum(len(r["ended"]) for r in got)
+        score, known, n_tokens, ids, nulls = (np.zeros(n, np.int64) for _ in range(5))
+        base = np.zeros(n)
+        for r in sorted(got, key=lambda r: tuple(r["docs"][:1]) + tuple(r["base"][:1])):
+            score[r["docs"]] += r["score"]
+            base[r["docs"]] += r["base"]
+            known[r["docs"]] += r["known"]
+            ids[r["ended"]], nulls[r["ended"]], n_tokens[r["ended"]] = r["ids"], r["nulls"], r["counts"]
+        doc_ids = pa.array(ids, pa.int64(), mask=nulls.astype(bool))
+        return pa.Table.from_arrays([doc_ids, pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score / ONE)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = replies.groupBy("block").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = bucket_of("doc_id", held_out[0]) == held_out[1]
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame, *by: str) -> DataFrame:
