@@ -66,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
         for name in ("landing", "output", "company", "url"):
             p.add_argument(f"--{name}", required=True)
         p.add_argument("--limit", type=int, default=0)
+        p.add_argument("--max-scrolls", type=int)
         for name in ("since", "workspace", "ingest-label"):
             p.add_argument(f"--{name}")
         p.add_argument("--tabs", default="")
@@ -75,6 +76,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{name}", required=True)
         p.add_argument("--owner", action="append", default=[])
         p.add_argument("--top", type=int, default=30)
+        p.add_argument("--video", action="append", default=[], help="a post's URL, in place of the most viewed posts")
+        p.add_argument("--resume", action="store_true", help="keep the comments that the bundle has")
         for name in ("workspace", "ingest-label"):
             p.add_argument(f"--{name}")
     analyze = add("analyze")
@@ -172,9 +175,9 @@ def run(args: argparse.Namespace, command: str, spark: SparkSession) -> int:
         show(done["report"])
         return 0 if done["report"]["status"] == "passed" else 1
     if command in ("tiktok", "facebook", "linkedin", "youtube"):
-        made, bundle = collect.collect_profile(spark, command, args.landing, args.output, args.company, args.url, args.limit, args.since, args.tabs), args.output
+        made, bundle = collect.collect_profile(spark, command, args.landing, args.output, args.company, args.url, args.limit, args.since, args.tabs, args.max_scrolls), args.output
     elif command in ("tiktok-comments", "youtube-comments"):
-        made, bundle = collect.collect_comments(spark, command, args.landing, args.bundle, args.owner, args.top), args.bundle
+        made, bundle = collect.collect_comments(spark, command, args.landing, args.bundle, args.owner, args.top, args.video, args.resume), args.bundle
     else:
         return migrate(args, spark)
     show(made)

@@ -6,7 +6,7 @@ at a page that asks for a person; that shows here as ``challenge`` and ends in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
@@ -16,7 +16,11 @@ from ..sources.bundle import EvidenceError, read_csv, read_manifest, read_video_
 from . import connectors, dedup, joins
 from .ledger import now
 
+# How a capture ended.
 COMPLETED, CHALLENGED, LIMITED = "completed", "human_verification_required", "row_limit_reached"
+SINGLE, SCROLLED, STAGNANT, BY_HAND = "single_window_captured", "scroll_limit_reached", "profile_end_or_stagnant", "manual_scroll_confirmed"
+INTERRUPTED, FAILED = "interrupted_with_checkpoint", "collector_error_with_checkpoint"
+STAGNANT_ROUNDS = {"tiktok": 6, "facebook": 6, "linkedin": 5, "tiktok-comments": 3}  # fixed values
 
 # Fields of the elements of each site's windows.
 WINDOWS = {
@@ -25,8 +29,8 @@ WINDOWS = {
     "linkedin": ("posts", "struct<permalink:string,author:string,body:string,publishedLabel:string,metricLabels:array<string>,rawText:string>"),
     "tiktok-comments": ("rows", "struct<level:int,user:string,userHref:string,text:string,likeLabel:string,creator:boolean,parentUser:string,parentText:string>"),
 }
-HEAD = "title string, displayName string, followersLabel string, challenge boolean, signedOut boolean, url string, metrics struct<likes:string,comments:string,shares:string>"
-EXIT_CODES = {COMPLETED: 0, LIMITED: 0, CHALLENGED: 2}
+HEAD = "title string, displayName string, followersLabel string, challenge boolean, signedOut boolean, url string, status string, scrollY long, scrollHeight long, metrics struct<likes:string,comments:string,shares:string>"
+EXIT_CODES = {COMPLETED: 0, LIMITED: 0, SINGLE: 0, SCROLLED: 0, STAGNANT: 0, BY_HAND: 0, CHALLENGED: 2, INTERRUPTED: 2, FAILED: 2}
 
 
 def window_heads(spark: SparkSession, landing: str) -> DataFrame:
@@ -40,6 +44,33 @@ def challenged(heads: DataFrame) -> bool:
     return not heads.where(asks).isEmpty()
 
 
+def quiet_windows(heads: DataFrame, items: DataFrame, key: str, rounds: int) -> DataFrame:
+    """Per window in order: seen (keys that no earlier window had), quiet (windows in a row that brought none and did not
+    move) and stopped (whether that is ``rounds`` of them). ``heads``: file, scrollY, scrollHeight; ``items``: file, key."""
+    first = items.groupBy(key).agg(F.min("file").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("seen"))
+    rows = heads.join(first, "file", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    extent = F.struct(F.coalesce("scrollY", F.lit(0)).alias("y"), F.coalesce("scrollHeight", F.lit(0)).alias("h"))
+    before = F.lag(extent).over(Window.partitionBy("capture").orderBy("file"))
+    rows = rows.withColumn("capture", F.lit(0)).withColumn("moved", (F.col("seen") > 0) | before.isNull() | (before != extent))
+    return dedup.stagnant(rows, ["capture"], "file", F.col("moved"), rounds).select("file", "seen", "quiet", "stopped")
+
+
+def capture_status(heads: DataFrame, windows: DataFrame, max_scrolls: int | None) -> str:
+    """How a capture ended: a page that asks for a person, then what the last window says of itself, then what follows
+    from the windows: stagnation, the bound on scrolls, or else that it came to its end."""
+    if challenged(heads):
+        return CHALLENGED
+    last = heads.orderBy(F.desc("file")).select("status").first()
+    if last and last["status"] in EXIT_CODES:
+        return last["status"]
+    end = windows.agg(F.count(F.lit(1)).alias("n"), F.max_by("stopped", "file").alias("stopped")).first()
+    if end["stopped"]:
+        return STAGNANT
+    if max_scrolls is not None and end["n"] > max_scrolls:
+        return SCROLLED if max_scrolls else SINGLE
+    return COMPLETED
+
+
 def exit_code(status: str, rows: int) -> int:
     """2 where a person is needed, 1 without any row, else by status."""
     return EXIT_CODES.get(status, 2) if rows else 2 if status == CHALLENGED else 1
@@ -67,7 +98,7 @@ def _normalized(spark: SparkSession, site: str, url: str) -> tuple[str, str]:
     return row[0], row[1]
 
 
-def collect_profile(spark: SparkSession, site: str, landing: str, out: str, company: str, url: str, limit: int = 0, since: str | None = None, tabs: str = "") -> dict:
+def collect_profile(spark: SparkSession, site: str, landing: str, out: str, company: str, url: str, limit: int = 0, since: str | None = None, tabs: str = "", max_scrolls: int | None = None) -> dict:
     """A bundle of a profile's posts; returns status, rows and exit code."""
     profile, handle = _normalized(spark, site, url)
     started, name, followers, status = now(), "", "", COMPLETED
@@ -86,10 +117,11 @@ def collect_profile(spark: SparkSession, site: str, landing: str, out: str, comp
         followers = seen or ""
     else:
         heads = window_heads(spark, landing)
-        status = CHALLENGED if challenged(heads) else COMPLETED
-        first = heads.agg(F.max("displayName").alias("n"), F.max("followersLabel").alias("f")).first()
+        last = [F.max_by(c, F.when(text.clean(F.col(c)) != "", F.col("file"))).alias(n) for c, n in (("displayName", "n"), ("followersLabel", "f"))]
+        first = heads.agg(*last).first()
         name, followers = first["n"] or "", first["f"] or ""
         items = read_windows(spark, landing, *WINDOWS[site])
+        status = capture_status(heads, quiet_windows(heads, items, "permalink" if "permalink" in items.columns else "url", STAGNANT_ROUNDS[site]), max_scrolls)
         if site == "tiktok":
             content = connectors.tiktok_content(items, company, handle, name, started)
         elif site == "facebook":
@@ -101,7 +133,7 @@ def collect_profile(spark: SparkSession, site: str, landing: str, out: str, comp
     content = published_since(content, since)
     rows = content.count()
     if limit and rows >= limit:
-        content, status = content.orderBy("_ord").limit(limit), LIMITED if status == COMPLETED else status
+        content, status = content.orderBy("_ord").limit(limit), LIMITED if EXIT_CODES[status] == 0 else status
         rows = min(rows, limit)
     counts = {"unique_content": rows}
     if site == "youtube":
@@ -128,10 +160,13 @@ def update_manifest(spark: SparkSession, bundle: str, status: str, selected: int
     sinks.write_json(spark, path, manifest)
 
 
-def collect_comments(spark: SparkSession, site: str, landing: str, bundle: str, owners: list[str] | None = None, top: int = 30) -> dict:
-    """Adds landed comments of the most viewed posts to a bundle; the last capture of a comment stays."""
+def collect_comments(
+    spark: SparkSession, site: str, landing: str, bundle: str, owners: list[str] | None = None, top: int = 30, wanted: list[str] | None = None, resume: bool = True
+) -> dict:
+    """Adds landed comments of the posts asked for, or of the most viewed ones, to a bundle; the last capture of a comment
+    stays. Without ``resume`` the bundle's own comments go first."""
     content = read_csv(spark, f"{bundle}/content.csv")
-    chosen = connectors.deep_reads(content, "tiktok" if site == "tiktok-comments" else "youtube", top)
+    chosen = connectors.deep_reads(content, "tiktok" if site == "tiktok-comments" else "youtube", top, wanted)
     status, columns = COMPLETED, COMMENT
     if site == "youtube-comments":
         found = connectors.youtube_comments(read_video_comments(spark, landing), chosen)
@@ -142,16 +177,13 @@ def collect_comments(spark: SparkSession, site: str, landing: str, bundle: str,
         at = heads.select("file", urls.tiktok_video_id(F.col("url")).alias("_video"), "metrics")
         posts = chosen.select(F.col("record_id").alias("content_id"), "url", urls.tiktok_video_id(F.col("url")).alias("_video"))
         rows = read_windows(spark, landing, *WINDOWS[site]).join(at.select("file", "_video"), "file").join(posts, "_video")
-        names = sorted({*(owners or [])})
-        found = connectors.tiktok_comments(rows, names)
-        metrics = at.where("metrics is not null").join(posts, "_video").groupBy(F.col("content_id").alias("record_id")).agg(
-            *[F.max(numbers.compact_number(F.col(f"metrics.{m}"))).alias(c) for m, c in (("likes", "likes"), ("comments", "comments_count"), ("shares", "shares"))]
-        )
+        found = connectors.tiktok_comments(rows, sorted({*(owners or [])}), chosen)
+        metrics = connectors.panel_metrics(at.join(posts, "_video").select(F.col("content_id").alias("record_id"), "file", "metrics"))
         filled = joins.backfill(content, metrics, "record_id", ["likes", "comments_count", "shares"])
         kept = [c for c in content.columns if c != "_ord"]
         sinks.write_csv(filled, f"{bundle}/content.csv.next", kept, ["_ord"])
     old = read_csv(spark, f"{bundle}/comments.csv")
-    if set(columns) <= set(old.columns) and not old.isEmpty():
+    if resume and set(columns) <= set(old.columns) and not old.isEmpty():
         found = old.select(*columns, F.col("_ord")).unionByName(found.select(*columns, (F.col("_ord") + (1 << 50)).alias("_ord")))
     found = dedup.last_wins(found.select(*columns, "_ord"), ["comment_id"])
     sinks.write_csv(found, f"{bundle}/comments.csv.next", columns, ["comment_id"])

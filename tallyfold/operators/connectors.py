@@ -137,19 +137,33 @@ def youtube_comments(comments: DataFrame, content: DataFrame) -> DataFrame:
     return rows.select(*[values.get(c, F.lit("")).alias(c) for c in names], ORDINAL)
 
 
-def tiktok_comments(rows: DataFrame, owners: list[str]) -> DataFrame:
-    """From panel rows (content_id, url, level, user, userHref, text, likeLabel, creator, parentUser, parentText)."""
-    from .joins import is_owner, resolve_parents
+def tiktok_comments(rows: DataFrame, owners: list[str], accounts: DataFrame | None = None) -> DataFrame:
+    """From panel rows (content_id, url, level, user, userHref, text, likeLabel, creator, parentUser, parentText, and file
+    where there are several windows, each of which is read for itself). Rows without a text go.
 
+    A reply's id holds its parent's id, so parents are found first; a top-level comment's id needs none. Official are the
+    creator's own rows and those whose user or profile link is one of ``owners`` or of the ``accounts``.
+    """
+    from .joins import is_owner, resolve_parents, with_accounts
+
+    link = text.clean(F.col("userHref"))
+    scope = ["content_id", *(["file"] if "file" in rows.columns else [])]
     named = rows.select(
-        ORDINAL, "content_id", "url", "level", text.clean(F.col("user")).alias("user"), text.clean(F.col("text")).alias("text"), "likeLabel", "creator", "userHref",
+        ORDINAL, *scope, "url", "level", text.first_present(F.col("user"), F.regexp_replace(link, "^/@", "")).alias("user"), text.clean(F.col("user")).alias("shown"),
+        F.regexp_replace(link, "^(?:[^/]*/){1,2}", "").alias("linked"), text.clean(F.col("text")).alias("text"), "likeLabel", "creator",
         text.clean(F.col("parentUser")).alias("parent_user"), text.clean(F.col("parentText")).alias("parent_text"),
     ).where("text <> ''")
-    named = named.withColumn("comment_id", text.comment_hash(F.col("content_id"), F.concat_ws("|", "parent_user", "parent_text"), F.col("user"), F.col("text")))
-    found = resolve_parents(named, ["content_id"])
-    official = is_owner(F.col("creator"), [F.col("user"), urls.tiktok_handle(F.col("userHref"))], owners)
+
+    def id_under(parent: Column) -> Column:
+        return text.comment_hash(F.col("content_id"), parent, F.col("user"), F.col("text"))
+
+    found = resolve_parents(named.withColumn("comment_id", id_under(F.lit(""))), scope)
+    official = is_owner(F.col("creator"), [F.col("shown"), F.col("linked")], owners)
+    if accounts is not None:
+        found = with_accounts(found, ["shown", "linked"], accounts)
+        official = official | F.col("_own_shown").isNotNull() | F.col("_own_linked").isNotNull()
     values = {
-        "comment_id": F.col("comment_id"),
+        "comment_id": id_under(F.col("parent")),
         "content_id": F.col("content_id"),
         "parent_comment_id": F.col("parent"),
         "commenter": F.col("user"),
@@ -162,6 +176,13 @@ def tiktok_comments(rows: DataFrame, owners: list[str]) -> DataFrame:
     return found.select(*[values.get(c, F.lit("")).alias(c) for c in COMMENT_PLAIN], ORDINAL)
 
 
+def panel_metrics(heads: DataFrame) -> DataFrame:
+    """From windows (record_id, file, metrics): the last window's likes, comments_count and shares of each post."""
+    last = heads.where("metrics is not null").groupBy("record_id").agg(F.max_by("metrics", "file").alias("m"))
+    named = (("likes", "likes"), ("comments", "comments_count"), ("shares", "shares"))
+    return last.select("record_id", *[numbers.compact_number(F.col(f"m.{m}")).alias(c) for m, c in named])
+
+
 def legacy_content(videos: DataFrame, company: str, language: str = "my", collected_at: str = "") -> DataFrame:
     rows = videos.where("vid <> '' and url <> ''")
     values = {
@@ -222,9 +243,25 @@ def write_bundle(out: str, content: DataFrame, comments: DataFrame | None, platf
     sinks.write_json(spark, f"{out}/run_manifest.json", manifest)
 
 
-def deep_reads(content: DataFrame, platform: str, top: int = 30) -> DataFrame:
-    """The most viewed posts of a platform that can be read further."""
+def deep_reads(content: DataFrame, platform: str, top: int = 30, wanted: list[str] | None = None) -> DataFrame:
+    """The posts of a platform that are read further: those asked for by URL (a URL that isn't there is an error), or else
+    the ``top`` most viewed ones that can be (0: all)."""
+    from ..sources.bundle import EvidenceError
+    from .joins import selected
+
     fits = F.lower(text.clean(F.col("platform"))) == platform
     fits = fits & (F.col("url").contains("/video/") if platform == "tiktok" else urls.content_video_id(F.col("url"), F.col("record_id")) != "")
-    ranked = content.where(fits).orderBy(F.desc(numbers.number(F.col("views"))), ORDINAL)
+    found = content.where(fits)
+    if wanted:
+        asked = content.sparkSession.createDataFrame([(w,) for w in wanted], "u string").select(urls.strip_query(F.col("u")).alias("_bare"))
+        chosen, missing = selected(found.withColumn("_bare", urls.strip_query(F.col("url"))), asked, "_bare")
+        if lost := sorted(r["_bare"] for r in missing.collect()):
+            raise EvidenceError(f"not among the posts: {', '.join(lost)}")
+        return chosen.drop("_bare")
+    return most_viewed(found, numbers.number(F.col("views")), top)
+
+
+def most_viewed(content: DataFrame, views: Column, top: int, order: str = ORDINAL) -> DataFrame:
+    """The ``top`` rows of most views, the first of equals first; all of them for 0. A top-k plan, not a sort."""
+    ranked = content.orderBy(F.desc(views), order)
     return ranked.limit(top) if top else ranked

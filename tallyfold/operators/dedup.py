@@ -29,13 +29,24 @@ def longest_wins(df: DataFrame, keys: list[str], text: str, order: str = ORDINAL
 
 
 def richest_wins(df: DataFrame, keys: list[str], score: Column, tab: str, order: str = ORDINAL) -> DataFrame:
-    """The row of greatest score (the first of equals), with ``tab`` as all tabs that had the key, in order."""
+    """The row of greatest score (the first of equals), with ``tab`` as all tabs that had the key, in order.
+
+    Rows meet by key and tab first, so what is gathered for a key is a row per tab.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    tabs = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, tab))), lambda x: x[tab]))
-    picked = df.groupBy(*keys).agg(F.max_by(whole, F.struct(score, -F.col(order))).alias("_row"), F.array_join(tabs, ",").alias("_tabs"))
+    rank = F.struct(score, -F.col(order))
+    by_tab = df.groupBy(*keys, F.col(tab).alias("_tab")).agg(F.max_by(whole, rank).alias("_row"), F.max(rank).alias("_rank"), F.min(order).alias("_first"))
+    tabs = F.transform(F.array_sort(F.collect_list(F.struct("_first", "_tab"))), lambda x: x["_tab"])
+    picked = by_tab.groupBy(*keys).agg(F.max_by("_row", "_rank").alias("_row"), F.array_join(tabs, ",").alias("_tabs"))
     return picked.select("_row.*", "_tabs").withColumn(tab, F.col("_tabs")).drop("_tabs")
 
 
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str = ORDINAL) -> DataFrame:
+    """Each key's distinct values in the order of their first appearance, as an array of that name."""
+    firsts = df.groupBy(*keys, value).agg(F.min(order).alias("_first"))
+    return firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias(value))
+
+
 def filled_fields(df: DataFrame, fields: list[str]) -> Column:
     """How many fields have a value: what makes a record rich."""
     return sum((F.when(clean(F.col(f)) != "", 1).otherwise(0) for f in fields), F.lit(0))

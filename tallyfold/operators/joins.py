@@ -21,6 +21,14 @@ def missing_and_unknown(source: DataFrame, labels: DataFrame, key: str) -> tuple
     return a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
 
 
+def answer_gaps(asked: DataFrame, answered: DataFrame, batch: str, key: str) -> DataFrame:
+    """Per batch: unknown (ids that were answered but not asked) and missing (asked but not answered); both are sets."""
+    a = asked.select(batch, key).distinct().withColumn("_asked", F.lit(True))
+    b = answered.select(batch, key).distinct().withColumn("_answered", F.lit(True))
+    both = a.join(b, [batch, key], "full_outer")
+    return both.groupBy(batch).agg(F.count_if(F.col("_asked").isNull()).alias("unknown"), F.count_if(F.col("_answered").isNull()).alias("missing"))
+
+
 def merge_labels(content: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Content with the labels' columns in place of its own; raw rows stay as they are elsewhere."""
     own = labels.select(clean(F.col(key)).alias("_id"), *[clean(F.col(c)).alias(f"_new_{c}") for c in CONTENT_LABELS if c != key])
@@ -45,22 +53,22 @@ def reply_summary(comments: DataFrame, order: str = ORDINAL) -> DataFrame:
 
 
 def resolve_parents(rows: DataFrame, scope: list[str], order: str = ORDINAL) -> DataFrame:
-    """parent: of a reply, the comment that it names (user and text, seen before it), or else the last top-level comment.
+    """parent: of a reply (level 2), the top-level comment that it names (the last of that user and text before it), or
+    else the last top-level comment before it; blank for all others and where there is none.
 
-    The named match is an equi-join on scope, user and text whose latest earlier row wins; the fallback is one window.
+    Rows have comment_id (of top-level comments at least), level (null counts as 1), user, text, parent_user and
+    parent_text. A top-level comment and the replies that name it share a key, so one window per key finds them: no join.
     """
-    back = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.last(F.when(F.col("level") == 1, F.col("comment_id")), ignorenulls=True).over(back)
-    named = rows.select(
-        *[F.col(s).alias(f"_p_{s}") for s in scope], F.col("user").alias("_p_user"), F.col("text").alias("_p_text"), F.col(order).alias("_p_ord"), F.col("comment_id").alias("_p_id")
+    level = F.coalesce(F.col("level"), F.lit(1))
+    top, reply = level == 1, level == 2
+    keyed = rows.withColumns(
+        {"_top": F.when(top, F.col("comment_id")), "_user": F.when(reply, F.col("parent_user")).otherwise(F.col("user")), "_text": F.when(reply, F.col("parent_text")).otherwise(F.col("text"))}
     )
-    left = rows.withColumn("_above", above)
-    on: Column = (F.col("parent_user") == F.col("_p_user")) & (F.col("parent_text") == F.col("_p_text")) & (F.col("_p_ord") < F.col(order)) & (F.col("level") == 2)
-    for s in scope:
-        on = on & (F.col(s) == F.col(f"_p_{s}"))
-    best = left.join(named, on, "left").groupBy(*[F.col(f"`{c}`") for c in left.columns]).agg(F.max_by("_p_id", "_p_ord").alias("_named"))
-    parent = F.when(F.col("level") == 1, "").otherwise(F.coalesce("_named", "_above", F.lit("")))
-    return best.withColumn("parent", parent).drop("_above", "_named")
+    back = (Window.unboundedPreceding, -1)
+    above = F.last("_top", ignorenulls=True).over(Window.partitionBy(*scope).orderBy(order).rowsBetween(*back))
+    named = F.last("_top", ignorenulls=True).over(Window.partitionBy(*scope, "_user", "_text").orderBy(order).rowsBetween(*back))
+    parent = F.when(reply, F.coalesce(named, above, F.lit(""))).otherwise("")
+    return keyed.withColumn("parent", parent).drop("_top", "_user", "_text")
 
 
 def selected(content: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -76,17 +84,25 @@ def backfill(content: DataFrame, metrics: DataFrame, key: str, fields: list[str]
     return joined.select(*kept)
 
 
-def is_owner(creator: Column, names: list[Column], owners: DataFrame | list[str]) -> Column:
-    """The creator's own flag, or any name that, compared as an identity, is among a short list of owners."""
-    listed = F.array(*[F.lit(o) for o in owners]) if isinstance(owners, list) else None
-    if listed is None:
-        raise TypeError("owners is a list of normalized names; join larger sets")
+def is_owner(creator: Column, names: list[Column], owners: list[str]) -> Column:
+    """The creator's own flag, or any name that is among a short list of owners; all are compared as identities."""
+    if not isinstance(owners, list):
+        raise TypeError("owners is a list of names; join larger sets")
+    listed = F.transform(F.array(*[F.lit(o) for o in owners]).cast("array<string>"), identity_name)
     hit = F.coalesce(creator, F.lit(False))
     for n in names:
         hit = hit | ((identity_name(n) != "") & F.array_contains(listed, identity_name(n)))
     return hit
 
 
+def with_accounts(rows: DataFrame, names: list[str], accounts: DataFrame, account: str = "account") -> DataFrame:
+    """Rows with _own_<name> for each named column: the account that it is, as an identity, or null."""
+    known = accounts.select(identity_name(F.col(account)).alias("_id")).where("_id <> ''").distinct()
+    for n in names:
+        rows = rows.join(known.select(F.col("_id").alias(f"_own_{n}")), identity_name(F.col(n)) == F.col(f"_own_{n}"), "left")
+    return rows
+
+
 def representatives(taxonomy: DataFrame, labels: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
     """From (id, rep) pairs: representatives without a source row, and those assigned elsewhere."""
     named = labels.select(clean(F.col(key)).alias("rep"), clean(F.col(label)).alias("assigned"))

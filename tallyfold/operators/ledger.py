@@ -18,7 +18,7 @@ from ..schemas import BUNDLE_FILES, CHANGE_TYPES, ENTITIES, LEDGER_VERSION
 from ..sources import sinks
 from ..sources.bundle import SNAPSHOT, EvidenceError, bundle_fingerprint, read_bundle
 from .diff import key_violations, latest, not_observed, observed_changes, row_map
-from .stats import observation_columns
+from .stats import first_and_last, observation_columns
 
 KEYS = ["entity_type", "stable_id"]
 RUNS = "run_sequence long, run_id string, imported_at string, observed_at string, label string, scope_key string, scope_json string, fingerprint string, archive string, manifest_json string, schemas_json string, counts_json string"
@@ -106,7 +106,7 @@ class Ledger:
         return self._committed(self._read("changes", CHANGES))
 
     def entities(self) -> DataFrame:
-        return self.observations().groupBy(*KEYS).agg(F.min("run_sequence").alias("first_seen_run"), F.max("run_sequence").alias("last_seen_run"))
+        return first_and_last(self.observations(), KEYS, "run_sequence")
 
     def incoming(self, tables: dict[str, DataFrame]) -> DataFrame:
         """entity_type, stable_id, row of all three tables."""
@@ -197,7 +197,7 @@ class Ledger:
         if run is None:
             raise EvidenceError(f"unknown run {run_id or sequence or ''}")
         rows = self.changes().where(F.col("run_sequence") == run["run_sequence"])
-        counts = rows.agg(*[F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES]).first().asDict()
+        counts = change_counts(rows).drop("rows").first().asDict()
         listed = rows.orderBy("entity_type", "change_type", "stable_id").collect()
         return {
             "schema_version": LEDGER_VERSION,
@@ -248,8 +248,9 @@ class Ledger:
         committed = self.observations()
         mismatches = committed.agg(F.count_if(sha256(canonical_json(F.col("row"))) != F.col("row_hash")).alias("n")).first()["n"]
         changes = self.changes()
-        lost = changes.where("current_run is not null").join(committed.select(*KEYS, F.col("run_sequence").alias("current_run")), [*KEYS, "current_run"], "left_anti").count()
-        lost += changes.where("previous_run is not null").join(committed.select(*KEYS, F.col("run_sequence").alias("previous_run")), [*KEYS, "previous_run"], "left_anti").count()
+        known = committed.select(*KEYS, "run_sequence")
+        lost = broken_references(changes, known, {**{k: k for k in KEYS}, "current_run": "run_sequence"}).count()
+        lost += broken_references(changes, known, {**{k: k for k in KEYS}, "previous_run": "run_sequence"}).count()
         archives = []
         for r in runs.select("run_id", "archive", "fingerprint").collect():
             try:
@@ -270,6 +271,19 @@ class Ledger:
         }
 
 
+def change_counts(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many changes there are of each type, and rows: of all."""
+    return changes.groupBy(*(by or [])).agg(*[F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES], F.count(F.lit(1)).alias("rows"))
+
+
+def broken_references(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Rows of ``child`` whose reference (its columns to the parent's) has no row; a null reference refers to nothing."""
+    named = parent.select(*[F.col(p).alias(c) for c, p in keys.items()])
+    for c in keys:
+        child = child.where(F.col(c).isNotNull())
+    return child.join(named, list(keys), "left_anti")
+
+
 def previous_run_in_scope(runs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 

@@ -22,9 +22,11 @@ def category_stats(content: DataFrame, category: str = "content_type", views: st
     stats = rows.groupBy("_category").agg(
         F.count(F.lit(1)).alias("count"),
         F.coalesce(F.bround(F.avg(value)), F.lit(0)).cast("bigint").alias("mean_views"),
-        F.coalesce(F.bround(F.median(value)), F.lit(0)).cast("bigint").alias("median_views"),
         F.count(value).alias("view_coverage"),
     )
+    middle = medians(rows.select("_category", value.alias("_value")), ["_category"], "_value")
+    stats = stats.join(middle.select("_category", F.bround("median").cast("bigint").alias("_median")), "_category", "left")
+    stats = stats.withColumn("median_views", F.coalesce("_median", F.lit(0)).cast("bigint"))
     top = first_k_rows(rows, ["_category"], [F.desc(number(F.col(views))), F.col(ORDINAL)], k)
     top = top.groupBy("_category").agg(first_k(F.struct("_rank", F.col(key).alias("id")), k, "id").alias("evidence_ids"))
     total = content.groupBy().agg(F.count(F.lit(1)).alias("_total"))
@@ -47,15 +49,70 @@ def first_k_rows(df: DataFrame, group: list[str], order: list, k: int) -> DataFr
     return ranked.where(F.col("_rank") <= k)
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The exact median of ``value`` (a whole number; nulls don't count) for each group: ``by`` and median.
+
+    Values are counted before the shuffle and their counts summed in order, so a group costs a row per distinct value and
+    sorts on disk where it must; no group's values are held in memory.
+    """
+    from pyspark.sql import Window
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    summed = counts.withColumn("_upto", F.sum("_n").over(group.orderBy(value)))
+    ends = summed.groupBy(*by).agg(F.sum("_n").alias("_all")) if by else summed.agg(F.sum("_n").alias("_all"))
+    keyed = summed.join(ends, by) if by else summed.crossJoin(F.broadcast(ends))  # one row
+    lower = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col(value)))
+    upper = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col(value)))
+    return keyed.groupBy(*by).agg(((lower + upper) / 2).alias("median"))
+
+
 def totals(content: DataFrame, views: str = "views") -> DataFrame:
+    """One row of totals. The median is taken between bounds that a quantile sketch gives, so that only the values near the
+    middle are put in order."""
     value = parsed(F.col(views))
-    return content.agg(
+    rows = content.select(value.alias("_value"))
+    one = content.agg(
         F.count(F.lit(1)).alias("content_rows"),
         F.coalesce(F.sum(value), F.lit(0)).alias("total_views"),
         F.coalesce(F.bround(F.avg(value)), F.lit(0)).cast("bigint").alias("mean_views"),
-        F.coalesce(F.bround(F.median(value)), F.lit(0)).cast("bigint").alias("median_views"),
         F.count(value).alias("view_coverage"),
+        F.percentile_approx(value, [0.499, 0.501], 10_000).alias("_near"),
     )
+    bounds = one.select(F.col("_near")[0].alias("_lo"), F.col("_near")[1].alias("_hi"), F.col("view_coverage").alias("_all"))
+    near = rows.crossJoin(F.broadcast(bounds))  # one row of bounds
+    # what is below the bounds counts as one value, so the places of the two middle values stay as they are
+    counts = near.where(F.col("_value").isNotNull()).groupBy(F.when(F.col("_value") >= F.col("_lo"), F.least("_value", F.col("_hi") + 1)).alias("_v"), "_all").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_v"))))
+    lower = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col("_v")))
+    upper = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_v")))
+    middle = upto.agg(F.coalesce(F.bround((lower + upper) / 2), F.lit(0)).cast("bigint").alias("median_views"))
+    return one.crossJoin(F.broadcast(middle)).select("content_rows", "total_views", "mean_views", "median_views", "view_coverage")
+
+
+def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """How many rows meet each condition, in one pass; a condition of None counts all rows."""
+    return df.agg(*[(F.count(F.lit(1)) if c is None else F.count_if(c)).alias(name) for name, c in conditions.items()])
+
+
+def only_value(df: DataFrame, column: Column, value: str, by: list[str] | None = None) -> DataFrame:
+    """only_one: whether every row has ``value``; any: whether there are rows."""
+    return df.groupBy(*(by or [])).agg(F.coalesce(F.bool_and(column == value), F.lit(False)).alias("only_one"), (F.count(F.lit(1)) > 0).alias("any"))
+
+
+def share_counts(df: DataFrame, column: Column, name: str, condition: Column) -> DataFrame:
+    """Rows by key with the share of them that meets a condition, as a percentage."""
+    from ..functions.numbers import percent
+
+    by = df.groupBy(column.alias(name)).agg(F.count(F.lit(1)).alias("count"), F.count_if(condition).alias("_met"))
+    return by.select(name, "count", percent(F.col("_met"), F.col("count")).alias("share"))
+
+
+def first_and_last(df: DataFrame, keys: list[str], order: str, first: str = "first_seen_run", last: str = "last_seen_run") -> DataFrame:
+    """The first and last place of each key."""
+    return df.groupBy(*keys).agg(F.min(order).alias(first), F.max(order).alias(last), F.count(F.lit(1)).alias("runs"))
 
 
 def most_common(df: DataFrame, column: Column, name: str, order: str = ORDINAL) -> DataFrame:
@@ -122,21 +179,22 @@ def analyze(census: DataFrame, content: DataFrame, comments: DataFrame) -> dict:
     if lost := [r["content_id"] for r in orphans(comments, content).orderBy("content_id").limit(10).collect()]:
         raise EvidenceError(f"comments: unknown content_id: {', '.join(lost)}")
     users, official = comments.where(~truthy(F.col("is_official"))), comments.where(truthy(F.col("is_official")))
+    told = truthy(F.col("is_official"))
+    counts = conditional_counts(comments, {"comment_rows": None, "user_comments": ~told, "official_replies": told}).first().asDict()
+    deep = conditional_counts(census, {"census_channels": None, "deep_dive_channels": F.lower("deep_dive") == "yes"}).first().asDict()
+    unclassified = only_value(content, F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.lit("unclassified")), "unclassified").first()["only_one"]
     topics = {r["topic"]: r["count"] for r in most_common(users, F.col("topic"), "topic").collect()}
     stats = [r.asDict() for r in category_stats(content).collect()]
     return {
-        "census_channels": census.count(),
-        "deep_dive_channels": census.where(F.lower("deep_dive") == "yes").count(),
+        **deep,
         **totals(content).first().asDict(),
-        "comment_rows": comments.count(),
-        "user_comments": users.count(),
-        "official_replies": official.count(),
+        **counts,
         "platforms": {r["platform"]: r["count"] for r in key_counts(content, F.col("platform"), "platform").collect()},
         "category_stats": stats,
         "topic_counts": topics,
         "response_counts": {r["mode"]: r["count"] for r in most_common(official, F.col("response_mode"), "mode").collect()},
         "top_topic": next(iter(topics), None),
-        "unclassified_only": {s["category"] for s in stats} == {"unclassified"},
+        "unclassified_only": unclassified,
         "evidence": [r.asDict() for r in top_evidence(content).collect()],
     }
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
-from ..operators import dedup, diff, gates, joins, stats, voice
+from ..operators import dedup, diff, gates, joins, ledger, stats, voice
 from .roles import COMMENTS_SQL, CONTENT_SQL, OBSERVATIONS_SQL, comments, content, observations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,25 +58,20 @@ def platform_counts(spark, sf_dir):
  count(*) FILTER (official AND response_mode = 'useful_answer') AS useful, count(*) FILTER (likes > 500) AS long FROM comments""")
 def conditional_counts(spark, sf_dir):
     official = text.truthy(F.col("is_official"))
-    return comments(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("comment_rows"),
-        F.count_if(~official).alias("user_comments"),
-        F.count_if(official).alias("official_replies"),
-        F.count_if(official & (F.col("response_mode") == "useful_answer")).alias("useful"),
-        F.count_if(numbers.number(F.col("likes")) > 500).alias("long"),
-    )
+    wanted = {"comment_rows": None, "user_comments": ~official, "official_replies": official, "useful": official & (F.col("response_mode") == "useful_answer"), "long": numbers.number(F.col("likes")) > 500}
+    return stats.conditional_counts(comments(spark, sf_dir), wanted)
 
 
 @query("""WITH per AS (SELECT DISTINCT user_id, event_type FROM events) SELECT event_type AS mode, count(*) AS count, min(user_id) AS first FROM per GROUP BY event_type""")
 def multivalue_mode_counts(spark, sf_dir):
-    modes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("modes"))
-    each = modes.select(F.col("user_id").alias("_ord"), F.explode(F.split("modes", r"\|")).alias("mode"))
-    return stats.most_common(each, F.col("mode"), "mode")
+    per = dedup.ordered_distinct(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_type")
+    rows = per.select(F.col("user_id").alias("_ord"), F.array_join("event_type", "|").alias("official_response_modes"))
+    return voice.mode_counts(rows).select("mode", "count", F.col("first._ord").alias("first"))
 
 
 @query(f"WITH {OBSERVATIONS_SQL} SELECT user_id, min(day) AS first_seen_run, max(day) AS last_seen_run, count(*) AS runs FROM obs GROUP BY user_id")
 def entity_first_last_seen(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("user_id").agg(F.min("day").alias("first_seen_run"), F.max("day").alias("last_seen_run"), F.count(F.lit(1)).alias("runs"))
+    return stats.first_and_last(observations(spark, sf_dir), ["user_id"], "day")
 
 
 _LAGGED = f"""WITH {OBSERVATIONS_SQL}, lagged AS (
@@ -94,7 +89,7 @@ def lag_change_type(spark, sf_dir):
 @query(f"{_LAGGED} SELECT day, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'updated') AS n_updated, count(*) FILTER (change_type = 'unchanged') AS n_unchanged FROM typed GROUP BY day")
 def change_type_counts(spark, sf_dir):
     found = diff.all_run_changes(observations(spark, sf_dir), ["user_id"], "day", "row")
-    return found.groupBy("day").agg(*[F.count_if(F.col("change_type") == t).alias(f"n_{t}") for t in ("new", "updated", "unchanged")])
+    return ledger.change_counts(found, ["day"]).select("day", *[F.col(t).alias(f"n_{t}") for t in ("new", "updated", "unchanged")])
 
 
 @query("SELECT conv_id, count(*) AS count FROM conversations GROUP BY conv_id HAVING count(*) > 1")
@@ -133,13 +128,12 @@ def last_active(spark, sf_dir):
 
 @query("SELECT lang, bool_and(source = 'src0') AS only_one, count(*) > 0 AS any FROM documents GROUP BY lang")
 def only_one_value(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.bool_and(F.col("source") == "src0").alias("only_one"), (F.count(F.lit(1)) > 0).alias("any"))
+    return stats.only_value(table(spark, sf_dir, "documents"), F.col("source"), "src0", ["lang"])
 
 
 @query("SELECT source, count(*) AS count, CASE WHEN count(*) > 0 THEN printf('%.0f%%', round_even(100.0 * count(*) FILTER (lang = 'en') / count(*), 0)) ELSE 'n/a' END AS share FROM documents GROUP BY source")
 def tab_counts(spark, sf_dir):
-    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("lang") == "en").alias("_en"))
-    return by.select("source", "count", numbers.percent(F.col("_en"), F.col("count")).alias("share"))
+    return stats.share_counts(table(spark, sf_dir, "documents"), F.col("source"), "source", F.col("lang") == "en")
 
 
 # ------------------------------------------------------------------------------------------------ latest per key
@@ -403,22 +397,22 @@ def owner_match(spark, sf_dir):
 @query("""WITH a AS (SELECT DISTINCT l_orderkey // 1000 AS batch, l_orderkey AS id FROM lineitem), b AS (SELECT o_orderkey // 1000 AS batch, o_orderkey AS id FROM orders)
 SELECT coalesce(a.batch, b.batch) AS batch, count(*) FILTER (b.id IS NULL) AS unknown, count(*) FILTER (a.id IS NULL) AS missing FROM a FULL JOIN b ON a.batch = b.batch AND a.id = b.id GROUP BY 1""")
 def id_set_equality(spark, sf_dir):
-    got = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().select(F.floor(F.col("l_orderkey") / 1000).alias("batch"), F.col("l_orderkey").alias("id"), F.lit(1).alias("g"))
-    asked = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("batch"), F.col("o_orderkey").alias("id"), F.lit(1).alias("a"))
-    both = got.join(asked, ["batch", "id"], "full_outer")
-    return both.groupBy("batch").agg(F.count_if(F.col("a").isNull()).alias("unknown"), F.count_if(F.col("g").isNull()).alias("missing"))
+    answered = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("batch"), F.col("l_orderkey").alias("id"))
+    asked = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("batch"), F.col("o_orderkey").alias("id"))
+    return joins.answer_gaps(asked, answered, "batch", "id")
 
 
 @query("""SELECT 'lineitem-part' AS reference, count(*) AS broken FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL
 SELECT 'orders-customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'labels-documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'fr')""")
 def referential_checks(spark, sf_dir):
-    def broken(name, child, key, parent):
-        return child.select(F.col(key).alias("k")).join(parent, "k", "left_anti").agg(F.lit(name).alias("reference"), F.count(F.lit(1)).alias("broken"))
+    def broken(name, child, key, parent, to):
+        found = ledger.broken_references(child, parent, {key: to})
+        return found.agg(F.lit(name).alias("reference"), F.count(F.lit(1)).alias("broken"))
 
     t = lambda n: table(spark, sf_dir, n)
-    found = broken("lineitem-part", t("lineitem"), "l_partkey", t("part").select(F.col("p_partkey").alias("k")))
-    found = found.union(broken("orders-customer", t("orders"), "o_custkey", t("customer").select(F.col("c_custkey").alias("k"))))
-    return found.union(broken("labels-documents", t("labels"), "doc_id", t("documents").where("lang <> 'fr'").select(F.col("doc_id").alias("k"))))
+    found = broken("lineitem-part", t("lineitem"), "l_partkey", t("part"), "p_partkey")
+    found = found.union(broken("orders-customer", t("orders"), "o_custkey", t("customer"), "c_custkey"))
+    return found.union(broken("labels-documents", t("labels"), "doc_id", t("documents").where("lang <> 'fr'"), "doc_id"))
 
 
 # ------------------------------------------------------------------------------------------------ order and top-k
@@ -438,7 +432,10 @@ def top3_per_group(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages WHERE url LIKE '%/en/%' ORDER BY length(html) DESC, page_id LIMIT 30")
 def top_posts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("url").contains("/en/")).orderBy(F.desc(F.length("html")), "page_id").limit(30).select("page_id", "url")
+    from ..operators.connectors import most_viewed
+
+    pages = table(spark, sf_dir, "pages").where(F.col("url").contains("/en/"))
+    return most_viewed(pages, F.length("html"), 30, "page_id").select("page_id", "url")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row, (row_number() OVER (ORDER BY o_orderkey) - 1) // 12 AS batch FROM orders")
@@ -462,15 +459,16 @@ def bundle_order(spark, sf_dir):
 UNION ALL SELECT DISTINCT 'both', (SELECT count(*)::VARCHAR FROM (SELECT p_type FROM part WHERE p_size > 40 INTERSECT SELECT p_type FROM part WHERE p_size < 10))""")
 def set_operations(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    only = parts.where("p_size > 25").select("p_brand").distinct().join(parts.where("p_size < 3").select("p_brand"), "p_brand", "left_anti")
-    both = parts.where("p_size > 40").select("p_type").intersect(parts.where("p_size < 10").select("p_type")).agg(F.count(F.lit(1)).cast("string").alias("side"))
+    _, only = joins.missing_and_unknown(parts.where("p_size < 3").select("p_brand"), parts.where("p_size > 25").select("p_brand"), "p_brand")
+    both, _ = joins.selected(parts.where("p_size > 40").select("p_type").distinct(), parts.where("p_size < 10").select("p_type"), "p_type")
+    both = both.agg(F.count(F.lit(1)).cast("string").alias("side"))
     return only.select(F.col("p_brand").alias("k"), F.lit("only_a").alias("side")).union(both.select(F.lit("both").alias("k"), "side"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS tabs FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY user_id")
 def ordered_distinct(spark, sf_dir):
-    firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("o"))
-    return firsts.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "event_type"))), lambda x: x["event_type"]), ",").alias("tabs"))
+    found = dedup.ordered_distinct(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+    return found.select("user_id", F.array_join("event_type", ",").alias("tabs"))
 
 
 @query(f"""{_LAGGED} SELECT user_id, day, CASE WHEN event_type <> e0 THEN 'event_type:' || e0 || '>' || event_type ELSE '' END AS event_change,
