@@ -105,10 +105,12 @@ def label_with_model(spark: SparkSession, bundle: str, mode: str, language: str,
     if batch:
         proposals.append(client.chat_json(classify.SYSTEM, classify.taxonomy_prompt(mode, batch, language), classify.taxonomy_schema(mode)))
     items = classify.merge_taxonomies(client, mode, proposals, language)
-    labelled = classify.classify_rows(rows.orderBy("_ord").select(*shown), make_client, mode, items, language)
+    labelled = classify.classify_rows(rows.select(*shown, "_ord"), make_client, mode, items, language)
     sinks.write_csv(labelled, f"{out}/{labels_name}", columns, [key])  # written once: a model is asked once per row
     labels = read_csv(spark, f"{out}/{labels_name}")
-    items = classify.with_representatives(items, labels, mode)
+    if bad := classify.answer_violations(labels, mode, {i["id"] for i in items}).limit(10).collect():
+        raise classify.ModelError("; ".join(f"{r['id']}: {r['message']}" for r in bad))
+    items = classify.with_representatives(items, labels, mode, rows)
     sinks.write_json(spark, f"{out}/{taxonomy_name}", classify.taxonomy_document(items, mode, language))
     return apply(spark, bundle, mode)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,8 +151,6 @@ def salvage_json(text: str) -> object:
 
 def salvage(df: DataFrame, column: str, out: str) -> DataFrame:
     """salvage_json over a column, as canonical JSON text; null where there is none."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(t):

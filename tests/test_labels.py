@@ -135,11 +135,27 @@ def test_model_labels(spark, bundle):
     fake = Fake(wrong_once=True)
     rows = [{"record_id": "a"}, {"record_id": "b"}]
     got = classify.classify_batch(fake, "content", rows, items, "en")
-    assert fake.calls == 2 and [r["classification_confidence"] for r in got] == ["high", "high"]
-    labels = classify.classify_rows(read_csv(spark, str(bundle / "content.csv")), Fake, "content", items, "en", rows=3)
+    assert fake.calls == 2 and [r["record_id"] for r in got] == ["a", "b"]
+    shaped = classify.answer_columns(spark.createDataFrame(got), "content").collect()
+    assert [r["classification_confidence"] for r in shaped] == ["high", "high"]
+    source = read_csv(spark, str(bundle / "content.csv"))
+    labels = classify.classify_rows(source, Fake, "content", items, "en", rows=3)
     assert sorted(r["record_id"] for r in labels.collect()) == ["R0", "R1", "R2", "R3"]
-    used = classify.with_representatives(items, labels, "content")
+    used = classify.with_representatives(items, labels, "content", source)
     assert [i["id"] for i in used] == ["how_to"] and used[0]["representative_record_ids"] == ["R0", "R1", "R2"]
+    turned = source.withColumn("_ord", -source["_ord"])
+    assert classify.with_representatives(items, labels, "content", turned)[0]["representative_record_ids"] == ["R3", "R2", "R1"]
+
+    class Twice(Fake):
+        def chat_json(self, system, user, schema):
+            got = super().chat_json(system, user, schema)
+            return {"records": [*got["records"], got["records"][0]]}
+
+    with pytest.raises(classify.ModelError):
+        classify.classify_batch(Twice(), "content", rows, items, "en")
+    odd = labels.withColumn("content_type", classify.F.when(classify.F.col("record_id") == "R1", "elsewhere").otherwise(classify.F.col("content_type")))
+    assert [(r["rule"], r["id"]) for r in classify.answer_violations(odd, "content", {"how_to"}).collect()] == [("unknown_category", "R1")]
+    assert classify.distinct(["a", "a", "a_2", "a"]) == ["a", "a_2", "a_2_2", "a_3"]
 
     class Bad(Fake):
         def chat_json(self, system, user, schema):
