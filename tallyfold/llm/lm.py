@@ -29,6 +29,7 @@ whose restaurants are dealt over parts (MOST_HOT at most), which settles where t
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -40,11 +41,12 @@ from .common import bucket_of, kept_table, mixed, shuffle_partitions, text_of, w
 
 SAMPLES = 2
 BURN = 2
-BLOCK_CHARS = 12 << 20
-PART_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
+PART_CHARS = 8 << 20
 HASHED_AT_ONCE = 1 << 20  # characters
-SAMPLE_CHARS = 24 << 20  # of the sample that tells hot words
-MOST_HOT = 1 << 16
+SAMPLE_CHARS = 24 << 20  # of the sample that tells hot and common words
+MOST_HOT, MOST_COMMON = 1 << 16, 1 << 18
+HOT_PARTS = 1.5  # parts that a word's restaurants would fill before they are dealt over several
 STRENGTHS = (100.0, 10.0, 1.0)  # of the root, of one word before, of two
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
 START = np.uint64(0x13198A2E03707344)  # what stands before a text's first token, twice
@@ -95,19 +97,39 @@ def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, counts
 
 
-def splits_of(words: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Over how many places the restaurants behind each word are dealt."""
-    names, many = hot
-    if not len(names):
-        return np.ones(len(words), np.int64)
-    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-    return np.where(names[at] == words, many[at], 1)
+class Sampled:
+    """What a sample tells of the words: ``hot`` ones (ascending hashes) with ``many``, over how many places what follows
+    them is dealt, and ``common`` ones (ascending hashes), which are sent by their places in this list."""
 
+    def __init__(self, hot: np.ndarray, many: np.ndarray, common: np.ndarray):
+        self.hot, self.many, self.common = hot, many, common
 
-def dealt(before: np.ndarray, words: np.ndarray, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The part of each token: by the word before, and by the word too where that is hot."""
-    many = splits_of(before, hot).astype(np.uint64)
-    return part_of(np.where(many > 1, joint(before, mixed(words) % many), before), parts)
+    def splits(self, words: np.ndarray) -> np.ndarray:
+        """Over how many places the restaurants behind each word are dealt."""
+        if not len(self.hot):
+            return np.ones(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        return np.where(self.hot[at] == words, self.many[at], 1)
+
+    def dealt(self, before: np.ndarray, words: np.ndarray, parts: int) -> np.ndarray:
+        """The part of each token: by the word before, and by the word too where that is hot."""
+        many = self.splits(before).astype(np.uint64)
+        at = np.flatnonzero(many > 1)
+        places = before.copy()
+        places[at] = joint(before[at], mixed(words[at]) % many[at])
+        return part_of(places, parts)
+
+    def named(self, words: np.ndarray) -> tuple[bytes, bytes]:
+        """Ascending hashes, packed: the places of common words, and the hashes of others."""
+        if not len(self.common):
+            return squeeze(np.zeros(0, np.int64), "<u4"), squeeze_rising(words)
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        known = self.common[at] == words
+        return squeeze(np.diff(at[known], prepend=0), "<u4"), squeeze_rising(words[~known])
+
+    def names(self, packed: tuple[bytes, bytes]) -> np.ndarray:
+        places = np.cumsum(expand(packed[0], "<u4").astype(np.int64))
+        return np.sort(np.concatenate([self.common[places], expand_rising(packed[1])]))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -115,45 +137,49 @@ def dealt(before: np.ndarray, words: np.ndarray, parts: int, hot: tuple[np.ndarr
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def block_messages(block: int, ids: list, held: list[bool], words: np.ndarray, counts: np.ndarray, parts: int, hot: tuple) -> list[tuple]:
-    """(part, block, packed) for each part that has tokens of the block."""
+def block_messages(ids: list, held: list[bool], words: np.ndarray, counts: np.ndarray, parts: int, told: Sampled):
+    """(part, packed) for each part that has tokens of the block."""
     n = len(words)
     first = np.cumsum(counts) - counts
     known, own = np.unique(np.append(words, START), return_inverse=True)
+    own = own.astype(np.int32)
     start, own = own[-1], own[:-1]
-    before, earlier = np.empty(n, np.int64), np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[1:] = own[:-1]
     before[first] = start
-    earlier[1:] = before[:-1]
-    earlier[first] = start
-    code = np.repeat(np.arange(len(counts)) * 2 + np.array(held, np.int64), counts)
-    part = dealt(known[before], words, parts, hot)
-    order = np.argsort(part * len(known) + before, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1)) if parts < n else None
-    spans = [(p, cut[p], cut[p + 1]) for p in range(parts) if cut[p] < cut[p + 1]] if cut is not None else None
-    if spans is None:
-        at = np.flatnonzero(np.diff(part[order], prepend=-1))
-        spans = [(int(part[order[a]]), a, b) for a, b in zip(at, np.append(at[1:], n), strict=True)]
-    out = []
-    for p, a, b in spans:
+    code = np.repeat((np.arange(len(counts)) * 2 + np.array(held, np.int64)).astype(np.uint32), counts)
+    part = told.dealt(known[before], words, parts)
+    order = np.argsort(part * len(known) + before, kind="stable").astype(np.int32)
+    part = part[order]
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    place = np.zeros(len(known), np.int32)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), n], strict=True):
         mine = order[a:b]
-        names, at = np.unique(np.concatenate([before[mine], earlier[mine], own[mine]]), return_inverse=True)
-        two, one, word = at.reshape(3, -1)
+        earlier = before[np.maximum(mine - 1, 0)]
+        earlier[before[mine] == start] = start
+        three = np.concatenate([before[mine], earlier, own[mine]])
+        if 16 * len(three) > len(known):
+            seen = np.zeros(len(known), bool)
+            seen[three] = True
+            names = np.flatnonzero(seen)
+        else:
+            names = np.unique(three)
+        place[names] = np.arange(len(names))
+        two, one, word = place[three].reshape(3, -1)
         ends = np.flatnonzero(words[mine] == END)
         docs = code[mine[ends]] >> 1
-        told = [ids[d] for d in docs.tolist()]
+        named = [ids[d] for d in docs.tolist()]
         packed = [
-            squeeze_rising(known[names]),
+            *told.named(known[names]),
             squeeze(np.diff(two, prepend=0), "<u4"),
             squeeze(one, "<u4"),
             squeeze(word, "<u4"),
             squeeze(code[mine], "<u4"),
-            squeeze(np.array([0 if i is None else i for i in told], np.int64), "<i8"),
-            squeeze(np.array([i is None for i in told], np.uint8), "<u1"),
+            squeeze(np.array([0 if i is None else i for i in named], np.int64), "<i8"),
+            squeeze(np.array([i is None for i in named], np.uint8), "<u1"),
             squeeze(counts[docs], "<u4"),
         ]
-        out.append((p, block, b"".join(len(x).to_bytes(4, "little") + x for x in packed)))
-    return out
+        yield int(part[a]), b"".join(len(x).to_bytes(4, "little") + x for x in packed)
 
 
 def opened(packed: bytes) -> list[bytes]:
@@ -173,33 +199,49 @@ class Dishes:
     Dishes of these: t_u, t_b (places in the former) and customers. token: each token's dish, in the blocks' order.
     """
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], told: Sampled):
         rows = sorted(rows, key=lambda r: r[0])
         messages = [opened(r[1]) for r in rows]
-        names = [expand_rising(m[0]) for m in messages]
+        names = [told.names((m[0], m[1])) for m in messages]
         known, place = np.unique(np.concatenate(names), return_inverse=True)
-        base = np.cumsum([0] + [len(x) for x in names])
-        two, one, word = (
-            np.concatenate([place[f + (np.cumsum(expand(m[k], "<u4")) if k == 1 else expand(m[k], "<u4")).astype(np.int64)] for f, m in zip(base, messages, strict=False)])
-            for k in (1, 2, 3)
-        )
-        codes = [expand(m[4], "<u4") for m in messages]
+        size, place = len(known), place.astype(np.int32)
+        first = np.cumsum([0] + [len(x) for x in names])
+        del names
+        codes = [expand(m[5], "<u4") for m in messages]
         train = np.concatenate(codes) & 1 == 0
-        self.blocks = [(r[0], c >> 1, m[5], m[6], m[7]) for r, c, m in zip(rows, codes, messages, strict=True)]
-        dish, self.b_word = np.unique(word, return_inverse=True)
-        self.words = known[dish]
-        self.counts = np.bincount(self.b_word[train], minlength=len(dish))
-        key, b = np.unique(two * len(dish) + self.b_word, return_inverse=True)
-        b_two, self.b_word = np.divmod(key, len(dish))
+        self.blocks = [(r[0], c >> 1, m[6], m[7], m[8]) for r, c, m in zip(rows, codes, messages, strict=True)]
+
+        def column(k: int) -> np.ndarray:
+            found = (expand(m[k], "<u4").astype(np.int64) for m in messages)
+            return np.concatenate([place[f + (np.cumsum(x) if k == 2 else x)] for f, x in zip(first, found, strict=False)])
+
+        # one number for (word before, the one before that, word), so that one sort finds all dishes
+        pair = column(2).astype(np.int64) * size + column(3)
+        if size**3 >= 1 << 62:
+            pairs, pair = np.unique(pair, return_inverse=True)
+        else:
+            pairs = None
+        dish, self.token = np.unique(pair * size + column(4), return_inverse=True)
+        del pair, place, messages
+        self.token = self.token.astype(np.int32)
+        pair, word = np.divmod(dish, size)
+        pair = pair if pairs is None else pairs[pair]
+        two, one = np.divmod(pair, size)
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        self.t_u = np.cumsum(new) - 1
+        key, self.t_b = np.unique(two * size + word, return_inverse=True)
+        b_two, b_word = np.divmod(key, size)
+        dishes, self.b_word = np.unique(b_word, return_inverse=True)
         befores, self.b_two = np.unique(b_two, return_inverse=True)
-        self.befores = known[befores]
-        self.u_hash, u = np.unique(joint(known[one], known[two]), return_inverse=True)
-        self.u_two = np.zeros(len(self.u_hash), np.int64)
-        self.u_two[u] = np.searchsorted(befores, two)
-        del one, two, word, place
-        key, self.token = np.unique(u * len(b_two) + b, return_inverse=True)
-        self.t_u, self.t_b = np.divmod(key, len(b_two))
-        self.customers = np.bincount(self.token[train], minlength=len(key))
+        self.words, self.befores = known[dishes], known[befores]
+        u_hash = joint(known[one[new]], known[two[new]])
+        order = np.argsort(u_hash)  # contexts stand by their hashes, as the parts that sum them are ranges of hashes
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.u_hash, self.t_u = u_hash[order], rank[self.t_u]
+        self.u_two = np.searchsorted(befores, two[new])[order]
+        self.customers = np.bincount(self.token[train], minlength=len(dish))
+        self.counts = np.bincount(self.b_word[self.t_b], self.customers, minlength=len(dishes)).astype(np.int64)
 
 
 class Seats:
@@ -227,7 +269,7 @@ class Seats:
 
     KINDS = {
         "t_u": "<u4", "t_b": "<u4", "customers": "<u4", "u_fixed": "<u4", "u_hash": "<u8", "u_place": "<u4", "b_two": "<u4", "b_word": "<u4", "b_fixed": "<u4",
-        "two_fixed": "<u4", "word_fixed": "<u4", "befores": "<u8", "words": "<u8", "counts": "<u4",
+        "two_fixed": "<u4", "word_fixed": "<u4", "befores": "rising", "words": "rising", "counts": "<u4",
     }
 
     def keys(self) -> None:
@@ -235,14 +277,14 @@ class Seats:
         self.b_key = joint(self.befores[self.b_two], self.words[self.b_word])
 
     def packed(self) -> dict[str, bytes]:
-        return {k: squeeze(getattr(self, k), kind) for k, kind in self.KINDS.items()}
+        return {k: squeeze_rising(getattr(self, k)) if kind == "rising" else squeeze(getattr(self, k), kind) for k, kind in self.KINDS.items()}
 
     @classmethod
     def of(cls, packed: dict[str, bytes]) -> Seats:
         out = cls.__new__(cls)
         for k, kind in cls.KINDS.items():
-            got = expand(packed[k], kind)
-            setattr(out, k, got if kind == "<u8" else got.astype(np.int64))
+            got = expand_rising(packed[k]) if kind == "rising" else expand(packed[k], kind)
+            setattr(out, k, got.astype(np.int64) if kind == "<u4" else got)
         out.keys()
         return out
 
@@ -347,6 +389,18 @@ def context_sums(d: Dishes, s: Seats, tables: np.ndarray) -> tuple[np.ndarray, n
 # ---------------------------------------------------------------------------------------------------------------
 
 
+def give_back() -> None:
+    """Lets the system have the memory that a worker has freed: workers stay for the tasks to come."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def gathered(items) -> dict[int, dict[str, list]]:
     """(part, (tag, values)) items of a partition, by part and tag."""
     out: dict[int, dict[str, list]] = {}
@@ -361,7 +415,7 @@ def spread(lists: list[np.ndarray], parts: int) -> list[tuple[int, list[tuple[in
     return [(q, [(c[q], c[q + 1]) for c in cuts]) for q in range(parts) if any(c[q] < c[q + 1] for c in cuts)]
 
 
-def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
+def sampled(asked, parts: int, told_words: Sampled):
     """From (part, ("asked", block, packed)): the model, an RDD of rows (block, texts, sums of theirs), what is kept on disk.
 
     RDDs, as a part's state stays where it is from sweep to sweep; only totals are dealt anew.
@@ -378,19 +432,26 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         kept.remove(rdd)
         rdd.unpersist()
 
-    def local(rdds, f):
+    def local(rdds, f, keyed=True):
         joined = rdds[0]
         for r in rdds[1:]:
             joined = joined.union(r)
-        return joined.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in f(part, tags)), preservesPartitioning=True)
+
+        def run(items):
+            for part, tags in gathered(items).items():
+                yield from f(part, tags)
+                del tags
+                give_back()
+
+        return joined.mapPartitions(run, preservesPartitioning=keyed)
 
     def shared(s_befores, u_two, u_hash):
         """Places of the befores and of the contexts that are dealt over parts."""
-        many = splits_of(s_befores, hot) > 1
+        many = told_words.splits(s_befores) > 1
         return np.flatnonzero(many), np.flatnonzero(many[u_two])
 
     def begin(part, tags):
-        d = Dishes(tags["asked"])
+        d = Dishes(tags["asked"], told_words)
         s = Seats(d)
         twos, us = shared(d.befores, d.u_two, d.u_hash)
         t = np.ones(len(s.customers), np.int64)
@@ -403,8 +464,13 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         sums = np.array([(d.customers == 1).sum(), (d.customers == 2).sum()], float)
         yield part, ("base", s.packed() | extra, sums)
 
+    def sweep_away():
+        """The shuffle files of sweeps that nothing refers to any more go when the driver's garbage does."""
+        gc.collect()
+        asked.ctx._jvm.System.gc()
+
     def lists_of(packed):
-        befores, words = expand(packed["befores"], "<u8"), expand(packed["words"], "<u8")
+        befores, words = expand_rising(packed["befores"]), expand_rising(packed["words"])
         return [words, expand_rising(packed["us"]), befores[expand(packed["twos"], "<u4")]]
 
     def names(item):
@@ -468,28 +534,29 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
     base = keep(local([asked], begin))
     houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
 
-    def exchange(out, sweep, model):
+    def exchange(out, sweep, model, with_counts):
         """The root's sums after a state, and an RDD of the totals told to the parts."""
-        messages = out.mapPartitions(lambda items: (x for x in items if x[1][0] == "sums"))  # these are keyed by their owners
-        dealt_sums = houses.union(messages.partitionBy(parts, int))
+
+        def sums(part, tags):
+            packed, state = tags["base"][0][0], tags["state"][0]
+            s = Seats.of(packed)
+            totals = Totals(s, *(expand(x, "<u4").astype(np.int64) for x in state[:2]))
+            yield from message(part, packed, sent_of(packed, s, totals, with_counts))
+
+        dealt_sums = houses.union(local([base, out], sums, keyed=False).partitionBy(parts, int))
 
         def run(told):
             return dealt_sums.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in totalled(part, tags, sweep, model, told)))
 
         return run(False).map(lambda kv: kv[1]).reduce(np.add), run(True).partitionBy(parts, int)
 
-    def states(out):
-        return out.filter(lambda kv: kv[1][0] == "state")
-
-    def stated(part, packed, s, tables, b_tables, with_counts):
+    def stated(part, s, tables, b_tables):
         totals = Totals(s, tables, b_tables)
         yield part, ("state", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"), np.array([totals.ones, totals.twos], float))
-        yield from message(part, packed, sent_of(packed, s, totals, with_counts))
 
     def first(part, tags):
-        packed = tags["base"][0][0]
-        s = Seats.of(packed)
-        yield from stated(part, packed, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), True)
+        s = Seats.of(tags["base"][0][0])
+        yield from stated(part, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64))
 
     def opened_totals(packed, s, tags_totals, tables, b_tables):
         """Root customers and tables, counts, of_u over kept contexts, of_two, and the shared contexts' totals."""
@@ -505,10 +572,10 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
     t_ones, t_twos = base.map(lambda kv: kv[1][2]).reduce(np.add)
 
     def model_of(root_sums, out, n, v):
-        ones, twos = states(out).map(lambda kv: kv[1][3]).reduce(np.add)
+        ones, twos = out.map(lambda kv: kv[1][3]).reduce(np.add)
         return Model(n, v, (discount_of(root_sums[2], root_sums[3]), discount_of(ones, twos), discount_of(t_ones, t_twos)), root_sums[0], root_sums[1])
 
-    root_sums, told = exchange(out, 0, None)
+    root_sums, told = exchange(out, 0, None, True)
     n, v = root_sums[4], root_sums[5]
     model = model_of(root_sums, out, n, v)
     samples = []
@@ -520,15 +587,17 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
             tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags["state"][0][:2])
             root, root_tables, _, totals, _, _ = opened_totals(packed, s, tags["totals"], tables, b_tables)
             tables, b_tables = reseated(s, model, sweep, tables, b_tables, model.root(root, root_tables), totals.u, (totals.two, totals.two_customers))
-            yield from stated(part, packed, s, tables, b_tables, sweep > BURN)
+            yield from stated(part, s, tables, b_tables)
 
-        before, out = out, keep(local([base, states(out), told], again))
-        root_sums, told = exchange(out, sweep, model)
+        before, out = out, keep(local([base, out, told], again))
+        root_sums, told = exchange(out, sweep, model, sweep > BURN)
         model = model_of(root_sums, out, n, v)
         if sweep <= BURN + 1:
             drop(before)
         if sweep > BURN:
             samples.append((model, out, told))
+        del before
+        sweep_away()
 
     def marked(rdd, k):
         return rdd.mapPartitions(lambda items: ((p, (f"{v[0]}{k}", *v[1:])) for p, v in items), preservesPartitioning=True)
@@ -536,7 +605,7 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
     models = [m for m, _, _ in samples]
 
     def answer(part, tags):
-        d = Dishes(tags["asked"])
+        d = Dishes(tags["asked"], told_words)
         s = Seats(d)
         packed = tags["base"][0][0]
         _, shared_us = shared(d.befores, d.u_two, d.u_hash)
@@ -563,16 +632,16 @@ def sampled(asked, parts: int, hot: tuple[np.ndarray, np.ndarray]):
 
     inputs = [asked, base]
     for k, (_, o, t) in enumerate(samples):
-        inputs += [marked(states(o), k), marked(t, k)]
+        inputs += [marked(o, k), marked(t, k)]
     return model, local(inputs, answer), kept
 
 
-def hot_words(rows: DataFrame, chars: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words whose share of a bounded sample's tokens would fill more than one and a half parts, and over how many places
-    what follows them is dealt."""
-    least = max(1.5 / parts, 1 / MOST_HOT)
-    if least >= 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def sampled_words(rows: DataFrame, chars: int, parts: int) -> Sampled:
+    """From a bounded sample: as hot, words whose share of the tokens would fill more than HOT_PARTS parts (at most
+    MOST_HOT); as common, the MOST_COMMON most frequent ones. With one part there is nothing to deal or to send."""
+    none = np.zeros(0, np.uint64)
+    if parts == 1:
+        return Sampled(none, np.zeros(0, np.int64), none)
     share = min(1.0, SAMPLE_CHARS / max(1, chars))
     drawn_rows = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
 
@@ -586,9 +655,12 @@ def hot_words(rows: DataFrame, chars: int, parts: int) -> tuple[np.ndarray, np.n
     counts = drawn_rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = kept_table(counts, "lm-words")
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / least words have a greater share than ``least``
-    told = sorted((np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF), r["n"]) for r in counts.where(F.col("n") > least * tokens).collect())
-    return np.array([w for w, _ in told], np.uint64), np.array([max(2, math.ceil(c / tokens * parts)) for _, c in told], np.int64)
+    most = counts.orderBy(F.desc("n"), "word").limit(MOST_COMMON).toArrow()
+    words, n = most["word"].to_numpy().view(np.uint64), most["n"].to_numpy().astype(np.float64)
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    hot = n > max(HOT_PARTS / parts, 1 / MOST_HOT) * tokens
+    return Sampled(words[hot], np.maximum(2, np.ceil(n[hot] / max(1, tokens) * parts)).astype(np.int64), words)
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -605,12 +677,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     if not chars:
         return spark.createDataFrame([], out_schema)
     parts = max(shuffle_partitions(spark) if chars > PART_CHARS else 1, math.ceil(chars / PART_CHARS))
-    hot = hot_words(rows, chars, parts)
-
-    def cut(batches):
-        from pyspark import TaskContext
+    told = sampled_words(rows, chars, parts)
 
-        block = TaskContext.get().partitionId() << 32
+    def cut(task, found):
+        block = task << 32
         ids, held, texts, size, pending = [], [], [], 0, 0
         words, counts = [], []
 
@@ -623,32 +693,30 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             texts, pending = [], 0
 
         def out():
-            made = block_messages(block, ids, held, np.concatenate(words), np.concatenate(counts), parts, hot)
-            for a in range(0, len(made), 16):
-                some = list(zip(*made[a : a + 16], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], ["part", "block", "packed"])
-
-        for batch in batches:
-            for doc_id, text, out_of in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-                ids.append(doc_id)
-                held.append(out_of)
-                texts.append(text.as_py())
-                pending += len(texts[-1]) + 1
-                size += len(texts[-1]) + 1
-                if pending >= HASHED_AT_ONCE:
-                    hashed()
-                if size >= BLOCK_CHARS:
-                    hashed()
-                    yield from out()
-                    block += 1
-                    ids, held, size, words, counts = [], [], 0, [], []
+            for part, packed in block_messages(ids, held, np.concatenate(words), np.concatenate(counts), parts, told):
+                yield part, ("asked", block, packed)
+
+        for doc_id, text, out_of in found:
+            ids.append(doc_id)
+            held.append(out_of)
+            texts.append(text)
+            pending += len(text) + 1
+            size += len(text) + 1
+            if pending >= HASHED_AT_ONCE:
+                hashed()
+            if size >= BLOCK_CHARS:
+                hashed()
+                yield from out()
+                block += 1
+                ids, held, size, words, counts = [], [], 0, [], []
         hashed()
         if ids:
             yield from out()
+        del words, counts
+        give_back()
 
-    messages = rows.mapInArrow(cut, "part int, block long, packed binary")
-    asked = messages.rdd.map(lambda r: (r[0], ("asked", r[1], bytes(r[2])))).partitionBy(parts, int)
-    model, answers, held_on_disk = sampled(asked, parts, hot)
+    asked = rows.rdd.mapPartitionsWithIndex(cut).partitionBy(parts, int)
+    model, answers, held_on_disk = sampled(asked, parts, told)
     schema = "block long, docs binary, score binary, base binary, known binary, ended binary, ids binary, nulls binary, counts binary"
     replies = kept_table(spark.createDataFrame(answers, schema, verifySchema=False), "lm-replies")
     for rdd in held_on_disk:
