@@ -23,9 +23,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset and the session runs
+    on one machine (tests). A cluster without that setting is refused, as executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tallyfold-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -33,6 +37,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def must_be_free(df: DataFrame, *names: str) -> None:
+    if clash := sorted({c.lower() for c in df.columns} & {n.lower() for n in names}):
+        raise ValueError(f"the table has columns of these names already: {', '.join(clash)}; name others")
+
+
 def _drop_all() -> None:
     for spark, path in _made:
         try:
@@ -77,6 +98,7 @@ def append_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.R
 
     added = StructType.fromDDL(fields)
     names = [f.name for f in added]
+    must_be_free(df, *names)
 
     def run(batches):
         compute = make()

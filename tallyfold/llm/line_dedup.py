@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, text_of
+from .common import free_names, kept_table, must_be_free, text_of
 
 MIN_SITES = 8
 LG_K = 10
@@ -52,35 +52,46 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, site_col: str,
 
 
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, every_line: bool = False
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    min_sites: int = MIN_SITES,
+    lg_k: int = LG_K,
+    every_line: bool = False,
+    added: tuple[str, str, str] = ("_n_lines", "_n_removed", "_kept"),
 ) -> DataFrame:
-    """The input's rows with ``text`` cleaned, and _n_lines, _n_removed (long) and _kept behind all its columns.
+    """The input's rows with ``text`` cleaned, and the columns ``added`` behind all of theirs: lines and removed lines (long),
+    and kept. The names must be free; other columns may have any names.
 
-    _kept is false where a text had words and every line that did has gone: what it said stands in an earlier
+    kept is false where a text had words and every line that did has gone: what it said stands in an earlier
     document. Lines are compared without spaces around them, and those under three words are never removed; with
     ``every_line``, lines are compared without any white space around them, and all but blank ones count. A null
-    text stays null, a null site is one more site, null ids come last. Rows with the same id and text are one
+    text stays null, null and empty sites are one site, null ids come last. Rows with the same id and text are one
     document; texts without removed lines come back byte for byte.
     """
+    must_be_free(df, *added)
     found = boilerplate_lines(df, id_col, text_col, site_col, min_sites, lg_k, every_line)
     occurrences = _occurrences(df, id_col, text_col, site_col, every_line)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "t", "pos")
+    g_id, g_text, g_lines, g_hash = free_names(df, "_of_id", "_of_text", "_of_lines", "_of_hash")
     gone = (
         occurrences.join(found, ["h1", "h2"])
         .where(place != F.col("first"))
         .groupBy("id", "t")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-        .select(F.col("id").alias("_tf_id"), F.col("t").alias("_tf_t"), F.col("gone").alias("_tf_gone"))
+        .select(F.col("id").alias(g_id), F.col("t").alias(g_text), F.col("gone").alias(g_lines))
     )
-    at = df.withColumn("_tf_hash", F.xxhash64(text_of(text_col)))
-    joined = at.join(gone, at[id_col].eqNullSafe(F.col("_tf_id")) & (F.col("_tf_hash") == F.col("_tf_t")), "left")
+    at = df.withColumn(g_hash, F.xxhash64(text_of(text_col)))
+    joined = at.join(gone, at[id_col].eqNullSafe(F.col(g_id)) & (F.col(g_hash) == F.col(g_text)), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays: Column = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_tf_gone"), i))
-    clean = F.when(F.col("_tf_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    stays: Column = F.filter(lines, lambda line, i: ~F.array_contains(F.col(g_lines), i))
+    clean = F.when(F.col(g_lines).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    n_lines, n_removed, kept = added
     return (
-        joined.withColumn("_n_lines", F.size(F.split(text_of(text_col), "\n")).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.size("_tf_gone"), F.lit(0)).cast("long"))
+        joined.withColumn(n_lines, F.size(F.split(text_of(text_col), "\n")).cast("long"))
+        .withColumn(n_removed, F.coalesce(F.size(g_lines), F.lit(0)).cast("long"))
         .withColumn(text_col, clean)
-        .withColumn("_kept", F.col("_tf_gone").isNull() | F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S"))
-        .drop("_tf_id", "_tf_t", "_tf_gone", "_tf_hash")
+        .withColumn(kept, F.col(g_lines).isNull() | F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S"))
+        .drop(g_id, g_text, g_lines, g_hash)
     )

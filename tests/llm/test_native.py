@@ -105,3 +105,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(61)} == {0} and got[205] == got[210] == 200 and got[300] == 300 and {got[401 + k] for k in range(50)} == {400}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_line_dedup_with_clashing_names(spark):
+    """Columns with the names that the operator uses or adds: the former are no matter, the latter are refused or renamed."""
+    frame = docs(spark, [(k, f"own {k}\nall rights are reserved here") for k in range(3)]).withColumns({n: F.lit("c") for n in ("_of_id", "_of_text", "_of_lines", "_of_hash", "h1", "t", "gone")})
+    got = line_dedup(frame, min_sites=1)
+    assert got.columns == [*frame.columns, "_n_lines", "_n_removed", "_kept"] and {r["_of_id"] for r in got.collect()} == {"c"}
+    taken = frame.withColumn("_KEPT", F.lit(1))
+    with pytest.raises(ValueError):
+        line_dedup(taken)
+    assert [r["k"] for r in line_dedup(taken, min_sites=1, added=("a", "b", "k")).collect()] == [True] * 3
