@@ -67,14 +67,13 @@ def _count_task(batches):
 
 
 def train_profiles(rows: DataFrame, train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles from rows (text, lang): at most about ``train_docs`` texts a language; null texts and langs are left out."""
+    """Profiles from rows (doc_id, text, lang): at most about ``train_docs`` texts a language; null texts and langs are
+    left out, and an empty table gives none. The driver gets ``profile`` grams of each language."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / n)))])
-    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    counts = rows.where(drawn).select("text", "lang").mapInArrow(_count_task, "lang string, gram long, n long")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
+    share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("_of"))
+    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < share * 1_000_003
+    counts = rows.join(sizes, "lang").where(drawn).select("text", "lang").mapInArrow(_count_task, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= profile)
     out: dict[str, list[int]] = {}
@@ -117,8 +116,9 @@ def add_language(
     held_out: tuple[int, int] = (5, 0),
     train_docs: int = TRAIN_DOCS,
     profile: int = PROFILE,
+    added: tuple[str, str] = ("_lang_pred", "_lang_score"),
 ) -> DataFrame:
-    """The input's rows with _lang_pred and _lang_score behind all their columns; see ``language_id``."""
+    """The input's rows with the columns ``added`` behind all of theirs; see ``language_id``. The names must be free."""
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     profiles = train_profiles(known.where(bucket_of("doc_id", held_out[0]) != held_out[1]), train_docs, profile)
 
@@ -131,7 +131,7 @@ def add_language(
 
         return predict
 
-    return append_columns(df, "_lang_pred string, _lang_score double", make)
+    return append_columns(df, f"`{added[0]}` string, `{added[1]}` double", make)
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (5, 0), **settings) -> DataFrame:

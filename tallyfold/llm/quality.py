@@ -140,14 +140,21 @@ def add_quality(
     label_col: str = "quality",
     held_out: tuple[int, int] = (3, 1),
     train_rows: int = TRAIN_ROWS,
+    score_col: str = "_quality",
 ) -> DataFrame:
-    """The input's rows with _quality behind all their columns; see ``quality_score``."""
+    """The input's rows with ``score_col`` behind all their columns; see ``quality_score``. The name must be free.
+
+    Of a training id that stands on several rows the least text is learned from, once, so at most ``train_rows`` texts
+    come to the driver.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     out = bucket_of("doc_id", held_out[0]) == held_out[1]
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~out)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     ids = rows.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = rows.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"]).head(train_rows)
+    ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"))  # train_rows rows at most
+    sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    sample = sample.toPandas().sort_values("doc_id")
     weights, bias = train(sample["text"].tolist(), [int(y) for y in sample["y"]])
     model = df.sparkSession.sparkContext.broadcast(weights)
 
@@ -157,7 +164,7 @@ def add_quality(
 
         return score
 
-    return append_columns(df, "_quality double", make)
+    return append_columns(df, f"`{score_col}` double", make)
 
 
 def quality_score(
