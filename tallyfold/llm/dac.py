@@ -7,11 +7,11 @@ read from one chunk and one rank a level; no block is decoded. Widths come from
 split of least size.
 
 File format: a Parquet table with one row per segment of at most about SEGMENT_IDS ids: part and number (their order is
-the order of documents), n_ids, documents (little-endian int64 per document: its first id's place; one more at the end),
+the order of documents), first (ids of the part's segments before it), n_ids, documents (little-endian int64 per document: its first id's place; one more at the end),
 doc_ids, payload (see ``Segment``).
 
 Scale: one shuffle of the texts (by ranges of ids, in order); segments are bounded, and so is what a task holds. The
-driver gets one number per segment, to add up where each begins.
+driver gets one number per part, to add up where each begins.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def encode_segment(ids: np.ndarray, widths: list[int] | None = None) -> bytes:
     return b"".join(out)
 
 
-SCHEMA = "part int, number int, n_ids long, documents binary, doc_ids array<long>, payload binary"
+SCHEMA = "part int, number int, first long, n_ids long, documents binary, doc_ids array<long>, payload binary"
 
 
 def write_token_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2) -> None:
@@ -142,14 +142,14 @@ def write_token_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: s
         part, number = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         doc_ids: list = []
-        size = 0
+        size = before = 0
 
         def segment():
             ids = np.frombuffer(b"".join(held), "<u2")
             begins = np.cumsum([0] + [len(h) // 2 for h in held]).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([begins], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([encode_segment(ids)], pa.binary())],
-                ["part", "number", "n_ids", "documents", "doc_ids", "payload"],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([begins], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([encode_segment(ids)], pa.binary())],
+                ["part", "number", "first", "n_ids", "documents", "doc_ids", "payload"],
             )
 
         for batch in batches:
@@ -160,7 +160,7 @@ def write_token_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: s
                 size += len(ids) // 2
                 if size >= SEGMENT_IDS:
                     yield segment()
-                    held, doc_ids, size, number = [], [], 0, number + 1
+                    held, doc_ids, before, size, number = [], [], before + size, 0, number + 1
         if held:
             yield segment()
 
@@ -172,12 +172,11 @@ def write_token_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: s
 def read_token_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the segments under ``path``: doc_id, start, n_tokens, ids_crc32, and with ``with_ids`` ids."""
     stored = spark.read.schema(SCHEMA).parquet(path)
-    sizes = sorted((r["part"], r["number"], r["n_ids"]) for r in stored.select("part", "number", "n_ids").collect())
-    begins: dict[tuple[int, int], int] = {}
-    total = 0
-    for part, number, n in sizes:
-        begins[part, number] = total
-        total += n
+    sizes = stored.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row per task that wrote
+    begins, total = {}, 0
+    for r in sizes:
+        begins[r["part"]] = total
+        total += r["n"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in schema.split(", ")]
     where = spark.sparkContext.broadcast(begins)
@@ -185,9 +184,9 @@ def read_token_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                part, number, n, documents, doc_ids, payload = (batch.column(c)[row].as_py() for c in ("part", "number", "n_ids", "documents", "doc_ids", "payload"))
+                part, before, n, documents, doc_ids, payload = (batch.column(c)[row].as_py() for c in ("part", "first", "n_ids", "documents", "doc_ids", "payload"))
                 segment = Segment(payload)
-                first = where.value[part, number]
+                first = where.value[part] + before
                 cut = np.frombuffer(documents, "<i8")
                 ids = segment.ids(np.arange(n)).astype("<u4")
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
