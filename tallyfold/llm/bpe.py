@@ -126,12 +126,47 @@ def compile_automaton(path: str) -> dict:
     }
 
 
+LONG_WORD = 256  # bytes: words beyond go through the tables one by one, as few have the same length
+
+
+def encode_long(tables: dict, word: bytes) -> list[int]:
+    """The ids of one word by the same transitions, a byte and an arc at a time: no arrays as long as the word but two."""
+    follow, stride = memoryview(tables["follow"].ravel()), tables["follow"].shape[1]
+    step, place = memoryview(tables["step"].ravel()), memoryview(tables["place"])
+    state, column, length = (memoryview(tables[k]) for k in ("state", "column", "length"))
+    n = len(word)
+    at, arc = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    at_view, arc_view = memoryview(at), memoryview(arc)
+    ends = {False: memoryview(tables["mid"]), True: memoryview(tables["last"])}
+    for j in range(n):
+        node, row = 0, at_view[j] * stride
+        for end in range(j + 1, n + 1):
+            node = step[place[node] * 256 + word[end - 1]]
+            if not node:
+                break
+            token = ends[end == n][node]
+            if token < 0:
+                continue
+            col = column[token]
+            if follow[row + (col >> 3)] >> (col & 7) & 1:
+                arc_view[end] = token
+                at_view[end] = state[token]
+    out, left = [], n
+    while left:
+        out.append(arc_view[left])
+        left -= length[out[-1]]
+    return out[::-1]
+
+
 def encode_words(tables: dict, words: list[bytes]) -> list[list[int]]:
     """The ids of each (non-empty) word."""
     out: list[list[int]] = [[]] * len(words)
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(k)
+        if len(w) > LONG_WORD:
+            out[k] = encode_long(tables, w)
+        else:
+            by_length.setdefault(len(w), []).append(k)
     flat, stride = tables["follow"].ravel(), tables["follow"].shape[1]
     state, column, step, place, length = (tables[k] for k in ("state", "column", "step", "place", "length"))
     for n, mine in by_length.items():
