@@ -13,7 +13,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import LG_K, MIN_SITES, line_dedup
 from .lm import score_texts
-from .media import audio_features, store_media
+from .media import audio_features, stored_media
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import quality_score
@@ -71,8 +71,7 @@ def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = audio_features(store_media(table(spark, sf_dir, "documents")), with_tensors=False)
-    return features.drop("spans", "tensors")
+    return audio_features(stored_media(table(spark, sf_dir, "documents")))
 
 
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,7 +262,7 @@ def test_media(spark):
         table = media.read_stream(r["tensors"])
         assert table.schema.field("log_mel").type.shape == [media.WINDOW, media.MELS]
         ends = table.column("end_ms").to_pylist()
-        assert table.column("start_ms").to_pylist() == [0, *[640 * (k + 1) for k in range(len(ends) - 1)]]
+        assert table.column("start_ms").to_pylist() == [0, *[media.WINDOW * 10 * (k + 1) for k in range(len(ends) - 1)]]
         assert all(s["start_ms"] < s["end_ms"] <= ends[-1] for s in r["spans"])
     assert media.audio_features(media.store_media(frame(spark, []))).collect() == []
 
@@ -293,7 +293,7 @@ def test_resample_against_zero_stuffing(up, down):
 def test_tone_lands_in_its_band():
     t = np.arange(media.RATE) / media.RATE
     mel = media.log_mel(media.resample(np.sin(2 * np.pi * 1000 * t)), media.mel_bank(), np.hanning(media.FRAME).astype(np.float32))
-    centre = np.argmax(media.mel_bank(), axis=0) * 8000 / media.FFT
+    centre = np.argmax(media.mel_bank(), axis=0) * media.RATE * media.UP / media.DOWN / media.FFT
     assert abs(centre[mel.mean(axis=0).argmax()] - 1000) < 120
 
 
@@ -310,3 +310,43 @@ def test_the_end_of_a_signal_is_in_a_frame():
         z[-8:] = -1
         assert len(media.log_mel(y, bank, shape)) == 1 + math.ceil(max(0, n - media.FRAME) / media.HOP)
         assert n <= media.FRAME or not np.array_equal(media.log_mel(y, bank, shape), media.log_mel(z, bank, shape))
+
+
+def test_media_are_stored_with_tensors(spark, monkeypatch):
+    """The media are read from a table in the shared folder, and the query's tensors have a fixed shape and time spans."""
+    import pyarrow.parquet as pq
+
+    rows = [(1, "some words " * 400), (2, None), (3, "é")]
+    paths = []
+    monkeypatch.setattr(media, "kept_table", lambda df, name, keep=media.kept_table: paths.append(df) or keep(df, name))
+    stored = media.stored_media(frame(spark, rows))
+    assert len(paths) == 1 and stored.inputFiles()
+    bodies = [b for f in stored.inputFiles() for b in pq.read_table(f.removeprefix("file://"))["media"].to_pylist()]
+    assert sorted(bodies) == sorted(media.to_wav(media.payload_of(t or "")[0]) for _, t in rows)
+    for r in media.audio_features(stored).collect():
+        table = media.read_stream(r["tensors"])
+        assert table.schema.field("log_mel").type.shape == [media.WINDOW, media.MELS]
+        assert table["start_ms"][0].as_py() == 0 and table["end_ms"].to_pylist()[:-1] == table["start_ms"].to_pylist()[1:]
+        frames = int(r["feature"].split(";")[0].split("=")[1])
+        assert table["end_ms"][-1].as_py() == frames * 10 and all(s["start_ms"] < s["end_ms"] <= frames * 10 for s in r["spans"])
+
+
+def test_long_words_go_through_the_same_tables():
+    from tallyfold.llm import bpe
+
+    tables = bpe.compile_automaton(bpe.tokenizer_path())
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.choice(np.frombuffer(b"abcdeths", np.uint8), n)) for n in (1, 2, 7, 40, 200, 255)] + ["éèß日本".encode() * 12]
+    assert [bpe.encode_long(tables, w) for w in words] == bpe.encode_words(tables, words)
+    began = __import__("time").time()
+    long = b"thequickbrownfox" * 20_000
+    assert len(bpe.encode_words(tables, [long])[0]) > 20_000 and __import__("time").time() - began < 30
+
+
+def test_many_segments(spark, monkeypatch):
+    """Parts with several segments each: every document begins where the ones before it end."""
+    monkeypatch.setattr(dac, "SEGMENT_IDS", 50)
+    rows = [(k, f"some words of text {k} " * (k % 7)) for k in range(300)]
+    got = sorted(dac.token_ids_round_trip(frame(spark, rows)).collect())
+    assert [r["doc_id"] for r in got] == list(range(300))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
