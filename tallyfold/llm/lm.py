@@ -42,7 +42,8 @@ from .common import bucket_of, kept_table, mixed, shuffle_partitions, text_of, w
 SAMPLES = 2
 BURN = 2
 BLOCK_CHARS = 8 << 20
-PART_CHARS = 8 << 20
+PART_CHARS = 12 << 20
+LEAST_CHARS = 2 << 20  # of a part, where the session's shuffle partitions ask for more parts
 HASHED_AT_ONCE = 1 << 20  # characters
 SAMPLE_CHARS = 24 << 20  # of the sample that tells hot and common words
 MOST_HOT, MOST_COMMON = 1 << 16, 1 << 18
@@ -269,21 +270,21 @@ class Seats:
 
     KINDS = {
         "t_u": "<u4", "t_b": "<u4", "customers": "<u4", "u_fixed": "<u4", "u_hash": "<u8", "u_place": "<u4", "b_two": "<u4", "b_word": "<u4", "b_fixed": "<u4",
-        "two_fixed": "<u4", "word_fixed": "<u4", "befores": "rising", "words": "rising", "counts": "<u4",
+        "two_fixed": "<u4", "word_fixed": "<u4", "befores": "named", "words": "named", "counts": "<u4",
     }
 
     def keys(self) -> None:
         self.t_key = joint(self.u_hash[self.t_u], self.words[self.b_word[self.t_b]])
         self.b_key = joint(self.befores[self.b_two], self.words[self.b_word])
 
-    def packed(self) -> dict[str, bytes]:
-        return {k: squeeze_rising(getattr(self, k)) if kind == "rising" else squeeze(getattr(self, k), kind) for k, kind in self.KINDS.items()}
+    def packed(self, told: Sampled) -> dict:
+        return {k: told.named(getattr(self, k)) if kind == "named" else squeeze(getattr(self, k), kind) for k, kind in self.KINDS.items()}
 
     @classmethod
-    def of(cls, packed: dict[str, bytes]) -> Seats:
+    def of(cls, packed: dict, told: Sampled) -> Seats:
         out = cls.__new__(cls)
         for k, kind in cls.KINDS.items():
-            got = expand_rising(packed[k]) if kind == "rising" else expand(packed[k], kind)
+            got = told.names(packed[k]) if kind == "named" else expand(packed[k], kind)
             setattr(out, k, got.astype(np.int64) if kind == "<u4" else got)
         out.keys()
         return out
@@ -432,7 +433,7 @@ def sampled(asked, parts: int, told_words: Sampled):
         kept.remove(rdd)
         rdd.unpersist()
 
-    def local(rdds, f, keyed=True):
+    def local(rdds, f):
         joined = rdds[0]
         for r in rdds[1:]:
             joined = joined.union(r)
@@ -443,7 +444,7 @@ def sampled(asked, parts: int, told_words: Sampled):
                 del tags
                 give_back()
 
-        return joined.mapPartitions(run, preservesPartitioning=keyed)
+        return joined.mapPartitions(run, preservesPartitioning=True)
 
     def shared(s_befores, u_two, u_hash):
         """Places of the befores and of the contexts that are dealt over parts."""
@@ -462,7 +463,7 @@ def sampled(asked, parts: int, told_words: Sampled):
         # at, one more than the place among kept contexts, or 0
         extra = {"twos": squeeze(twos, "<u4"), "us": squeeze_rising(d.u_hash[us]), "us_fixed": squeeze(fixed, "<u4"), "us_customers": squeeze(customers[us], "<u4"), "us_kept": squeeze(np.where(inside, at + 1, 0), "<u4")}
         sums = np.array([(d.customers == 1).sum(), (d.customers == 2).sum()], float)
-        yield part, ("base", s.packed() | extra, sums)
+        yield part, ("base", s.packed(told_words) | extra, sums)
 
     def sweep_away():
         """The shuffle files of sweeps that nothing refers to any more go when the driver's garbage does."""
@@ -470,29 +471,29 @@ def sampled(asked, parts: int, told_words: Sampled):
         asked.ctx._jvm.System.gc()
 
     def lists_of(packed):
-        befores, words = expand_rising(packed["befores"]), expand_rising(packed["words"])
+        befores, words = (told_words.names(packed[k]) for k in ("befores", "words"))
         return [words, expand_rising(packed["us"]), befores[expand(packed["twos"], "<u4")]]
 
     def names(item):
         part, (_, packed, _) = item
         lists = lists_of(packed)
         for q, spans in spread(lists, parts):
-            yield q, ("names", part, [squeeze_rising(x[a:b]) for x, (a, b) in zip(lists, spans, strict=True)])
+            kinds = (told_words.named, squeeze_rising, told_words.named)
+            yield q, ("names", part, [f(x[a:b]) for f, x, (a, b) in zip(kinds, lists, spans, strict=True)])
 
     def house(part, tags):
         guests = sorted(tags["names"], key=lambda g: g[0])
         found, places = [], []
         for kind in range(3):
-            lists = [expand_rising(g[1][kind]) for g in guests]
+            lists = [expand_rising(g[1][kind]) if kind == 1 else told_words.names(g[1][kind]) for g in guests]
             own, at = np.unique(np.concatenate(lists), return_inverse=True)
             cut = np.cumsum([0] + [len(x) for x in lists])
-            found.append(squeeze_rising(own))
+            found.append((len(own), squeeze_rising(own) if kind == 0 else b""))
             places.append([squeeze(at[cut[k] : cut[k + 1]], "<u4") for k in range(len(guests))])
         yield part, ("house", found, [(g[0], [p[k] for p in places]) for k, g in enumerate(guests)])
 
-    def message(part, packed, sent):
+    def message(part, lists, sent):
         """``sent``: (first, second) sums for the words, the shared contexts, the shared befores."""
-        lists = lists_of(packed)
         for q, spans in spread(lists, parts):
             yield q, ("sums", part, [[squeeze(x[a:b], "<u4") for x in pair] for pair, (a, b) in zip(sent, spans, strict=True)])
 
@@ -503,28 +504,32 @@ def sampled(asked, parts: int, told_words: Sampled):
         counts = s.counts if with_counts else np.zeros(len(s.counts), np.int64)
         return [(totals.word, counts), (u, expand(packed["us_customers"], "<u4")), (totals.two[twos], totals.two_customers[twos])]
 
-    def totalled(part, tags, sweep, model, told):
-        """Sums of all guests' sums; the root's dishes are seated; ``told``: the guests get them."""
+    def totalled(part, tags, sweep, model):
+        """Sums of all guests' sums, which the guests get; the root's dishes are seated; the root's and the part's sums."""
+        level = sum((x[0] for x in tags.get("level", [])), np.zeros(2))
+        if "house" not in tags:
+            yield part, ("root", np.append(np.zeros(6), level))
+            return
         found, guests = tags["house"][0]
         messages = dict(tags["sums"])
         all_sums = []
         for kind in range(3):
-            n = int.from_bytes(found[kind][:8], "little")
-            sums = np.zeros((2, n), np.int64)
+            sums = np.zeros((2, found[kind][0]), np.int64)
             for p, places in guests:
                 at = expand(places[kind], "<u4")
                 for k in range(2):
                     sums[k][at] += expand(messages[p][kind][k], "<u4")
             all_sums.append(sums)
         customers, counts = all_sums[0]
-        keys = expand_rising(found[0])
-        tables = (customers > 0).astype(np.int64) if model is None else seat(keys, sweep, customers, np.full(len(keys), model.base()), model.discounts[0])
-        if not told:
-            yield part, np.array([customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), counts.sum(), (counts > 0).sum()], float)
-            return
+        if model is None:
+            tables = (customers > 0).astype(np.int64)
+        else:
+            tables = seat(expand_rising(found[0][1]), sweep, customers, np.full(len(customers), model.base()), model.discounts[0])
         for p, places in guests:
             at = [expand(x, "<u4") for x in places]
             yield p, ("totals", part, [squeeze(x, "<u4") for x in (customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1)))])
+        root = [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), counts.sum(), (counts > 0).sum()]
+        yield part, ("root", np.append(np.array(root, float), level))
 
     def whole(messages):
         """A part's totals in the order of its lists from what the owners sent, one message each."""
@@ -534,29 +539,29 @@ def sampled(asked, parts: int, told_words: Sampled):
     base = keep(local([asked], begin))
     houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
 
-    def exchange(out, sweep, model, with_counts):
-        """The root's sums after a state, and an RDD of the totals told to the parts."""
-
-        def sums(part, tags):
-            packed, state = tags["base"][0][0], tags["state"][0]
-            s = Seats.of(packed)
-            totals = Totals(s, *(expand(x, "<u4").astype(np.int64) for x in state[:2]))
-            yield from message(part, packed, sent_of(packed, s, totals, with_counts))
-
-        dealt_sums = houses.union(local([base, out], sums, keyed=False).partitionBy(parts, int))
+    def exchange(out, sweep, model):
+        """The root's and the parts' sums after a state, and an RDD of the totals told to the parts."""
+        messages = out.mapPartitions(lambda items: (x for x in items if x[1][0] != "state"))  # keyed by their owners
+        dealt_sums = houses.union(messages.partitionBy(parts, int))
+        told = dealt_sums.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in totalled(part, tags, sweep, model))).partitionBy(parts, int)
+        sums = told.filter(lambda kv: kv[1][0] == "root").map(lambda kv: kv[1][1]).reduce(np.add)
+        return sums, told.filter(lambda kv: kv[1][0] == "totals")
 
-        def run(told):
-            return dealt_sums.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in totalled(part, tags, sweep, model, told)))
-
-        return run(False).map(lambda kv: kv[1]).reduce(np.add), run(True).partitionBy(parts, int)
-
-    def stated(part, s, tables, b_tables):
+    def stated(part, packed, s, tables, b_tables, with_counts):
         totals = Totals(s, tables, b_tables)
-        yield part, ("state", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"), np.array([totals.ones, totals.twos], float))
+        yield part, ("state", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"))
+        yield part, ("level", np.array([totals.ones, totals.twos], float))
+        twos = expand(packed["twos"], "<u4")
+        lists = [s.words, expand_rising(packed["us"]), s.befores[twos]]
+        yield from message(part, lists, sent_of(packed, s, totals, with_counts))
+
+    def states(out):
+        return out.filter(lambda kv: kv[1][0] == "state")
 
     def first(part, tags):
-        s = Seats.of(tags["base"][0][0])
-        yield from stated(part, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64))
+        packed = tags["base"][0][0]
+        s = Seats.of(packed, told_words)
+        yield from stated(part, packed, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), True)
 
     def opened_totals(packed, s, tags_totals, tables, b_tables):
         """Root customers and tables, counts, of_u over kept contexts, of_two, and the shared contexts' totals."""
@@ -571,27 +576,26 @@ def sampled(asked, parts: int, told_words: Sampled):
     out = keep(local([base], first))
     t_ones, t_twos = base.map(lambda kv: kv[1][2]).reduce(np.add)
 
-    def model_of(root_sums, out, n, v):
-        ones, twos = out.map(lambda kv: kv[1][3]).reduce(np.add)
-        return Model(n, v, (discount_of(root_sums[2], root_sums[3]), discount_of(ones, twos), discount_of(t_ones, t_twos)), root_sums[0], root_sums[1])
+    def model_of(sums, n, v):
+        return Model(n, v, (discount_of(sums[2], sums[3]), discount_of(sums[6], sums[7]), discount_of(t_ones, t_twos)), sums[0], sums[1])
 
-    root_sums, told = exchange(out, 0, None, True)
-    n, v = root_sums[4], root_sums[5]
-    model = model_of(root_sums, out, n, v)
+    sums, told = exchange(out, 0, None)
+    n, v = sums[4], sums[5]
+    model = model_of(sums, n, v)
     samples = []
     for sweep in range(1, BURN + SAMPLES + 1):
 
         def again(part, tags, sweep=sweep, model=model):
             packed = tags["base"][0][0]
-            s = Seats.of(packed)
+            s = Seats.of(packed, told_words)
             tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags["state"][0][:2])
             root, root_tables, _, totals, _, _ = opened_totals(packed, s, tags["totals"], tables, b_tables)
             tables, b_tables = reseated(s, model, sweep, tables, b_tables, model.root(root, root_tables), totals.u, (totals.two, totals.two_customers))
-            yield from stated(part, s, tables, b_tables)
+            yield from stated(part, packed, s, tables, b_tables, sweep > BURN)
 
-        before, out = out, keep(local([base, out, told], again))
-        root_sums, told = exchange(out, sweep, model, sweep > BURN)
-        model = model_of(root_sums, out, n, v)
+        before, out = out, keep(local([base, states(out), told], again))
+        sums, told = exchange(out, sweep, model)
+        model = model_of(sums, n, v)
         if sweep <= BURN + 1:
             drop(before)
         if sweep > BURN:
@@ -632,7 +636,7 @@ def sampled(asked, parts: int, told_words: Sampled):
 
     inputs = [asked, base]
     for k, (_, o, t) in enumerate(samples):
-        inputs += [marked(o, k), marked(t, k)]
+        inputs += [marked(states(o), k), marked(t, k)]
     return model, local(inputs, answer), kept
 
 
@@ -676,7 +680,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not chars:
         return spark.createDataFrame([], out_schema)
-    parts = max(shuffle_partitions(spark) if chars > PART_CHARS else 1, math.ceil(chars / PART_CHARS))
+    parts = max(math.ceil(chars / PART_CHARS), min(shuffle_partitions(spark), chars // LEAST_CHARS))
     told = sampled_words(rows, chars, parts)
 
     def cut(task, found):
