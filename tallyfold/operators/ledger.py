@@ -105,6 +105,18 @@ class Ledger:
     def changes(self) -> DataFrame:
         return self._committed(self._read("changes", CHANGES))
 
+    def state(self, sequence: int | None) -> DataFrame:
+        """Each entity's latest row and its run (ref) as a run left them: what the next import is compared with. A run's
+        cost follows the entities there are, not the observations of all runs; without the table these give it."""
+        schema = "entity_type string, stable_id string, row map<string,string>, ref long"
+        if sequence is None:
+            return self.spark.createDataFrame([], schema)
+        path = self.at(f"ledger/state/run_sequence={sequence}")
+        if sinks.exists(self.spark, f"{path}/_SUCCESS"):
+            return self.spark.read.schema(schema).parquet(path)
+        rows = self.observations().where(F.col("run_sequence") <= sequence).select(*KEYS, "row", "run_sequence")
+        return latest(rows, KEYS).select(*KEYS, "row", F.col("run_sequence").alias("ref"))
+
     def entities(self) -> DataFrame:
         return first_and_last(self.observations(), KEYS, "run_sequence")
 
@@ -161,28 +173,34 @@ class Ledger:
         archive = self.archive(bundle, run_id, fingerprint)
         last = runs.agg(F.max("run_sequence").alias("last"), F.max(F.when(F.col("scope_key") == key, F.col("run_sequence"))).alias("same")).first()
         sequence = (last["last"] or 0) + 1
-        incoming = self.incoming(tables)
-        before = self.observations()
-        prior = latest(before.select(*KEYS, "row", "run_sequence"), KEYS).select(*KEYS, "row", F.col("run_sequence").alias("ref"))
+        row = F.col("row")
+        kept = self.incoming(tables)
+        kept = kept.select(*KEYS, F.lit(when).alias("observed_at"), *observation_columns(row), sha256(canonical_json(row)).alias("row_hash"), "row")
+        # written before all else, so that the files of the bundle are read once; no run has it until its row is there
+        kept.write.mode("overwrite").parquet(self.at(f"ledger/observations/run_sequence={sequence}"))
+        seen = self._read("observations", OBSERVATIONS)
+        incoming = seen.where(F.col("run_sequence") == sequence).select(*KEYS, "row")
+        prior = self.state(last["last"])
         changed = observed_changes(incoming, prior, KEYS)
         columns = ["entity_type", "stable_id", "change_type", "previous_run", "current_run", "changed_fields", "change_kinds", "changes"]
         rows = changed.withColumn("previous_run", F.col("previous")).withColumn("current_run", F.lit(sequence).cast("long")).select(*columns)
         if last["same"] is not None:
-            gone = not_observed(before.where(F.col("run_sequence") == last["same"]).select(*KEYS), incoming.select(*KEYS), KEYS)
+            gone = not_observed(seen.where(F.col("run_sequence") == last["same"]).select(*KEYS), incoming.select(*KEYS), KEYS)
             none = F.array().cast("array<string>")
             gone = gone.select(
                 *KEYS, F.lit("not_observed").alias("change_type"), F.lit(last["same"]).cast("long").alias("previous_run"), F.lit(None).cast("long").alias("current_run"),
                 none.alias("changed_fields"), none.alias("change_kinds"), F.lit(None).cast("map<string,struct<before:string,after:string>>").alias("changes"),
             )
             rows = rows.unionByName(gone)
-        row = F.col("row")
-        kept = incoming.select(*KEYS, F.lit(when).alias("observed_at"), *observation_columns(row), sha256(canonical_json(row)).alias("row_hash"), "row")
-        kept.write.mode("overwrite").parquet(self.at(f"ledger/observations/run_sequence={sequence}"))
         rows.write.mode("overwrite").parquet(self.at(f"ledger/changes/run_sequence={sequence}"))
+        newest = incoming.withColumn("ref", F.lit(sequence).cast("long"))
+        newest.unionByName(prior.join(incoming, KEYS, "left_anti")).write.mode("overwrite").parquet(self.at(f"ledger/state/run_sequence={sequence}"))
         counts = {r["entity_type"]: r["count"] for r in incoming.groupBy("entity_type").count().collect()}
         schemas = {k: [c for c in df.columns if c != "_ord"] for k, df in tables.items()}
         run = (sequence, run_id, now(), when, (label or run_id).strip(), key, compact_json(scope), fingerprint, archive.removeprefix(self.workspace + "/"), compact_json(manifest), compact_json(schemas), compact_json({k: counts.get(k, 0) for k in ENTITIES}))
         self.spark.createDataFrame([run], RUNS).coalesce(1).write.mode("append").parquet(self.at("ledger/runs"))
+        if sequence > 2:  # the state that the next run starts from, and the one before it, stay
+            sinks.remove(self.spark, self.at(f"ledger/state/run_sequence={sequence - 2}"))
         report = self.report(sequence)
         sinks.write_json(self.spark, self.at(f"changes/{run_id}.json"), report)
         if export:

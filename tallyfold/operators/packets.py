@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..schemas import ANALYTIC_CONTENT, ANALYZED_VOICE, COMMENT_PLAIN, CONTENT_LABELS, CONTENT_VERSION, VOICE_LABELS, VOICE_VERSION
 from ..sources import sinks
-from ..sources.bundle import EvidenceError, file_digests, read_csv, read_manifest, require_columns
+from ..sources.bundle import EvidenceError, read_csv, read_manifest, require_columns
 from . import classify, gates, joins, reports, stats, voice
 from .diff import key_violations
 from .ledger import now
@@ -33,7 +33,7 @@ Rows to label: {rows}. Language of translations: {language}.
 
 
 def digest(spark: SparkSession, path: str) -> str:
-    return file_digests(spark, path).first()["sha256"]
+    return sinks.sha256(spark, [path])
 
 
 def templates(rows: DataFrame, mode: str) -> DataFrame:

@@ -201,41 +201,13 @@ def stagnation_runs(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------ joins
 
-_DAYS = ("2024-01-10", "2024-01-11")
-
-
-@query(f"WITH {OBSERVATIONS_SQL} SELECT a.user_id, 'not_observed' AS change_type FROM obs a WHERE a.day = '{_DAYS[0]}' AND NOT EXISTS (SELECT 1 FROM obs b WHERE b.day = '{_DAYS[1]}' AND b.user_id = a.user_id)")
-def not_observed(spark, sf_dir):
-    obs = observations(spark, sf_dir).withColumn("entity_type", F.lit("user"))
-    before, now = (obs.where(F.col("day") == d).select("entity_type", "user_id") for d in _DAYS)
-    return diff.not_observed(before, now, ["entity_type", "user_id"]).select("user_id", F.lit("not_observed").alias("change_type"))
-
-
-@query(f"""WITH {OBSERVATIONS_SQL}, cur AS (SELECT * FROM obs WHERE day = '{_DAYS[1]}'), prior AS (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM obs WHERE day < '{_DAYS[1]}') WHERE r = 1)
-SELECT c.user_id, CASE WHEN p.user_id IS NULL THEN 'new' WHEN c.event_type <> p.event_type OR c.value <> p.value OR c.props <> p.props THEN 'updated' ELSE 'unchanged' END AS change_type, p.day AS previous
-FROM cur c LEFT JOIN prior p ON c.user_id = p.user_id""")
-def observed_changes(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    prior = diff.latest(obs.where(F.col("day") < _DAYS[1]), ["user_id"], "day").select("user_id", "row", F.col("day").alias("ref"))
-    found = diff.observed_changes(obs.where(F.col("day") == _DAYS[1]), prior, ["user_id"])
-    return found.select("user_id", "change_type", "previous")
-
-
-@query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity > 45")
-def history(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumn("run_sequence", F.col("l_orderkey"))
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_sequence"), "o_custkey", "o_orderstatus")
-    return joins.history(lines, runs).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderstatus")
-
-
-# The same joins over whole tables: every run against the one before it, and no filter on rows.
+# Every run against the one before it, and no filter on rows.
 
 
 @query(f"""WITH {OBSERVATIONS_SQL}, runs AS (SELECT day, lead(day) OVER (ORDER BY day) AS next FROM (SELECT DISTINCT day FROM obs))
 SELECT a.user_id, r.next AS day, 'not_observed' AS change_type FROM obs a JOIN runs r ON a.day = r.day
 WHERE r.next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM obs b WHERE b.day = r.next AND b.user_id = a.user_id)""")
-def not_observed_all_runs(spark, sf_dir):
+def not_observed(spark, sf_dir):
     obs = observations(spark, sf_dir).select("day", "user_id", F.lit("user").alias("entity_type"))
     runs = obs.select("day").distinct().select("day", F.lead("day").over(Window.orderBy("day")).alias("next")).where("next IS NOT NULL")
     before = obs.join(runs, "day").select("entity_type", F.col("next").alias("day"), "user_id")
@@ -244,7 +216,7 @@ def not_observed_all_runs(spark, sf_dir):
 
 @query(f"""WITH {OBSERVATIONS_SQL}, p AS (SELECT *, lag(day) OVER w AS previous, lag(event_type) OVER w AS t0, lag(value) OVER w AS v0, lag(props) OVER w AS p0 FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY day))
 SELECT user_id, day, CASE WHEN previous IS NULL THEN 'new' WHEN event_type <> t0 OR value <> v0 OR props <> p0 THEN 'updated' ELSE 'unchanged' END AS change_type, previous FROM p""")
-def observed_changes_all_runs(spark, sf_dir):
+def observed_changes(spark, sf_dir):
     obs = observations(spark, sf_dir).select("user_id", "day", "row")
     following = F.lead("day").over(Window.partitionBy("user_id").orderBy("day"))
     prior = obs.select("user_id", following.alias("next"), "row", F.col("day").alias("ref")).where("next IS NOT NULL").withColumnRenamed("next", "day")
@@ -252,33 +224,34 @@ def observed_changes_all_runs(spark, sf_dir):
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
-def history_all(spark, sf_dir):
+def history(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("run_sequence", F.col("l_orderkey"))
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_sequence"), "o_custkey", "o_orderstatus")
     return joins.history(lines, runs).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "o_orderstatus")
 
 
 @query("SELECT strftime(o.o_orderdate, '%Y-%m') AS month, count(*) AS count FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1")
-def context_months_all(spark, sf_dir):
+def context_months(spark, sf_dir):
     signals = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("content_id"))
     dated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
     return joins.month_context(signals, dated)
 
 
-@query("""WITH b AS (SELECT c_custkey, c_name, c_mktsegment AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 5 <> 0),
-i AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg, c_custkey AS ord FROM customer WHERE c_custkey % 4 <> 0)
-SELECT coalesce(i.c_custkey, b.c_custkey) AS c_custkey, coalesce(i.seg, b.seg) AS seg,
- CASE WHEN b.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'absent_from_incoming' WHEN i.seg <> b.seg THEN 'updated' ELSE 'unchanged' END AS merge_class,
- CASE WHEN b.c_custkey IS NOT NULL AND i.c_custkey IS NOT NULL AND i.seg <> b.seg THEN 'seg' ELSE '' END AS changed_fields, CASE WHEN b.c_custkey IS NOT NULL AND i.c_custkey IS NOT NULL AND i.seg <> b.seg THEN 'metadata' ELSE '' END AS change_kinds,
- CASE WHEN b.c_custkey IS NULL THEN 1 ELSE 0 END AS late FROM b FULL JOIN i ON b.c_custkey = i.c_custkey""")
+@query("""WITH b AS (SELECT s_suppkey + 5 AS k, s_nationkey AS n FROM supplier), i AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT coalesce(i.k, b.k)::VARCHAR AS record_id, coalesce(i.n, b.n)::VARCHAR AS seg,
+ CASE WHEN b.k IS NULL THEN 'new' WHEN i.k IS NULL THEN 'absent_from_incoming' WHEN i.n <> b.n THEN 'updated' ELSE 'unchanged' END AS merge_class,
+ CASE WHEN i.n <> b.n THEN 'seg' ELSE '' END AS changed_fields, CASE WHEN i.n <> b.n THEN 'metadata' ELSE '' END AS change_kinds, CASE WHEN b.k IS NULL THEN 1 ELSE 0 END AS late,
+ CASE WHEN i.k IS NULL THEN 'base' ELSE 'incoming' END AS collected_at FROM b FULL JOIN i ON b.k = i.k""")
 def keyed_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("_ord"))
-    base = rows.where("c_custkey % 5 <> 0")
-    incoming = rows.where("c_custkey % 4 <> 0").withColumn("seg", F.when(F.col("c_custkey") % 7 == 0, "CHANGED").otherwise(F.col("seg")))
-    merged = diff.keyed_merge(base, incoming, "c_custkey", ignored=[])
-    return merged.select(
-        "c_custkey", "seg", "merge_class", F.array_join("changed_fields", ",").alias("changed_fields"), F.array_join("change_kinds", ",").alias("change_kinds"), F.col("_ord.late").alias("late")
-    )
+    """The suppliers, and again under ids five lower: new, updated, unchanged and absent rows. collected_at is ignored."""
+    rows = table(spark, sf_dir, "supplier")
+
+    def side(shift, at):
+        return rows.select((F.col("s_suppkey") + shift).cast("string").alias("record_id"), F.col("s_nationkey").cast("string").alias("seg"), F.lit(at).alias("collected_at"), F.col("s_suppkey").alias("_ord"))
+
+    merged = diff.keyed_merge(side(5, "base"), side(0, "incoming"), "record_id")
+    lists = [F.array_join(c, ",").alias(c) for c in ("changed_fields", "change_kinds")]
+    return merged.select("record_id", "seg", "merge_class", *lists, F.col("_ord.late").alias("late"), "collected_at")
 
 
 @query("SELECT DISTINCT l_orderkey AS content_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
@@ -309,13 +282,15 @@ def merged_labels(spark, sf_dir):
     return joins.merge_labels(content(spark, sf_dir), labels).select("record_id", "content_type", "classification_notes", "platform")
 
 
-@query(f"""WITH {COMMENTS_SQL}, rep AS (SELECT r.parent_comment_id AS pid, count(*) AS n, string_agg(r.comment_id, '|' ORDER BY r.ord) AS ids FROM comments r WHERE r.official GROUP BY 1)
-SELECT c.comment_id, 'voice-' || substr(sha256(c.commenter), 1, 10) AS commenter_alias, c.topic AS issue_type, coalesce(rep.n, 0)::VARCHAR AS official_reply_count, coalesce(rep.ids, '') AS official_reply_ids
-FROM comments c LEFT JOIN rep ON rep.pid = c.comment_id WHERE NOT c.official""")
+@query(f"""WITH {COMMENTS_SQL}, rep AS (SELECT parent_comment_id AS pid, count(*) AS n, string_agg(comment_id, '|' ORDER BY ord) AS ids,
+ coalesce(string_agg(DISTINCT nullif(response_mode, ''), '|' ORDER BY nullif(response_mode, '')), '') AS modes FROM comments WHERE official GROUP BY 1)
+SELECT comment_id, content_id, parent_comment_id, 'voice-' || substr(sha256(commenter), 1, 10) AS commenter_alias, 'unclassified' AS commenter_type, text_original, 't' AS text_translation, likes::VARCHAR AS likes,
+ topic AS issue_type, 'question' AS signal_type, 'neutral' AS sentiment, CASE WHEN likes > 1500 THEN 'critical' WHEN likes > 800 THEN 'high' WHEN likes > 300 THEN 'medium' ELSE 'low' END AS severity,
+ 'high' AS analysis_confidence, 'n' AS analysis_notes, coalesce(rep.n, 0)::VARCHAR AS official_reply_count, coalesce(rep.modes, '') AS official_response_modes, coalesce(rep.ids, '') AS official_reply_ids, '' AS url
+FROM comments c LEFT JOIN rep ON rep.pid = c.comment_id WHERE NOT official""")
 def analyzed_voice(spark, sf_dir):
     rows = comments(spark, sf_dir)
-    found = voice.analyzed_voice(rows, _voice_labels(rows))
-    return found.select("comment_id", "commenter_alias", "issue_type", "official_reply_count", "official_reply_ids")
+    return voice.analyzed_voice(rows, _voice_labels(rows)).drop("_ord")
 
 
 def _voice_labels(rows: DataFrame) -> DataFrame:
@@ -334,13 +309,6 @@ def severity_topk(spark, sf_dir):
     return voice.top_signals(voice.analyzed_voice(rows, _voice_labels(rows))).select("comment_id", "severity", "likes")
 
 
-@query("SELECT strftime(o.o_orderdate, '%Y-%m') AS month, count(*) AS count FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY 1")
-def context_months(spark, sf_dir):
-    signals = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("content_id"))
-    dated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
-    return joins.month_context(signals, dated)
-
-
 @query("""WITH t AS (SELECT n_name AS id, s AS rep FROM nation, (SELECT unnest(range(0, 300)) AS s) WHERE s % 25 = n_nationkey),
 l AS (SELECT s_suppkey AS rep, n_name AS assigned FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT id, t.rep::VARCHAR AS rep, 'unknown' AS problem FROM t WHERE rep NOT IN (SELECT rep FROM l)
@@ -353,10 +321,10 @@ def representative_mismatch(spark, sf_dir):
     return unknown.select("id", "rep", F.lit("unknown").alias("problem")).union(elsewhere.select("id", "rep", F.lit("elsewhere").alias("problem")))
 
 
-@query("SELECT n_name AS id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)")
+@query("SELECT n_name AS id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def unused_labels(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    used = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
+    used = table(spark, sf_dir, "supplier").where("s_acctbal < 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
     return joins.unused(nation.select(F.col("n_name").alias("id")), used, "n_name")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,21 +28,23 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as comments: assistants are official, a turn's parent is the user turn before it."""
-    place = (F.col("conv_id") * 10000 + F.col("turn")).cast("bigint")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r"))
+    """conversations as comments: assistants are official, a turn's parent is the user turn before it. Every row counts: where
+    a turn has several, all but the first (by role, then text) have a number behind their id."""
+    again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    rows = table(spark, sf_dir, "conversations").withColumn("again", again)
+    place = ((F.col("conv_id") * 1_000_000 + F.col("turn")) * 1_000 + F.col("again")).cast("bigint")
     return rows.select(
-        F.concat_ws("-", "conv_id", "turn").alias("comment_id"),
+        F.concat(F.concat_ws("-", "conv_id", "turn"), F.when(F.col("again") > 0, F.concat(F.lit("."), F.col("again").cast("string"))).otherwise("")).alias("comment_id"),
         F.col("conv_id").cast("string").alias("content_id"),
-        F.when(F.col("r.role") == "assistant", F.concat_ws("-", F.col("conv_id"), F.col("turn") - 1)).otherwise("").alias("parent_comment_id"),
+        F.when(F.col("role") == "assistant", F.concat_ws("-", F.col("conv_id"), F.col("turn") - 1)).otherwise("").alias("parent_comment_id"),
         F.concat(F.lit("user "), (F.col("conv_id") % 50).cast("string")).alias("commenter"),
         F.lit("unclassified").alias("commenter_type"),
-        F.when(F.col("r.role") == "assistant", "true").otherwise("false").alias("is_official"),
-        F.col("r.text").alias("text_original"),
+        F.when(F.col("role") == "assistant", "true").otherwise("false").alias("is_official"),
+        F.col("text").alias("text_original"),
         F.lit("").alias("text_translation"),
-        F.length("r.text").cast("string").alias("likes"),
+        F.length("text").cast("string").alias("likes"),
         F.concat(F.lit("topic "), (F.col("conv_id") % 7).cast("string")).alias("topic"),
-        F.when(F.length("r.text") % 3 == 0, "redirect").when(F.length("r.text") % 3 == 1, "useful_answer").otherwise("").alias("response_mode"),
+        F.when(F.length("text") % 3 == 0, "redirect").when(F.length("text") % 3 == 1, "useful_answer").otherwise("").alias("response_mode"),
         F.lit("").alias("url"),
         place.alias("_ord"),
     )
@@ -52,12 +54,12 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTENT_SQL = """
 content AS (SELECT doc_id::VARCHAR AS record_id, source AS platform, lang AS content_type, text AS text_original, n_chars AS v, doc_id AS ord FROM documents)"""
 COMMENTS_SQL = """
-turns AS (SELECT conv_id, turn, min(struct_pack(role := role, text := text)) AS r FROM conversations GROUP BY conv_id, turn),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) - 1 AS again FROM conversations),
 comments AS (
-  SELECT conv_id || '-' || turn AS comment_id, conv_id::VARCHAR AS content_id,
-    CASE WHEN r.role = 'assistant' THEN conv_id || '-' || (turn - 1) ELSE '' END AS parent_comment_id,
-    'user ' || (conv_id % 50) AS commenter, r.role = 'assistant' AS official, length(r.text) AS likes, 'topic ' || (conv_id % 7) AS topic,
-    CASE length(r.text) % 3 WHEN 0 THEN 'redirect' WHEN 1 THEN 'useful_answer' ELSE '' END AS response_mode, conv_id * 10000 + turn AS ord
+  SELECT conv_id || '-' || turn || CASE WHEN again > 0 THEN '.' || again ELSE '' END AS comment_id, conv_id::VARCHAR AS content_id,
+    CASE WHEN role = 'assistant' THEN conv_id || '-' || (turn - 1) ELSE '' END AS parent_comment_id, text AS text_original,
+    'user ' || (conv_id % 50) AS commenter, role = 'assistant' AS official, length(text) AS likes, 'topic ' || (conv_id % 7) AS topic,
+    CASE length(text) % 3 WHEN 0 THEN 'redirect' WHEN 1 THEN 'useful_answer' ELSE '' END AS response_mode, (conv_id::BIGINT * 1000000 + turn) * 1000 + again AS ord
   FROM turns)"""
 
 

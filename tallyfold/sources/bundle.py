@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,16 +72,12 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bundle_fingerprint(spark: SparkSession, bundle: str) -> str:
-    """sha256 over name, NUL, bytes, NUL of the four files in order."""
-    import hashlib
+    """sha256 over name, NUL, bytes, NUL of the four files in order. Files of any size go through a buffer of a mebibyte."""
+    from . import sinks
 
-    found = {r["name"]: bytes(r["content"]) for r in file_digests(spark, bundle).where(F.col("name").isin(BUNDLE_FILES)).collect()}
-    if missing := [n for n in BUNDLE_FILES if n not in found]:
+    if missing := [n for n in BUNDLE_FILES if not sinks.exists(spark, f"{bundle}/{n}")]:
         raise EvidenceError(f"{bundle}: missing {', '.join(missing)}")
-    digest = hashlib.sha256()
-    for name in BUNDLE_FILES:
-        digest.update(name.encode() + b"\0" + found[name] + b"\0")
-    return digest.hexdigest()
+    return sinks.sha256(spark, [x for n in BUNDLE_FILES for x in (n.encode() + b"\0", f"{bundle}/{n}", b"\0")])
 
 
 def read_bundle(spark: SparkSession, bundle: str) -> dict:
@@ -121,14 +117,11 @@ def read_windows(spark: SparkSession, path: str, field: str, schema: str) -> Dat
     """Landed window payloads: an object with an array (items, articles, posts or rows) -> its elements, in order."""
     windows = spark.read.schema(f"title string, challenge boolean, {field} array<{schema}>").option("multiLine", True).json(path)
     named = windows.select(F.input_file_name().alias("file"), F.col("challenge"), F.posexplode(field).alias("pos", "item"))
-    order = F.row_number().over(_by("file", "pos"))
-    return named.select(order.cast("long").alias(ORDINAL), "file", "challenge", "item.*")
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)  # window payloads are what one browser has landed, not a corpus
+    # a file's elements stand behind those of all files before it: only one number a file meets in one task
+    sizes = named.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return named.join(starts, "file").select((F.col("_before") + F.col("pos") + 1).cast("long").alias(ORDINAL), "file", "challenge", "item.*")
 
 
 def salvage_json(text: str) -> object:

@@ -43,6 +43,20 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise EvidenceError(f"can't move {source} to {target}")
 
 
+def sha256(spark: SparkSession, pieces: list[bytes | str]) -> str:
+    """The digest of bytes and of files (paths), one after another; files are streamed, never held."""
+    jvm = spark._jvm
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    for piece in pieces:
+        if isinstance(piece, bytes):
+            digest.update(bytearray(piece))
+        else:
+            p, fs = _path(spark, piece)
+            stream = jvm.java.security.DigestInputStream(fs.open(p), digest)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 20, True)
+    return bytes(digest.digest()).hex()
+
+
 def _editable(spark: SparkSession, path: str) -> None:
     """Drops a local file's checksum file, which a later edit by hand would not match."""
     folder, _, name = path.rpartition("/")

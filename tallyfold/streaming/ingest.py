@@ -17,41 +17,88 @@ def stream_windows(spark: SparkSession, landing: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(landing)
 
 
+COMPACT = 16  # batches after which a table's parts become one
+
+
 def merge_stream(rows: DataFrame, key: str, table: str, checkpoint: str, text: str | None = "text_original", once: bool = True) -> StreamingQuery:
-    """Merges each micro-batch of rows (with ``_ord``) into the rows at ``table``, field by field.
+    """Merges micro-batches of rows (with ``_ord``) field by field; ``current`` reads the merged table.
 
-    Versions are folders; the one for a batch is written before older ones go, so a batch that is replayed after a loss
-    finds the version it started from and gives the same rows.
+    A batch is merged in itself and written as a part of its own, so its cost follows its rows and not the table's. Every
+    COMPACT batches the parts become one. Parts are folders by batch number, and older ones go after a new one is whole,
+    so a batch that is replayed after a loss writes the same part again.
     """
     spark = rows.sparkSession
 
-    def version(n: int) -> str:
-        return f"{table}/version={n:012d}"
-
     def merge(batch: DataFrame, n: int) -> None:
-        before = current(spark, table, below=n)
-        both = batch if before is None else before.unionByName(batch, allowMissingColumns=True)
-        merge_windows(both, key, text).write.mode("overwrite").parquet(version(n))
-        for old in [v for v in versions(spark, table) if v < n - 1]:
-            sinks.remove(spark, version(old))
+        merge_windows(batch, key, text).write.mode("overwrite").parquet(f"{table}/part={n:012d}")
+        if n % COMPACT == COMPACT - 1:
+            both = _parts(spark, table, n)
+            merge_windows(both, key, text).write.mode("overwrite").parquet(f"{table}/merged={n:012d}")
+            for kind in ("part", "merged"):
+                for old in _numbers(spark, table, kind):
+                    if old < n - COMPACT or (kind == "part" and old <= n - COMPACT):
+                        sinks.remove(spark, f"{table}/{kind}={old:012d}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
+def _numbers(spark: SparkSession, table: str, kind: str) -> list[int]:
+    """Numbers of the folders of a kind that are whole, ascending."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     names = [s.getPath() for s in fs.listStatus(path)]
     done = [p.getName() for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
+    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{kind}="))
+
+
+def _parts(spark: SparkSession, table: str, upto: int | None = None) -> DataFrame | None:
+    """The rows of the last merged part and of all parts after it, unmerged between parts."""
+    merged = [n for n in _numbers(spark, table, "merged") if upto is None or n < upto]
+    base = merged[-1:]
+    parts = [n for n in _numbers(spark, table, "part") if (not base or n > base[0]) and (upto is None or n <= upto)]
+    out = None
+    for folder in [*(f"merged={n:012d}" for n in base), *(f"part={n:012d}" for n in parts)]:
+        one = spark.read.parquet(f"{table}/{folder}")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
-def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
-    found = [v for v in versions(spark, table) if below is None or v < below]
-    return spark.read.parquet(f"{table}/version={found[-1]:012d}") if found else None
+def current(spark: SparkSession, table: str, key: str, text: str | None = "text_original") -> DataFrame | None:
+    """The table as of its last whole part; None before the first."""
+    rows = _parts(spark, table)
+    return None if rows is None else merge_windows(rows, key, text)
+
+
+def stagnant_stream(windows: DataFrame, scope: str, key: str, rounds: int, checkpoint: str, table: str) -> StreamingQuery:
+    """From windows as they land (scope, file, y, h and keys: what they show), appended to ``table`` per window: scope, file,
+    seen (new keys), quiet and stopped, as ``collect.quiet_windows`` gives them in one go.
+
+    The state of a scope is the keys that it has shown, its last extent and its quiet windows; windows of a scope come in
+    the order of their files.
+    """
+    import pandas as pd
+
+    schema = f"{scope} string, file string, seen long, quiet long, stopped boolean"
+
+    def step(name, frames, state):
+        known, extent, quiet = state.get if state.exists else ([], None, 0)
+        shown = set(known)
+        rows = []
+        for frame in sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["file"]):
+            new = set(frame[key]) - shown
+            shown |= new
+            here = (int(frame["y"]), int(frame["h"]))
+            still = extent is not None and here == tuple(extent) and not new
+            quiet, extent = (quiet + 1 if still else 0), here
+            rows.append((name[0], frame["file"], len(new), quiet, quiet >= rounds))
+        state.update((sorted(shown), list(extent) if extent else None, quiet))
+        yield pd.DataFrame(rows, columns=[scope, "file", "seen", "quiet", "stopped"])
+
+    found = windows.groupBy(scope).applyInPandasWithState(step, schema, "known array<string>, extent array<long>, quiet long", "append", "NoTimeout")
+    return found.writeStream.option("checkpointLocation", checkpoint).option("path", table).format("parquet").outputMode("append").trigger(availableNow=True).start()
 
 
 def ingest_stream(ledger: Ledger, announcements: DataFrame, checkpoint: str, on_report: Callable[[dict], None] | None = None) -> StreamingQuery:

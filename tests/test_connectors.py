@@ -65,6 +65,84 @@ def test_tiktok_comment_parents(spark):
     assert found["to last"]["parent_comment_id"] == found["q two"]["comment_id"] and found["q one"]["parent_comment_id"] == ""
 
 
+PANEL = "_ord long, level int, user string, userHref string, text string, creator boolean, parentUser string, parentText string"
+
+
+def panel(spark, rows):
+    return spark.createDataFrame(rows, PANEL).withColumns({"content_id": F.lit("V"), "url": F.lit("u"), "likeLabel": F.lit("")})
+
+
+def test_tiktok_comment_ids_and_decoys(spark):
+    """A reply of equal user and text is no parent; equal replies under different parents have ids of their own; a row
+    without a level is a top-level comment; a blank user is known by its link."""
+    rows = [
+        (0, 1, "ann", "", "q", None, None, None), (1, 2, "bob", "", "q2", None, "ann", "q"), (2, None, "bob", "", "q2", None, "", ""), (3, 2, "shop", "", "thanks", None, "bob", "q2"),
+        (4, 1, "cy", "", "q3", None, None, None), (5, 2, "shop", "", "thanks", None, "cy", "q3"), (6, 2, "", "/@dee", "me too", None, "ann", "q"), (7, 2, "eve", "", "late", None, "ann", "no such"), (8, 2, "x", "", " ", None, "ann", "q"),
+    ]
+    found = {r["_ord"]: r for r in connectors.tiktok_comments(panel(spark, rows), []).collect()}
+    assert sorted(found) == list(range(8)) and len({r["comment_id"] for r in found.values()}) == 8
+    assert [found[k]["parent_comment_id"] for k in (0, 2, 4)] == ["", "", ""]
+    assert found[3]["parent_comment_id"] == found[2]["comment_id"] != found[1]["comment_id"]
+    assert found[5]["parent_comment_id"] == found[7]["parent_comment_id"] == found[4]["comment_id"]
+    assert found[6]["commenter"] == "dee" and found[6]["parent_comment_id"] == found[0]["comment_id"]
+    from tallyfold.functions import text
+
+    want = spark.range(1).select(text.comment_hash(F.lit("V"), F.lit(found[2]["comment_id"]), F.lit("shop"), F.lit("thanks"))).first()[0]
+    assert found[3]["comment_id"] == want
+
+
+def test_owners_and_accounts(spark):
+    rows = [(0, 1, "Example.Company", "", "a", None, None, None), (1, 1, "", "/@my_shop", "b", None, None, None), (2, 1, "ann", "", "c", True, None, None), (3, 1, "ann", "", "d", None, None, None)]
+    accounts = spark.createDataFrame([("My.Shop",), ("my shop",), ("",)], "account string")
+    found = {r["_ord"]: r["is_official"] for r in connectors.tiktok_comments(panel(spark, rows), ["@Example.Company"], accounts).collect()}
+    assert found == {0: "true", 1: "true", 2: "true", 3: "false"}
+
+
+def test_windows_are_read_each_for_itself(spark):
+    rows = panel(spark, [(0, 1, "ann", "", "q", None, None, None), (1, 2, "bob", "", "r", None, "", "")]).withColumn("file", F.concat(F.lit("w"), "_ord"))
+    assert {r["parent_comment_id"] for r in connectors.tiktok_comments(rows, []).collect()} == {""}
+
+
+def test_panel_metrics_are_the_last_windows(spark):
+    rows = [("V", "w1", ("10", "", "7")), ("V", "w2", ("9", "1.5K", ""))]
+    heads = spark.createDataFrame(rows, "record_id string, file string, metrics struct<likes:string,comments:string,shares:string>")
+    (row,) = connectors.panel_metrics(heads).collect()
+    assert (row["likes"], row["comments_count"], row["shares"]) == ("9", "1500", "")
+
+
+def test_posts_asked_for(spark):
+    import pytest
+
+    from tallyfold.sources.bundle import EvidenceError
+
+    rows = [("TT-1", "TikTok", "https://www.tiktok.com/@a/video/1", "9", 0), ("TT-2", "tiktok", "https://www.tiktok.com/@a/video/2", "1,200", 1), ("TT-3", "TikTok", "https://www.tiktok.com/@a/photo/3", "99K", 2)]
+    content = spark.createDataFrame(rows, "record_id string, platform string, url string, views string, _ord long")
+    assert [r["record_id"] for r in connectors.deep_reads(content, "tiktok", 1).collect()] == ["TT-2"]
+    assert [r["record_id"] for r in connectors.deep_reads(content, "tiktok", 1, ["https://www.tiktok.com/@a/video/1/?x=2"]).collect()] == ["TT-1"]
+    with pytest.raises(EvidenceError, match="video/7"):
+        connectors.deep_reads(content, "tiktok", 1, ["https://www.tiktok.com/@a/video/7"])
+
+
+def test_how_a_capture_ended(spark, tmp_path):
+    from tallyfold.operators import collect
+
+    def ended(windows, max_scrolls=None):
+        folder = tmp_path / f"l{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        for k, (items, y, more) in enumerate(windows):
+            (folder / f"{k}.json").write_text(json.dumps({"title": "t", "scrollY": y, "scrollHeight": 9, "items": [{"url": u} for u in items], **more}))
+        heads = collect.window_heads(spark, str(folder))
+        items = read_windows(spark, str(folder), *collect.WINDOWS["tiktok"])
+        return collect.capture_status(heads, collect.quiet_windows(heads, items, "url", 2), max_scrolls)
+
+    assert ended([(["a"], 0, {}), (["b"], 1, {})]) == collect.COMPLETED
+    assert ended([(["a"], 0, {}), (["b"], 1, {})], 1) == collect.SCROLLED and ended([(["a"], 0, {})], 0) == collect.SINGLE
+    assert ended([(["a"], 0, {}), (["a"], 0, {}), (["a"], 0, {})], 9) == collect.STAGNANT
+    assert ended([(["a"], 0, {}), (["a"], 0, {"challenge": True})]) == collect.CHALLENGED
+    assert ended([(["a"], 0, {}), (["a"], 1, {"status": "interrupted_with_checkpoint"})]) == collect.INTERRUPTED
+    assert (collect.exit_code(collect.INTERRUPTED, 3), collect.exit_code(collect.STAGNANT, 3), collect.exit_code(collect.COMPLETED, 0)) == (2, 0, 1)
+
+
 def test_backfill(spark):
     content = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], "id string, likes string, other string")
     new = spark.createDataFrame([("a", "45"), ("b", "")], "id string, likes string")
@@ -101,10 +179,46 @@ def test_merge_stream(spark, tmp_path):
 
     land("1.json", [("a", "hi", "", 1)])
     land("2.json", [("a", "hi there", "5", 2), ("b", "x", "1", 3)])
-    rows = {r["id"]: r for r in ingest.current(spark, table).collect()}
+    rows = {r["id"]: r for r in ingest.current(spark, table, "id").collect()}
     assert (rows["a"]["text_original"], rows["a"]["views"]) == ("hi there", "5") and len(rows) == 2
     land("3.json", [])
-    assert ingest.current(spark, table).count() == 2
+    assert ingest.current(spark, table, "id").count() == 2
+
+
+def test_merge_stream_compacts(spark, tmp_path, monkeypatch):
+    """Many small batches give what one merge of all rows gives; old parts go."""
+    monkeypatch.setattr(ingest, "COMPACT", 3)
+    landing, table = tmp_path / "landing", str(tmp_path / "table")
+    landing.mkdir()
+    schema, every = "id string, text_original string, views string, _ord long", []
+    for n in range(8):
+        rows = [(f"k{n % 3}", "x" * ((n * 5) % 7), str(n) if n % 2 else "", n), (f"only{n}", "t", "", 100 + n)]
+        every += rows
+        (landing / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "text_original", "views", "_ord"), r, strict=True))) for r in rows))
+        ingest.merge_stream(ingest.stream_windows(spark, str(landing), schema), "id", table, str(tmp_path / "ck")).awaitTermination()
+    want = dedup.merge_windows(spark.createDataFrame(every, schema), "id")
+    got = ingest.current(spark, table, "id").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(ingest._numbers(spark, table, "merged")) <= 2 and len(ingest._numbers(spark, table, "part")) < 8
+
+
+def test_stagnation_of_a_stream(spark, tmp_path):
+    """Windows that land one by one are told to be stagnant as they are when all are read at once."""
+    from tallyfold.operators import collect
+
+    shown = [(["a", "b"], 0), (["b", "c"], 1), (["c"], 1), (["c"], 1), (["c"], 2), (["d"], 2), (["d"], 2), (["d"], 2), (["d"], 2)]
+    landing, table = tmp_path / "landing", str(tmp_path / "table")
+    landing.mkdir()
+    for n, (keys, y) in enumerate(shown):
+        (landing / f"{n}.json").write_text(json.dumps({"site": "s", "file": f"{n:03d}", "y": y, "h": 9, "keys": keys}))
+        stream = spark.readStream.schema("site string, file string, y long, h long, keys array<string>").json(str(landing))
+        ingest.stagnant_stream(stream, "site", "keys", 2, str(tmp_path / "ck"), table).awaitTermination()
+    got = sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in spark.read.parquet(table).collect())
+    heads = spark.createDataFrame([(f"{n:03d}", y, 9) for n, (_, y) in enumerate(shown)], "file string, scrollY long, scrollHeight long")
+    items = spark.createDataFrame([(f"{n:03d}", k) for n, (keys, _) in enumerate(shown) for k in keys], "file string, key string")
+    want = collect.quiet_windows(heads, items, "key", 2).collect()
+    assert got == sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in want)
+    assert [r[3] for r in got][-1] is True
 
 
 def test_collect_commands(spark, tmp_path):

@@ -35,16 +35,16 @@ def test_query(spark, sql, name):
 def test_whole_tables(spark, sql):
     """Every line has its run, and every observation of every day its change."""
     lines = sql.execute("SELECT count(*) FROM lineitem").fetchone()[0]
-    assert QUERIES["history_all"](spark, DATA).count() == lines
+    assert QUERIES["history"](spark, DATA).count() == lines
     days = sql.execute("SELECT count(DISTINCT ts::DATE), count(DISTINCT (user_id, ts::DATE)) FROM events").fetchone()
-    changes = QUERIES["observed_changes_all_runs"](spark, DATA)
+    changes = QUERIES["observed_changes"](spark, DATA)
     assert (changes.select("day").distinct().count(), changes.count()) == days
     seen = {}
     for user, day in sql.execute("SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') FROM events").fetchall():
         seen.setdefault(day, set()).add(user)
     runs = sorted(seen)
     gone = {(u, now) for before, now in zip(runs, runs[1:], strict=False) for u in seen[before] - seen[now]}
-    assert {(r["user_id"], r["day"]) for r in QUERIES["not_observed_all_runs"](spark, DATA).collect()} == gone
+    assert {(r["user_id"], r["day"]) for r in QUERIES["not_observed"](spark, DATA).collect()} == gone
 
 
 def test_entry(spark):
