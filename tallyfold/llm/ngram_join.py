@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, mixed, text_of, word_hashes
+from .common import free_names, kept_table, mixed, text_of, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -71,7 +71,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def sign(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """From (doc_id, node, text): doc_id, node, size (shingles), keys (a hash per band; null for short texts and for nodes
+    """From (doc_id, place, node, text): doc_id, place, node, size (shingles), keys (a hash per band; null for short texts and for nodes
     that the task has had)."""
 
     def run(batches):
@@ -95,9 +95,9 @@ def sign(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
                     keys = mixed(keys ^ values[:, k::per_band])
             offsets = pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32())
             flat = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()), mask=pa.array(lists == 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(size), flat], ["doc_id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), batch.column("node"), pa.array(size), flat], ["doc_id", "place", "node", "size", "keys"])
 
-    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+    return rows.select("doc_id", "place", "node", "text").mapInArrow(run, "doc_id long, place long, node long, size long, keys array<long>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -219,7 +219,7 @@ def same_words(text_col: str = "text"):
     return F.trim(F.regexp_replace(F.lower(text_of(text_col)), "[\\x20\\x09-\\x0D]+", " "))
 
 
-def ngram_join(
+def near_classes(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -229,29 +229,25 @@ def ngram_join(
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id (the least id of its class), n_links (other texts it is similar to),
-    n_copies (rows with its words, itself too).
-
-    A null text counts as empty. Texts without a word are copies of each other, as are texts under five words with the
-    same words; these have no links. Null ids are greater than any other; a class of these alone has a null class_id.
-    Repeated rows are copies. Nodes are known by a 64-bit hash of their words. An empty table gives an empty result.
-    """
+    """One row per input row: ngram_join's columns, place (the 64-bit hash of its text as it stands) and class_place (that
+    of the class's least row), so that a class's least row is known where ids repeat."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("raw"))
     text = same_words("raw")
     bands = bands_for(similar, per_band, recall)
-    base = rows.select("doc_id", text.alias("text")).withColumn("node", F.xxhash64("text"))
+    base = rows.select("doc_id", F.xxhash64("raw").alias("place"), text.alias("text")).withColumn("node", F.xxhash64("text"))
     signed = kept_table(sign(base, words, bands, per_band), "signatures")
-    nodes = kept_table(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
+    nodes = signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size"))
+    nodes = kept_table(nodes.select("node", "first", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place"), "n_copies", "size"), "nodes")
     family = kept_table(connected_components(family_edges(signed.select("node", "keys"))), "families")
-    member = family.join(nodes.select("node", "rep", "size"), "node")
+    member = family.join(nodes.select("node", "rep", "place", "size"), "node")
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("weight") / F.lit(WEIGHT))).cast("int")
     sizes = sizes.select(F.bitwise_not(F.bitwise_not("root")).alias("of"), parts.alias("parts"))
-    asked = member.join(sizes, F.col("root") == F.col("of")).select("root", "parts", "rep", F.col("node").alias("of"))
-    # a text is found by the least id that has it; one whose ids are all null by its own hash
-    asked = asked.withColumn("place", F.coalesce("rep", "of"))
-    found = rows.join(asked, F.coalesce("doc_id", F.xxhash64(text)) == F.col("place")).select("root", "parts", "of", text.alias("text"))
-    found = found.select("root", F.col("of").alias("node"), "text", (F.col("parts") > 1).alias("many"), "parts").where(F.xxhash64("text") == F.col("node"))
+    asked = member.join(sizes, F.col("root") == F.col("of")).select("root", "parts", "rep", F.col("place").alias("at"), "node")
+    # a node's text is that of its least id; ids may repeat or be null, so the hash of the text as it stands decides
+    same = (F.xxhash64("raw") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    found = rows.join(asked, same).select("root", "node", text.alias("text"), (F.col("parts") > 1).alias("many"), "parts")
     dealt = found.select("root", "node", "text", "many", F.explode(blocks(F.col("parts"), "node")).alias("at"))
     dealt = dealt.select("root", "at.lo", "at.hi", "at.own", "node", "many", "text")
     checked = kept_table(verified(dealt, words, similar), "links")
@@ -260,10 +256,36 @@ def ngram_join(
     if not over.isEmpty():
         joined = connected_components(over).select("node", F.col("root").alias("far"))
         links = links.join(joined, "node", "left").select("node", "n_links", F.coalesce("far", "peer").alias("peer"))
-    full = nodes.select("node", "rep", "n_copies").join(links, "node", "left")
-    full = kept_table(full.select("node", "rep", "n_copies", F.coalesce("peer", "node").alias("peer"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
-    classes = full.groupBy(F.col("peer").alias("of")).agg(F.min("rep").alias("class_id"))
-    told = full.join(classes.select(F.bitwise_not(F.bitwise_not("of")).alias("of"), "class_id"), F.col("peer") == F.col("of"))
-    told = kept_table(told.select(F.col("node").alias("of"), "class_id", "n_links", "n_copies"), "classes")
-    out = signed.select("doc_id", "node").join(told, F.col("node") == F.col("of"))
-    return out.select("doc_id", "class_id", "n_links", "n_copies")
+    full = nodes.select("node", "first", "n_copies").join(links, "node", "left")
+    full = kept_table(full.select("node", "first", "n_copies", F.coalesce("peer", "node").alias("peer"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+    classes = full.groupBy(F.col("peer").alias("of")).agg(F.min("first").alias("least"))
+    told = full.join(classes.select(F.bitwise_not(F.bitwise_not("of")).alias("of"), "least"), F.col("peer") == F.col("of"))
+    told = told.select(F.col("node").alias("of"), F.col("least.doc_id").alias("class_id"), F.col("least.place").alias("class_place"), "n_links", "n_copies")
+    out = signed.select("doc_id", "place", "node").join(kept_table(told, "classes"), F.col("node") == F.col("of"))
+    return out.select("doc_id", "class_id", "n_links", "n_copies", "place", "class_place")
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per input row: doc_id, class_id (the least id of its class), n_links (other texts it is similar to),
+    n_copies (rows with its words, itself too). ``settings``: see ``near_classes``.
+
+    A null text counts as empty. Texts without a word are copies of each other, as are texts under five words with the
+    same words; these have no links. Null ids are greater than any other; a class of these alone has a null class_id.
+    Repeated rows are copies. Nodes are known by a 64-bit hash of their words. An empty table gives an empty result.
+    """
+    return near_classes(df, id_col, text_col, **settings).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``df``, all columns, that are the least of their class (by id, then by a hash of the text), each once.
+
+    Ids may repeat, with the same text or others, or be null. Rows that are alike in id and text count as one row.
+    """
+    told = near_classes(df, id_col, text_col, **settings).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("place") == F.col("class_place")))
+    k_id, k_place, k_count = free_names(df, "_keep_id", "_keep_place", "_keep_count")
+    told = told.groupBy(F.col("doc_id").alias(k_id), F.col("place").alias(k_place)).agg(F.count(F.lit(1)).alias(k_count))
+    told = kept_table(told, "kept-rows")
+    joined = df.join(told, df[id_col].cast("long").eqNullSafe(F.col(k_id)) & (F.xxhash64(df[text_col]) == F.col(k_place)))
+    once = joined.where(F.col(k_count) == 1).select(*[df[c] for c in df.columns])
+    many = joined.where(F.col(k_count) > 1).dropDuplicates([k_id, k_place]).select(*[df[c] for c in df.columns])
+    return once.union(many)

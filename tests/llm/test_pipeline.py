@@ -68,3 +68,33 @@ def test_repeated_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(5)
     kept = cp.near_duplicate_stage(spark, docs.union(docs), DATA)
     assert len(ids(kept)) == len(set(ids(kept)))
+
+
+def test_near_duplicates_under_repeated_ids(spark):
+    """One id with two texts, each of which other rows have too: of each class one row is left."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(3, a), (3, b), (5, a), (5, b), (3, b), (None, a), (None, "none but this one here"), (7, None), (8, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicate_stage(spark, docs, DATA).collect()), key=repr)
+    assert got == sorted([(3, a), (3, b), (None, "none but this one here"), (7, None)], key=repr)
+
+
+NAMES = ("_lang_pred", "_lang_score", "_quality", "_n_lines", "_n_removed", "_kept", "_of_id", "_of_lines", "_keep_id", "_keep_place", "node", "place", "raw", "sig", "score")
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_empty_long_and_clashing_input(spark, name, stage):
+    """No rows at all; a very long text, nulls in every column, and columns of the very names that the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert stage(spark, spark.createDataFrame([], schema), DATA).collect() == []
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    odd = [(None, None, None, None, None), (9100, "word " * 80_000, None, None, None), (9101, None, "en", "s", 1), (9100, "word " * 80_000, "en", "s", 1)]
+    from pyspark.sql import functions as F
+
+    frame = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({n: F.lit("mine") for n in NAMES})
+    got = stage(spark, frame, DATA)
+    rows = got.collect()
+    if name == "packing":
+        assert sum(r["length"] for r in rows if r["doc_id"] == 9100) == sum({r["doc_tokens"] for r in rows if r["doc_id"] == 9100}) * 2
+    else:
+        assert got.columns == frame.columns and all(r[n] == "mine" for r in rows for n in NAMES)
