@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import kept_table
+from tallyfold.llm.common import free_names, kept_table
 from tallyfold.llm.langid import add_language
 from tallyfold.llm.line_dedup import line_dedup
-from tallyfold.llm.ngram_join import ngram_join
+from tallyfold.llm.ngram_join import without_near_copies
 from tallyfold.llm.packing import pack_documents
 from tallyfold.llm.quality import add_quality
 
@@ -22,33 +22,52 @@ MIN_LANGUAGE_SCORE = 0.3  # of one minus the out-of-place distance's share; text
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or near no language, go."""
-    told = add_language(docs)
-    return told.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents without a letter (null and empty texts too), or near no language, go.
+
+    Repeated rows each stay or go; ids may be null or repeat; an empty table stays empty. Without a learned language
+    there is nothing to be near to, and all documents go.
+    """
+    pred, score = free_names(docs, "_lang_pred", "_lang_score")
+    told = add_language(docs, added=(pred, score))
+    return told.where((F.col(pred) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for label 0 go."""
-    told = add_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return told.where(F.col("_quality") >= 0.5).select(*docs.columns)
+    """Documents that the classifier takes for label 0 (a score under 0.5) go; a score of 0.5 stays.
+
+    A null text is scored as the empty text, which has the classifier's bias alone. Without labels every score is 0.5 and
+    all documents stay. Repeated rows each stay or go; an empty table stays empty.
+    """
+    (score,) = free_names(docs, "_quality")
+    told = add_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col=score)
+    return told.where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; documents of which nothing is left go; n_chars follows the text."""
-    told = line_dedup(docs, every_line=True).where("_kept")
+    """Boilerplate lines go; documents of which nothing is left go; n_chars follows the text.
+
+    A null text stays null with a null n_chars; a text that had no word stays. Null and empty sources are one site.
+    Repeated rows are one document to the sites and each stay or go. An empty table stays empty.
+    """
+    added = tuple(free_names(docs, "_n_lines", "_n_removed", "_kept"))
+    told = line_dedup(docs, every_line=True, added=added).where(F.col(added[2]))
     return told.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays, once."""
-    told = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count()
-    told = kept_table(told.select(F.col("doc_id").alias("_keep"), "count"), "near-duplicates")
-    kept = docs.join(told, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = not told.where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Of each class of near-duplicates its least row (by id, then by a hash of the text) stays, once.
+
+    Texts without a word, null ones too, are copies of each other. Ids may repeat with other texts; null ids come last.
+    An empty table stays empty.
+    """
+    return without_near_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
+    offset. A null or empty text is its end id alone; repeated rows are packed each for itself; texts of any length are
+    cut over sequences; an empty table gives no piece. Columns beside doc_id and text are not looked at.
+    """
     return pack_documents(docs)
 
 
