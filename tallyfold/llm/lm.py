@@ -41,13 +41,13 @@ from .common import bucket_of, kept_table, mixed, shuffle_partitions, text_of, w
 
 SAMPLES = 2
 BURN = 2
-BLOCK_CHARS = 8 << 20
-PART_CHARS = 12 << 20
+BLOCK_CHARS = 6 << 20
+PART_CHARS = 10 << 20
 LEAST_CHARS = 2 << 20  # of a part, where the session's shuffle partitions ask for more parts
 HASHED_AT_ONCE = 1 << 20  # characters
 SAMPLE_CHARS = 24 << 20  # of the sample that tells hot and common words
 MOST_HOT, MOST_COMMON = 1 << 16, 1 << 18
-HOT_PARTS = 1.5  # parts that a word's restaurants would fill before they are dealt over several
+HOT_PARTS = 0.75  # parts that a word's restaurants would fill before they are dealt over several
 STRENGTHS = (100.0, 10.0, 1.0)  # of the root, of one word before, of two
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
 START = np.uint64(0x13198A2E03707344)  # what stands before a text's first token, twice
@@ -217,31 +217,40 @@ class Dishes:
             return np.concatenate([place[f + (np.cumsum(x) if k == 2 else x)] for f, x in zip(first, found, strict=False)])
 
         # one number for (word before, the one before that, word), so that one sort finds all dishes
-        pair = column(2).astype(np.int64) * size + column(3)
+        pair = column(2).astype(np.int64)
+        pair *= size
+        pair += column(3)
+        pairs = None
         if size**3 >= 1 << 62:
             pairs, pair = np.unique(pair, return_inverse=True)
-        else:
-            pairs = None
-        dish, self.token = np.unique(pair * size + column(4), return_inverse=True)
-        del pair, place, messages
-        self.token = self.token.astype(np.int32)
+        pair *= size
+        pair += column(4)
+        del place, messages, codes
+        dish, token = np.unique(pair, return_inverse=True)
+        self.token, n_dishes = token.astype(np.int32), len(dish)
+        del pair, token
         pair, word = np.divmod(dish, size)
+        word = word.astype(np.int32)
+        del dish
         pair = pair if pairs is None else pairs[pair]
-        two, one = np.divmod(pair, size)
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         self.t_u = np.cumsum(new) - 1
-        key, self.t_b = np.unique(two * size + word, return_inverse=True)
+        two, one = (x.astype(np.int32) for x in np.divmod(pair, size))
+        del pair
+        key, self.t_b = np.unique(two.astype(np.int64) * size + word, return_inverse=True)
+        del word
+        two, one = two[new], one[new]
         b_two, b_word = np.divmod(key, size)
         dishes, self.b_word = np.unique(b_word, return_inverse=True)
         befores, self.b_two = np.unique(b_two, return_inverse=True)
         self.words, self.befores = known[dishes], known[befores]
-        u_hash = joint(known[one[new]], known[two[new]])
+        u_hash = joint(known[one], known[two])
         order = np.argsort(u_hash)  # contexts stand by their hashes, as the parts that sum them are ranges of hashes
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.u_hash, self.t_u = u_hash[order], rank[self.t_u]
-        self.u_two = np.searchsorted(befores, two[new])[order]
-        self.customers = np.bincount(self.token[train], minlength=len(dish))
+        self.u_two = np.searchsorted(befores, two)[order]
+        self.customers = np.bincount(self.token[train], minlength=n_dishes)
         self.counts = np.bincount(self.b_word[self.t_b], self.customers, minlength=len(dishes)).astype(np.int64)
 
 
