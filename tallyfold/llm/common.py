@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -134,6 +135,16 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
 
 
+CHUNK = re.compile(r"\s*\S+(?:[^\S \n\t]\s*\S+)*(?:[^\S \n\t]\s*\Z)?|\s+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text in pieces, cut before each blank, line feed or tab that follows something other than white space. Every
+    piece but a text's first begins with white space and every one but its last ends otherwise, so white space is never
+    cut in two. A piece of white space alone can only be the last."""
+    return CHUNK.findall(text)
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Encoding whole texts with a tokenizers file, a white-space chunk at a time.
 # ---------------------------------------------------------------------------------------------------------------
@@ -158,8 +169,6 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)

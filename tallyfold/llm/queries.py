@@ -17,6 +17,7 @@ from .media import audio_features, stored_media
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import quality_score
+from .token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_line_dedup": op2_line_dedup,
@@ -108,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_content_sort": OP7_SQL}
