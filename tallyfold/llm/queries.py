@@ -17,6 +17,7 @@ from .media import audio_features, stored_media
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import quality_score
+from .search import ranked_search
 from .token_counts import token_counts
 
 
@@ -98,6 +99,35 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), words AS (SELECT doc_id, unnest(terms) AS term FROM docs
+), size AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM size
+), posting AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM posting, total WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+  SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked a JOIN weighed USING (term) JOIN posting p USING (term) JOIN size s ON s.doc_id = p.doc_id, total
+  GROUP BY item_id, p.doc_id
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -113,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_counts": op12_token_counts,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_content_sort": OP7_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_content_sort": OP7_SQL, "op11_ranked_search": OP11_SQL}
