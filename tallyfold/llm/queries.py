@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .bpe import bpe_round_trip
 from .dac import token_ids_round_trip
 from .exact_dedup import exact_dedup
@@ -132,6 +133,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_line_dedup": op2_line_dedup,
@@ -145,5 +150,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
     "op11_ranked_search": op11_ranked_search,
     "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_content_sort": OP7_SQL, "op11_ranked_search": OP11_SQL}
