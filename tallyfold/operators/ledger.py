@@ -1,13 +1,18 @@
-"""The versioned ledger of a workspace: Parquet tables of runs, observations and changes, only ever appended to.
+"""The versioned ledger of a workspace: a log of runs, and Parquet tables of observations and changes, only ever appended to.
 
-A run's observations and changes are written first, as partitions of ``run_sequence``; its row in ``runs`` is written
-last and is what makes it visible: readers keep to runs that have one. One writer per workspace.
+Any number of writers may import at once. A writer puts its observations into a folder of its own, works out what changed
+since the last run of the log, and then tries to add the log's next entry, which can be written once. If another
+writer was first, the log is read anew: the bundle may be in by now, and the changes are worked out against the run that
+came between. Readers keep to what the log names, so what a writer left that was lost or came second is never seen.
+
+What the next import is compared with is a keyed state (``keyed_state``), of which an import reads and rewrites a share only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +23,16 @@ from ..schemas import BUNDLE_FILES, CHANGE_TYPES, ENTITIES, LEDGER_VERSION
 from ..sources import sinks
 from ..sources.bundle import SNAPSHOT, EvidenceError, bundle_fingerprint, read_bundle
 from .diff import key_violations, latest, not_observed, observed_changes, row_map
+from .keyed_state import KeyedState, Manifest
 from .stats import first_and_last, observation_columns
 
 KEYS = ["entity_type", "stable_id"]
 RUNS = "run_sequence long, run_id string, imported_at string, observed_at string, label string, scope_key string, scope_json string, fingerprint string, archive string, manifest_json string, schemas_json string, counts_json string"
 OBSERVATIONS = "entity_type string, stable_id string, observed_at string, platform string, account string, canonical_url string, row_hash string, row map<string,string>, run_sequence long"
 CHANGES = "entity_type string, stable_id string, change_type string, previous_run long, current_run long, changed_fields array<string>, change_kinds array<string>, changes map<string,struct<before:string,after:string>>, run_sequence long"
+ENTRY = f"{RUNS}, attempt string, try string"  # attempt: the folder of its observations; try: of its changes and state
+STATE = "entity_type string, stable_id string, row map<string,string>, ref long"
+TRIES = 50  # imports that may come between before one gives up
 NOTE = "not_observed records were absent from this capture of the same scope; the ledger keeps them."
 
 
@@ -87,35 +96,69 @@ class Ledger:
             raise EvidenceError(f"{self.workspace}: not initialized")
         return json.loads(sinks.read_text(self.spark, self.at("project.json")))
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.at(f"ledger/{name}")
-        if not sinks.exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def log(self) -> DataFrame:
+        """The committed runs, with the folders of their rows."""
+        path = self.at("ledger/log")
+        if not sinks.names_in(self.spark, path):
+            return self.spark.createDataFrame([], ENTRY)
+        return self.spark.read.schema(ENTRY).json(path)
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        from pyspark.sql.types import StructType
+
+        return self.log().select(*StructType.fromDDL(RUNS).names)
 
-    def _committed(self, df: DataFrame) -> DataFrame:
-        return df.join(self.runs().select("run_sequence"), "run_sequence", "left_semi")
+    def _rows(self, name: str, schema: str, folder: str) -> DataFrame:
+        """The committed rows of a table whose folders the log's column ``folder`` names."""
+        from pyspark.sql.types import StructType
+
+        path, columns = self.at(f"ledger/{name}"), StructType.fromDDL(schema).names
+        if not sinks.names_in(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema) if f.name != "run_sequence")
+        stored = self.spark.read.schema(f"{own}, {folder} string").parquet(path)
+        return stored.join(self.log().select("run_sequence", folder), folder).select(*columns)
 
     def observations(self) -> DataFrame:
-        return self._committed(self._read("observations", OBSERVATIONS))
+        return self._rows("observations", OBSERVATIONS, "attempt")
 
     def changes(self) -> DataFrame:
-        return self._committed(self._read("changes", CHANGES))
+        return self._rows("changes", CHANGES, "try")
 
-    def state(self, sequence: int | None) -> DataFrame:
-        """Each entity's latest row and its run (ref) as a run left them: what the next import is compared with. A run's
-        cost follows the entities there are, not the observations of all runs; without the table these give it."""
-        schema = "entity_type string, stable_id string, row map<string,string>, ref long"
-        if sequence is None:
-            return self.spark.createDataFrame([], schema)
-        path = self.at(f"ledger/state/run_sequence={sequence}")
-        if sinks.exists(self.spark, f"{path}/_SUCCESS"):
-            return self.spark.read.schema(schema).parquet(path)
+    def _entry(self, sequence: int) -> dict:
+        return json.loads(sinks.read_text(self.spark, self.at(f"ledger/log/{sequence:012d}.json")))
+
+    def _keyed(self) -> KeyedState:
+        return KeyedState(self.spark, KEYS, "ref", STATE)
+
+    def _manifest(self, sequence: int | None) -> Manifest | None:
+        """The files of the state as a run left it; None if they are not kept any more."""
+        if not sequence:
+            return Manifest()
+        path = self.at(f"ledger/state/{self._entry(sequence)['try']}/manifest.json")
+        return Manifest.from_json(sinks.read_text(self.spark, path)) if sinks.exists(self.spark, path) else None
+
+    def _history_state(self, sequence: int) -> DataFrame:
         rows = self.observations().where(F.col("run_sequence") <= sequence).select(*KEYS, "row", "run_sequence")
-        return latest(rows, KEYS).select(*KEYS, "row", F.col("run_sequence").alias("ref"))
+        return latest(rows, KEYS, "run_sequence").select(*KEYS, "row", F.col("run_sequence").alias("ref"))
+
+    def state(self, sequence: int | None) -> DataFrame:
+        """Each entity's latest row and its run (ref) as a run left them."""
+        manifest = self._manifest(sequence)
+        return self._history_state(sequence) if manifest is None else self._keyed().all(manifest)
+
+    def sweep(self) -> list[str]:
+        """Removes what no run of the log has: what lost writers left. For a time when none is at work."""
+        named = {f"{t}/{f}={r[f]}" for r in self.log().select("attempt", "try").collect() for t, f in (("observations", "attempt"), ("changes", "try"))}
+        found = [f"{t}/{n}" for t in ("observations", "changes") for n in sinks.names_in(self.spark, self.at(f"ledger/{t}"))]
+        last = self.log().agg(F.max("run_sequence")).first()[0]
+        used = [m for m in (self._manifest(last), self._manifest(last - 1 if last else None)) if m]
+        kept = {r.path.rpartition("/")[2] for m in used for r in m.runs} | {r["try"] for r in self.log().select("try").collect()}
+        found += [f"state/{n}" for n in sinks.names_in(self.spark, self.at("ledger/state")) if n not in kept]
+        gone = [x for x in found if x not in named]
+        for x in gone:
+            sinks.remove(self.spark, self.at(f"ledger/{x}"))
+        return gone
 
     def entities(self) -> DataFrame:
         return first_and_last(self.observations(), KEYS, "run_sequence")
@@ -148,12 +191,18 @@ class Ledger:
             if bundle_fingerprint(self.spark, target) != fingerprint:
                 raise EvidenceError(f"{target}: holds another capture")
             return target
-        pending = self.at(f"captures/.{run_id}.pending")
-        sinks.remove(self.spark, pending)
+        hidden = f".{run_id}.{uuid.uuid4().hex}"
+        pending = self.at(f"captures/{hidden}")
         sinks.make_dirs(self.spark, pending)
         for name in BUNDLE_FILES:
             sinks.copy(self.spark, f"{bundle}/{name}", f"{pending}/{name}")
-        sinks.move(self.spark, pending, target)
+        try:
+            sinks.move(self.spark, pending, target)
+        except EvidenceError:  # another writer's copy of the same bundle has come there meanwhile
+            if not sinks.exists(self.spark, target) or bundle_fingerprint(self.spark, target) != fingerprint:
+                raise
+        sinks.remove(self.spark, pending)
+        sinks.remove(self.spark, f"{target}/{hidden}")  # where a rename went into the other's folder
         return target
 
     def ingest(self, bundle: str, label: str | None = None, when: str | None = None, scope_key: str | None = None, export: bool = True) -> dict:
@@ -167,46 +216,101 @@ class Ledger:
         when = observed_at(manifest, when)
         key, scope = derive_scope(manifest, tables["platform"], scope_key)
         run_id = run_id_for(when, fingerprint)
-        runs = self.runs()
-        if again := runs.where(F.col("fingerprint") == fingerprint).select("run_sequence").first():
-            return self.report(again[0]) | {"duplicate_import": True}
+        if (again := self._imported(fingerprint)) is not None:
+            return self.report(again) | {"duplicate_import": True}
         archive = self.archive(bundle, run_id, fingerprint)
-        last = runs.agg(F.max("run_sequence").alias("last"), F.max(F.when(F.col("scope_key") == key, F.col("run_sequence"))).alias("same")).first()
-        sequence = (last["last"] or 0) + 1
+        attempt = uuid.uuid4().hex
         row = F.col("row")
         kept = self.incoming(tables)
         kept = kept.select(*KEYS, F.lit(when).alias("observed_at"), *observation_columns(row), sha256(canonical_json(row)).alias("row_hash"), "row")
-        # written before all else, so that the files of the bundle are read once; no run has it until its row is there
-        kept.write.mode("overwrite").parquet(self.at(f"ledger/observations/run_sequence={sequence}"))
-        seen = self._read("observations", OBSERVATIONS)
-        incoming = seen.where(F.col("run_sequence") == sequence).select(*KEYS, "row")
-        prior = self.state(last["last"])
-        changed = observed_changes(incoming, prior, KEYS)
-        columns = ["entity_type", "stable_id", "change_type", "previous_run", "current_run", "changed_fields", "change_kinds", "changes"]
-        rows = changed.withColumn("previous_run", F.col("previous")).withColumn("current_run", F.lit(sequence).cast("long")).select(*columns)
-        if last["same"] is not None:
-            gone = not_observed(seen.where(F.col("run_sequence") == last["same"]).select(*KEYS), incoming.select(*KEYS), KEYS)
-            none = F.array().cast("array<string>")
-            gone = gone.select(
-                *KEYS, F.lit("not_observed").alias("change_type"), F.lit(last["same"]).cast("long").alias("previous_run"), F.lit(None).cast("long").alias("current_run"),
-                none.alias("changed_fields"), none.alias("change_kinds"), F.lit(None).cast("map<string,struct<before:string,after:string>>").alias("changes"),
-            )
-            rows = rows.unionByName(gone)
-        rows.write.mode("overwrite").parquet(self.at(f"ledger/changes/run_sequence={sequence}"))
-        newest = incoming.withColumn("ref", F.lit(sequence).cast("long"))
-        newest.unionByName(prior.join(incoming, KEYS, "left_anti")).write.mode("overwrite").parquet(self.at(f"ledger/state/run_sequence={sequence}"))
+        # written before all else, so that the files of the bundle are read once; no run has it until the log does
+        kept.write.parquet(self.at(f"ledger/observations/attempt={attempt}"))
+        incoming = self._stored(attempt)
         counts = {r["entity_type"]: r["count"] for r in incoming.groupBy("entity_type").count().collect()}
         schemas = {k: [c for c in df.columns if c != "_ord"] for k, df in tables.items()}
-        run = (sequence, run_id, now(), when, (label or run_id).strip(), key, compact_json(scope), fingerprint, archive.removeprefix(self.workspace + "/"), compact_json(manifest), compact_json(schemas), compact_json({k: counts.get(k, 0) for k in ENTITIES}))
-        self.spark.createDataFrame([run], RUNS).coalesce(1).write.mode("append").parquet(self.at("ledger/runs"))
-        if sequence > 2:  # the state that the next run starts from, and the one before it, stay
-            sinks.remove(self.spark, self.at(f"ledger/state/run_sequence={sequence - 2}"))
+        run = {
+            "run_id": run_id, "imported_at": now(), "observed_at": when, "label": (label or run_id).strip(), "scope_key": key, "scope_json": compact_json(scope), "fingerprint": fingerprint,
+            "archive": archive.removeprefix(self.workspace + "/"), "manifest_json": compact_json(manifest), "schemas_json": compact_json(schemas), "counts_json": compact_json({k: counts.get(k, 0) for k in ENTITIES}), "attempt": attempt,
+        }
+        for _ in range(TRIES):
+            sequence = self._try(run, incoming)
+            if sequence:
+                break
+            if (again := self._imported(fingerprint)) is not None:  # another writer's import of the same bundle
+                sinks.remove(self.spark, self.at(f"ledger/observations/attempt={attempt}"))
+                return self.report(again) | {"duplicate_import": True}
+        else:
+            raise EvidenceError(f"{self.workspace}: others keep importing; {run_id} gave up after {TRIES} tries")
+        self._drop_old_state(sequence)
         report = self.report(sequence)
         sinks.write_json(self.spark, self.at(f"changes/{run_id}.json"), report)
         if export:
             self.export(self.at("current"))
         return report
 
+    def _imported(self, fingerprint: str) -> int | None:
+        found = self.log().where(F.col("fingerprint") == fingerprint).select("run_sequence").first()
+        return found[0] if found else None
+
+    def _stored(self, attempt: str) -> DataFrame:
+        return self.spark.read.schema(OBSERVATIONS.removesuffix(", run_sequence long")).parquet(self.at(f"ledger/observations/attempt={attempt}")).select(*KEYS, "row")
+
+    def _try(self, run: dict, incoming: DataFrame) -> int | None:
+        """Works out the run's changes as the log stands and adds the run to it: its place, or None where another writer
+        was first. What a vain try has written goes."""
+        name = uuid.uuid4().hex
+        scope = F.col("scope_key") == run["scope_key"]
+        last = self.log().agg(F.max("run_sequence").alias("last"), F.max_by(F.struct("run_sequence", "attempt"), F.when(scope, F.col("run_sequence"))).alias("same")).first()
+        sequence = (last["last"] or 0) + 1
+        folders = [self.at(f"ledger/changes/try={name}"), self.at(f"ledger/state/{name}")]
+        try:
+            files = self._manifest(last["last"])
+            prior = self._history_state(last["last"]).join(incoming, KEYS, "left_semi") if files is None else self._keyed().lookup(files, incoming)
+            changed = observed_changes(incoming, prior, KEYS)
+            columns = ["entity_type", "stable_id", "change_type", "previous_run", "current_run", "changed_fields", "change_kinds", "changes"]
+            rows = changed.withColumn("previous_run", F.col("previous")).withColumn("current_run", F.lit(sequence).cast("long")).select(*columns)
+            if last["same"] is not None:
+                gone = not_observed(self._stored(last["same"]["attempt"]).select(*KEYS), incoming.select(*KEYS), KEYS)
+                none = F.array().cast("array<string>")
+                gone = gone.select(
+                    *KEYS, F.lit("not_observed").alias("change_type"), F.lit(last["same"]["run_sequence"]).cast("long").alias("previous_run"), F.lit(None).cast("long").alias("current_run"),
+                    none.alias("changed_fields"), none.alias("change_kinds"), F.lit(None).cast("map<string,struct<before:string,after:string>>").alias("changes"),
+                )
+                rows = rows.unionByName(gone)
+            rows.write.parquet(folders[0])
+            newest = incoming.withColumn("ref", F.lit(sequence).cast("long"))
+            if files is None:
+                files, newest = Manifest(), self._history_state(last["last"]).join(incoming, KEYS, "left_anti").unionByName(newest)
+            after = self._keyed().append(files, newest, folders[1])
+            sinks.write_text(self.spark, f"{folders[1]}/manifest.json", after.to_json())
+        except Exception:
+            if self._committed(sequence):  # a file of an older state may be gone by now
+                for f in folders:
+                    sinks.remove(self.spark, f)
+                return None
+            raise
+        if self._commit(sequence, run | {"run_sequence": sequence, "try": name}):
+            return sequence
+        for f in folders:
+            sinks.remove(self.spark, f)
+        return None
+
+    def _committed(self, sequence: int) -> bool:
+        return sinks.exists(self.spark, self.at(f"ledger/log/{sequence:012d}.json"))
+
+    def _commit(self, sequence: int, entry: dict) -> bool:
+        sinks.make_dirs(self.spark, self.at("ledger/log"))
+        return sinks.put_if_absent(self.spark, self.at(f"ledger/log/{sequence:012d}.json"), compact_json(entry) + "\n")
+
+    def _drop_old_state(self, sequence: int) -> None:
+        """The state that the next run starts from, and the one before it, stay."""
+        if sequence < 3 or (old := self._manifest(sequence - 2)) is None:
+            return
+        kept = [m for m in (self._manifest(sequence), self._manifest(sequence - 1)) if m is not None]
+        if len(kept) == 2:
+            self._keyed().drop_unused(old, kept)
+            sinks.remove(self.spark, self.at(f"ledger/state/{self._entry(sequence - 2)['try']}/manifest.json"))
+
     def report(self, sequence: int | None = None, run_id: str | None = None) -> dict:
         """The changes of a run (the last one by default), with all four counts."""
         runs = self.runs()
@@ -260,10 +364,13 @@ class Ledger:
         own = self.observations().where((F.col("entity_type") == kind) & (F.col("stable_id") == stable_id))
         return own.join(self.runs().select("run_sequence", "run_id", "scope_key"), "run_sequence").orderBy("run_sequence")
 
+    def _stored_rows(self) -> int:
+        path = self.at("ledger/observations")
+        return self.spark.read.schema("entity_type string").parquet(path).count() if sinks.names_in(self.spark, path) else 0
+
     def validate(self) -> dict:
         """References between tables, hashes of every row, and every archive against its fingerprint."""
-        seen, runs = self._read("observations", OBSERVATIONS), self.runs()
-        committed = self.observations()
+        runs, committed = self.runs(), self.observations()
         mismatches = committed.agg(F.count_if(sha256(canonical_json(F.col("row"))) != F.col("row_hash")).alias("n")).first()["n"]
         changes = self.changes()
         known = committed.select(*KEYS, "run_sequence")
@@ -285,7 +392,7 @@ class Ledger:
             "archive_mismatches": archives,
             "runs": runs.count(),
             "observations": sizes,
-            "uncommitted_rows": seen.count() - sizes,
+            "uncommitted_rows": self._stored_rows() - sizes,
         }
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import filled
@@ -77,6 +79,39 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     _editable(spark, path)
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a whole file unless there is one at ``path``; whether this call wrote it. Of any number of callers one does.
+
+    The text is written beside it under a hidden name first. On a local file system a hard link gives it its name, elsewhere
+    a rename, which HDFS refuses where the name is taken. A store whose rename replaces what is there can have one writer only.
+    """
+    folder, _, name = path.rpartition("/")
+    tmp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    write_text(spark, tmp, text)
+    p, fs = _path(spark, path)
+    here, _ = _path(spark, tmp)
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(p) and fs.rename(here, p)
+        files = spark._jvm.java.io.File
+        spark._jvm.java.nio.file.Files.createLink(files(p.toUri().getPath()).toPath(), files(here.toUri().getPath()).toPath())
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        remove(spark, tmp)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, by name; hidden names are left out, and a folder that isn't there holds nothing."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n[0] not in "._")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
