@@ -6,8 +6,8 @@ over its own most frequent grams, of the difference in rank, or ``profile`` for
 lacks; ties in frequency go by code. ``score`` is one minus the distance's share of its greatest value.
 
 Scale: training counts come from a bounded sample (``train_docs`` texts a language, drawn by a hash of the row) as
-partial counts per task; only the profiles (``profile`` rows a language) reach the driver. Prediction is one map over
-the scan, without a shuffle.
+partial counts per task; only the languages' sizes and profiles (``profile`` rows a language) reach the driver. No text is
+shuffled: the sample is a filter of the scan, and prediction one map over it.
 """
 
 from __future__ import annotations
@@ -66,14 +66,24 @@ def _count_task(batches):
         )
 
 
+def sample_counts(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame | None:
+    """lang, gram, n by task, from a sample of about ``train_docs`` texts a language, or all where it has no more; None where
+    there is nothing to learn from."""
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = rows.groupBy("lang").count().collect()  # a number for each language, as there is a profile for each
+    if not sizes:
+        return None
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, train_docs / r["count"])))])
+    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
+    return rows.where(drawn).select("text", "lang").mapInArrow(_count_task, "lang string, gram long, n long")
+
+
 def train_profiles(rows: DataFrame, train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
     """Profiles from rows (doc_id, text, lang): at most about ``train_docs`` texts a language; null texts and langs are
     left out, and an empty table gives none. The driver gets ``profile`` grams of each language."""
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
-    share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("_of"))
-    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < share * 1_000_003
-    counts = rows.join(sizes, "lang").where(drawn).select("text", "lang").mapInArrow(_count_task, "lang string, gram long, n long")
+    counts = sample_counts(rows, train_docs)
+    if counts is None:
+        return {}
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= profile)
     out: dict[str, list[int]] = {}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.llm import lm, ngram_join, quality
-from tallyfold.llm.langid import Ranker, gram_counts, language_id
+from tallyfold.llm.langid import Ranker, gram_counts, language_id, sample_counts
 from tallyfold.llm.quality import quality_score
 from tallyfold.llm.queries import QUERIES
 
@@ -127,6 +127,43 @@ def test_quality_of_repeated_ids_and_clashing_names(spark):
     assert len(got) == 502 and {r["_quality"] for r in got} == {"c"} and len(seen) == len(set(seen)) <= 3
 
 
+def test_language_training_shuffles_no_text(spark):
+    """Whatever size Spark takes the tables for: the sample is a filter over the scan, then grams."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    plan = sample_counts(rows.unionByName(rows).unionByName(rows), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_language_query_against_brute_force(spark):
+    """Profiles and scores of the registered query's operator, from whole texts in plain dictionaries."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+    def grams(text):
+        found = collections.Counter()
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            cp = [0, *map(ord, word), 0]
+            found.update(cp[1:-1])
+            found.update((a << 21) | b for a, b in zip(cp, cp[1:], strict=False))
+            found.update((a << 42) | (b << 21) | c for a, b, c in zip(cp, cp[1:], cp[2:], strict=False))
+        return found
+
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400]]
+    total = collections.defaultdict(collections.Counter)
+    for i, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            total[lang].update(grams(text))
+    profiles = {lang: {g: r for r, g in enumerate(top(c))} for lang, c in total.items()}
+    want = {}
+    for i, text, _ in docs:
+        mine = top(grams(text))
+        far = {lang: sum(min(400, abs(p[g] - r)) if g in p else 400 for r, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i] = (best, 1 - far[best] / (400 * len(mine))) if mine else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op9_language_id"](spark, DATA).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
 def test_language_with_many_languages(spark):
     rows = [(k, f"{chr(97 + k % 20) * 3} {chr(97 + k % 20)}{chr(98 + k % 20)} words", f"l{k % 20}", None, None) for k in range(400)]
     got = language_id(spark.createDataFrame(rows, DOC).withColumn("_lang_pred", F.lit(1))).collect()
