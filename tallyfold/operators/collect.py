@@ -6,14 +6,14 @@ at a page that asks for a person; that shows here as ``challenge`` and ends in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
 from ..schemas import COMMENT, COMMENT_PLAIN
 from ..sources import sinks
 from ..sources.bundle import EvidenceError, read_csv, read_manifest, read_video_comments, read_video_lines, read_windows
-from . import connectors, dedup, joins
+from . import connectors, dedup, joins, scan
 from .ledger import now
 
 # How a capture ended.
@@ -50,8 +50,8 @@ def quiet_windows(heads: DataFrame, items: DataFrame, key: str, rounds: int) ->
     first = items.groupBy(key).agg(F.min("file").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("seen"))
     rows = heads.join(first, "file", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     extent = F.struct(F.coalesce("scrollY", F.lit(0)).alias("y"), F.coalesce("scrollHeight", F.lit(0)).alias("h"))
-    before = F.lag(extent).over(Window.partitionBy("capture").orderBy("file"))
-    rows = rows.withColumn("capture", F.lit(0)).withColumn("moved", (F.col("seen") > 0) | before.isNull() | (before != extent))
+    rows = scan.running(rows.withColumn("capture", F.lit(0)), ["capture"], "file", {"before": ("lag", extent)})
+    rows = rows.withColumn("moved", (F.col("seen") > 0) | F.col("before").isNull() | (F.col("before") != extent))
     return dedup.stagnant(rows, ["capture"], "file", F.col("moved"), rounds).select("file", "seen", "quiet", "stopped")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, filled
@@ -67,8 +67,8 @@ def merge_windows(df: DataFrame, key: str, text: str | None = "text_original", o
 
 
 def stagnant(df: DataFrame, scope: list[str], order: str, reset: Column, rounds: int) -> DataFrame:
-    """Adds ``quiet`` (rounds since the last reset) and ``stopped`` (``rounds`` of these in a row) to a log of windows."""
-    by = Window.partitionBy(*scope).orderBy(order)
-    marked = df.withColumn("_island", F.sum(F.when(reset, 1).otherwise(0)).over(by))
-    quiet = F.sum(F.when(reset, 0).otherwise(1)).over(Window.partitionBy(*scope, "_island").orderBy(order))
-    return marked.withColumn("quiet", quiet).withColumn("stopped", F.col("quiet") >= rounds).drop("_island")
+    """Adds ``quiet`` (rounds since the last reset) and ``stopped`` (``rounds`` of these in a row) to a log of windows. A scope may have any
+    number of rows: none of them is gathered."""
+    from .scan import running
+
+    return running(df, scope, order, {"quiet": ("since", reset)}).withColumn("stopped", F.col("quiet") >= rounds)

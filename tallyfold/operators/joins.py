@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, filled, identity_name, truthy
@@ -57,18 +57,20 @@ def resolve_parents(rows: DataFrame, scope: list[str], order: str = ORDINAL) ->
     else the last top-level comment before it; blank for all others and where there is none.
 
     Rows have comment_id (of top-level comments at least), level (null counts as 1), user, text, parent_user and
-    parent_text. A top-level comment and the replies that name it share a key, so one window per key finds them: no join.
+    parent_text. A top-level comment and the replies that name it share a key, so running values by scope and by key find them:
+    no join, and no scope or key in one task.
     """
+    from .scan import running
+
     level = F.coalesce(F.col("level"), F.lit(1))
     top, reply = level == 1, level == 2
     keyed = rows.withColumns(
         {"_top": F.when(top, F.col("comment_id")), "_user": F.when(reply, F.col("parent_user")).otherwise(F.col("user")), "_text": F.when(reply, F.col("parent_text")).otherwise(F.col("text"))}
     )
-    back = (Window.unboundedPreceding, -1)
-    above = F.last("_top", ignorenulls=True).over(Window.partitionBy(*scope).orderBy(order).rowsBetween(*back))
-    named = F.last("_top", ignorenulls=True).over(Window.partitionBy(*scope, "_user", "_text").orderBy(order).rowsBetween(*back))
-    parent = F.when(reply, F.coalesce(named, above, F.lit(""))).otherwise("")
-    return keyed.withColumn("parent", parent).drop("_top", "_user", "_text")
+    above = running(keyed, scope, order, {"_above": ("last", F.col("_top"))})
+    named = running(above, [*scope, "_user", "_text"], order, {"_named": ("last", F.col("_top"))})
+    parent = F.when(reply, F.coalesce("_named", "_above", F.lit(""))).otherwise("")
+    return named.withColumn("parent", parent).drop("_top", "_user", "_text", "_above", "_named")
 
 
 def selected(content: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
