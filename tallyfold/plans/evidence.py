@@ -110,7 +110,7 @@ def youtube_comment_rows(spark, sf_dir):
 
 
 _PANEL = """WITH t AS (SELECT conv_id::VARCHAR AS content_id, turn, CASE turn % 4 WHEN 0 THEN 1 WHEN 3 THEN NULL ELSE 2 END AS level, 'user ' || (turn % 3) AS usr, 'say ' || (turn % 2) AS txt,
- 'user ' || ((turn + conv_id) % 3) AS pusr, 'say ' || ((turn // 2) % 2) AS ptxt FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+ 'user ' || ((turn + conv_id) % 3) AS pusr, 'say ' || ((turn // 2) % 2) AS ptxt FROM conversations),
  top AS (SELECT *, 'TTC-' || substr(sha256(content_id || chr(10) || chr(10) || usr || chr(10) || txt), 1, 20) AS id FROM t WHERE coalesce(level, 1) = 1),
  r AS (SELECT t.*, CASE WHEN level = 2 THEN coalesce((SELECT arg_max(p.id, p.turn) FROM top p WHERE p.content_id = t.content_id AND p.turn < t.turn AND p.usr = t.pusr AND p.txt = t.ptxt),
   (SELECT arg_max(p.id, p.turn) FROM top p WHERE p.content_id = t.content_id AND p.turn < t.turn), '') ELSE '' END AS parent FROM t)"""
@@ -119,7 +119,7 @@ _PANEL = """WITH t AS (SELECT conv_id::VARCHAR AS content_id, turn, CASE turn %
 def _panel(spark, sf_dir) -> DataFrame:
     """Turns as a comment panel: two of four rows are replies, one has no level, users and texts repeat."""
     n, turn = COL("conv_id"), COL("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    rows = table(spark, sf_dir, "conversations")
     return rows.select(
         turn.cast("long").alias("_ord"), n.cast("string").alias("content_id"), LIT("u").alias("url"), F.when(turn % 4 == 0, 1).when(turn % 4 != 3, 2).alias("level"), said("user ", turn % 3).alias("user"),
         F.when(turn % 5 == 0, said("/@Shop.", n % 4)).alias("userHref"), said(" say ", turn % 2).alias("text"), LIT("1.2K").alias("likeLabel"), F.when(turn % 7 == 6, True).alias("creator"),

@@ -328,15 +328,16 @@ def unused_labels(spark, sf_dir):
     return joins.unused(nation.select(F.col("n_name").alias("id")), used, "n_name")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role FROM conversations), d AS (SELECT conv_id, turn, min(role) AS role FROM t GROUP BY 1, 2)
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE coalesce((SELECT max(u.turn) FROM d u WHERE u.conv_id = d.conv_id AND u.turn < d.turn AND u.role = 'user')::VARCHAR, '') END AS parent FROM d""")
+@query("""WITH d AS (SELECT conv_id, turn, coalesce(role, '') AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations)
+SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '' ELSE coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)::VARCHAR, '') END AS parent FROM d""")
 def reply_parent_asof(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    rows = turns.select(
-        "conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("level"), F.col("turn").cast("string").alias("comment_id"), F.lit("").alias("user"), F.lit("").alias("text"),
-        F.lit("-").alias("parent_user"), F.lit("-").alias("parent_text"), F.col("turn").alias("_ord"),
+    """Every row of every conversation; repeated turns follow each other by role and text."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", role.alias("role"), F.when(role == "user", 1).otherwise(2).alias("level"), F.col("turn").cast("string").alias("comment_id"), F.lit("").alias("user"), F.lit("").alias("text"),
+        F.lit("-").alias("parent_user"), F.lit("-").alias("parent_text"), F.struct("turn", role.alias("r"), text.alias("t")).alias("_ord"),
     )
-    return joins.resolve_parents(rows, ["conv_id"]).select("conv_id", "turn", "parent")
+    return joins.resolve_parents(rows, ["conv_id"]).select("conv_id", "turn", "role", "parent")
 
 
 @query("""WITH w AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity = 50)
