@@ -49,47 +49,64 @@ def first_k_rows(df: DataFrame, group: list[str], order: list, k: int) -> DataFr
     return ranked.where(F.col("_rank") <= k)
 
 
+DIGIT = 11  # bits of a value that a round of the selection settles
+
+
 def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The exact median of ``value`` (a whole number; nulls don't count) for each group: ``by`` and median.
+    """The exact median of ``value`` (a whole number; nulls don't count) for each group: ``by`` and median (a double)."""
+    from ..sources.scratch import scratch
+
+    spark = df.sparkSession
+    path = scratch(spark, "counts")
+    df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    ends = counts.groupBy(*by).agg(F.sum("_n").alias("_all")).where("_all > 0")
+    ranks = F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
+    picked = at_ranks(counts, by, ends.select(*by, ranks.alias("_rank")).distinct())
+    return picked.groupBy(*by).agg(F.avg("_v").alias("median")) if by else picked.agg(F.avg("_v").alias("median"))
+
 
-    Values are counted before the shuffle and their counts summed in order, so a group costs a row per distinct value and
-    sorts on disk where it must; no group's values are held in memory.
+def at_ranks(counts: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
+    """The values at ranks (from 0) of groups: ``by``, _rank, _v, from counts (``by``, _v, _n) of whole numbers.
+
+    Each round counts a group's values by their next DIGIT bits, among those that begin as the one sought does, and goes on
+    within the bin that holds the rank. So there is a scan of the counts for every DIGIT bits of the values' span, at most
+    2^DIGIT rows a rank after each, and no task puts a group's values in order or holds them.
     """
+    from functools import reduce
+
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by)
-    summed = counts.withColumn("_upto", F.sum("_n").over(group.orderBy(value)))
-    ends = summed.groupBy(*by).agg(F.sum("_n").alias("_all")) if by else summed.agg(F.sum("_n").alias("_all"))
-    keyed = summed.join(ends, by) if by else summed.crossJoin(F.broadcast(ends))  # one row
-    lower = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col(value)))
-    upper = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col(value)))
-    return keyed.groupBy(*by).agg(((lower + upper) / 2).alias("median"))
+    span = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    low, bits = span["lo"] or 0, max(1, ((span["hi"] or 0) - (span["lo"] or 0)).bit_length())
+    rounds = -(-bits // DIGIT)
+    least = F.lit(low if bits < 64 else -(1 << 63)).cast("bigint")
+    offset = F.col("_v") - least if bits < 64 else F.col("_v").bitwiseXOR(least)  # from the least value, as an unsigned number
+    digit = lambda k: F.shiftrightunsigned(offset, DIGIT * (rounds - k))  # noqa: E731  the first k digits
+    sought = ranks.withColumns({"_left": F.col("_rank"), "_begin": F.lit(0).cast("bigint")})
+    own = [F.col(f"`{c}`").alias(f"_of_{k}") for k, c in enumerate(by)]
+    for k in range(1, rounds + 1):
+        named = sought.select(*own, "_rank", "_left", "_begin")
+        same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_of_{j}")) for j, c in enumerate(by)], F.lit(True))
+        within = counts.join(named if by else F.broadcast(named), same & (digit(k - 1) == F.col("_begin")) if k > 1 else same)  # without groups: two rows
+        bins = within.groupBy(*by, "_rank", "_left", digit(k).alias("_bin")).agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = bins.withColumn("_upto", upto).where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("_n") <= F.col("_left")))
+        sought = found.select(*by, "_rank", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_bin").alias("_begin"))
+    return sought.select(*by, "_rank", (F.col("_begin") + least if bits < 64 else F.col("_begin").bitwiseXOR(least)).alias("_v"))
 
 
 def totals(content: DataFrame, views: str = "views") -> DataFrame:
-    """One row of totals. The median is taken between bounds that a quantile sketch gives, so that only the values near the
-    middle are put in order."""
+    """One row of totals, with the exact median of what is known."""
     value = parsed(F.col(views))
-    rows = content.select(value.alias("_value"))
     one = content.agg(
         F.count(F.lit(1)).alias("content_rows"),
         F.coalesce(F.sum(value), F.lit(0)).alias("total_views"),
         F.coalesce(F.bround(F.avg(value)), F.lit(0)).cast("bigint").alias("mean_views"),
         F.count(value).alias("view_coverage"),
-        F.percentile_approx(value, [0.499, 0.501], 10_000).alias("_near"),
     )
-    bounds = one.select(F.col("_near")[0].alias("_lo"), F.col("_near")[1].alias("_hi"), F.col("view_coverage").alias("_all"))
-    near = rows.crossJoin(F.broadcast(bounds))  # one row of bounds
-    # what is below the bounds counts as one value, so the places of the two middle values stay as they are
-    counts = near.where(F.col("_value").isNotNull()).groupBy(F.when(F.col("_value") >= F.col("_lo"), F.least("_value", F.col("_hi") + 1)).alias("_v"), "_all").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_v"))))
-    lower = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col("_v")))
-    upper = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_v")))
-    middle = upto.agg(F.coalesce(F.bround((lower + upper) / 2), F.lit(0)).cast("bigint").alias("median_views"))
-    return one.crossJoin(F.broadcast(middle)).select("content_rows", "total_views", "mean_views", "median_views", "view_coverage")
+    middle = medians(content.select(value.alias("_value")), [], "_value").select(F.coalesce(F.bround("median"), F.lit(0)).cast("bigint").alias("median_views"))
+    return one.crossJoin(F.broadcast(middle)).select("content_rows", "total_views", "mean_views", "median_views", "view_coverage")  # one row each
 
 
 def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
