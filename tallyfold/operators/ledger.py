@@ -27,6 +27,7 @@ from .keyed_state import KeyedState, Manifest
 from .stats import first_and_last, observation_columns
 
 KEYS = ["entity_type", "stable_id"]
+REPORTED = ["entity_type", "change_type", "stable_id"]  # the order of changes in a report, and no two are equal in it
 RUNS = "run_sequence long, run_id string, imported_at string, observed_at string, label string, scope_key string, scope_json string, fingerprint string, archive string, manifest_json string, schemas_json string, counts_json string"
 OBSERVATIONS = "entity_type string, stable_id string, observed_at string, platform string, account string, canonical_url string, row_hash string, row map<string,string>, run_sequence long"
 CHANGES = "entity_type string, stable_id string, change_type string, previous_run long, current_run long, changed_fields array<string>, change_kinds array<string>, changes map<string,struct<before:string,after:string>>, run_sequence long"
@@ -206,7 +207,8 @@ class Ledger:
         return target
 
     def ingest(self, bundle: str, label: str | None = None, when: str | None = None, scope_key: str | None = None, export: bool = True) -> dict:
-        """Appends a bundle as a run and returns its report; a bundle that is already in is reported, not added."""
+        """Appends a bundle as a run, writes the report of its changes and returns its summary; a bundle that is already in is
+        not added again."""
         self.project()
         found = read_bundle(self.spark, bundle)
         self.check_tables(found["tables"])
@@ -217,7 +219,7 @@ class Ledger:
         key, scope = derive_scope(manifest, tables["platform"], scope_key)
         run_id = run_id_for(when, fingerprint)
         if (again := self._imported(fingerprint)) is not None:
-            return self.report(again) | {"duplicate_import": True}
+            return self.summary(again) | {"duplicate_import": True}
         archive = self.archive(bundle, run_id, fingerprint)
         attempt = uuid.uuid4().hex
         row = F.col("row")
@@ -238,15 +240,14 @@ class Ledger:
                 break
             if (again := self._imported(fingerprint)) is not None:  # another writer's import of the same bundle
                 sinks.remove(self.spark, self.at(f"ledger/observations/attempt={attempt}"))
-                return self.report(again) | {"duplicate_import": True}
+                return self.summary(again) | {"duplicate_import": True}
         else:
             raise EvidenceError(f"{self.workspace}: others keep importing; {run_id} gave up after {TRIES} tries")
         self._drop_old_state(sequence)
-        report = self.report(sequence)
-        sinks.write_json(self.spark, self.at(f"changes/{run_id}.json"), report)
+        self.write_report(sequence, self.at(f"changes/{run_id}.json"))
         if export:
             self.export(self.at("current"))
-        return report
+        return self.summary(sequence)
 
     def _imported(self, fingerprint: str) -> int | None:
         found = self.log().where(F.col("fingerprint") == fingerprint).select("run_sequence").first()
@@ -311,31 +312,31 @@ class Ledger:
             self._keyed().drop_unused(old, kept)
             sinks.remove(self.spark, self.at(f"ledger/state/{self._entry(sequence - 2)['try']}/manifest.json"))
 
-    def report(self, sequence: int | None = None, run_id: str | None = None) -> dict:
-        """The changes of a run (the last one by default), with all four counts."""
+    def summary(self, sequence: int | None = None, run_id: str | None = None) -> dict:
+        """A run (the last one by default) with the counts of its changes, all four."""
         runs = self.runs()
         asked = runs.where(F.col("run_id") == run_id) if run_id else runs.where(F.col("run_sequence") == sequence) if sequence else runs.orderBy(F.desc("run_sequence"))
         run = asked.first()
         if run is None:
             raise EvidenceError(f"unknown run {run_id or sequence or ''}")
-        rows = self.changes().where(F.col("run_sequence") == run["run_sequence"])
-        counts = change_counts(rows).drop("rows").first().asDict()
-        listed = rows.orderBy("entity_type", "change_type", "stable_id").collect()
-        return {
-            "schema_version": LEDGER_VERSION,
-            "run_id": run["run_id"],
-            "observed_at": run["observed_at"],
-            "scope_key": run["scope_key"],
-            "counts": counts,
-            "changes": [
-                {
-                    **{k: r[k] for k in (*KEYS, "change_type", "changed_fields", "change_kinds")},
-                    "field_changes": {k: v.asDict() for k, v in sorted((r["changes"] or {}).items())},
-                }
-                for r in listed
-            ],
-            "note": NOTE,
-        }
+        counts = change_counts(self.changes_of(run["run_sequence"])).drop("rows").first().asDict()
+        return {"schema_version": LEDGER_VERSION, "run_id": run["run_id"], "observed_at": run["observed_at"], "scope_key": run["scope_key"], "counts": counts}
+
+    def changes_of(self, sequence: int) -> DataFrame:
+        return self.changes().where(F.col("run_sequence") == sequence)
+
+    def _sequence(self, run_id: str) -> int:
+        return self.runs().where(F.col("run_id") == run_id).first()["run_sequence"]
+
+    def report(self, sequence: int | None = None, run_id: str | None = None) -> dict:
+        """``summary`` with the changes: for runs of a size to be shown; ``write_report`` has no such bound."""
+        found = self.summary(sequence, run_id)
+        listed = self.changes_of(self._sequence(found["run_id"])).orderBy(*REPORTED).collect()
+        return found | {"changes": [reported(r.asDict(recursive=True)) for r in listed], "note": NOTE}
+
+    def write_report(self, sequence: int, path: str) -> None:
+        """The report of a run as a file; executors write the changes."""
+        sinks.write_json_with_list(self.changes_of(sequence), path, self.summary(sequence), "changes", {"note": NOTE}, REPORTED, reported)
 
     def current(self) -> DataFrame:
         return latest(self.observations(), KEYS)
@@ -396,6 +397,11 @@ class Ledger:
         }
 
 
+def reported(change: dict) -> dict:
+    """A change as reports show it."""
+    return {**{k: change[k] for k in (*KEYS, "change_type", "changed_fields", "change_kinds")}, "field_changes": dict(sorted((change["changes"] or {}).items()))}
+
+
 def change_counts(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """How many changes there are of each type, and rows: of all."""
     return changes.groupBy(*(by or [])).agg(*[F.count_if(F.col("change_type") == t).alias(t) for t in CHANGE_TYPES], F.count(F.lit(1)).alias("rows"))

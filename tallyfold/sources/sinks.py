@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import filled
@@ -120,10 +122,66 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
+def _copy_task(target: str, pieces: list[str]):
+    """For an executor that sees the files under their local names: appends them to a new file."""
+
+    def run(batches):
+        import shutil
+
+        for _ in batches:
+            pass
+        with open(target, "wb") as out:
+            for piece in pieces:
+                with open(piece, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+        yield from ()
+
+    return run
+
+
+def join_files(spark: SparkSession, pieces: list[str], target: str) -> None:
+    """One file of the pieces' bytes in their order; the pieces go.
+
+    Where the file system can join files (HDFS) no byte moves. Local files are copied by a task on an executor, and files of
+    another store through the driver's JVM, a buffer at a time.
+    """
+    paths = [_path(spark, x)[0] for x in pieces]
+    goal, fs = _path(spark, target)
+    fs.delete(goal, True)
+    if fs.getScheme() == "file":
+        names = [p.toUri().getPath() for p in paths]
+        spark.range(1, numPartitions=1).mapInArrow(_copy_task(goal.toUri().getPath(), names), "id long").write.format("noop").mode("overwrite").save()
+    else:
+        try:
+            if len(paths) > 1:
+                rest = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(paths) - 1)
+                for k, p in enumerate(paths[1:]):
+                    rest[k] = p
+                fs.concat(paths[0], rest)
+            move(spark, pieces[0], target)
+        except UnsupportedOperationException:
+            out = fs.create(goal, True)
+            try:
+                for p in paths:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(p), out, 1 << 20, False)
+            finally:
+                out.close()
+    for x in pieces:
+        remove(spark, x)
+    _editable(spark, target)
+
+
+def _part_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files that tasks wrote, by their tasks' order; empty ones are left out."""
+    p, fs = _path(spark, folder)
+    found = [s for s in fs.listStatus(p) if s.getPath().getName().startswith("part-") and s.getLen()]
+    return sorted(s.getPath().toString() for s in found)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], sort: list | None = None) -> None:
     """One CSV file at ``path`` with these columns in this order (missing ones blank, others left out).
 
-    For delivery of bounded results; tables of the ledger stay Parquet.
+    Tasks write their ranges of the order side by side, without a header, and the files are joined behind one.
     """
     from pyspark.sql import functions as F
 
@@ -131,16 +189,46 @@ def write_csv(df: DataFrame, path: str, columns: list[str], sort: list | None =
     out = df.orderBy(*sort) if sort else df
     out = out.select([filled(F.col(f"`{c}`")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
     parts = f"{path}.parts"
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').option("quote", '"').csv(parts)
-    p, fs = _path(spark, parts)
-    part = next((s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")), None)
-    target, _ = _path(spark, path)
-    fs.delete(target, True)
-    if part:
-        move(spark, part, path)
-        _editable(spark, path)
-    else:
-        write_text(spark, path, ",".join(columns) + "\n")
+    writer = out.write.mode("overwrite").option("header", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.option("emptyValue", "").option("nullValue", "").option("escape", '"').option("quote", '"').csv(parts)
+    shown = ('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in columns)
+    write_text(spark, f"{parts}/header", ",".join(shown) + "\n")
+    join_files(spark, [f"{parts}/header", *_part_files(spark, parts)], path)
+    remove(spark, parts)
+
+
+def write_json_with_list(df: DataFrame, path: str, before: dict, name: str, after: dict, key: list[str], row: Callable[[dict], dict]) -> None:
+    """A JSON object: ``before``, then ``name`` with an element for each row, then ``after``; as ``write_json`` writes it.
+
+    Rows are ordered by ``key``, which is unique. Tasks turn them into elements and write their ranges side by side; the
+    driver adds what stands before and after, and the last element, which no comma follows.
+    """
+    import textwrap
+
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    text = lambda value: textwrap.indent(json.dumps(value, ensure_ascii=False, indent=2), "    ")
+    last = df.orderBy(*[F.desc(c) for c in key]).limit(1).collect()
+    head = json.dumps(before, ensure_ascii=False, indent=2).removesuffix("}").rstrip()
+    tail = "".join(f",\n  {line}" for line in json.dumps(after, ensure_ascii=False, indent=2)[4:-2].split(",\n  ") if after) + "\n}\n"
+    head += "," * bool(before) + f'\n  {json.dumps(name, ensure_ascii=False)}: ['
+    if not last:
+        write_text(spark, path, head + "]" + tail)
+        return
+
+    def elements(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([text(row(r)) for r in batch.to_pylist(maps_as_pydicts="strict")], pa.string())], ["text"])
+
+    rest = df.where(~F.struct(*key).eqNullSafe(F.struct(*[F.lit(last[0][c]).alias(c) for c in key])))
+    parts = f"{path}.parts"
+    rest.orderBy(*key).mapInArrow(elements, "text string").write.mode("overwrite").option("lineSep", ",\n").text(parts)
+    write_text(spark, f"{parts}/head", head + "\n")
+    write_text(spark, f"{parts}/tail", text(row(last[0].asDict(recursive=True))) + "\n  ]" + tail)
+    join_files(spark, [f"{parts}/head", *_part_files(spark, parts), f"{parts}/tail"], path)
     remove(spark, parts)
 
 
