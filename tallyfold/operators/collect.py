@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text, urls
 from ..schemas import COMMENT, COMMENT_PLAIN
 from ..sources import sinks
-from ..sources.bundle import EvidenceError, read_csv, read_manifest, read_video_comments, read_video_lines, read_windows
+from ..sources.bundle import BROKEN, EvidenceError, read_csv, read_manifest, read_video_comments, read_video_heads, read_video_lines, read_windows
 from . import connectors, dedup, joins, scan
 from .ledger import now
 
 # How a capture ended.
-COMPLETED, CHALLENGED, LIMITED = "completed", "human_verification_required", "row_limit_reached"
+COMPLETED, CHALLENGED, LIMITED, PARTIAL = "completed", "human_verification_required", "row_limit_reached", "partial_with_errors"
 SINGLE, SCROLLED, STAGNANT, BY_HAND = "single_window_captured", "scroll_limit_reached", "profile_end_or_stagnant", "manual_scroll_confirmed"
 INTERRUPTED, FAILED = "interrupted_with_checkpoint", "collector_error_with_checkpoint"
+SINGLE_FEED, STAGNANT_FEED = "single_window_complete", "feed_end_or_stagnant"  # what pages with a feed say for SINGLE and STAGNANT
+FEEDS = {SINGLE: SINGLE_FEED, STAGNANT: STAGNANT_FEED}
 STAGNANT_ROUNDS = {"tiktok": 6, "facebook": 6, "linkedin": 5, "tiktok-comments": 3}  # fixed values
 
 # Fields of the elements of each site's windows.
@@ -30,7 +32,7 @@ WINDOWS = {
     "tiktok-comments": ("rows", "struct<level:int,user:string,userHref:string,text:string,likeLabel:string,creator:boolean,parentUser:string,parentText:string>"),
 }
 HEAD = "title string, displayName string, followersLabel string, challenge boolean, signedOut boolean, url string, status string, scrollY long, scrollHeight long, metrics struct<likes:string,comments:string,shares:string>"
-EXIT_CODES = {COMPLETED: 0, LIMITED: 0, SINGLE: 0, SCROLLED: 0, STAGNANT: 0, BY_HAND: 0, CHALLENGED: 2, INTERRUPTED: 2, FAILED: 2}
+EXIT_CODES = {COMPLETED: 0, LIMITED: 0, SINGLE: 0, SCROLLED: 0, STAGNANT: 0, BY_HAND: 0, SINGLE_FEED: 0, STAGNANT_FEED: 0, PARTIAL: 1, CHALLENGED: 2, INTERRUPTED: 2, FAILED: 2}
 
 
 def window_heads(spark: SparkSession, landing: str) -> DataFrame:
@@ -109,8 +111,11 @@ def collect_profile(spark: SparkSession, site: str, landing: str, out: str, comp
             raise EvidenceError(f"{landing}: no tab has landed")
         read = None
         for k, tab in enumerate(there):
-            part = read_video_lines(spark, f"{landing}/{tab}").withColumns({"source_tab": F.lit(tab), "_ord": F.col("_ord") + k * (1 << 40)})
+            part = read_video_lines(spark, f"{landing}/{tab}", broken=True).withColumns({"source_tab": F.lit(tab), "_ord": F.col("_ord") + k * (1 << 40)})
             read = part if read is None else read.unionByName(part)
+        broken = read.groupBy("source_tab").agg(F.count_if(F.col(BROKEN).isNotNull()).alias("n"), F.count("id").alias("ids")).where("n > 0").collect()  # a row a tab
+        warnings = {r["source_tab"]: f"{r['n']} lines could not be read in full" for r in sorted(broken)}
+        read = read.where(text.clean(F.col("id")) != "").drop(BROKEN)
         score = dedup.filled_fields(read, ["title", "description", "upload_date", "timestamp", "view_count", "like_count", "comment_count", "duration"])
         content = connectors.youtube_content(dedup.richest_wins(read, ["id"], score, "source_tab"), company, started)
         seen = read.agg(F.max("channel_follower_count").cast("bigint").cast("string").alias("f")).first()["f"]
@@ -122,6 +127,8 @@ def collect_profile(spark: SparkSession, site: str, landing: str, out: str, comp
         name, followers = first["n"] or "", first["f"] or ""
         items = read_windows(spark, landing, *WINDOWS[site])
         status = capture_status(heads, quiet_windows(heads, items, "permalink" if "permalink" in items.columns else "url", STAGNANT_ROUNDS[site]), max_scrolls)
+        if site in ("facebook", "linkedin"):
+            status = FEEDS.get(status, status)
         if site == "tiktok":
             content = connectors.tiktok_content(items, company, handle, name, started)
         elif site == "facebook":
@@ -147,19 +154,43 @@ def collect_profile(spark: SparkSession, site: str, landing: str, out: str, comp
     }
     if site == "youtube":
         manifest["selected_tabs"] = wanted
+        manifest["warnings"] = warnings
     connectors.write_bundle(out, content, None, platform, manifest)
     return {"status": status, "rows": rows, "exit_code": exit_code(status, rows)}
 
 
-def update_manifest(spark: SparkSession, bundle: str, status: str, selected: int, comments: int) -> None:
-    """The conversation block and the count of comments."""
+def update_manifest(spark: SparkSession, bundle: str, status: str, selected: int, comments: int, warnings: list[str] | None = None) -> None:
+    """The conversation block, the count of comments, and what was amiss with posts."""
     path = f"{bundle}/run_manifest.json"
     manifest = read_manifest(spark, path) if sinks.exists(spark, path) else {"schema_version": "1.0"}
     manifest["conversation_collection"] = {"selected_content": selected, "public_comments_and_replies": comments, "status": status, "challenge_detected": status == CHALLENGED, "cutoff_utc": now()}
     manifest.setdefault("counts", {})["comments"] = comments
+    if warnings:
+        manifest.setdefault("warnings", {})["youtube_comments"] = warnings
     sinks.write_json(spark, path, manifest)
 
 
+def panel_status(heads: DataFrame) -> str:
+    """How a capture of comment panels ended: a page that asks for a person, what the last window says of itself if it was
+    interrupted or failed, or else that it came to its end."""
+    if challenged(heads):
+        return CHALLENGED
+    last = heads.orderBy(F.desc("file")).select("status").first()
+    return last["status"] if last and last["status"] in (INTERRUPTED, FAILED) else COMPLETED
+
+
+def video_status(heads: DataFrame, chosen: DataFrame) -> tuple[str, list[str]]:
+    """How a capture of videos' comments ended, and a warning for each chosen post that failed or said something: a page
+    that asked for a person, posts that failed beside others, or all of them complete."""
+    posts = chosen.select("record_id", urls.content_video_id(F.col("url"), F.col("record_id")).alias("video_id"))
+    told = heads.join(posts, "video_id").where(F.col("challenge") | (F.col("error") != "") | (F.col("warning") != ""))
+    asks = F.col("challenge") | text.needs_person(F.col("error"))
+    said = F.element_at(F.split(F.coalesce(F.nullif("error", F.lit("")), F.nullif("warning", F.lit("")), F.lit("asks for a person")), r"[\r\n]+"), -1)
+    found = told.select(asks.alias("asks"), (F.col("error") != "").alias("failed"), F.concat("record_id", F.lit(": "), said).alias("said")).orderBy("said").collect()  # of the posts asked for
+    status = CHALLENGED if any(r["asks"] for r in found) else PARTIAL if any(r["failed"] for r in found) else COMPLETED
+    return status, [r["said"] for r in found]
+
+
 def collect_comments(
     spark: SparkSession, site: str, landing: str, bundle: str, owners: list[str] | None = None, top: int = 30, wanted: list[str] | None = None, resume: bool = True
 ) -> dict:
@@ -167,13 +198,14 @@ def collect_comments(
     stays. Without ``resume`` the bundle's own comments go first."""
     content = read_csv(spark, f"{bundle}/content.csv")
     chosen = connectors.deep_reads(content, "tiktok" if site == "tiktok-comments" else "youtube", top, wanted)
-    status, columns = COMPLETED, COMMENT
+    columns, warnings = COMMENT, []
     if site == "youtube-comments":
+        status, warnings = video_status(read_video_heads(spark, landing), chosen)
         found = connectors.youtube_comments(read_video_comments(spark, landing), chosen)
     else:
         columns = COMMENT_PLAIN
         heads = window_heads(spark, landing)
-        status = CHALLENGED if challenged(heads) else COMPLETED
+        status = panel_status(heads)
         at = heads.select("file", urls.tiktok_video_id(F.col("url")).alias("_video"), "metrics")
         posts = chosen.select(F.col("record_id").alias("content_id"), "url", urls.tiktok_video_id(F.col("url")).alias("_video"))
         rows = read_windows(spark, landing, *WINDOWS[site]).join(at.select("file", "_video"), "file").join(posts, "_video")
@@ -192,5 +224,5 @@ def collect_comments(
             sinks.remove(spark, f"{bundle}/{name}")
             sinks.move(spark, f"{bundle}/{name}.next", f"{bundle}/{name}")
     rows = read_csv(spark, f"{bundle}/comments.csv").count()
-    update_manifest(spark, bundle, status, chosen.count(), rows)
-    return {"status": status, "rows": rows, "exit_code": 2 if status == CHALLENGED else 0}
+    update_manifest(spark, bundle, status, chosen.count(), rows, warnings)
+    return {"status": status, "rows": rows, "exit_code": EXIT_CODES[status]}

@@ -96,9 +96,31 @@ VIDEO = T.StructType(
 )
 
 
-def read_video_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of videos; a bad line is an error, rows without an id go."""
-    return spark.read.schema(VIDEO).option("mode", "FAILFAST").json(path).where(filled(F.col("id")) != "").withColumn(ORDINAL, F.monotonically_increasing_id())
+BROKEN = "_broken"
+
+
+def read_video_lines(spark: SparkSession, path: str, broken: bool = False) -> DataFrame:
+    """JSON lines of videos; rows without an id go. A line that is not what it should be is an error, or with ``broken`` a row
+    whose ``_broken`` has the line, whether or not an id could be read from it."""
+    if not broken:
+        return spark.read.schema(VIDEO).option("mode", "FAILFAST").json(path).where(filled(F.col("id")) != "").withColumn(ORDINAL, F.monotonically_increasing_id())
+    schema = T.StructType([*VIDEO.fields, T.StructField(BROKEN, T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+    return rows.where((filled(F.col("id")) != "") | F.col(BROKEN).isNotNull()).withColumn(ORDINAL, F.monotonically_increasing_id())
+
+
+def read_video_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Of each ``*.info.json``: video_id (its id, or else its name), error and warning (what its lander says of it, or that
+    it can't be read) and challenge."""
+    schema = f"id string, error string, warning string, challenge boolean, comments string, {BROKEN} string"
+    heads = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+    named = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.info)?\.json$", 1)
+    return heads.select(
+        F.coalesce(F.nullif(clean(F.col("id")), F.lit("")), F.url_decode(named)).alias("video_id"),
+        F.when(F.col(BROKEN).isNotNull(), "not readable as JSON").otherwise(clean(F.col("error"))).alias("error"),
+        clean(F.col("warning")).alias("warning"),
+        F.coalesce("challenge", F.lit(False)).alias("challenge"),
+    )
 
 
 COMMENTS = (

@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyfold import cli
-from tallyfold.operators import connectors, dedup, joins
+from tallyfold.operators import collect, connectors, dedup, joins
 from tallyfold.sources.bundle import LEGACY_CENSUS, LEGACY_COMMENTS, LEGACY_VIDEOS, read_video_comments, read_video_lines, read_windows
 from tallyfold.streaming import ingest
 
@@ -124,7 +124,6 @@ def test_posts_asked_for(spark):
 
 
 def test_how_a_capture_ended(spark, tmp_path):
-    from tallyfold.operators import collect
 
     def ended(windows, max_scrolls=None):
         folder = tmp_path / f"l{len(list(tmp_path.iterdir()))}"
@@ -204,7 +203,6 @@ def test_merge_stream_compacts(spark, tmp_path, monkeypatch):
 
 def test_stagnation_of_a_stream(spark, tmp_path):
     """Windows that land one by one are told to be stagnant as they are when all are read at once."""
-    from tallyfold.operators import collect
 
     shown = [(["a", "b"], 0), (["b", "c"], 1), (["c"], 1), (["c"], 1), (["c"], 2), (["d"], 2), (["d"], 2), (["d"], 2), (["d"], 2)]
     landing, table = tmp_path / "landing", str(tmp_path / "table")
@@ -246,3 +244,69 @@ def test_collect_commands(spark, tmp_path):
     assert cli.main(["tiktok", "--landing", str(grid), "--output", str(tmp_path / "c"), *base, "--workspace", ws], spark) == 2
     assert cli.main(["tiktok", "--landing", str(grid), "--output", str(tmp_path / "d"), "--company", "Ex", "--url", "https://x.test/a"], spark) == 2
     assert cli.main(["analyze", "content", "--workspace", ws, "--target-language", "en"], spark) == 2  # the post has no text
+
+
+def bundle_of(folder, rows):
+    folder.mkdir()
+    with (folder / "content.csv").open("w", newline="") as f:
+        out = csv.DictWriter(f, ["record_id", "platform", "account", "channel_id", "url", "views", "likes", "comments_count", "shares"], restval="")
+        out.writeheader()
+        out.writerows(rows)
+    (folder / "comments.csv").write_text(",".join(collect.COMMENT) + "\n")
+    return str(folder)
+
+
+def test_statuses_of_comment_panels(spark, tmp_path):
+    """Each way in which a capture of comments ends, and its exit code; what was captured stays."""
+    url = "https://www.tiktok.com/@ex/video/7416929728608701704"
+    landing = tmp_path / "talk"
+    landing.mkdir()
+    out = bundle_of(tmp_path / "b", [{"record_id": "TT-7416929728608701704", "platform": "TikTok", "url": url, "views": "5"}])
+    rows = [{"level": 1, "user": "ann", "text": "q", "likeLabel": "2"}]
+    said = [({}, collect.COMPLETED, 0), ({"status": collect.INTERRUPTED}, collect.INTERRUPTED, 2), ({"status": collect.FAILED}, collect.FAILED, 2), ({"challenge": True}, collect.CHALLENGED, 2)]
+    for extra, status, code in said:
+        (landing / "1.json").write_text(json.dumps({"url": url, "rows": rows} | extra))
+        got = collect.collect_comments(spark, "tiktok-comments", str(landing), out)
+        assert got == {"status": status, "rows": 1, "exit_code": code}
+        assert json.load(open(f"{out}/run_manifest.json"))["conversation_collection"]["status"] == status
+
+
+def test_statuses_and_warnings_of_videos(spark, tmp_path):
+    from pathlib import Path
+
+    out = bundle_of(tmp_path / "b", [{"record_id": f"YT-v{k}", "platform": "YouTube", "url": f"https://www.youtube.com/watch?v=v{k}", "views": str(k)} for k in (1, 2, 3)])
+    landing = tmp_path / "info"
+    landing.mkdir()
+    one = {"comments": [{"id": "c", "parent": "root", "author": "ann", "text": "q"}]}
+    write = lambda k, value: Path(landing / f"v{k}.info.json").write_text(value if isinstance(value, str) else json.dumps({"id": f"v{k}"} | value))
+    steps = [
+        ((1, one), collect.COMPLETED, 0, []),
+        ((2, one | {"warning": "slow\nsome replies are missing"}), collect.COMPLETED, 0, ["YT-v2: some replies are missing"]),
+        ((3, {"error": "ERROR\nComments are turned off"}), collect.PARTIAL, 1, ["YT-v2: some replies are missing", "YT-v3: Comments are turned off"]),
+        ((3, '{"id": "v3", "comm'), collect.PARTIAL, 1, ["YT-v2: some replies are missing", "YT-v3: not readable as JSON"]),
+        ((9, {"error": "of a post that nobody asked for"}), collect.PARTIAL, 1, ["YT-v2: some replies are missing", "YT-v3: not readable as JSON"]),
+        ((3, {"error": "Please verify you are human"}), collect.CHALLENGED, 2, ["YT-v2: some replies are missing", "YT-v3: Please verify you are human"]),
+    ]
+    for (k, value), status, code, warnings in steps:
+        write(k, value)
+        got = collect.collect_comments(spark, "youtube-comments", str(landing), out)
+        assert (got["status"], got["exit_code"], got["rows"]) == (status, code, 1)
+        assert json.load(open(f"{out}/run_manifest.json")).get("warnings", {}).get("youtube_comments", []) == warnings
+
+
+def test_broken_lines_of_a_tab_are_warned_of(spark, tmp_path):
+    for tab, lines in (("videos", ['{"id": "a", "title": "A"}', '{"id": "b", "ti', '{"title": "no id"}']), ("shorts", ['{"id": "c", "view_count": 3}'])):
+        (tmp_path / "land" / tab).mkdir(parents=True)
+        (tmp_path / "land" / tab / "1.json").write_text("\n".join(lines))
+    got = collect.collect_profile(spark, "youtube", str(tmp_path / "land"), str(tmp_path / "out"), "Ex", "https://www.youtube.com/@ex", tabs="videos,shorts")
+    manifest = json.load(open(tmp_path / "out" / "run_manifest.json"))
+    assert got["rows"] == 2 and got["exit_code"] == 0
+    assert manifest["warnings"] == {"videos": "1 lines could not be read in full"} and manifest["counts"]["by_tab"] == {"videos": 1, "shorts": 1}
+
+
+def test_feeds_have_words_of_their_own(spark, tmp_path):
+    (tmp_path / "land").mkdir()
+    post = {"permalink": "https://www.facebook.com/Ex/posts/1", "text": "t", "publishedAt": "", "publishedLabel": "", "metricLabels": []}
+    (tmp_path / "land" / "1.json").write_text(json.dumps({"title": "Ex", "articles": [post]}))
+    got = collect.collect_profile(spark, "facebook", str(tmp_path / "land"), str(tmp_path / "out"), "Ex", "https://www.facebook.com/Ex", max_scrolls=0)
+    assert got == {"status": "single_window_complete", "rows": 1, "exit_code": 0}
