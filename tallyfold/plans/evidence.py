@@ -294,13 +294,50 @@ def csv_round_trip(spark, sf_dir):
     return got.select("doc_id", text.sha256(COL("text")).alias("text_hash"), "source", COL("_ord").alias("place"))
 
 
-@query("SELECT 'one.csv' AS name, sha256('name,note' || chr(10) || 'a,1' || chr(10)) AS sha256")
+@query("SELECT 'one.csv' AS name, sha256('c_custkey,c_mktsegment' || chr(10) || string_agg(c_custkey || ',' || c_mktsegment || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer")
 def file_digest(spark, sf_dir):
+    """Of a whole table in order, as one file."""
     path = f"{scratch(spark, 'digest')}/one.csv"
-    sinks.write_text(spark, path, "name,note\na,1\n")
+    sinks.write_csv(table(spark, sf_dir, "customer"), path, ["c_custkey", "c_mktsegment"], ["c_custkey"])
     return bundle.file_digests(spark, path).select("name", "sha256")
 
 
+@query("""WITH f AS (SELECT 'platform,handle' || chr(10) || string_agg(s_name || ',' || s_suppkey || chr(10), '' ORDER BY s_suppkey) AS platform FROM supplier),
+ c AS (SELECT 'record_id,views' || chr(10) || string_agg('TT-' || o_orderkey || ',' || floor(o_totalprice)::BIGINT || chr(10), '' ORDER BY o_orderkey) AS content FROM orders)
+SELECT sha256('platform_census.csv' || chr(0) || platform || chr(0) || 'content.csv' || chr(0) || content || chr(0) || 'comments.csv' || chr(0) || 'comment_id' || chr(10) || chr(0) || 'run_manifest.json' || chr(0) || '{' || chr(10) || '  "a": 1' || chr(10) || '}' || chr(10) || chr(0)) AS fingerprint FROM f, c""")
+def capture_fingerprint(spark, sf_dir):
+    """Of a capture whose files hold whole tables."""
+    out = scratch(spark, "fingerprint")
+    sinks.write_csv(table(spark, sf_dir, "supplier").select(COL("s_name").alias("platform"), COL("s_suppkey").alias("handle")), f"{out}/platform_census.csv", ["platform", "handle"], [COL("handle").cast("bigint")])
+    posts = table(spark, sf_dir, "orders").select(said("TT-", COL("o_orderkey")).alias("record_id"), F.floor("o_totalprice").alias("views"), "o_orderkey")
+    sinks.write_csv(posts, f"{out}/content.csv", ["record_id", "views"], ["o_orderkey"])
+    sinks.write_csv(posts.limit(0), f"{out}/comments.csv", ["comment_id"])
+    sinks.write_json(spark, f"{out}/run_manifest.json", {"a": 1})
+    return spark.range(1).select(LIT(bundle.bundle_fingerprint(spark, out)).alias("fingerprint"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS vid, trim(s_name) AS brand, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_acctbal::VARCHAR END AS views, 'text ' || s_suppkey || chr(10) || 'on' AS text_original, row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS place FROM supplier""")
+def legacy_scan(spark, sf_dir):
+    """An older export as it stands: names and values with blanks around, a row order, line breaks within values."""
+    named = {v: k for k, v in bundle.LEGACY_VIDEOS.items()}
+    n = COL("s_suppkey")
+    values = {"vid": said(" ", n, " "), "brand": said(COL("s_name"), "  "), "views": F.when(n % 3 == 0, " ").otherwise(COL("s_acctbal").cast("string")), "text_original": said("text ", n, "\non\n")}
+    rows = table(spark, sf_dir, "supplier").select(n.alias("_ord"), *[values.get(v, LIT("")).alias(f" {k} ") for v, k in named.items()])
+    path = f"{scratch(spark, 'legacy')}/videos.csv"
+    sinks.write_csv(rows, path, [f" {k} " for k in named.values()], [F.desc("_ord")])
+    return bundle.read_legacy(spark, path, bundle.LEGACY_VIDEOS).select("vid", "brand", "views", "text_original", COL("_ord").alias("place"))
+
+
+@query("""WITH p AS (SELECT 'TT-' || o_orderkey AS record_id, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+00:00' END AS published_at FROM orders)
+SELECT record_id, published_at, row_number() OVER (ORDER BY published_at DESC, record_id DESC) - 1 AS place FROM p""")
+def capture_row_order(spark, sf_dir):
+    """Rows of a capture's content as its file holds them: newest first, undated last, equal dates by falling id."""
+    out = scratch(spark, "ordered")
+    posts = _posts(spark, sf_dir)
+    connectors.write_bundle(out, posts, None, connectors.census_row(posts, "Site", "shop", "https://x.test", "9"), {"a": 1})
+    return bundle.read_csv(spark, f"{out}/content.csv").select("record_id", "published_at", COL("_ord").alias("place"))
+
+
 @query("SELECT 'v' || p_partkey AS id, p_name AS title, p_size::DOUBLE AS view_count FROM part WHERE p_partkey % 10 <> 0")
 def json_lines_scan(spark, sf_dir):
     path = scratch(spark, "lines")
@@ -395,6 +432,28 @@ def ledger_reports(spark, sf_dir):
     return spark.createDataFrame(reports, "place long, new long, updated long, unchanged long, not_observed long, duplicate boolean")
 
 
+@query(f"""{_STATES}, c AS (SELECT 'content' AS entity_type, one.id AS stable_id, 'not_observed' AS change_type, '' AS field FROM one WHERE k % 10 IN (7, 8)
+ UNION ALL SELECT 'content', two.id, CASE WHEN one.id IS NULL THEN 'new' WHEN two.seg = 'BUILDING' OR two.nat = 5 THEN 'updated' ELSE 'unchanged' END,
+  CASE WHEN one.id IS NOT NULL AND two.seg = 'BUILDING' THEN one.v || '>' || two.v ELSE '' END FROM two LEFT JOIN one ON one.id = two.id
+ UNION ALL SELECT 'platform', id, 'updated', '' FROM platform)
+SELECT row_number() OVER (ORDER BY entity_type, change_type, stable_id) - 1 AS place, * FROM c""")
+def ledger_report_order(spark, sf_dir):
+    """The second import's report as its file holds it, change by change."""
+    ledger, reports = _ledger(spark, sf_dir)
+    shape = "changes array<struct<entity_type:string,stable_id:string,change_type:string,field_changes:map<string,struct<before:string,after:string>>>>"
+    found = spark.read.schema(shape).option("multiLine", True).json(ledger.at(f"changes/{reports[1]['run_id']}.json"))
+    rows = found.select(F.posexplode("changes").alias("place", "c")).select(COL("place").cast("long").alias("place"), "c.*")
+    views = F.when(COL("entity_type") == "content", F.try_element_at("field_changes", LIT("views")))
+    return rows.select("place", "entity_type", "stable_id", "change_type", F.coalesce(F.concat(views["before"], LIT(">"), views["after"]), LIT("")).alias("field"))
+
+
+@query("SELECT 'C-' || c_custkey AS record_id, c_name AS text_original, '' AS content_type FROM customer WHERE c_custkey % 10 <> 9")
+def rows_to_label(spark, sf_dir):
+    """What is to be labelled of the first capture's whole content."""
+    rows, _ = packets.load_rows(spark, _bundle(spark, sf_dir, 1), "content")
+    return rows.select("record_id", "text_original", "content_type")
+
+
 @query(f"{_STATES} SELECT id AS stable_id, 1 + (k % 10 = 9)::INTEGER AS first_seen_run, 2 - (k % 10 IN (7, 8))::INTEGER AS last_seen_run FROM (SELECT id, k FROM one UNION SELECT id, k FROM two) UNION ALL SELECT id, 1, 2 FROM platform")
 def ledger_entities(spark, sf_dir):
     return _ledger(spark, sf_dir)[0].entities().select("stable_id", "first_seen_run", "last_seen_run")
@@ -531,16 +590,34 @@ def model_labels(spark, sf_dir):
     return classify.classify_rows(rows, Echo, "content", [{"id": "big"}, {"id": "small"}], "en")
 
 
-@query("""SELECT * FROM (VALUES (1, 'how_to', 'How To', 1), (2, 'how_to_2', 'how to', 1), (3, 'category_3', 'Category 3', 1), (4, 'price', 'P', 2)) AS t(place, id, label, criteria)""")
+@query("""WITH i AS (SELECT n_nationkey, lower(replace(r_name, ' ', '_')) AS slug, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k, n_nationkey % 2 = 0 AS named FROM nation JOIN region ON n_regionkey = r_regionkey),
+ d AS (SELECT *, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS id FROM i)
+SELECT row_number() OVER (ORDER BY n_nationkey) AS place, id, CASE WHEN named THEN n_name ELSE array_to_string(list_transform(string_split(replace(id, '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') END AS label, 1 + named::INTEGER AS criteria FROM d""")
 def taxonomy_items(spark, sf_dir):
+    """A model's categories, made from the nations in order: equal ids are numbered, what is missing is filled in."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), COL("n_regionkey") == COL("r_regionkey")).orderBy("n_nationkey").select("n_nationkey", "n_name", "r_name").collect()
+    said_by = [{"id": f" {r['r_name']}! "} | ({"label": r["n_name"], "inclusion_criteria": ["a", " ", "b\u0000"]} if r["n_nationkey"] % 2 == 0 else {}) for r in rows]
+
     class Merging:
         def chat_json(self, system, user, schema):
-            return {"categories": [{"id": "How To!"}, {"label": "how to"}, {"definition": "d", "label": None}, {"id": "PRICE", "label": "P", "inclusion_criteria": ["a", " ", "b\u0000"]}, "no item"]}
+            return {"categories": [*said_by, "no item"]}
 
     items = classify.merge_taxonomies(Merging(), "content", [{"categories": []}] * 8, "en")
     return spark.createDataFrame([(n, i["id"], i["label"], len(i["inclusion_criteria"])) for n, i in enumerate(items, 1)], "place long, id string, label string, criteria long")
 
 
+@query("""WITH l AS (SELECT p_partkey::VARCHAR AS id, p_size % 5 AS k FROM part)
+SELECT 'translation' AS rule, id FROM l WHERE k = 1 UNION ALL SELECT 'category', id FROM l WHERE k = 2 UNION ALL SELECT 'unknown_category', id FROM l WHERE k = 3 UNION ALL SELECT 'translation', id FROM l WHERE k = 4 UNION ALL SELECT 'category', id FROM l WHERE k = 4""")
+def answers_outside_the_rules(spark, sf_dir):
+    """A model's answers for every part: without a translation, unclassified, outside the taxonomy, or fine."""
+    k = COL("p_size") % 5
+    labels = table(spark, sf_dir, "part").select(
+        COL("p_partkey").cast("string").alias("record_id"), F.when(k.isin(1, 4), " ").otherwise(COL("p_name")).alias("text_translation"),
+        F.when(k == 2, " unclassified ").when(k == 3, "other").when(k == 4, "").otherwise("big").alias("content_type"), LIT("high").alias("classification_confidence"), LIT("").alias("classification_notes"),
+    )
+    return classify.answer_violations(labels, "content", {"big", "small"}).select("rule", "id")
+
+
 @query("""WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 1 THEN 'big' ELSE 'small' END AS id FROM part)
 SELECT id, string_agg(k::VARCHAR, ',' ORDER BY k DESC) AS reps FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS r FROM l) WHERE r <= 3 GROUP BY id""")
 def label_representatives(spark, sf_dir):

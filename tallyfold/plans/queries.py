@@ -38,6 +38,14 @@ def content_category_stats(spark, sf_dir):
     return found.withColumn("share", F.round("share", 6)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
+@query(f"""WITH {CONTENT_SQL}, m AS (SELECT content_type AS category, coalesce(round_even(avg(v), 0)::BIGINT, 0) AS mean_views FROM content GROUP BY content_type)
+SELECT category, mean_views, row_number() OVER (ORDER BY mean_views DESC, category) - 1 AS place FROM m""")
+def category_order(spark, sf_dir):
+    """Categories in the order of a report: by mean views, then by name."""
+    rows = stats.category_stats(content(spark, sf_dir)).select("category", "mean_views").collect()  # a row a category, as shown
+    return spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "category string, mean_views long, place long")
+
+
 @query(f"""WITH {CONTENT_SQL} SELECT count(*) AS content_rows, sum(v)::BIGINT AS total_views, round_even(avg(v), 0)::BIGINT AS mean_views,
  round_even(median(v), 0)::BIGINT AS median_views, count(v) AS view_coverage FROM content""")
 def content_totals(spark, sf_dir):
