@@ -236,18 +236,22 @@ def near_classes(
     bands = bands_for(similar, per_band, recall)
     base = rows.select("doc_id", F.xxhash64("raw").alias("place"), text.alias("text")).withColumn("node", F.xxhash64("text"))
     signed = kept_table(sign(base, words, bands, per_band), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
-    nodes = signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size"))
-    nodes = kept_table(nodes.select("node", "first", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place"), "n_copies", "size"), "nodes")
+    alike = signed.groupBy("node", "doc_id", "place").agg(F.count(F.lit(1)).alias("again"), F.max("size").alias("size"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place", "again"))
+    nodes = alike.groupBy("node").agg(first.alias("least"), F.sum("again").alias("n_copies"), F.max("size").alias("size"))
+    named = [F.struct("least.no_id", "least.doc_id", "least.place").alias("first"), F.col("least.doc_id").alias("rep"), F.col("least.place").alias("place"), F.col("least.again").alias("again")]
+    nodes = kept_table(nodes.select("node", *named, "n_copies", "size"), "nodes")
     family = kept_table(connected_components(family_edges(signed.select("node", "keys"))), "families")
-    member = family.join(nodes.select("node", "rep", "place", "size"), "node")
+    member = family.join(nodes.select("node", "rep", "place", "again", "size"), "node")
     sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("weight") / F.lit(WEIGHT))).cast("int")
     sizes = sizes.select(F.bitwise_not(F.bitwise_not("root")).alias("of"), parts.alias("parts"))
-    asked = member.join(sizes, F.col("root") == F.col("of")).select("root", "parts", "rep", F.col("place").alias("at"), "node")
+    asked = member.join(sizes, F.col("root") == F.col("of")).select("root", "parts", "rep", F.col("place").alias("at"), "again", "node")
     # a node's text is that of its least id; ids may repeat or be null, so the hash of the text as it stands decides
     same = (F.xxhash64("raw") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    found = rows.join(asked, same).select("root", "node", text.alias("text"), (F.col("parts") > 1).alias("many"), "parts")
+    found = rows.join(asked, same).select("root", "node", text.alias("text"), (F.col("parts") > 1).alias("many"), "parts", "again")
+    if not asked.where("again > 1").isEmpty():  # rows alike in id and text: one of them
+        found = found.where("again = 1").union(found.where("again > 1").dropDuplicates(["node"]))
     dealt = found.select("root", "node", "text", "many", F.explode(blocks(F.col("parts"), "node")).alias("at"))
     dealt = dealt.select("root", "at.lo", "at.hi", "at.own", "node", "many", "text")
     checked = kept_table(verified(dealt, words, similar), "links")

@@ -412,6 +412,18 @@ def test_join_against_brute_force(spark, block):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == want
 
 
+def test_join_ships_one_of_repeated_rows(spark, monkeypatch):
+    """However often a row is there, its text goes to be compared once; links and copies are as ever."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(5, text)] * 200 + [(6, text)] * 3 + [(7, text + " more")] * 50 + [(None, text + " more")] + [(8, "another text that stands quite by itself here")]
+    shipped = []
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda dealt, *a: (shipped.append(dealt.count()), verified(dealt, *a))[1])
+    got = ngram_join.ngram_join(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(4)).collect()
+    assert shipped == [2]
+    assert {tuple(r) for r in got} == {(5, 5, 1, 203), (6, 5, 1, 203), (7, 5, 1, 51), (None, 5, 1, 51), (8, 8, 0, 1)} and len(got) == len(rows)
+
+
 def test_join_empty(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], DOC)).collect() == []
 
