@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,58 +18,71 @@ def stream_windows(spark: SparkSession, landing: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(landing)
 
 
-COMPACT = 16  # batches after which a table's parts become one
-
-
 def merge_stream(rows: DataFrame, key: str, table: str, checkpoint: str, text: str | None = "text_original", once: bool = True) -> StreamingQuery:
-    """Merges micro-batches of rows (with ``_ord``) field by field; ``current`` reads the merged table.
-
-    A batch is merged in itself and written as a part of its own, so its cost follows its rows and not the table's. Every
-    COMPACT batches the parts become one. Parts are folders by batch number, and older ones go after a new one is whole,
-    so a batch that is replayed after a loss writes the same part again.
+    """Merges micro-batches of rows (with ``_ord``, later batches behind earlier ones) field by field; ``current`` reads the
+    merged table.
+
+    A table is the parts that its last manifest lists, oldest first. A batch is merged in itself and becomes the newest part;
+    it takes with it the parts before it until the next is at least twice as large, so what a batch writes follows its
+    rows, a row is rewritten a logarithmic number of times, and there are as many parts at most. A manifest is written when its parts are
+    whole, and the one before it keeps its own until the next, so a batch that is lost at any point and replayed writes
+    the same again.
     """
     spark = rows.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        merge_windows(batch, key, text).write.mode("overwrite").parquet(f"{table}/part={n:012d}")
-        if n % COMPACT == COMPACT - 1:
-            both = _parts(spark, table, n)
-            merge_windows(both, key, text).write.mode("overwrite").parquet(f"{table}/merged={n:012d}")
-            for kind in ("part", "merged"):
-                for old in _numbers(spark, table, kind):
-                    if old < n - COMPACT or (kind == "part" and old <= n - COMPACT):
-                        sinks.remove(spark, f"{table}/{kind}={old:012d}")
+        earlier = [k for k in _manifests(spark, table) if k < n]
+        parts = _parts(spark, table, earlier[-1]) if earlier else []
+        own = f"part={n:012d}"
+        merge_windows(batch, key, text).write.mode("overwrite").parquet(f"{table}/{own}")
+        total = spark.read.parquet(f"{table}/{own}").count()
+        taken: list[tuple[str, int]] = [(own, total)]
+        while parts and parts[-1][1] < 2 * sum(size for _, size in taken):
+            taken.insert(0, parts.pop())
+        if len(taken) > 1:
+            own = f"merged={n:012d}"
+            merge_windows(_union(spark, table, [name for name, _ in taken]), key, text).write.mode("overwrite").parquet(f"{table}/{own}")
+            total = spark.read.parquet(f"{table}/{own}").count()
+        sinks.make_dirs(spark, f"{table}/manifests")
+        sinks.write_json(spark, f"{table}/manifests/{n:012d}.json", [*parts, (own, total)] if total else parts)
+        _clean(spark, table, n, earlier[-1:])
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _numbers(spark: SparkSession, table: str, kind: str) -> list[int]:
-    """Numbers of the folders of a kind that are whole, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path)]
-    done = [p.getName() for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{kind}="))
+def _clean(spark: SparkSession, table: str, n: int, before: list[int]) -> None:
+    """Removes what neither manifest ``n`` nor the one before it has."""
+    kept = {name for k in [*before, n] for name, _ in _parts(spark, table, k)}
+    for name in sinks.names_in(spark, table):
+        if name != "manifests" and name not in kept:
+            sinks.remove(spark, f"{table}/{name}")
+    for k in _manifests(spark, table):
+        if k not in (*before, n):
+            sinks.remove(spark, f"{table}/manifests/{k:012d}.json")
+
+
+def _manifests(spark: SparkSession, table: str) -> list[int]:
+    return [int(name.removesuffix(".json")) for name in sinks.names_in(spark, f"{table}/manifests") if name.endswith(".json")]
+
+
+def _parts(spark: SparkSession, table: str, n: int) -> list[tuple[str, int]]:
+    """Names and rows of the parts of a manifest, oldest first."""
+    return [(name, size) for name, size in json.loads(sinks.read_text(spark, f"{table}/manifests/{n:012d}.json"))]
 
 
-def _parts(spark: SparkSession, table: str, upto: int | None = None) -> DataFrame | None:
-    """The rows of the last merged part and of all parts after it, unmerged between parts."""
-    merged = [n for n in _numbers(spark, table, "merged") if upto is None or n < upto]
-    base = merged[-1:]
-    parts = [n for n in _numbers(spark, table, "part") if (not base or n > base[0]) and (upto is None or n <= upto)]
+def _union(spark: SparkSession, table: str, names: list[str]) -> DataFrame | None:
     out = None
-    for folder in [*(f"merged={n:012d}" for n in base), *(f"part={n:012d}" for n in parts)]:
-        one = spark.read.parquet(f"{table}/{folder}")
+    for name in names:
+        one = spark.read.parquet(f"{table}/{name}")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
 def current(spark: SparkSession, table: str, key: str, text: str | None = "text_original") -> DataFrame | None:
-    """The table as of its last whole part; None before the first."""
-    rows = _parts(spark, table)
+    """The table as of its last manifest; None before the first row."""
+    last = _manifests(spark, table)[-1:]
+    rows = _union(spark, table, [name for name, _ in _parts(spark, table, last[0])]) if last else None
     return None if rows is None else merge_windows(rows, key, text)
 
 

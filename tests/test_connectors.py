@@ -1,6 +1,7 @@
 import csv
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold import cli
@@ -184,21 +185,40 @@ def test_merge_stream(spark, tmp_path):
     assert ingest.current(spark, table, "id").count() == 2
 
 
-def test_merge_stream_compacts(spark, tmp_path, monkeypatch):
-    """Many small batches give what one merge of all rows gives; old parts go."""
-    monkeypatch.setattr(ingest, "COMPACT", 3)
+def test_merge_stream_is_replayed_and_compacts(spark, tmp_path, monkeypatch):
+    """Batches that are lost before the manifest, or between it and the clean-up, and come again give what one merge of all
+    rows gives; what is written follows the batches, and old parts go."""
     landing, table = tmp_path / "landing", str(tmp_path / "table")
     landing.mkdir()
-    schema, every = "id string, text_original string, views string, _ord long", []
-    for n in range(8):
+    schema, every, written = "id string, text_original string, views string, _ord long", [], []
+    lose = {2: (ingest.sinks, "write_json"), 4: (ingest, "_clean")}
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    def run():
+        ingest.merge_stream(ingest.stream_windows(spark, str(landing), schema), "id", table, str(tmp_path / "ck")).awaitTermination()
+
+    for n in range(7):
         rows = [(f"k{n % 3}", "x" * ((n * 5) % 7), str(n) if n % 2 else "", n), (f"only{n}", "t", "", 100 + n)]
+        rows += [(f"big{k}", "", "", 200 + k) for k in range(40)] if n == 0 else []
         every += rows
         (landing / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "text_original", "views", "_ord"), r, strict=True))) for r in rows))
-        ingest.merge_stream(ingest.stream_windows(spark, str(landing), schema), "id", table, str(tmp_path / "ck")).awaitTermination()
+        if n in lose:
+            with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+                m.setattr(*lose[n], lost)
+                run()
+        run()
+        written.append(ingest._parts(spark, table, n)[-1][1])
+        assert ingest._parts(spark, table, n)[0][0] == "part=000000000000"  # the large part is not written again
     want = dedup.merge_windows(spark.createDataFrame(every, schema), "id")
     got = ingest.current(spark, table, "id").select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert len(ingest._numbers(spark, table, "merged")) <= 2 and len(ingest._numbers(spark, table, "part")) < 8
+    assert max(written[1:]) <= 14 and len(ingest._manifests(spark, table)) == 2
+    sizes = [size for _, size in ingest._parts(spark, table, 6)]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    kept = {name for k in (5, 6) for name, _ in ingest._parts(spark, table, k)}
+    assert set(ingest.sinks.names_in(spark, table)) == kept | {"manifests"}
 
 
 def test_stagnation_of_a_stream(spark, tmp_path):
