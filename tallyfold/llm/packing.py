@@ -9,8 +9,8 @@ it seeds the next window, so no window has padding but a shard's last tokens, wh
 Query: all of the seed's terms (``query_terms`` keeps only those of greatest BM25 weight). When no unused document shares
 a term with the seed, the next unused item in order follows.
 
-Scale: a shard is what a task holds (SHARD_TOKENS tokens at most, beside one document); a partition has as many shards as
-it needs. Neighbours come together by ranges of a signature (the least hash over a text's words), so a hot group spans
+Scale: a shard is what a task holds (SHARD_TOKENS tokens at most, beside one document, and SHARD_DOCS documents); a partition
+has as many shards as it needs. Neighbours come together by ranges of a signature (the least hash over a text's words), so a hot group spans
 as many shards as it fills, and the texts cross one shuffle.
 """
 
@@ -27,6 +27,7 @@ from .common import chunk_encoder, local_tokenizer, text_of, tokenizer_path
 
 WINDOW = 2048
 SHARD_TOKENS = 3 << 20
+SHARD_DOCS = 1 << 16  # of a shard too, as a seed's question goes over all documents of its shard
 QUERY_TERMS = 12
 NEIGHBOURS = 24  # asked for at a time; asked again while the window has room
 K1, B = 1.2, 0.75
@@ -213,7 +214,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 docs.append(np.frombuffer(encoder.encode(text.as_py()) + tail, "<u2"))
                 names.append(doc_id)
                 size += len(docs[-1])
-                if size >= SHARD_TOKENS:
+                if size >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
                     yield shard()
                     docs, names, size = [], [], 0
         if docs:

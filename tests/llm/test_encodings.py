@@ -229,6 +229,26 @@ def test_neighbours_share_a_window():
     assert sum(len(m) for m in mates.values()) < 2 * len(mates)
 
 
+def test_many_short_documents_take_bounded_time():
+    """A full shard of documents of one token: seconds, so a million of them, in shards of SHARD_DOCS, well under a minute."""
+    import time
+
+    docs = [np.array([1 + k % 3], np.uint16) for k in range(packing.SHARD_DOCS)]
+    began = time.process_time()
+    pieces = packing.pack_shard(docs)
+    assert time.process_time() - began < 8
+    check_pieces(pieces, dict.fromkeys(range(len(docs)), 1), packing.WINDOW)
+
+
+def test_shards_are_bounded_by_documents(spark, library, monkeypatch):
+    rows = [(k, ["a", "", None, "b c"][k % 4]) for k in range(90)]
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    got = packing.pack_documents(frame(spark, rows)).collect()
+    made = {i: len(ids_of(library, t)) + 1 for i, t in rows}
+    check_pieces([(r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in got], made, 2048)
+    assert len({r["sequence_id"] for r in got}) >= 6
+
+
 def test_packing(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 3000)
     rows = [r for r in odd_rows() if r[0] not in (3, 40)] + [(3, ODD[3]), (40, ODD[3])]
