@@ -86,33 +86,53 @@ def current(spark: SparkSession, table: str, key: str, text: str | None = "text_
     return None if rows is None else merge_windows(rows, key, text)
 
 
-def stagnant_stream(windows: DataFrame, scope: str, key: str, rounds: int, checkpoint: str, table: str) -> StreamingQuery:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stagnant_stream(windows: DataFrame, scope: str, key: str, rounds: int, checkpoint: str, table: str, keep_ms: int | None = None) -> StreamingQuery:
     """From windows as they land (scope, file, y, h and keys: what they show), appended to ``table`` per window: scope, file,
     seen (new keys), quiet and stopped, as ``collect.quiet_windows`` gives them in one go.
 
-    The state of a scope is the keys that it has shown, its last extent and its quiet windows; windows of a scope come in
-    the order of their files.
+    A scope's state is an entry for each key that it has shown, and one of its last extent and its quiet windows. A window
+    looks up its own keys, whatever else the scope has shown; the entries are on disk (RocksDB). With ``keep_ms`` an entry goes so
+    long after it was written, for scopes that are never captured again. Windows of a scope come in the order of their
+    files.
     """
     import pandas as pd
-
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Quiet(StatefulProcessor):
+        def init(self, handle):
+            self.shown = handle.getMapState("shown", "key string", "file string", keep_ms)
+            self.last = handle.getValueState("last", "y long, h long, quiet long", keep_ms)
+
+        def handleInputRows(self, name, frames, timers):  # noqa: N802  Spark's name
+            out = []
+            for window in sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["file"]):
+                keys = window[key] if window[key] is not None else ()
+                new = [k for k in dict.fromkeys(keys) if not self.shown.containsKey((k,))]
+                for k in new:
+                    self.shown.updateValue((k,), (window["file"],))
+                here = (int(window["y"]), int(window["h"]))
+                last = tuple(self.last.get()) if self.last.exists() else None
+                quiet = last[2] + 1 if last and last[:2] == here and not new else 0
+                self.last.update((*here, quiet))
+                out.append((name[0], window["file"], len(new), quiet, quiet >= rounds))
+            yield pd.DataFrame(out, columns=[scope, "file", "seen", "quiet", "stopped"])
+
+        def close(self):
+            pass
+
+    spark = windows.sparkSession
     schema = f"{scope} string, file string, seen long, quiet long, stopped boolean"
-
-    def step(name, frames, state):
-        known, extent, quiet = state.get if state.exists else ([], None, 0)
-        shown = set(known)
-        rows = []
-        for frame in sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["file"]):
-            new = set(frame[key]) - shown
-            shown |= new
-            here = (int(frame["y"]), int(frame["h"]))
-            still = extent is not None and here == tuple(extent) and not new
-            quiet, extent = (quiet + 1 if still else 0), here
-            rows.append((name[0], frame["file"], len(new), quiet, quiet >= rounds))
-        state.update((sorted(shown), list(extent) if extent else None, quiet))
-        yield pd.DataFrame(rows, columns=[scope, "file", "seen", "quiet", "stopped"])
-
-    found = windows.groupBy(scope).applyInPandasWithState(step, schema, "known array<string>, extent array<long>, quiet long", "append", "NoTimeout")
-    return found.writeStream.option("checkpointLocation", checkpoint).option("path", table).format("parquet").outputMode("append").trigger(availableNow=True).start()
+    found = windows.groupBy(scope).transformWithStateInPandas(Quiet(), schema, "Append", "ProcessingTime" if keep_ms else "None")
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings that it starts with
+    try:
+        return found.writeStream.option("checkpointLocation", checkpoint).option("path", table).format("parquet").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def ingest_stream(ledger: Ledger, announcements: DataFrame, checkpoint: str, on_report: Callable[[dict], None] | None = None) -> StreamingQuery:

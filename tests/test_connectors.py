@@ -222,21 +222,24 @@ def test_merge_stream_is_replayed_and_compacts(spark, tmp_path, monkeypatch):
 
 
 def test_stagnation_of_a_stream(spark, tmp_path):
-    """Windows that land one by one are told to be stagnant as they are when all are read at once."""
-
-    shown = [(["a", "b"], 0), (["b", "c"], 1), (["c"], 1), (["c"], 1), (["c"], 2), (["d"], 2), (["d"], 2), (["d"], 2), (["d"], 2)]
+    """Windows that land in any batches are told to be stagnant as they are when all are read at once."""
+    shown = [(["a", "b"], 0), (["b", "c"], 1), (["c"], 1), (["c", "c"], 1), (["c"], 2), (["d"], 2), (["d"], 2), ([], 2), (["a"], 2)]
     landing, table = tmp_path / "landing", str(tmp_path / "table")
     landing.mkdir()
-    for n, (keys, y) in enumerate(shown):
-        (landing / f"{n}.json").write_text(json.dumps({"site": "s", "file": f"{n:03d}", "y": y, "h": 9, "keys": keys}))
+    windows = [{"site": s, "file": f"{n:03d}", "y": y, "h": 9, "keys": keys} for s in ("s", "t") for n, (keys, y) in enumerate(shown) if s == "s" or n % 2 == 0]
+    for batch in ([w for w in windows if w["file"] < "002"], [w for w in windows if "002" <= w["file"] < "007"], [w for w in windows if w["file"] >= "007"]):
+        (landing / f"{batch[0]['file']}.json").write_text("\n".join(map(json.dumps, reversed(batch))))
         stream = spark.readStream.schema("site string, file string, y long, h long, keys array<string>").json(str(landing))
         ingest.stagnant_stream(stream, "site", "keys", 2, str(tmp_path / "ck"), table).awaitTermination()
-    got = sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in spark.read.parquet(table).collect())
-    heads = spark.createDataFrame([(f"{n:03d}", y, 9) for n, (_, y) in enumerate(shown)], "file string, scrollY long, scrollHeight long")
-    items = spark.createDataFrame([(f"{n:03d}", k) for n, (keys, _) in enumerate(shown) for k in keys], "file string, key string")
-    want = collect.quiet_windows(heads, items, "key", 2).collect()
-    assert got == sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in want)
-    assert [r[3] for r in got][-1] is True
+    for site in ("s", "t"):
+        got = sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in spark.read.parquet(table).where(f"site = '{site}'").collect())
+        mine = [w for w in windows if w["site"] == site]
+        heads = spark.createDataFrame([(w["file"], w["y"], 9) for w in mine], "file string, scrollY long, scrollHeight long")
+        items = spark.createDataFrame([(w["file"], k) for w in mine for k in w["keys"]], "file string, key string")
+        assert got == sorted((r["file"], r["seen"], r["quiet"], r["stopped"]) for r in collect.quiet_windows(heads, items, "key", 2).collect())
+        assert site == "t" or got[-1][3] is True
+    names = {f.name for f in (tmp_path / "ck" / "state").rglob("*")}
+    assert any(n.endswith(".zip") for n in names)  # RocksDB's
 
 
 def test_collect_commands(spark, tmp_path):
