@@ -60,8 +60,14 @@ def test_packing_stage(stages):
 
 
 def test_run_equals_stages(spark, stages):
+    """The same documents, each with the same tokens, all of them packed."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in cp.STAGES:
+        docs = cp.kept_table(stage(spark, docs, DATA), f"test-run-{name}")
     got = cp.run(spark, DATA)
-    assert got.columns == stages[5].columns and got.count() > 0
+    packed = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id", "doc_tokens").sum("length").collect())
+    assert got.columns == stages[5].columns and packed(got) == packed(docs) and got.count() > 0
+    assert all(tokens == length for _, tokens, length in packed(got))
 
 
 def test_repeated_rows(spark):
