@@ -93,7 +93,7 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     p, fs = _path(spark, path)
     here, _ = _path(spark, tmp)
     try:
-        if fs.getScheme() != "file":
+        if fs.getUri().getScheme() != "file":
             return not fs.exists(p) and fs.rename(here, p)
         files = spark._jvm.java.io.File
         spark._jvm.java.nio.file.Files.createLink(files(p.toUri().getPath()).toPath(), files(here.toUri().getPath()).toPath())
@@ -123,17 +123,23 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
 
 
 def _copy_task(target: str, pieces: list[str]):
-    """For an executor that sees the files under their local names: appends them to a new file."""
+    """For an executor that sees the files under their local names: appends them to a new file, which takes its name when it
+    is whole, so that another attempt at the task does no harm."""
 
     def run(batches):
+        import os
         import shutil
+        import uuid
 
         for _ in batches:
             pass
-        with open(target, "wb") as out:
+        folder, name = os.path.split(target)
+        tmp = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+        with open(tmp, "wb") as out:
             for piece in pieces:
                 with open(piece, "rb") as f:
                     shutil.copyfileobj(f, out, 1 << 20)
+        os.replace(tmp, target)
         yield from ()
 
     return run
@@ -148,7 +154,7 @@ def join_files(spark: SparkSession, pieces: list[str], target: str) -> None:
     paths = [_path(spark, x)[0] for x in pieces]
     goal, fs = _path(spark, target)
     fs.delete(goal, True)
-    if fs.getScheme() == "file":
+    if fs.getUri().getScheme() == "file":
         names = [p.toUri().getPath() for p in paths]
         spark.range(1, numPartitions=1).mapInArrow(_copy_task(goal.toUri().getPath(), names), "id long").write.format("noop").mode("overwrite").save()
     else:
