@@ -85,17 +85,20 @@ def percent(part: Column, whole: Column) -> Column:
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
 EARLIEST, LATEST = 1_262_304_000, 4_102_444_800  # fixed values: seconds between which an id's time is believed
+EVER = (1 << 63) // 1_000_000 - 1  # the last second that a timestamp can hold
 
 
 def iso_from_epoch(seconds: Column) -> Column:
     """Seconds as ISO text in UTC whatever the session's zone."""
     utc = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
-    return F.coalesce(F.date_format(utc, ISO), F.lit(""))
+    return F.coalesce(F.ltrim(F.date_format(utc, ISO), F.lit("+")), F.lit(""))  # a plus stands before years over 9999
 
 
-def snowflake_time(id_text: Column) -> Column:
-    seconds = F.shiftright(filled(id_text).try_cast("bigint"), 32)
-    return F.coalesce(F.when(seconds.between(EARLIEST, LATEST), iso_from_epoch(seconds)), F.lit(""))
+def snowflake_time(id_text: Column, earliest: int = EARLIEST, latest: int = LATEST) -> Column:
+    """The time in an id's bits above the low 32, in decimals: ids of believed times go beyond 63 bits from 2038 on."""
+    number = F.regexp_extract(filled(id_text), r"^\s*\+?0*(\d{1,28})\s*$", 1).try_cast("decimal(28,0)")
+    seconds = ((number - F.pmod(number, F.lit(1 << 32))) / F.lit(1 << 32)).try_cast("bigint")
+    return F.coalesce(F.when(seconds.between(earliest, latest), iso_from_epoch(seconds)), F.lit(""))
 
 
 def published_at(timestamp: Column, upload_date: Column) -> Column:

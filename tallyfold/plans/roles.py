@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def video_number(n: Column) -> Column:
+    """A video's id, made of a row's: a time in the bits above the low 32, of any size (so in decimals)."""
+    return (F.lit(1_600_000_000) + n * 1000).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + n
+
+
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as content: platform is the source, the category the language, views the number of characters."""
     return table(spark, sf_dir, "documents").select(

@@ -28,6 +28,15 @@ def test_numbers(value):
     assert list(value(numbers.percent(F.lit(1), F.lit(8)), numbers.percent(F.lit(1), F.lit(0)))) == ["12%", "n/a"]
 
 
+def test_times_of_ids_beyond_63_bits(value):
+    """Times from 2038 on lift an id over 63 bits; an id's time is believed up to 2100, or to a caller's last second."""
+    ids = ["15000000000000000000", str((4_102_444_800 << 32) + (1 << 32) - 1), str(4_102_444_801 << 32), str(1_262_304_000 << 32), str((1_262_304_000 << 32) - 1), "9" * 60, "-5", "1.5", ""]
+    got = value(*[numbers.snowflake_time(c) for c in lit(*ids)])
+    assert list(got) == ["2080-09-01T23:40:54+00:00", "2100-01-01T00:00:00+00:00", "", "2010-01-01T00:00:00+00:00", "", "", "", "", ""]
+    late = value(*[numbers.snowflake_time(c, latest=numbers.EVER) for c in lit(str((4_102_444_801 << 32) + 7), str((253_402_300_800 << 32) + 7))])
+    assert list(late) == ["2100-01-01T00:00:01+00:00", "10000-01-01T00:00:00+00:00"]
+
+
 def test_times(value):
     got = value(numbers.snowflake_time(F.lit("7416929728608701704")), numbers.snowflake_time(F.lit("12")), numbers.snowflake_time(F.lit("x")))
     assert list(got) == ["2024-09-21T03:15:22+00:00", "", ""]
