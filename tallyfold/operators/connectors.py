@@ -16,8 +16,9 @@ def _content(df: DataFrame, values: dict[str, Column], extras: list[str]) -> Dat
     return df.select(*[values.get(c, F.lit("")).alias(c) for c in (*CONTENT, *extras)], ORDINAL)
 
 
-def tiktok_content(items: DataFrame, company: str, handle: str, name: str, collected_at: str) -> DataFrame:
-    """From grid items (url, accessibilityText, viewsLabel, badge); items without a video URL go."""
+def tiktok_content(items: DataFrame, company: str, handle: str, name: str, collected_at: str, latest: int = numbers.LATEST) -> DataFrame:
+    """From grid items (url, accessibilityText, viewsLabel, badge); items without a video URL go. ``latest``: the last
+    second that an id's time is believed."""
     url = urls.tiktok_video(F.col("url"))
     number = urls.tiktok_video_id(url)
     rows = items.withColumn("_url", url).where("_url <> ''")
@@ -26,7 +27,7 @@ def tiktok_content(items: DataFrame, company: str, handle: str, name: str, colle
         "record_id": F.concat(F.lit("TT-"), number),
         "platform": F.lit("TikTok"),
         "account": F.lit(handle),
-        "published_at": numbers.snowflake_time(number),
+        "published_at": numbers.snowflake_time(number, latest=latest),
         "text_original": text.caption(F.col("accessibilityText"), F.lit(name), F.lit(handle)),
         "views": numbers.compact_number(F.col("viewsLabel")),
         "url": F.col("_url"),

@@ -50,3 +50,16 @@ def test_whole_tables(spark, sql):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["snowflake_ts", "tiktok_content_rows"])
+def test_ids_of_large_tables(spark, tmp_path, name):
+    """Events beyond 547,000 have ids of more than 63 bits, those beyond 2,502,000 times after 2100, those beyond 251,802,000
+    years of five digits."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (event_id + k AS event_id) FROM '{DATA}/events.parquet', (SELECT unnest([0, 547000, 2502000, 5900000, 251802000]) AS k)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want.fetchall())
