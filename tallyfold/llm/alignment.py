@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_symbols, chunks_of, kept_table, local_tokenizer, text_of, tokenizer_path
 
-BLOCK_CHARS = 6 << 20  # of text in a block; a longer document is a block's last
+BLOCK_CHARS = 3 << 20  # of text in a block; a longer document is a block's last. A row of it is some 4 MB
 CACHE = 150_000  # chunks in each of two generations of a worker's cache
-PIECE = 1 << 18  # characters given to a tokenizer at a time
+PIECE = 1 << 17  # characters given to a tokenizer at a time
 SALTS = 8
 SHIFT = 32  # bits of an id of B in a pair
 
@@ -241,8 +241,10 @@ def aligned_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     block.add(ids[first + k], parts, len(text))
                 first += len(held)
                 if block.size >= block_chars:
-                    yield block.row(f"{part}-{made}-{stamp}", id_type)
-                    made, block = made + 1, Block()
+                    row = block.row(f"{part}-{made}-{stamp}", id_type)
+                    made, block = made + 1, Block()  # the old one goes before the next is filled
+                    yield row
+                    del row
         if block.ids:
             yield block.row(f"{part}-{made}-{stamp}", id_type)
 
@@ -267,7 +269,7 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest. Rows with the same id or text count each for itself; null ids stay; other columns are not looked at; an empty
     table gives an empty one; texts of any length are aligned whole.
     """
-    blocks = kept_table(aligned_blocks(df, id_col, text_col, path_a, path_b, links, block_chars), "aligned-blocks")
+    blocks = kept_table(aligned_blocks(df, id_col, text_col, path_a, path_b, links, block_chars), "aligned-blocks", few_rows=True)
     totals = pair_counts(blocks)
     b_id = F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1))
     best = totals.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))  # at most the vocabulary of B

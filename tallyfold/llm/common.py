@@ -73,10 +73,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, and survives lost executors."""
+FEW_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def kept_table(df: DataFrame, name: str, codec: str = "zstd", few_rows: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, and survives lost executors.
+
+    ``few_rows``: rows are of megabytes. Parquet looks at its buffers after 100 rows only, and a reader's batch is as many
+    rows of a row group as it can get; so the size is looked at after each row, and row groups are small."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.options(**FEW_ROWS) if few_rows else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from tallyfold.llm import alignment as alignment_module
 from tallyfold.llm import token_counts as counts_module
 from tallyfold.llm.alignment import Aligner, align_tokenizers, aligned_blocks, pair_counts
-from tallyfold.llm.common import chunks_of, tokenizer_path
+from tallyfold.llm.common import chunks_of, kept_table, tokenizer_path
 from tallyfold.llm.queries import QUERIES
 from tallyfold.llm.token_counts import PairCounter, token_counts
 
@@ -196,3 +197,20 @@ def test_alignment_query_equals_brute_force(spark, aligner):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in QUERIES["op13_token_alignment"](spark, SMALL).collect()]
     assert sorted(got) == sorted(brute_alignment(aligner, docs))
+
+
+def test_rows_of_megabytes_are_kept_in_small_row_groups(spark):
+    """A task that writes many blocks holds few of them at a time, and so does one that reads them."""
+    import os
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([os.urandom(2 << 20)])], ["id", "payload"])
+
+    kept = kept_table(spark.range(0, 40, 1, 1).mapInArrow(run, "id long, payload binary"), "blocks", few_rows=True)
+    sizes = [g for f in kept.inputFiles() for m in [pq.ParquetFile(urlparse(f).path).metadata] for g in [m.row_group(k).num_rows for k in range(m.num_row_groups)]]
+    assert sum(sizes) == 40 and max(sizes) <= 10
