@@ -109,6 +109,7 @@ def append_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.R
     must_be_free(df, *names)
 
     def run(batches):
+        forget_encoders()
         compute = make()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], [*batch.schema.names, *names])
@@ -156,7 +157,7 @@ def chunks_of(text: str) -> list[str]:
 # Encoding whole texts with a tokenizers file, a white-space chunk at a time.
 # ---------------------------------------------------------------------------------------------------------------
 
-CACHE_WORDS = 400_000  # chunks held in each of two generations of a worker's cache
+CACHE_WORDS = 200_000  # chunks held in each of two generations of a worker's cache
 
 
 def byte_symbols() -> list[str]:
@@ -233,6 +234,12 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return held[path]
 
 
+def forget_encoders() -> None:
+    """Gives up the worker's encoder and its words: for tasks of operators that use none, as workers serve a pipeline's
+    stages one after another and would hold them all the while."""
+    sys.__dict__.setdefault("_tallyfold_encoders", {}).clear()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

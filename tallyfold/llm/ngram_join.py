@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, kept_table, mixed, text_of, word_hashes
+from .common import forget_encoders, free_names, kept_table, mixed, text_of, word_hashes
 from .components import connected_components
 
 WORDS = 5
@@ -75,6 +75,7 @@ def sign(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
     that the task has had)."""
 
     def run(batches):
+        forget_encoders()
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         had: set[int] = set()
         for batch in batches:

@@ -104,3 +104,26 @@ def test_empty_long_and_clashing_input(spark, name, stage):
         assert sum(r["length"] for r in rows if r["doc_id"] == 9100) == sum({r["doc_tokens"] for r in rows if r["doc_id"] == 9100}) * 2
     else:
         assert got.columns == frame.columns and all(r[n] == "mine" for r in rows for n in NAMES)
+
+
+def test_workers_give_up_encoders(spark):
+    """A worker that has encoded words holds none of them while it serves a stage that encodes nothing."""
+    import sys
+
+    import pyarrow as pa
+
+    from tallyfold.llm.common import append_columns, chunk_encoder, tokenizer_path
+
+    path = tokenizer_path()
+
+    def encodes(batches):
+        chunk_encoder(path).encode("some words")
+        yield from batches
+
+    def make():
+        held = len(sys.__dict__.get("_tallyfold_encoders", {}))
+        return lambda batch: [pa.array([held] * batch.num_rows, pa.int64())]
+
+    one = spark.range(0, 1, 1, 1)
+    assert one.mapInArrow(encodes, "id long").count() == 1
+    assert [r["held"] for r in append_columns(one, "held long", make).collect()] == [0]
