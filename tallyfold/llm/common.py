@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,7 +158,8 @@ def chunks_of(text: str) -> list[str]:
 # Encoding whole texts with a tokenizers file, a white-space chunk at a time.
 # ---------------------------------------------------------------------------------------------------------------
 
-CACHE_WORDS = 200_000  # chunks held in each of two generations of a worker's cache
+CACHE_WORDS = 200_000  # words held in each of two generations of a worker's cache
+BLOCK_BYTES = 8 << 20  # of texts encoded at once
 
 
 def byte_symbols() -> list[str]:
@@ -171,11 +173,15 @@ class ChunkEncoder:
     """``encode(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian uint16 bytes.
 
     The file's normalizer and pre-tokenizer never join text across ASCII white space, so a text's ids are those of its
-    white-space chunks in turn, and a chunk's ids are remembered. A chunk of plain small letters, with stops
-    behind it or not, is one pre-token (and one of stops): it goes straight to the library's BPE model; any other chunk
-    goes through the library's whole chain. ASCII capitals are lowered first unless a chunk may hold a special token.
+    white-space chunks in turn. Texts go by blocks: Arrow numbers a block's distinct chunks, parts them into letters and
+    the stops behind them (two pre-tokens), and strings the ids of both together again, so each distinct word of a block
+    is looked up once; a word's ids are remembered. Plain letters or stops are one pre-token and go straight to the
+    library's BPE model; any other chunk goes through the library's whole chain. ASCII capitals are lowered first unless a
+    text may hold a special token.
     """
 
+    LETTERS, STOPS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:;=-@\[-`{-~]"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -183,7 +189,8 @@ class ChunkEncoder:
         self.full.no_truncation()
         self.full.no_padding()
         self.model = self.full.model
-        self.plain = re.compile("([a-zß-öø-ÿ]+)([.,!?]*)")
+        self.two_bytes = [k.to_bytes(2, "little") for k in range(self.full.get_vocab_size())]
+        self.plain = re.compile(f"{self.LETTERS}|{self.STOPS}+")
         self.symbols = byte_symbols()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -191,38 +198,64 @@ class ChunkEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def word(self, word: str) -> bytes:
-        seen = "".join(map(self.symbols.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(seen)], dtype="<u2").tobytes()
-
-    def missing(self, chunk: bytes) -> bytes:
-        got = self.old.get(chunk)
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not word.isalpha() and self.plain.fullmatch(text) is None:
+            return self.ids(text)
+        seen = text.lower() if word.isascii() else "".join(map(self.symbols.__getitem__, text.lower().encode()))
+        two_bytes = self.two_bytes
+        return b"".join([two_bytes[t.id] for t in self.model.tokenize(seen)])
+
+    def missing(self, word: bytes) -> bytes:
+        got = self.young.get(word)  # a generation may have begun since it was missed
+        if got is not None:
+            return got
+        got = self.old.get(word)
         if got is None:
-            text = chunk.decode()
-            m = self.plain.fullmatch(text)
-            if m is None:
-                got = self.ids(text)
-            elif m[2]:
-                got = self.get(m[1].encode()) + self.get(m[2].encode())
-            else:
-                got = self.word(text)
+            got = self.word(word)
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        self.young[chunk] = got
+        self.young[word] = got
         return got
 
-    def get(self, chunk: bytes) -> bytes:
-        got = self.young.get(chunk)
-        return self.missing(chunk) if got is None else got
+    def looked_up(self, words: pa.Array) -> pa.Array:
+        """The ids of each of a block's words or stops, as bytes."""
+        numbered = words.dictionary_encode()
+        asked = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        got = [self.missing(w) if g is None else g for w, g in zip(asked, map(self.young.get, asked), strict=True)]
+        return pa.array(got, pa.large_binary()).take(numbered.indices)
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's texts one after another, and where each text's begin (and the last one's end)."""
+        lowered = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():
+            lowered = pc.if_else(special, texts, lowered)
+        chunks = pc.ascii_split_whitespace(lowered)
+        numbered = chunks.flatten().dictionary_encode()
+        parted = pc.extract_regex(numbered.dictionary, f"^(?P<word>{self.LETTERS})(?P<stops>{self.STOPS}*)$")
+        words = self.looked_up(pc.coalesce(pc.struct_field(parted, "word"), numbered.dictionary))
+        stops = self.looked_up(pc.fill_null(pc.struct_field(parted, "stops"), ""))
+        ids = pc.binary_join_element_wise(words, stops, pa.scalar(b"", pa.large_binary())).take(numbered.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // 2
+        return np.frombuffer(ids.buffers()[2] or b"", "<u2", int(ends[-1])), ends[np.asarray(chunks.offsets)]
+
+    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> Iterator[np.ndarray]:
+        """Each text's ids in turn, with ``end_id`` behind them if given."""
+        sizes = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, "right")))
+            ids, begins = self.block(texts.slice(at, end - at))
+            if end_id is not None:
+                ids, begins = np.insert(ids, begins[1:], end_id), begins + np.arange(len(begins))
+            cut = begins.tolist()
+            yield from (ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
+            at = end
 
     def encode(self, text: str) -> bytes:
-        raw = text.encode()
-        chunks = (raw if b"<|" in raw else raw.lower()).split()
-        find, miss = self.young.get, self.missing
-        got = list(map(find, chunks))
-        if None in got:
-            got = [miss(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
-        return b"".join(got)
+        return next(self.encode_all(pa.array([text], pa.string()))).tobytes()
 
 
 def chunk_encoder(path: str) -> ChunkEncoder:

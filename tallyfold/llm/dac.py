@@ -16,6 +16,7 @@ driver gets one number per part, to add up where each begins.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -29,6 +30,7 @@ from .common import chunk_encoder, local_tokenizer, new_path, text_of, tokenizer
 MAGIC = b"DAC1"
 SEGMENT_IDS = 1 << 20
 SUPER = 512
+READ_IDS = 1 << 16  # places looked up at once, so that the steps between stay in the processor's cache
 
 
 def best_widths(ids: np.ndarray, at_most: int = 4) -> list[int]:
@@ -52,6 +54,14 @@ def best_widths(ids: np.ndarray, at_most: int = 4) -> list[int]:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
+    group = 8 // math.gcd(8, width)  # the fewest values that fill whole bytes
+    if group * width <= 64:
+        rows = np.pad(values, (0, -len(values) % group)).reshape(-1, group)
+        words = rows[:, 0].astype("<u8")
+        for k in range(1, group):
+            words |= rows[:, k].astype("<u8") << np.uint64(k * width)
+        packed = words.view(np.uint8).reshape(-1, 8)[:, : group * width // 8].tobytes()
+        return packed[: -(-len(values) * width // 8)] + bytes(4)
     bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes() + bytes(4)
 
@@ -59,10 +69,11 @@ def pack(values: np.ndarray, width: int) -> bytes:
 def unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     bit = at * width
     byte = bit >> 3
-    word = packed[byte].astype(np.uint64)
+    kind = np.uint32 if width <= 25 else np.uint64  # holds the bytes that a chunk lies in
+    word = packed[byte].astype(kind)
     for k in range(1, (width + 14) // 8):
-        word |= packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
-    return (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+        word |= packed[byte + k].astype(kind) << kind(8 * k)
+    return (word >> (bit & 7).astype(kind)) & kind((1 << width) - 1)
 
 
 class Segment:
@@ -92,10 +103,13 @@ class Segment:
             self.levels.append((width, chunks, bitmap, directory, before))
 
     def ids(self, places: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(places), np.uint64)
+        return np.concatenate([self._ids(places[k : k + READ_IDS]) for k in range(0, max(1, len(places)), READ_IDS)])
+
+    def _ids(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint32)
         rows, at, shift = np.arange(len(places)), places.astype(np.int64), 0
         for width, chunks, bitmap, directory, before in self.levels:
-            out[rows] |= unpack(chunks, width, at) << np.uint64(shift)
+            out[rows] |= unpack(chunks, width, at).astype(np.uint32) << np.uint32(shift)
             shift += width
             if bitmap is None or not len(rows):
                 break
@@ -103,7 +117,7 @@ class Segment:
             on = np.flatnonzero(word >> bit & np.uint64(1))
             rank = directory[at >> 9].astype(np.int64) + before[at >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
             rows, at = rows[on], rank[on]
-        return out.astype(np.uint32)
+        return out
 
 
 def encode_segment(ids: np.ndarray, widths: list[int] | None = None) -> bytes:
@@ -138,26 +152,24 @@ def write_token_ids(df: DataFrame, out: str, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         encoder = chunk_encoder(local_tokenizer(path))
-        tail = np.array([end_id], "<u2").tobytes()
         part, number = TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list = []
         size = before = 0
 
         def segment():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            begins = np.cumsum([0] + [len(h) // 2 for h in held]).astype("<i8").tobytes()
+            ids = np.concatenate(held)
+            begins = np.cumsum([0] + [len(h) for h in held]).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([begins], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([encode_segment(ids)], pa.binary())],
                 ["part", "number", "first", "n_ids", "documents", "doc_ids", "payload"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + tail
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"), end_id), strict=True):
                 held.append(ids)
                 doc_ids.append(doc_id)
-                size += len(ids) // 2
+                size += len(ids)
                 if size >= SEGMENT_IDS:
                     yield segment()
                     held, doc_ids, before, size, number = [], [], before + size, 0, number + 1

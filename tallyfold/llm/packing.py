@@ -189,7 +189,6 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         encoder = chunk_encoder(local_tokenizer(path))
-        tail = np.array([end_id], "<u2").tobytes()
         first = TaskContext.get().partitionId() << 40
         docs: list[np.ndarray] = []
         names: list = []
@@ -210,8 +209,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                docs.append(np.frombuffer(encoder.encode(text.as_py()) + tail, "<u2"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"), end_id), strict=True):
+                docs.append(ids)
                 names.append(doc_id)
                 size += len(docs[-1])
                 if size >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:

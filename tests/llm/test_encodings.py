@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +82,32 @@ def test_caches_roll_over(library, monkeypatch):
         same_as_library(library, auto, small, text)
 
 
+def test_words_and_stops_go_straight_to_the_model(library):
+    """Only what is neither letters nor stops pays for the library's whole chain, and a word does once whatever stops follow."""
+    encoder, whole, asked = ChunkEncoder(tokenizer_path()), [], []
+    ids, word = encoder.ids, encoder.word
+    encoder.ids = lambda text: whole.append(text) or ids(text)
+    encoder.word = lambda w: asked.append(w.decode()) or word(w)
+    text = "Élan, élan*** word.&&& Word word$$$ fin!! straße### ÀÖØÞ (x) it's a1 <b> *** ..."
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == ids_of(library, text)
+    assert sorted(whole) == ["", "(x)", "<b>", "a1", "it's"]
+    assert sorted(asked) == sorted(set(asked)) and asked.count("word") == 1 and "word$$$" not in asked
+
+
+def test_blocks_of_texts(library, monkeypatch):
+    from tallyfold.llm import common
+
+    odd = [*(t or "" for t in ODD), "A <|endoftext|> B.", "a|> B|> <|endoftext|>. <|ENDOFTEXT|>", "a\x0bb\x0cc\x1cd\x1fe\x85f\xa0g\u2028h. \u0301i", "", " ", "One, two.' three''.", "x,.\n,.x y_z- ~^`"] * 2
+    for bytes_at_once in (1, 40, 1 << 20):
+        monkeypatch.setattr(common, "BLOCK_BYTES", bytes_at_once)
+        for end in (None, 2):
+            got = list(ChunkEncoder(tokenizer_path()).encode_all(pa.array(odd), end))
+            assert [g.tolist() for g in got] == [ids_of(library, t) + [end] * (end is not None) for t in odd]
+    assert list(ChunkEncoder(tokenizer_path()).encode_all(pa.array([], pa.string()), 2)) == []
+    sliced = pa.array(["no", *odd, "no"]).slice(1, len(odd))
+    assert [g.tolist() for g in ChunkEncoder(tokenizer_path()).encode_all(sliced)] == [ids_of(library, t) for t in odd]
+
+
 def test_bpe_operator(spark, library):
     got = bpe_round_trip(frame(spark, odd_rows()), texts=True).collect()
     assert len(got) == len(odd_rows())
@@ -106,6 +133,23 @@ def test_segment(values, rng):
     assert segment.ids(np.arange(len(values))).tolist() == values
 
 
+@pytest.mark.parametrize("width", range(1, 32))
+def test_pack(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, 203, np.uint32)
+    for n in (0, 1, 7, 8, 203):
+        bits = "".join(format(v, f"0{width}b")[::-1] for v in values[:n].tolist())
+        packed = dac.pack(values[:n], width)
+        assert packed == bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8)) + bytes(4)
+        assert dac.unpack(np.frombuffer(packed, np.uint8), width, np.arange(n)).tolist() == values[:n].tolist()
+
+
+def test_reads_in_slices(monkeypatch):
+    monkeypatch.setattr(dac, "READ_IDS", 7)
+    ids = np.random.default_rng(5).integers(0, 49_408, 1300, np.uint32)
+    places = np.random.default_rng(6).permutation(1300)
+    assert dac.Segment(dac.encode_segment(ids)).ids(places).tolist() == ids[places].tolist()
+
+
 def test_widths_are_best():
     rng = np.random.default_rng(4)
     ids = (2 ** rng.uniform(0, 12, 4000)).astype(np.uint32)
