@@ -159,7 +159,7 @@ def chunks_of(text: str) -> list[str]:
 # ---------------------------------------------------------------------------------------------------------------
 
 CACHE_WORDS = 200_000  # words held in each of two generations of a worker's cache
-BLOCK_BYTES = 8 << 20  # of texts encoded at once
+BLOCK_BYTES = 2 << 20  # of texts encoded at once
 
 
 def byte_symbols() -> list[str]:
@@ -250,6 +250,7 @@ class ChunkEncoder:
             ids, begins = self.block(texts.slice(at, end - at))
             if end_id is not None:
                 ids, begins = np.insert(ids, begins[1:], end_id), begins + np.arange(len(begins))
+            pa.default_memory_pool().release_unused()  # or the pool keeps a block's tables, beside the words, in idle workers
             cut = begins.tolist()
             yield from (ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
             at = end
