@@ -21,6 +21,7 @@ import hashlib
 import re
 import sys
 import uuid
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +32,24 @@ from .common import byte_symbols, chunks_of, kept_table, local_tokenizer, text_o
 
 BLOCK_CHARS = 3 << 20  # of text in a block; a longer document is a block's last. A row of it is some 4 MB
 CACHE = 150_000  # chunks in each of two generations of a worker's cache
+EMPTY = (b"", 0, 0, 0, b"")  # what a chunk gives that the ids do not spell
 PIECE = 1 << 17  # characters given to a tokenizer at a time
 SALTS = 8
 SHIFT = 32  # bits of an id of B in a pair
 
-EMPTY = (b"", 0, 0, 0, np.zeros(0, np.int64))
-
 
 def group_links(ends_a: np.ndarray, ends_b: np.ndarray, links: str = "ends") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cuts, the group of each A token and of each B token, and links as places of A and of B tokens, by group.
 
     Ends ascend strictly and both lists end at the same byte (or are empty)."""
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    lists = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.int8)  # how many of the two end at each byte
+    lists[ends_a] += 1
+    lists[ends_b] += 1
+    cut_a, cut_b = lists[ends_a] == 2, lists[ends_b] == 2
+    cuts, of_a, of_b = ends_a[cut_a], np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
     if links == "ends":  # of each group, the tokens that end at its cut
-        mine_a, mine_b = np.flatnonzero(cuts[of_a] == ends_a), np.flatnonzero(cuts[of_b] == ends_b)
-    else:
-        mine_a, mine_b = np.arange(len(ends_a)), np.arange(len(ends_b))
+        return cuts, of_a, of_b, np.flatnonzero(cut_a), np.flatnonzero(cut_b)
+    mine_a, mine_b = np.arange(len(ends_a)), np.arange(len(ends_b))
     n_a, n_b = np.bincount(of_a[mine_a], minlength=len(cuts)), np.bincount(of_b[mine_b], minlength=len(cuts))
     first_b = np.cumsum(n_b) - n_b
     wide = n_b[of_a[mine_a]]  # each A token meets all B tokens of its group
@@ -55,8 +57,16 @@ def group_links(ends_a: np.ndarray, ends_b: np.ndarray, links: str = "ends") ->
     return cuts, of_a, of_b, np.repeat(mine_a, wide), mine_b[np.repeat(first_b[of_a[mine_a]], wide) + step]
 
 
+def laid(strings: pa.Array, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The strings at the places end to end, and where each begins (and the last one ends)."""
+    got = strings.take(pa.array(places))
+    begins = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+    return (got.buffers()[2] or pa.py_buffer(b"")).slice(0, int(begins[-1])).to_pybytes(), begins
+
+
 class Aligner:
-    """``chunk`` results: (groups as text, tokens of A, tokens of B, groups, pairs of all links)."""
+    """Chunks' results: (groups as text, tokens of A, tokens of B, groups, pairs of all links as the bytes of 64-bit
+    numbers). Nothing in them is looked at by Python's collector of cycles, as a worker holds hundreds of thousands."""
 
     def __init__(self, path_a: str, path_b: str, links: str = "ends"):
         import sentencepiece
@@ -78,49 +88,56 @@ class Aligner:
             raise ValueError("a piece goes on behind a word into white space, so texts can't be cut there")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = [str(i) for i in range(len(labels))], [str(i) for i in range(len(pieces))]
+        self.spelt_a, self.spelt_b = (pa.array(xs, pa.large_binary()) for xs in (self.bytes_a, self.bytes_b))
+        self.span = max(len(labels), len(pieces))
+        self.marked = pa.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(self.span)], pa.large_binary())
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and of B for a blank and the text."""
-        return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text), np.int64)
+        of_a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0]  # which makes no offsets
+        return np.array(of_a.ids, np.int64), np.array(self.b.encode(text), np.int64)
 
     def spelled(self, ids_a: np.ndarray, ids_b: np.ndarray, text: str) -> bool:
         """Whether both lists of ids spell a blank and the text."""
         raw = b" " + text.encode()
-        return b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == raw
+        return laid(self.spelt_a, ids_a)[0] == raw and laid(self.spelt_b, ids_b)[0] == raw
 
     def results(self, chunks: list[str]) -> list[tuple | None]:
         """What each chunk gives; None for one that the ids do not spell. They begin with white space, and only the last
         may end with it."""
-        raw = [c.encode() for c in chunks]
         lead = "a"  # a word before them, so that the blank which B adds is not a chunk's own
-        ids_a, ids_b = self.ids(lead + "".join(chunks))
-        if not self.spelled(ids_a, ids_b, lead + "".join(chunks)):
+        text = lead + "".join(chunks)
+        ids_a, ids_b = self.ids(text)
+        if not self.spelled(ids_a, ids_b, text):
             if len(chunks) == 1:
                 return [None]
             half = len(chunks) // 2
             return self.results(chunks[:half]) + self.results(chunks[half:])
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
         cuts, of_a, of_b, link_a, link_b = group_links(ends_a, ends_b, self.links)
-        last = np.cumsum([2, *map(len, raw)])  # where the lead and each chunk end
+        sizes = map(len, chunks if text.isascii() else map(str.encode, chunks))
+        last = np.cumsum([2, *sizes])  # where the lead and each chunk end
         group = np.searchsorted(cuts, last)
         if not np.array_equal(cuts[group], last):
             raise ValueError("a chunk's end is not a cut: the tokenizers join text across white space")
         group = group + 1  # groups before each chunk's first
-        pairs = ids_a[link_a] << SHIFT | ids_b[link_b]
         at_a, at_b, at_link = np.searchsorted(of_a, group), np.searchsorted(of_b, group), np.searchsorted(of_a[link_a], group)
-        text_a, text_b = list(map(self.text_a.__getitem__, ids_a.tolist())), list(map(self.text_b.__getitem__, ids_b.tolist()))
+        pairs = (ids_a[link_a] << SHIFT | ids_b[link_b]).tobytes()
+        # the groups as text: each token's number and what stands behind it, a group's tokens of A and then of B
         every = np.arange(len(cuts) + 1)
-        edge_a, edge_b = np.searchsorted(of_a, every).tolist(), np.searchsorted(of_b, every).tolist()
-        said = [f"{','.join(text_a[a:b])}|{','.join(text_b[c:d])}" for a, b, c, d in zip(edge_a, edge_a[1:], edge_b, edge_b[1:], strict=False)]
-        out: list[tuple | None] = []
-        for k in range(len(chunks)):
-            out.append(
-                (";".join(said[group[k] : group[k + 1]]).encode(), int(at_a[k + 1] - at_a[k]), int(at_b[k + 1] - at_b[k]), int(group[k + 1] - group[k]), pairs[at_link[k] : at_link[k + 1]].copy())
-            )
-        return out
+        edge_a, edge_b = np.searchsorted(of_a, every), np.searchsorted(of_b, every)
+        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        ids[np.arange(len(ids_a)) + edge_b[of_a]] = ids_a
+        ids[np.arange(len(ids_b)) + edge_a[of_b + 1]] = ids_b
+        ids[edge_a[1:] + edge_b[:-1] - 1] += self.span
+        ids[edge_a[1:] + edge_b[1:] - 1] += 2 * self.span
+        said, begins = laid(self.marked, ids)
+        numbers = [np.diff(x).tolist() for x in (at_a, at_b, group)]
+        said_at, link_at = begins[at_a + at_b].tolist(), (8 * at_link).tolist()
+        told = zip(said_at, said_at[1:], *numbers, link_at, link_at[1:], strict=False)
+        return [(said[x : y - 1], a, b, g, pairs[p:q]) for x, y, a, b, g, p, q in told]
 
     def learn(self, chunks: set[str]) -> dict[str, tuple | None]:
         """What each of the chunks gives."""
@@ -140,20 +157,20 @@ class Aligner:
             out[c] = self.results([c])[0]
         return out
 
+    def know(self, chunks: set[str]) -> None:
+        """Has what each of the chunks gives at hand in ``young``."""
+        if len(self.young) >= CACHE:  # only here, so that all of these chunks stay at hand
+            self.old, self.young = self.young, {}
+        new = chunks.difference(self.young)
+        again = [c for c in new if c in self.old]
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.young.update(self.learn(new.difference(again)))
+
     def parts(self, texts: list[list[str]]) -> list[list[tuple]]:
         """What the chunks of each text give, in order; nothing for a text that the ids do not spell."""
-        if len(self.young) >= CACHE:  # only here, so that all of these texts' chunks stay at hand
-            self.old, self.young = self.young, {}
-        new = {c for chunks in texts for c in chunks if c not in self.young}
-        for c in [c for c in new if c in self.old]:
-            self.young[c] = self.old[c]
-            new.discard(c)
-        self.young.update(self.learn(new))
-        out = []
-        for chunks in texts:
-            got = list(map(self.young.__getitem__, chunks))
-            out.append([] if None in got else got)
-        return out
+        self.know(set().union(*texts))
+        found = ([self.young[c] for c in chunks] for chunks in texts)
+        return [[] if None in got else [(*p[:4], np.frombuffer(p[4], np.int64)) for p in got] for got in found]
 
 
 def worker_aligner(path_a: str, path_b: str, links: str) -> Aligner:
@@ -173,42 +190,59 @@ def summed(values: np.ndarray, sizes: np.ndarray | list[int]) -> np.ndarray:
     return upto[edge[1:]] - upto[edge[:-1]]
 
 
+def listed(values: np.ndarray) -> pa.ListArray:
+    """One row that holds all of the values."""
+    return pa.ListArray.from_arrays([0, len(values)], pa.array(values, pa.int64()))
+
+
 class Block:
     """Gathers documents' results over a block: its distinct chunks once, with their links over the block's pairs."""
 
     def __init__(self):
-        self.place: dict[int, int] = {}  # of a chunk's result, by identity: results stay alive in ``held``
+        self.place: dict[str, int] = {}  # of a chunk in the two lists that follow
         self.held: list[tuple] = []
+        self.said: list[bytes] = []
+        self.unspelt: set[int] = set()
         self.ids: list = []
         self.digests: list[str] = []
         self.chunks: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id, parts: list[tuple], size: int) -> None:
-        at = []
-        for p in parts:
-            k = self.place.setdefault(id(p), len(self.held))
-            if k == len(self.held):
-                self.held.append(p)
-            at.append(k)
-        self.ids.append(doc_id)
-        self.digests.append(hashlib.sha256(b";".join([p[0] for p in parts])).hexdigest() if parts else "")
-        self.chunks.append(np.array(at, "<u4"))
+    def add(self, ids: list, texts: list[list[str]], size: int, aligner: Aligner) -> None:
+        """Texts' chunks; each distinct one of the block is looked at once."""
+        distinct = set().union(*texts)
+        aligner.know(distinct)
+        new = list(distinct.difference(self.place))
+        told = [aligner.young[c] for c in new]
+        if None in told:
+            self.unspelt.update(k for k, p in enumerate(told, len(self.held)) if p is None)
+            told = [p or EMPTY for p in told]
+        self.place.update(zip(new, count(len(self.held)), strict=False))
+        self.held += told
+        self.said += [p[0] for p in told]
+        for chunks in texts:
+            at = list(map(self.place.__getitem__, chunks))
+            if self.unspelt and not self.unspelt.isdisjoint(at):
+                at = []
+            self.digests.append(hashlib.sha256(b";".join(map(self.said.__getitem__, at))).hexdigest() if at else "")
+            self.chunks.append(np.array(at, "<u4"))
+        self.ids += ids
         self.size += size
 
     def row(self, block: str, id_type: pa.DataType) -> pa.RecordBatch:
-        n = np.array([len(p[4]) for p in self.held], np.int64)
-        links = np.concatenate([p[4] for p in self.held]) if self.held else EMPTY[4]
-        pairs, of = np.unique(links, return_inverse=True)
         chunks = np.concatenate(self.chunks) if self.chunks else np.zeros(0, "<u4")
-        used = np.bincount(chunks, minlength=len(n))
-        counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, of, np.repeat(used, n))
+        held = self.held or [EMPTY]
+        used = np.bincount(chunks, minlength=len(held))
+        if not used.all():  # chunks only of texts that the ids do not spell
+            held = [p if u else EMPTY for p, u in zip(held, used.tolist(), strict=True)]
+        _, *sizes, links = zip(*held, strict=True)
+        n = np.fromiter(map(len, links), np.int64, len(links)) // 8
+        pairs, of = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+        counts = np.bincount(of, np.repeat(used, n), minlength=len(pairs)).astype(np.int64)
         doc_chunks = [len(c) for c in self.chunks]
-        sizes = [*(np.array([p[k] for p in self.held], np.int64) for k in (1, 2, 3)), n]
-        lists = [pa.array([summed(x[chunks], doc_chunks).tolist()], pa.list_(pa.int64())) for x in sizes]
+        lists = [listed(summed(np.array(x, np.int64)[chunks], doc_chunks)) for x in (*sizes, n)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([self.ids], pa.list_(id_type)), *lists, pa.array([self.digests], pa.list_(pa.string())), pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
+            [pa.array([block]), pa.array([self.ids], pa.list_(id_type)), *lists, pa.array([self.digests], pa.list_(pa.string())), listed(pairs), listed(counts)]
             + [pa.array([np.asarray(x, "<u4").tobytes()], pa.binary()) for x in (n, of, doc_chunks, chunks)],
             ["block", "ids", "n_a", "n_b", "n_groups", "n_links", "digests", "pairs", "counts", "chunk_links", "links", "doc_chunks", "chunks"],
         )
@@ -236,9 +270,8 @@ def aligned_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 while first + len(held) < len(ids) and size < PIECE:
                     held.append(texts[first + len(held)].as_py())
                     size += len(held[-1])
-                found = aligner.parts([chunks_of(" " + t) if t and "▁" not in t else [] for t in held])
-                for k, (text, parts) in enumerate(zip(held, found, strict=True)):
-                    block.add(ids[first + k], parts, len(text))
+                chunks = [chunks_of(" " + t) if t and "▁" not in t else [] for t in held]
+                block.add(ids[first : first + len(held)], chunks, size, aligner)
                 first += len(held)
                 if block.size >= block_chars:
                     row = block.row(f"{part}-{made}-{stamp}", id_type)

@@ -1,6 +1,8 @@
 """Token counts and token alignment: equal to the libraries on whole texts."""
 
+import cProfile
 import hashlib
+import pstats
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -164,6 +166,42 @@ def test_alignment_caches_roll_over(monkeypatch):
         same_alignment(small, [" ".join(["the", "of.", "zebra,", "Über", "x1"][(k * j) % 5] for j in range(7)), "the x1"])
 
 
+def calls_of(work):
+    profile = cProfile.Profile()
+    profile.runcall(work)
+    return pstats.Stats(profile).total_calls
+
+
+def test_alignment_takes_chunks_in_bulk():
+    """Python calls are what the operator's CPU goes to: a new chunk takes a few, one seen before in the block none."""
+    small = Aligner(BYTES, PIECES)
+    texts = [[f" {a}{b}x{k}" for a in "bcdfghklm" for b in "aeiou"] for k in range(100)]
+    n = sum(map(len, texts))
+    small.parts([[" a"]])
+    assert calls_of(lambda: small.parts(texts)) < 6 * n
+    block = alignment_module.Block()
+    block.add([*range(100)], texts, n, small)
+    assert calls_of(lambda: block.add([*range(100)], texts, n, small)) < n / 4
+    row, parts = block.row("b", pa.int64()).to_pylist()[0], small.parts(texts) * 2
+    assert row["ids"] == [*range(100)] * 2 and sum(row["counts"]) == sum(row["n_links"])
+    assert row["n_links"] == [sum(len(p[4]) for p in x) for x in parts] and row["n_a"] == [sum(p[1] for p in x) for x in parts]
+    assert row["digests"] == [hashlib.sha256(b";".join(p[0] for p in x)).hexdigest() for x in parts]
+
+
+def test_texts_that_ids_do_not_spell_count_nowhere(monkeypatch):
+    """Nor do their other chunks, before and after texts that share them."""
+    small, spelled = Aligner(BYTES, PIECES), Aligner.spelled
+    monkeypatch.setattr(small, "spelled", lambda a, b, text: "Q" not in text and spelled(small, a, b, text))
+    texts = [" only here Q", " the zebra", " zebra Q", "", " the the"]
+    block = alignment_module.Block()
+    for k, t in enumerate(texts):
+        block.add([k], [chunks_of(t)], len(t), small)
+    row = block.row("b", pa.int64()).to_pylist()[0]
+    want = [whole_groups(small, t[1:])[1] if "Q" not in t else [] for t in texts]
+    assert row["n_links"] == list(map(len, want)) and [bool(d) for d in row["digests"]] == list(map(bool, want))
+    assert {(p >> 32, p & (1 << 32) - 1): n for p, n in zip(row["pairs"], row["counts"], strict=True)} == dict(Counter(p for x in want for p in x))
+
+
 def brute_alignment(aligner, rows, links="ends"):
     told = [(i, *whole_groups(aligner, t, links)) for i, t in rows]
     count = Counter(p for _, _, pairs in told for p in pairs)
