@@ -67,6 +67,19 @@ def expand(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
+def together(lists: list[np.ndarray]) -> tuple[tuple[int, ...], bytes]:
+    """Short lists of numbers below 2**32 packed as one, with their sizes; read back by ``apart``."""
+    return tuple(map(len, lists)), squeeze(np.concatenate(lists), "<u4")
+
+
+def apart(packed: tuple[tuple[int, ...], bytes]) -> list[np.ndarray]:
+    numbers, out, at = expand(packed[1], "<u4"), [], 0
+    for size in packed[0]:
+        out.append(numbers[at : at + size])
+        at += size
+    return out
+
+
 def squeeze_rising(a: np.ndarray) -> bytes:
     """Ascending 64-bit numbers by their steps."""
     return squeeze(np.diff(a.astype(np.uint64), prepend=np.uint64(0)), "<u8")
@@ -85,6 +98,47 @@ def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * MULT + b)
 
 
+def ordered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of numbers below ``most``, and the numbers in it. Where a number and its place fit into 63 bits, they
+    are sorted as one number: a fraction of the time that a sort of places takes."""
+    bits = len(keys).bit_length()
+    if most.bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    packed = keys.astype(np.int64)
+    packed <<= bits
+    packed |= np.arange(len(keys))
+    packed.sort()
+    return packed & ((1 << bits) - 1), packed >> bits
+
+
+def numbered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of numbers below ``most``, ascending, and the place of each number among them."""
+    order, keys = ordered(keys, most)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], place
+
+
+def numbered_few(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for places in a list of ``size``, which need no sort."""
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+
+
+def numbered_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for hashes of a text's words, most of which repeat: only the distinct ones are sorted."""
+    got = pa.array(words).dictionary_encode()
+    known = got.dictionary.to_numpy()
+    order = np.argsort(known)
+    place = np.empty(len(known), np.int32)
+    place[order] = np.arange(len(known), dtype=np.int32)
+    return known[order], place[got.indices.to_numpy()]
+
+
 def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in turn, each text ended by END; tokens per text."""
     raws = [t.encode().lower() for t in texts]
@@ -112,21 +166,27 @@ class Sampled:
         at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
         return np.where(self.hot[at] == words, self.many[at], 1)
 
-    def dealt(self, before: np.ndarray, words: np.ndarray, parts: int) -> np.ndarray:
-        """The part of each token: by the word before, and by the word too where that is hot."""
-        many = self.splits(before).astype(np.uint64)
-        at = np.flatnonzero(many > 1)
-        places = before.copy()
-        places[at] = joint(before[at], mixed(words[at]) % many[at])
-        return part_of(places, parts)
-
-    def named(self, words: np.ndarray) -> tuple[bytes, bytes]:
-        """Ascending hashes, packed: the places of common words, and the hashes of others."""
+    def dealt(self, known: np.ndarray, before: np.ndarray, words: np.ndarray, parts: int) -> np.ndarray:
+        """The part of each token: by the word before (its place in ``known``), and by the word too where that is hot."""
+        many = self.splits(known).astype(np.uint64)
+        part = part_of(known, parts)[before]
+        at = np.flatnonzero((many > 1)[before])
+        two = before[at]
+        part[at] = part_of(joint(known[two], mixed(words[at]) % many[two]), parts)
+        return part
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the common ones, or -1."""
         if not len(self.common):
-            return squeeze(np.zeros(0, np.int64), "<u4"), squeeze_rising(words)
+            return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-        known = self.common[at] == words
-        return squeeze(np.diff(at[known], prepend=0), "<u4"), squeeze_rising(words[~known])
+        return np.where(self.common[at] == words, at, -1)
+
+    def named(self, words: np.ndarray, places: np.ndarray | None = None) -> tuple[bytes, bytes]:
+        """Ascending hashes, packed: the places of common words, and the hashes of others."""
+        places = self.places(words) if places is None else places
+        known = places >= 0
+        return squeeze(np.diff(places[known], prepend=0), "<u4"), squeeze_rising(words[~known])
 
     def names(self, packed: tuple[bytes, bytes]) -> np.ndarray:
         places = np.cumsum(expand(packed[0], "<u4").astype(np.int64))
@@ -142,40 +202,39 @@ def block_messages(ids: list, held: list[bool], words: np.ndarray, counts: np.nd
     """(part, packed) for each part that has tokens of the block."""
     n = len(words)
     first = np.cumsum(counts) - counts
-    known, own = np.unique(np.append(words, START), return_inverse=True)
-    own = own.astype(np.int32)
+    known, own = numbered_words(np.append(words, START))
     start, own = own[-1], own[:-1]
     before = np.empty(n, np.int32)
     before[1:] = own[:-1]
     before[first] = start
     code = np.repeat((np.arange(len(counts)) * 2 + np.array(held, np.int64)).astype(np.uint32), counts)
-    part = told.dealt(known[before], words, parts)
-    order = np.argsort(part * len(known) + before, kind="stable").astype(np.int32)
-    part = part[order]
+    places = told.places(known)
+    order, keys = ordered(told.dealt(known, before, words, parts) * len(known) + before, parts * len(known))
+    part, two = np.divmod(keys, len(known))
+    three = np.stack([two, before[np.maximum(order - 1, 0)], own[order]]).astype(np.int32)
+    three[1, two == start] = start
+    code = code[order]
+    ended = words[order] == END
     at = np.flatnonzero(np.diff(part, prepend=-1))
     place = np.zeros(len(known), np.int32)
     for a, b in zip(at.tolist(), [*at[1:].tolist(), n], strict=True):
-        mine = order[a:b]
-        earlier = before[np.maximum(mine - 1, 0)]
-        earlier[before[mine] == start] = start
-        three = np.concatenate([before[mine], earlier, own[mine]])
-        if 16 * len(three) > len(known):
+        mine = three[:, a:b]
+        if 16 * mine.size > len(known):
             seen = np.zeros(len(known), bool)
-            seen[three] = True
+            seen[mine] = True
             names = np.flatnonzero(seen)
         else:
-            names = np.unique(three)
+            names = np.unique(mine)
         place[names] = np.arange(len(names))
-        two, one, word = place[three].reshape(3, -1)
-        ends = np.flatnonzero(words[mine] == END)
-        docs = code[mine[ends]] >> 1
+        two, one, word = place[mine]
+        docs = code[a:b][ended[a:b]] >> 1
         named = [ids[d] for d in docs.tolist()]
         packed = [
-            *told.named(known[names]),
+            *told.named(known[names], places[names]),
             squeeze(np.diff(two, prepend=0), "<u4"),
             squeeze(one, "<u4"),
             squeeze(word, "<u4"),
-            squeeze(code[mine], "<u4"),
+            squeeze(code[a:b], "<u4"),
             squeeze(np.array([0 if i is None else i for i in named], np.int64), "<i8"),
             squeeze(np.array([i is None for i in named], np.uint8), "<u1"),
             squeeze(counts[docs], "<u4"),
@@ -216,33 +275,26 @@ class Dishes:
             found = (expand(m[k], "<u4").astype(np.int64) for m in messages)
             return np.concatenate([place[f + (np.cumsum(x) if k == 2 else x)] for f, x in zip(first, found, strict=False)])
 
-        # one number for (word before, the one before that, word), so that one sort finds all dishes
+        # a context's number by (word before, the one before that), then a dish's by (context, word)
         pair = column(2).astype(np.int64)
         pair *= size
         pair += column(3)
-        pairs = None
-        if size**3 >= 1 << 62:
-            pairs, pair = np.unique(pair, return_inverse=True)
+        pairs, context = numbered(pair, size**2)
+        pair = context.astype(np.int64)
         pair *= size
         pair += column(4)
-        del place, messages, codes
-        dish, token = np.unique(pair, return_inverse=True)
-        self.token, n_dishes = token.astype(np.int32), len(dish)
-        del pair, token
-        pair, word = np.divmod(dish, size)
-        word = word.astype(np.int32)
-        del dish
-        pair = pair if pairs is None else pairs[pair]
-        new = np.concatenate([[True], pair[1:] != pair[:-1]])
-        self.t_u = np.cumsum(new) - 1
-        two, one = (x.astype(np.int32) for x in np.divmod(pair, size))
+        del place, messages, codes, context
+        dish, self.token = numbered(pair, len(pairs) * size)
+        n_dishes = len(dish)
         del pair
-        key, self.t_b = np.unique(two.astype(np.int64) * size + word, return_inverse=True)
+        self.t_u, word = np.divmod(dish, size)
+        del dish
+        two, one = np.divmod(pairs, size)
+        key, self.t_b = numbered(two[self.t_u] * size + word, size**2)
         del word
-        two, one = two[new], one[new]
         b_two, b_word = np.divmod(key, size)
-        dishes, self.b_word = np.unique(b_word, return_inverse=True)
-        befores, self.b_two = np.unique(b_two, return_inverse=True)
+        dishes, self.b_word = numbered_few(b_word, size)
+        befores, self.b_two = numbered_few(b_two, size)
         self.words, self.befores = known[dishes], known[befores]
         u_hash = joint(known[one], known[two])
         order = np.argsort(u_hash)  # contexts stand by their hashes, as the parts that sum them are ranges of hashes
@@ -400,11 +452,14 @@ def context_sums(d: Dishes, s: Seats, tables: np.ndarray) -> tuple[np.ndarray, n
 
 
 def give_back() -> None:
-    """Lets the system have the memory that a worker has freed: workers stay for the tasks to come."""
+    """Lets the system have the memory that a worker has freed: workers stay for the tasks to come. What a worker has
+    imported is set aside the first time, so that Python's collector doesn't look through it after each task."""
     import ctypes
     import gc
 
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library
@@ -498,13 +553,13 @@ def sampled(asked, parts: int, told_words: Sampled):
             own, at = np.unique(np.concatenate(lists), return_inverse=True)
             cut = np.cumsum([0] + [len(x) for x in lists])
             found.append((len(own), squeeze_rising(own) if kind == 0 else b""))
-            places.append([squeeze(at[cut[k] : cut[k + 1]], "<u4") for k in range(len(guests))])
-        yield part, ("house", found, [(g[0], [p[k] for p in places]) for k, g in enumerate(guests)])
+            places.append([at[cut[k] : cut[k + 1]] for k in range(len(guests))])
+        yield part, ("house", found, [(g[0], together([p[k] for p in places])) for k, g in enumerate(guests)])
 
     def message(part, lists, sent):
         """``sent``: (first, second) sums for the words, the shared contexts, the shared befores."""
         for q, spans in spread(lists, parts):
-            yield q, ("sums", part, [[squeeze(x[a:b], "<u4") for x in pair] for pair, (a, b) in zip(sent, spans, strict=True)])
+            yield q, ("sums", part, together([x[a:b] for pair, (a, b) in zip(sent, spans, strict=True) for x in pair]))
 
     def sent_of(packed, s, totals, with_counts):
         twos = expand(packed["twos"], "<u4")
@@ -521,29 +576,27 @@ def sampled(asked, parts: int, told_words: Sampled):
             return
         found, guests = tags["house"][0]
         messages = dict(tags["sums"])
-        all_sums = []
-        for kind in range(3):
-            sums = np.zeros((2, found[kind][0]), np.int64)
-            for p, places in guests:
-                at = expand(places[kind], "<u4")
+        guests = [(p, apart(places)) for p, places in guests]
+        all_sums = [np.zeros((2, size), np.int64) for size, _ in found]
+        for p, places in guests:
+            told = apart(messages[p])
+            for kind, at in enumerate(places):
                 for k in range(2):
-                    sums[k][at] += expand(messages[p][kind][k], "<u4")
-            all_sums.append(sums)
+                    all_sums[kind][k][at] += told[2 * kind + k]
         customers, counts = all_sums[0]
         if model is None:
             tables = (customers > 0).astype(np.int64)
         else:
             tables = seat(expand_rising(found[0][1]), sweep, customers, np.full(len(customers), model.base()), model.discounts[0])
-        for p, places in guests:
-            at = [expand(x, "<u4") for x in places]
-            yield p, ("totals", part, [squeeze(x, "<u4") for x in (customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1)))])
+        for p, at in guests:
+            yield p, ("totals", part, together([customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1))]))
         root = [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), counts.sum(), (counts > 0).sum()]
         yield part, ("root", np.append(np.array(root, float), level))
 
     def whole(messages):
         """A part's totals in the order of its lists from what the owners sent, one message each."""
-        told = sorted(messages, key=lambda m: m[0])
-        return [np.concatenate([expand(m[1][k], "<u4") for m in told]).astype(np.int64) for k in range(7)]
+        told = [apart(packed) for _, packed in sorted(messages, key=lambda m: m[0])]
+        return [np.concatenate([lists[k] for lists in told]).astype(np.int64) for k in range(7)]
 
     base = keep(local([asked], begin))
     houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
@@ -636,9 +689,9 @@ def sampled(asked, parts: int, told_words: Sampled):
         for block, docs, *ends in d.blocks:
             mine = slice(first, first + len(docs))
             first += len(docs)
-            found, at = np.unique(docs, return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            cut = np.searchsorted(at[order], np.arange(len(found)))
+            order, texts = ordered(docs, int(docs.max()) + 1)
+            cut = np.flatnonzero(np.diff(texts, prepend=-1))
+            found = texts[cut]
             sums = [np.add.reduceat(x[mine][order].astype(kind), cut) for x, kind in ((fixed, np.int64), (plain, np.float64), (known, np.int64))]
             last = docs[d.words[word[mine]] == END]
             yield block, squeeze(found, "<u4"), squeeze(sums[0], "<i8"), squeeze(sums[1], "<f8"), squeeze(sums[2], "<u4"), squeeze(last, "<u4"), *ends

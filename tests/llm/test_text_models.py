@@ -1,6 +1,7 @@
 """Language ID, quality, language model, n-gram join: edge cases, brute force and held-out accuracy."""
 
 import collections
+import gc
 import math
 import random
 import zlib
@@ -437,3 +438,34 @@ def test_registered_join_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in QUERIES["op10_ngram_join"](spark, DATA).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1 << 62])
+def test_numbers_are_sorted_with_their_places(most):
+    """As np.unique and a stable sort give them, where a number and its place fit into 63 bits and where they don't."""
+    rng = np.random.default_rng(5)
+    for keys in (rng.integers(0, 1 << 20, 5000), rng.integers(0, 50, 5000).astype(np.uint32), np.zeros(0, np.int64), np.array([7])):
+        order, rising = lm.ordered(keys, most)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and rising.tolist() == sorted(keys.tolist())
+        for found, place in (lm.numbered(keys, most), lm.numbered_few(keys, 1 << 20), lm.numbered_words(keys.astype(np.uint64))):
+            assert found.tolist() == sorted(set(keys.tolist())) and found[place].tolist() == keys.tolist()
+
+
+def test_sums_travel_as_one_piece():
+    lists = [np.arange(5), np.zeros(0, np.int64), np.array([(1 << 32) - 1], np.uint32), np.arange(3) * 1000]
+    sizes, packed = lm.together(lists)
+    assert isinstance(packed, bytes) and [x.tolist() for x in lm.apart((sizes, packed))] == [x.tolist() for x in lists]
+    assert [x.tolist() for x in lm.apart(lm.together([np.zeros(0, np.int64)] * 2))] == [[], []]
+
+
+def test_collecting_after_a_task_passes_over_imports():
+    """A worker gives back its memory after each of hundreds of small tasks; its imports are looked through once."""
+    gc.unfreeze()
+    try:
+        lm.give_back()
+        assert gc.get_freeze_count() > 1000
+        with_imports = gc.get_freeze_count()
+        lm.give_back()
+        assert gc.get_freeze_count() <= with_imports
+    finally:
+        gc.unfreeze()
