@@ -47,6 +47,7 @@ LEAST_CHARS = 2 << 20  # of a part, where the session's shuffle partitions ask f
 HASHED_AT_ONCE = 1 << 20  # characters
 SAMPLE_CHARS = 24 << 20  # of the sample that tells hot and common words
 MOST_HOT, MOST_COMMON = 1 << 16, 1 << 18
+SAMPLE_PARTS = 4  # that add up the sample's words
 HOT_PARTS = 0.75  # parts that a word's restaurants would fill before they are dealt over several
 STRENGTHS = (100.0, 10.0, 1.0)  # of the root, of one word before, of two
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
@@ -466,11 +467,12 @@ def give_back() -> None:
         pass
 
 
-def gathered(items) -> dict[int, dict[str, list]]:
-    """(part, (tag, values)) items of a partition, by part and tag."""
+def gathered(items, wanted: tuple[str, ...]) -> dict[int, dict[str, list]]:
+    """(part, (tag, values)) items of a partition that have a wanted tag, by part and tag."""
     out: dict[int, dict[str, list]] = {}
     for part, (tag, *values) in items:
-        out.setdefault(part, {}).setdefault(tag, []).append(values)
+        if tag in wanted:
+            out.setdefault(part, {}).setdefault(tag, []).append(values)
     return out
 
 
@@ -481,34 +483,27 @@ def spread(lists: list[np.ndarray], parts: int) -> list[tuple[int, list[tuple[in
 
 
 def sampled(asked, parts: int, told_words: Sampled):
-    """From (part, ("asked", block, packed)): the model, an RDD of rows (block, texts, sums of theirs), what is kept on disk.
+    """From (part, ("asked", block, packed)): the model, and an RDD of (block, sums of texts of it), each block in one partition.
 
-    RDDs, as a part's state stays where it is from sweep to sweep; only totals are dealt anew.
+    RDDs, as only totals are dealt anew. All that a step gives goes by one shuffle, to its own part or to others, and a step
+    reads nothing but shuffles: each task has one Python worker. Where a step reads what other functions gave, or a union of
+    that and of shuffles, there is a worker for these too, and all workers stay and take turns.
     """
-    from pyspark import StorageLevel
 
-    kept = []
-
-    def keep(rdd):
-        kept.append(rdd.persist(StorageLevel.DISK_ONLY))
-        return rdd
-
-    def drop(rdd):
-        kept.remove(rdd)
-        rdd.unpersist()
-
-    def local(rdds, f):
+    def step(rdds, f, *wanted, deal=int):
         joined = rdds[0]
         for r in rdds[1:]:
             joined = joined.union(r)
 
         def run(items):
-            for part, tags in gathered(items).items():
+            found = gathered(items, wanted)
+            while found:
+                part, tags = found.popitem()
                 yield from f(part, tags)
                 del tags
                 give_back()
 
-        return joined.mapPartitions(run, preservesPartitioning=True)
+        return joined.mapPartitions(run).partitionBy(parts, deal)
 
     def shared(s_befores, u_two, u_hash):
         """Places of the befores and of the contexts that are dealt over parts."""
@@ -516,7 +511,7 @@ def sampled(asked, parts: int, told_words: Sampled):
         return np.flatnonzero(many), np.flatnonzero(many[u_two])
 
     def begin(part, tags):
-        d = Dishes(tags["asked"], told_words)
+        d = Dishes(tags.pop("asked"), told_words)
         s = Seats(d)
         twos, us = shared(d.befores, d.u_two, d.u_hash)
         t = np.ones(len(s.customers), np.int64)
@@ -526,25 +521,21 @@ def sampled(asked, parts: int, told_words: Sampled):
         inside = (at < len(s.u_place)) & (s.u_place[np.minimum(at, max(0, len(s.u_place) - 1))] == us) if len(s.u_place) else np.zeros(len(us), bool)
         # at, one more than the place among kept contexts, or 0
         extra = {"twos": squeeze(twos, "<u4"), "us": squeeze_rising(d.u_hash[us]), "us_fixed": squeeze(fixed, "<u4"), "us_customers": squeeze(customers[us], "<u4"), "us_kept": squeeze(np.where(inside, at + 1, 0), "<u4")}
-        sums = np.array([(d.customers == 1).sum(), (d.customers == 2).sum()], float)
-        yield part, ("base", s.packed(told_words) | extra, sums)
+        levels = np.array([(d.customers == 1).sum(), (d.customers == 2).sum()], float)
+        lists = [s.words, d.u_hash[us], s.befores[twos]]
+        del d, t, tables, customers
+        packed = s.packed(told_words) | extra
+        yield part, ("base", packed, levels)
+        for q, spans in spread(lists, parts):
+            kinds = (told_words.named, squeeze_rising, told_words.named)
+            yield q, ("names", part, [f(x[a:b]) for f, x, (a, b) in zip(kinds, lists, spans, strict=True)])
+        yield from stated(part, packed, levels, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), 0, True)
 
     def sweep_away():
         """The shuffle files of sweeps that nothing refers to any more go when the driver's garbage does."""
         gc.collect()
         asked.ctx._jvm.System.gc()
 
-    def lists_of(packed):
-        befores, words = (told_words.names(packed[k]) for k in ("befores", "words"))
-        return [words, expand_rising(packed["us"]), befores[expand(packed["twos"], "<u4")]]
-
-    def names(item):
-        part, (_, packed, _) = item
-        lists = lists_of(packed)
-        for q, spans in spread(lists, parts):
-            kinds = (told_words.named, squeeze_rising, told_words.named)
-            yield q, ("names", part, [f(x[a:b]) for f, x, (a, b) in zip(kinds, lists, spans, strict=True)])
-
     def house(part, tags):
         guests = sorted(tags["names"], key=lambda g: g[0])
         found, places = [], []
@@ -570,7 +561,7 @@ def sampled(asked, parts: int, told_words: Sampled):
 
     def totalled(part, tags, sweep, model):
         """Sums of all guests' sums, which the guests get; the root's dishes are seated; the root's and the part's sums."""
-        level = sum((x[0] for x in tags.get("level", [])), np.zeros(2))
+        level = sum((x[0] for x in tags.get("level", [])), np.zeros(4))
         if "house" not in tags:
             yield part, ("root", np.append(np.zeros(6), level))
             return
@@ -589,7 +580,7 @@ def sampled(asked, parts: int, told_words: Sampled):
         else:
             tables = seat(expand_rising(found[0][1]), sweep, customers, np.full(len(customers), model.base()), model.discounts[0])
         for p, at in guests:
-            yield p, ("totals", part, together([customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1))]))
+            yield p, (f"totals{sweep}", part, together([customers[at[0]], tables[at[0]], counts[at[0]], *(all_sums[k][j][at[k]] for k in (1, 2) for j in (0, 1))]))
         root = [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), counts.sum(), (counts > 0).sum()]
         yield part, ("root", np.append(np.array(root, float), level))
 
@@ -598,33 +589,13 @@ def sampled(asked, parts: int, told_words: Sampled):
         told = [apart(packed) for _, packed in sorted(messages, key=lambda m: m[0])]
         return [np.concatenate([lists[k] for lists in told]).astype(np.int64) for k in range(7)]
 
-    base = keep(local([asked], begin))
-    houses = keep(local([base.flatMap(names).partitionBy(parts, int)], house))
-
-    def exchange(out, sweep, model):
-        """The root's and the parts' sums after a state, and an RDD of the totals told to the parts."""
-        messages = out.mapPartitions(lambda items: (x for x in items if x[1][0] != "state"))  # keyed by their owners
-        dealt_sums = houses.union(messages.partitionBy(parts, int))
-        told = dealt_sums.mapPartitions(lambda items: (x for part, tags in gathered(items).items() for x in totalled(part, tags, sweep, model))).partitionBy(parts, int)
-        sums = told.filter(lambda kv: kv[1][0] == "root").map(lambda kv: kv[1][1]).reduce(np.add)
-        return sums, told.filter(lambda kv: kv[1][0] == "totals")
-
-    def stated(part, packed, s, tables, b_tables, with_counts):
+    def stated(part, packed, levels, s, tables, b_tables, sweep, with_counts):
         totals = Totals(s, tables, b_tables)
-        yield part, ("state", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"))
-        yield part, ("level", np.array([totals.ones, totals.twos], float))
-        twos = expand(packed["twos"], "<u4")
-        lists = [s.words, expand_rising(packed["us"]), s.befores[twos]]
+        yield part, (f"state{sweep}", squeeze(tables, "<u4"), squeeze(b_tables, "<u4"))
+        yield part, ("level", np.append([totals.ones, totals.twos], levels))
+        lists = [s.words, expand_rising(packed["us"]), s.befores[expand(packed["twos"], "<u4")]]
         yield from message(part, lists, sent_of(packed, s, totals, with_counts))
 
-    def states(out):
-        return out.filter(lambda kv: kv[1][0] == "state")
-
-    def first(part, tags):
-        packed = tags["base"][0][0]
-        s = Seats.of(packed, told_words)
-        yield from stated(part, packed, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), True)
-
     def opened_totals(packed, s, tags_totals, tables, b_tables):
         """Root customers and tables, counts, of_u over kept contexts, of_two, and the shared contexts' totals."""
         root, root_tables, counts, us, us_customers, two, two_customers = whole(tags_totals)
@@ -635,50 +606,50 @@ def sampled(asked, parts: int, told_words: Sampled):
         totals.two[twos], totals.two_customers[twos] = two, two_customers
         return root, root_tables, counts, totals, us, us_customers
 
-    out = keep(local([base], first))
-    t_ones, t_twos = base.map(lambda kv: kv[1][2]).reduce(np.add)
+    base = step([asked], begin, "asked")
+    houses = step([base], house, "names")
+
+    def exchange(out, sweep, model):
+        """The root's and the parts' sums after a state, and an RDD of the totals told to the parts."""
+        told = step([houses, out], lambda part, tags: totalled(part, tags, sweep, model), "house", "sums", "level")
+        return told.filter(lambda kv: kv[1][0] == "root").map(lambda kv: kv[1][1]).reduce(np.add), told
 
     def model_of(sums, n, v):
-        return Model(n, v, (discount_of(sums[2], sums[3]), discount_of(sums[6], sums[7]), discount_of(t_ones, t_twos)), sums[0], sums[1])
+        return Model(n, v, (discount_of(sums[2], sums[3]), discount_of(sums[6], sums[7]), discount_of(sums[8], sums[9])), sums[0], sums[1])
 
-    sums, told = exchange(out, 0, None)
+    sums, told = exchange(base, 0, None)
     n, v = sums[4], sums[5]
     model = model_of(sums, n, v)
-    samples = []
+    held, samples = [], []
     for sweep in range(1, BURN + SAMPLES + 1):
 
         def again(part, tags, sweep=sweep, model=model):
-            packed = tags["base"][0][0]
+            packed, levels = tags["base"][0]
             s = Seats.of(packed, told_words)
-            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags["state"][0][:2])
-            root, root_tables, _, totals, _, _ = opened_totals(packed, s, tags["totals"], tables, b_tables)
+            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags[f"state{sweep - 1}"][0])
+            root, root_tables, _, totals, _, _ = opened_totals(packed, s, tags[f"totals{sweep - 1}"], tables, b_tables)
             tables, b_tables = reseated(s, model, sweep, tables, b_tables, model.root(root, root_tables), totals.u, (totals.two, totals.two_customers))
-            yield from stated(part, packed, s, tables, b_tables, sweep > BURN)
+            yield from stated(part, packed, levels, s, tables, b_tables, sweep, sweep > BURN)
 
-        before, out = out, keep(local([base, states(out), told], again))
+        out = step([base, *held, told], again, "base", f"state{sweep - 1}", f"totals{sweep - 1}")
+        held = [out]
         sums, told = exchange(out, sweep, model)
         model = model_of(sums, n, v)
-        if sweep <= BURN + 1:
-            drop(before)
         if sweep > BURN:
-            samples.append((model, out, told))
-        del before
+            samples.append((sweep, model, out, told))
         sweep_away()
 
-    def marked(rdd, k):
-        return rdd.mapPartitions(lambda items: ((p, (f"{v[0]}{k}", *v[1:])) for p, v in items), preservesPartitioning=True)
-
-    models = [m for m, _, _ in samples]
+    models = [(sweep, m) for sweep, m, _, _ in samples]
 
     def answer(part, tags):
-        d = Dishes(tags["asked"], told_words)
+        d = Dishes(tags.pop("asked"), told_words)
         s = Seats(d)
         packed = tags["base"][0][0]
         _, shared_us = shared(d.befores, d.u_two, d.u_hash)
         mean, counts = np.zeros(len(d.t_u)), None
-        for k, model in enumerate(models):
-            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags[f"state{k}"][0][:2])
-            root, root_tables, counts, totals, us, us_customers = opened_totals(packed, s, tags[f"totals{k}"], tables, b_tables)
+        for sweep, model in models:
+            tables, b_tables = (expand(x, "<u4").astype(np.int64) for x in tags[f"state{sweep}"][0])
+            root, root_tables, counts, totals, us, us_customers = opened_totals(packed, s, tags[f"totals{sweep}"], tables, b_tables)
             of_u = context_sums(d, s, tables)
             of_u[0][shared_us], of_u[1][shared_us] = us, us_customers
             mean += dish_scores(d, s, model, tables, b_tables, model.root(root, root_tables), of_u, (totals.two, totals.two_customers))
@@ -694,12 +665,17 @@ def sampled(asked, parts: int, told_words: Sampled):
             found = texts[cut]
             sums = [np.add.reduceat(x[mine][order].astype(kind), cut) for x, kind in ((fixed, np.int64), (plain, np.float64), (known, np.int64))]
             last = docs[d.words[word[mine]] == END]
-            yield block, squeeze(found, "<u4"), squeeze(sums[0], "<i8"), squeeze(sums[1], "<f8"), squeeze(sums[2], "<u4"), squeeze(last, "<u4"), *ends
+            yield block, ("texts", squeeze(found, "<u4"), squeeze(sums[0], "<i8"), squeeze(sums[1], "<f8"), squeeze(sums[2], "<u4"), squeeze(last, "<u4"), *ends)
+
+    wanted = [f"{kind}{sweep}" for sweep, *_ in samples for kind in ("state", "totals")]
+    dealt = [rdd for _, _, *rdds in samples for rdd in rdds]
+    return model, step([asked, base, *dealt], answer, "asked", "base", *wanted, deal=lambda block: int(mixed(np.array([block], np.uint64))[0]))
+
 
-    inputs = [asked, base]
-    for k, (_, o, t) in enumerate(samples):
-        inputs += [marked(states(o), k), marked(t, k)]
-    return model, local(inputs, answer), kept
+def added(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of lists, ascending, and the sums of their counts."""
+    words, place = np.unique(np.concatenate([w for w, _ in lists]), return_inverse=True)
+    return words, np.bincount(place, np.concatenate([n for _, n in lists]), minlength=len(words)).astype(np.int64)
 
 
 def sampled_words(rows: DataFrame, chars: int, parts: int) -> Sampled:
@@ -711,18 +687,42 @@ def sampled_words(rows: DataFrame, chars: int, parts: int) -> Sampled:
     share = min(1.0, SAMPLE_CHARS / max(1, chars))
     drawn_rows = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
 
-    def count(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                words, _ = tokenize([t.as_py() for t in batch.column("text")[at : at + 64]])
-                found, n = np.unique(np.where(words == END, START, words), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    counts = drawn_rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = kept_table(counts, "lm-words")
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    most = counts.orderBy(F.desc("n"), "word").limit(MOST_COMMON).toArrow()
-    words, n = most["word"].to_numpy().view(np.uint64), most["n"].to_numpy().astype(np.float64)
+    def count(found):
+        lists, texts, size = [], [], 0
+
+        def counted():
+            words, n = np.unique(tokenize(texts)[0], return_counts=True)
+            lists.append((words, n))
+
+        for row in found:
+            texts.append(row.text)
+            size += len(row.text) + 1
+            if size >= HASHED_AT_ONCE:
+                counted()
+                texts, size = [], 0
+        if texts:
+            counted()
+        if lists:
+            words, n = added(lists)
+            words[words == END] = START
+            part = part_of(words, SAMPLE_PARTS)
+            for q in range(SAMPLE_PARTS):
+                yield q, (words[part == q], n[part == q])
+
+    def most(found):
+        lists = [pair for _, pair in found]
+        if lists:
+            words, n = added(lists)
+            order = np.lexsort((words, -n))[:MOST_COMMON]
+            yield n.sum(), words[order], n[order]
+
+    # as RDDs: the workers are then those of the steps to come, and no others stay beside them
+    counts = drawn_rows.select("text").rdd.mapPartitions(count).partitionBy(SAMPLE_PARTS, int).mapPartitions(most).collect()
+    none_found = [(0, none, np.zeros(0, np.int64))]
+    totals, words, n = zip(*(counts or none_found), strict=True)
+    tokens, words, n = sum(totals), np.concatenate(words), np.concatenate(n)
+    order = np.lexsort((words, -n))[:MOST_COMMON]
+    words, n = words[order], n[order].astype(np.float64)
     order = np.argsort(words)
     words, n = words[order], n[order]
     hot = n > max(HOT_PARTS / parts, 1 / MOST_HOT) * tokens
@@ -782,15 +782,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         give_back()
 
     asked = rows.rdd.mapPartitionsWithIndex(cut).partitionBy(parts, int)
-    model, answers, held_on_disk = sampled(asked, parts, told)
-    schema = "block long, docs binary, score binary, base binary, known binary, ended binary, ids binary, nulls binary, counts binary"
-    replies = kept_table(spark.createDataFrame(answers, schema, verifySchema=False), "lm-replies")
-    for rdd in held_on_disk:
-        rdd.unpersist()
-
-    def add(table: pa.Table) -> pa.Table:
-        got = table.select(["docs", "score", "base", "known", "ended", "ids", "nulls", "counts"]).to_pylist()
-        got = [{k: expand(r[k], kind) for k, kind in (("docs", "<u4"), ("score", "<i8"), ("base", "<f8"), ("known", "<u4"), ("ended", "<u4"), ("ids", "<i8"), ("nulls", "<u1"), ("counts", "<u4"))} for r in got]
+    model, answers = sampled(asked, parts, told)
+    kinds = {"docs": "<u4", "score": "<i8", "base": "<f8", "known": "<u4", "ended": "<u4", "ids": "<i8", "nulls": "<u1", "counts": "<u4"}
+
+    def add(replies):
+        got = [{k: expand(x, kind) for (k, kind), x in zip(kinds.items(), reply, strict=True)} for reply in replies]
         n = sum(len(r["ended"]) for r in got)
         score, known, n_tokens, ids, nulls = (np.zeros(n, np.int64) for _ in range(5))
         base = np.zeros(n)
@@ -799,10 +795,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             base[r["docs"]] += r["base"]
             known[r["docs"]] += r["known"]
             ids[r["ended"]], nulls[r["ended"]], n_tokens[r["ended"]] = r["ids"], r["nulls"], r["counts"]
-        doc_ids = pa.array(ids, pa.int64(), mask=nulls.astype(bool))
-        return pa.Table.from_arrays([doc_ids, pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score / ONE)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        doc_ids = np.where(nulls, None, ids.astype(object))
+        return zip(*(x.tolist() for x in (doc_ids, n_tokens, known, base, score / ONE)), strict=True)
+
+    def texts(items):
+        found = gathered(items, ("texts",))
+        while found:
+            yield from add(found.popitem()[1]["texts"])
+        give_back()
 
-    scored = replies.groupBy("block").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    scored = kept_table(spark.createDataFrame(answers.mapPartitions(texts), schema, verifySchema=False), "lm-scores")
     held = bucket_of("doc_id", held_out[0]) == held_out[1]
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -230,6 +230,34 @@ def test_scores_do_not_depend_on_the_layout(spark, monkeypatch, block, part, shu
     assert all(abs(r["base_score"] - whole[r["doc_id"]]["base_score"]) < 1e-8 for r in got)
 
 
+def test_each_task_has_one_worker(spark, monkeypatch):
+    """No stage has Python functions on both sides of a union, and no part of the plan has workers of another kind (Arrow):
+    all these would stay beside the workers at work, with the memory they hold."""
+    made, real = [], lm.sampled
+    monkeypatch.setattr(lm, "sampled", lambda *given: made.append(real(*given)) or made[-1])
+    monkeypatch.setattr(lm, "PART_CHARS", 100_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(type(docs), "mapInArrow", None)
+    scored = lm.score_texts(docs)
+    assert "InArrow" not in scored._jdf.queryExecution().toString()
+    seen, stages = set(), [made[0][1]._jrdd.rdd()]
+    while stages:
+        workers, todo = set(), [stages.pop()]
+        while todo:
+            rdd = todo.pop()
+            if rdd.getClass().getSimpleName() == "PythonRDD":
+                workers.add(rdd.id())
+            for k in range(rdd.dependencies().size()):
+                before = rdd.dependencies().apply(k)
+                if before.getClass().getSimpleName() != "ShuffleDependency":
+                    todo.append(before.rdd())
+                elif before.rdd().id() not in seen:
+                    seen.add(before.rdd().id())
+                    stages.append(before.rdd())
+        assert len(workers) <= 1, rdd.toDebugString()
+    assert len(seen) > 2 * (lm.BURN + lm.SAMPLES)
+
+
 def plain_model(rows):
     """The model with one dish at a time in plain dictionaries: each row's score, and the probabilities after a context."""
 
