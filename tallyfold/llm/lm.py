@@ -20,8 +20,8 @@ Data flow, all rows counted:
    is in that part: at most one message per token, packed in arrays. A part holds whole restaurants of two words and of
    one; a word before so frequent that a part would overflow is dealt over parts by the word that follows;
 2. each part adds up its dishes and seats them. Before each sweep the parts exchange totals: of the root's dishes, and of
-   the restaurants that are dealt over parts. Each is summed at the part that its hash belongs to, where the root's dishes
-   are seated, and goes back to the parts that have it;
+   the restaurants that are dealt over parts. Each is summed at the part that owns its hash (one in OWNED parts owns some),
+   where the root's dishes are seated, and goes back to the parts that have it;
 3. each part adds its tokens' log-probabilities by text, and the sums of a block's texts meet.
 Blocks and parts are of bounded size; the driver gets a dozen sums per sweep, and of a bounded sample the words
 whose restaurants are dealt over parts (MOST_HOT at most), which settles where they are seated, not how.
@@ -48,6 +48,7 @@ HASHED_AT_ONCE = 1 << 20  # characters
 SAMPLE_CHARS = 24 << 20  # of the sample that tells hot and common words
 MOST_HOT, MOST_COMMON = 1 << 16, 1 << 18
 SAMPLE_PARTS = 4  # that add up the sample's words
+OWNED = 3  # parts for each that owns totals: messages, and the files they come in, go with parts times owners
 HOT_PARTS = 0.75  # parts that a word's restaurants would fill before they are dealt over several
 STRENGTHS = (100.0, 10.0, 1.0)  # of the root, of one word before, of two
 END = np.uint64(0x243F6A8885A308D3)  # the hash of the token that ends a text
@@ -476,10 +477,10 @@ def gathered(items, wanted: tuple[str, ...]) -> dict[int, dict[str, list]]:
     return out
 
 
-def spread(lists: list[np.ndarray], parts: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def spread(lists: list[np.ndarray], owners: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(owner, the span of each ascending list of hashes that belongs to it)."""
-    cuts = [np.searchsorted(part_of(x, parts), np.arange(parts + 1)) for x in lists]
-    return [(q, [(c[q], c[q + 1]) for c in cuts]) for q in range(parts) if any(c[q] < c[q + 1] for c in cuts)]
+    cuts = [np.searchsorted(part_of(x, owners), np.arange(owners + 1)) for x in lists]
+    return [(q, [(c[q], c[q + 1]) for c in cuts]) for q in range(owners) if any(c[q] < c[q + 1] for c in cuts)]
 
 
 def sampled(asked, parts: int, told_words: Sampled):
@@ -490,6 +491,8 @@ def sampled(asked, parts: int, told_words: Sampled):
     that and of shuffles, there is a worker for these too, and all workers stay and take turns.
     """
 
+    owners = math.ceil(parts / OWNED)
+
     def step(rdds, f, *wanted, deal=int):
         joined = rdds[0]
         for r in rdds[1:]:
@@ -526,7 +529,7 @@ def sampled(asked, parts: int, told_words: Sampled):
         del d, t, tables, customers
         packed = s.packed(told_words) | extra
         yield part, ("base", packed, levels)
-        for q, spans in spread(lists, parts):
+        for q, spans in spread(lists, owners):
             kinds = (told_words.named, squeeze_rising, told_words.named)
             yield q, ("names", part, [f(x[a:b]) for f, x, (a, b) in zip(kinds, lists, spans, strict=True)])
         yield from stated(part, packed, levels, s, np.ones(len(s.customers), np.int64), np.ones(len(s.b_fixed), np.int64), 0, True)
@@ -549,7 +552,7 @@ def sampled(asked, parts: int, told_words: Sampled):
 
     def message(part, lists, sent):
         """``sent``: (first, second) sums for the words, the shared contexts, the shared befores."""
-        for q, spans in spread(lists, parts):
+        for q, spans in spread(lists, owners):
             yield q, ("sums", part, together([x[a:b] for pair, (a, b) in zip(sent, spans, strict=True) for x in pair]))
 
     def sent_of(packed, s, totals, with_counts):

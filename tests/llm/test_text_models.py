@@ -479,6 +479,16 @@ def test_numbers_are_sorted_with_their_places(most):
             assert found.tolist() == sorted(set(keys.tolist())) and found[place].tolist() == keys.tolist()
 
 
+def test_owners_share_all_totals_and_are_fewer_than_parts():
+    """Each hash has one owner, owners stand in the order of hashes, and messages don't go from every part to every part."""
+    assert lm.OWNED > 1
+    lists = [np.unique(np.random.default_rng(k).integers(0, 1 << 64, 500 * k, np.uint64, endpoint=False)) for k in range(3)]
+    dealt = lm.spread(lists, 7)
+    assert [q for q, _ in dealt] == list(range(7))
+    for k, x in enumerate(lists):
+        assert np.concatenate([x[a:b] for a, b in (spans[k] for _, spans in dealt)]).tolist() == x.tolist()
+
+
 def test_sums_travel_as_one_piece():
     lists = [np.arange(5), np.zeros(0, np.int64), np.array([(1 << 32) - 1], np.uint32), np.arange(3) * 1000]
     sizes, packed = lm.together(lists)
